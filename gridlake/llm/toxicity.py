@@ -64,11 +64,10 @@ def subwords(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     for j in range(max(GRAMS)):
         h = h * np.uint64(0x9E3779B97F4A7C55) + padded[j : j + n]
         if j + 1 in GRAMS:
-            inner = ~broken & ~(letters[:n] & letters[j : j + n])
-            at = np.flatnonzero(inner & ~edge)
+            at = np.flatnonzero(~broken & ~edge)
             ids.append((mix(h[at]) % np.uint64(BUCKETS)).astype(np.int64))
             owners.append(passage_of_word[word_of_byte[at]])
-        if j >= 1 or j + 1 > min(GRAMS):
+        if j:
             broken = broken | letters[j : j + n]
     ids, owners = np.concatenate(ids), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
