@@ -20,7 +20,7 @@ from gridlake.llm.sampling import bounded_ids, texts_of
 from gridlake.llm.text import LOWER, WHITE, chunks, join_texts, mix
 
 BUCKETS = 1 << 17
-GRAMS = (3, 4, 5)
+GRAMS = (3, 5, 7)
 _LETTER = mix(np.arange(7, 263, dtype=np.uint64))
 #: ASCII bytes that aren't letters or digits count as a word's edge; other bytes are part of words.
 _EDGE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -93,7 +93,7 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * most + model.shift, -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], window: int = 3, dim: int = 12, epochs: int = 8, rate: float = 0.6, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], window: int = 2, dim: int = 12, epochs: int = 8, rate: float = 0.6, seed: int = 7) -> Model:
     """Train embeddings and softmax jointly. Without both labels every text gets the share of label 1."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
@@ -183,7 +183,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    schema = documents.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = documents.select(*keep).schema.add("score", "double").add("predicted", "integer")
     return documents.select(*keep).mapInArrow(run, schema)
 
 
