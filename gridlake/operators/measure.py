@@ -13,7 +13,7 @@ BRANCH_TYPES = ("PIJ", "PJI", "QIJ", "QJI", "IIJ", "IJI")
 def assign_measurements(measurement: DataFrame, bus: DataFrame, branch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bus measurements, branch measurements) attached to the network, numbered within their element by type, tag and value text."""
     at_bus = attach_to_bus(measurement.where(F.col("type").isin(*BUS_TYPES)), bus.select("bus_id"))
-    order = lambda *k: F.row_number().over(Window.partitionBy("case_id", *k).orderBy("type", "tag_text", F.col("value").cast("string"), "idx"))
+    order = lambda *k: F.row_number().over(Window.partitionBy("case_id", *k).orderBy("type", "tag_text", F.format_string("%.6f", "value"), "idx"))
     a = at_bus.withColumn("tag_text", F.lit("")).withColumn("nth", order("bus_id")).drop("tag_text")
     if "from_bus" not in measurement.columns:
         return a, a.limit(0)

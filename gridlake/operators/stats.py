@@ -87,8 +87,8 @@ def generator_margins(generator: DataFrame, bus: DataFrame) -> DataFrame:
 def area_export(flow: DataFrame, bus: DataFrame) -> DataFrame:
     """(event_idx, area, export): power leaving each area over circuits to other areas, counted at their from end."""
     place = lambda end, name: bus.select(F.col("bus_id").alias(end), F.col("area").alias(name))
-    rows = flow.join(place("from_bus", "a"), "from_bus").join(place("to_bus", "b"), "to_bus").where("a <> b")
-    sides = F.array(F.struct(F.col("a").alias("area"), F.col("p_from").alias("p")), F.struct(F.col("b").alias("area"), (-F.col("p_from")).alias("p")))
+    rows = flow.join(place("from_bus", "_leaves"), "from_bus").join(place("to_bus", "_enters"), "to_bus").where("_leaves <> _enters")
+    sides = F.array(F.struct(F.col("_leaves").alias("area"), F.col("p_from").alias("p")), F.struct(F.col("_enters").alias("area"), (-F.col("p_from")).alias("p")))
     return rows.select("event_idx", F.explode(sides).alias("s")).groupBy("event_idx", F.col("s.area").alias("area")).agg(F.sum("s.p").alias("export"))
 
 

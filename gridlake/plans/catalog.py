@@ -1,15 +1,807 @@
-"""Registered queries of the grid operators."""
+"""Registered queries of the grid operators over the role tables, each with the SQL that must give the same rows.
+
+Doubles are rounded to six places on both sides, as sums are added up in different orders.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from gridlake.functions import exprs as x
+from gridlake.operators import compare, coo, electrical, keyed, limits, measure, scenarios, series, stats, topology
+from gridlake.plans import roles
+from gridlake.sources import sinks
+from gridlake.streaming import streams
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+class Roles:
+    """Role tables by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return roles.frame(self.spark, self.sf_dir, name)
+
+
+def _register(name: str, build: Callable[[Roles], DataFrame], sql: str | None, doubles: str = "") -> None:
+    exact = doubles.split()
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = build(Roles(spark, sf_dir))
+        return out.withColumns({c: F.round(c, 6) + 0.0 for c in exact}) if exact else out
+
+    _QUERIES[name] = run
+    if sql is not None:
+        if exact:
+            body = sql.strip()
+            head, _, last = ("", "", body) if body.startswith("SELECT") else body.rpartition("\nFINALLY ")
+            sql = (head + "\n" if head else "") + f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in exact)}) FROM ({last}) AS found"
+        _SQL[name] = roles.check_sql(sql.replace("\nFINALLY ", "\n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- pieces shared by several queries -------------------------------------------------------------------------------
+
+_FLOW = """flow AS (SELECT event_idx, from_bus, to_bus, ckt, status, rate_a, rate_b, rate_c, vf, vt, af, ad, CASE WHEN status = 1 THEN 1e2 * vf * (vf * gff + vt * (gft * cos(d) + bft * sin(d))) ELSE 0e0 END AS p_from,
+ CASE WHEN status = 1 THEN 1e2 * vf * (-vf * bff + vt * (gft * sin(d) - bft * cos(d))) ELSE 0e0 END AS q_from,
+ CASE WHEN status = 1 THEN 1e2 * vt * (vt * gtt + vf * (gtf * cos(d) - btf * sin(d))) ELSE 0e0 END AS p_to,
+ CASE WHEN status = 1 THEN 1e2 * vt * (-vt * btt + vf * (-gtf * sin(d) - btf * cos(d))) ELSE 0e0 END AS q_to FROM (
+ SELECT v.event_idx, e.*, v.v_pu AS vf, w.v_pu AS vt, v.angle_deg AS af, w.angle_deg AS ad, radians(v.angle_deg) - radians(w.angle_deg) AS d
+ FROM elements e JOIN {voltage} v ON v.bus_id = e.from_bus JOIN {voltage} w ON w.bus_id = e.to_bus AND w.event_idx = v.event_idx) AS j)"""
+_ELEMENTS = """elements AS (SELECT *, g / (t * t) AS gff, (h + b / 2) / (t * t) AS bff, g AS gtt, h + b / 2 AS btt,
+ -(g * cos(s) - h * sin(s)) / t AS gft, -(h * cos(s) + g * sin(s)) / t AS bft, -(g * cos(s) + h * sin(s)) / t AS gtf, -(h * cos(s) - g * sin(s)) / t AS btf FROM (
+ SELECT from_bus, to_bus, ckt, status, rate_a, rate_b, rate_c, CASE WHEN status = 1 THEN b ELSE 0e0 END AS b, CASE WHEN status = 1 THEN r / (r * r + x * x) ELSE 0e0 END AS g,
+ CASE WHEN status = 1 THEN -x / (r * r + x * x) ELSE 0e0 END AS h, CASE WHEN tap <> 0 THEN tap ELSE 1e0 END AS t,
+ CASE WHEN tap = 0 THEN 0e0 WHEN switched THEN -radians(shift_deg) ELSE radians(shift_deg) END AS s FROM {circuit}) AS y)"""
+_FLAT = f"""{_ELEMENTS}, {_FLOW}, flat AS (SELECT event_idx, from_bus, to_bus, ckt, p, q, mva, rate, CASE WHEN rate > 0 THEN 100 * mva / rate ELSE 0e0 END AS loading,
+ CAST(CASE WHEN rate > 0 AND mva > rate THEN 1 ELSE 0 END AS INT) AS viol, vf AS v_from_pu, vt AS v_to_pu, af AS ang_from_deg, ad AS ang_to_deg FROM (SELECT *, p_from AS p, q_from AS q, sqrt(p_from * p_from + q_from * q_from) AS mva,
+ CASE WHEN event_idx = 0 THEN rate_a WHEN rate_c > 0 THEN rate_c WHEN rate_b > 0 THEN rate_b ELSE rate_a END AS rate FROM flow) AS m)"""
+_STATE = "p q mva rate loading v_from_pu v_to_pu ang_from_deg ang_to_deg"
+
+
+def _flow(r: Roles) -> DataFrame:
+    return electrical.line_flow(r.circuit, r.voltage)
+
+
+def _flat(r: Roles) -> DataFrame:
+    return limits.flat_rows(_flow(r), "C")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["worst_circuits"](spark, sf_dir)
+
+
+_register("flat_rows", _flat, f"{_FLAT}\nFINALLY SELECT * FROM flat", _STATE)
+_register(
+    "worst_circuits",
+    lambda r: limits.worst(limits.area_kv_filter(_flat(r), r.bus, [1, 2], 69.0, 230.0), ["event_idx"], 10).select("event_idx", "from_bus", "to_bus", "ckt", "loading", "viol", "rank"),
+    f"""{_FLAT}
+FINALLY SELECT event_idx, from_bus, to_bus, ckt, loading, viol, rank FROM (SELECT f.*, CAST(row_number() OVER (PARTITION BY event_idx ORDER BY round(loading, 6) DESC, from_bus, to_bus, ckt) AS INT) AS rank
+ FROM flat f JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE (a.area IN (1, 2) OR b.area IN (1, 2)) AND greatest(a.base_kv, b.base_kv) BETWEEN 69 AND 230) AS ranked WHERE rank <= 10""",
+    "loading",
+)
+
+# --- scalar functions -----------------------------------------------------------------------------------------------
+
+_register(
+    "canonical_tag",
+    lambda r: r.lineitem.select(F.concat(F.lit(" '"), F.col("l_linenumber").cast("string"), F.lit(" "), "l_returnflag", F.lit("' ")).alias("raw")).distinct().select("raw", x.canonical_tag(F.col("raw")).alias("tag"), x.padded_tag(F.col("raw")).alias("padded")),
+    "SELECT DISTINCT ' ''' || l_linenumber || ' ' || l_returnflag || ''' ' AS raw, CAST(l_linenumber AS VARCHAR) AS tag, rpad(CAST(l_linenumber AS VARCHAR), 2, ' ') AS padded FROM {lineitem}",
+)
+_register(
+    "csv_field",
+    lambda r: r.part.select("p_partkey", x.csv_field(F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(', "x"'))).otherwise(F.col("p_name"))).alias("field")),
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN concat('"', p_name, ', ""x""', '"') ELSE p_name END AS field FROM {part}""",
+)
+_register("scenario_name", lambda r: scenarios.n1_branches(r.circuit).select("from_bus", "to_bus", "ckt", "scenario"), "SELECT from_bus, to_bus, ckt, 'BR_' || from_bus || '_' || to_bus || '_' || ckt AS scenario FROM {circuit}")
+
+
+def _elements(r: Roles) -> DataFrame:
+    """Three-element scenarios: runs of circuits of one from bus."""
+    n = F.row_number().over(Window.partitionBy("from_bus").orderBy("to_bus", "ckt")) - 1
+    c = r.circuit.select("from_bus", "to_bus", "ckt").withColumn("n", n)
+    return c.select((F.col("from_bus") * 1000 + F.floor(F.col("n") / 3)).cast("long").alias("event_idx"), F.lit("Line").alias("type"), (F.col("n") % 3).alias("pos"), "from_bus", "to_bus", "ckt", F.lit(None).cast("long").alias("bus_id"), F.lit(None).cast("string").alias("gen_id"))
+
+
+_ELEMENT_SQL = "el AS (SELECT from_bus * 1000 + n // 3 AS event_idx, n % 3 AS pos, from_bus, to_bus, ckt FROM (SELECT from_bus, to_bus, ckt, row_number() OVER (PARTITION BY from_bus ORDER BY to_bus, ckt) - 1 AS n FROM {circuit}) AS q)"
+_register(
+    "facility_label",
+    lambda r: keyed.facility_label(_elements(r), r.bus),
+    f"{_ELEMENT_SQL}\nFINALLY SELECT event_idx, max(CASE WHEN pos = 0 THEN '[' || area || '] ' || from_bus || ' ' || to_bus || ' ' || ckt END) || CASE WHEN count(*) > 1 THEN ' (+' || (count(*) - 1) || ' more)' ELSE '' END AS label FROM el JOIN {{bus}} ON bus_id = from_bus GROUP BY event_idx",
+)
+_register("circular_diff", lambda r: r.bus.select("bus_id", x.circular_diff(F.col("angle_deg"), F.col("angle_deg") * -1.5).alias("d")), "SELECT bus_id, (25e-1 * angle_deg + 180) - 360 * floor((25e-1 * angle_deg + 180) / 360) - 180 AS d FROM {bus}", "d")
+_register(
+    "select_rating",
+    lambda r: r.circuit.select("from_bus", "to_bus", "ckt", *[x.select_rating(w, F.col("rate_a"), F.col("rate_b"), F.col("rate_c")).alias(f"rate_{w.lower()}") for w in "ABC"]),
+    "SELECT from_bus, to_bus, ckt, rate_a, CASE WHEN rate_b > 0 THEN rate_b ELSE rate_a END AS rate_b, CASE WHEN rate_c > 0 THEN rate_c WHEN rate_b > 0 THEN rate_b ELSE rate_a END AS rate_c FROM {circuit}",
+    "rate_a rate_b rate_c",
+)
+
+
+def _complex(r: Roles) -> DataFrame:
+    a, b = x.named(""), None
+    c = r.coo.select("i", "j", F.col("re").alias("a_re"), F.col("im").alias("a_im"))
+    a, b = x.named("a"), x.Complex(F.col("a_im") + 1, F.col("a_re"))
+    return c.select("i", "j", *[z.alias(n) for p, v in (("m", a.times(b)), ("q", a.over(b)), ("c", a.conj())) for n, z in x.columns(p, v).items()], a.abs().alias("size"))
+
+
+_register(
+    "complex_functions",
+    _complex,
+    "SELECT i, j, re * (im + 1) - im * re AS m_re, re * re + im * (im + 1) AS m_im, (re * (im + 1) + im * re) / ((im + 1) * (im + 1) + re * re) AS q_re, (im * (im + 1) - re * re) / ((im + 1) * (im + 1) + re * re) AS q_im, re AS c_re, -im AS c_im, sqrt(re * re + im * im) AS size FROM {coo}",
+    "m_re m_im q_re q_im c_re c_im size",
+)
+
+
+def _vector(r: Roles) -> DataFrame:
+    return r.coo.groupBy("i").agg((F.sum("re") / 1000).alias("re"), (F.sum("im") / 100).alias("im"))
+
+
+_VEC = "vec AS (SELECT i, sum(re) / 1000 AS re, sum(im) / 100 AS im FROM {coo} GROUP BY i)"
+_register("element_exp", lambda r: coo.element_map(_vector(r), "exp"), f"{_VEC}\nFINALLY SELECT i, exp(re) * cos(im) AS re, exp(re) * sin(im) AS im FROM vec", "re im")
+_register("element_abs", lambda r: coo.element_map(_vector(r), "abs"), f"{_VEC}\nFINALLY SELECT i, sqrt(re * re + im * im) AS re, 0e0 AS im FROM vec", "re im")
+_register("element_reciprocal", lambda r: coo.element_map(_vector(r), "reciprocal"), f"{_VEC}\nFINALLY SELECT i, re / (re * re + im * im) AS re, -im / (re * re + im * im) AS im FROM vec", "re im")
+_register("element_conj", lambda r: coo.element_map(_vector(r), "conj"), f"{_VEC}\nFINALLY SELECT i, re, -im AS im FROM vec", "re im")
+
+# --- keyed attachment -----------------------------------------------------------------------------------------------
+
+_register("attach_to_bus", lambda r: keyed.attach_to_bus(r.events.select("event_id", F.col("user_id").alias("bus_id"), "value"), r.bus).select("event_id", "bus_id", "value", "name", "area"), "SELECT event_id, bus_id, value, name, area FROM {events} JOIN {bus} ON bus_id = user_id")
+
+
+def _pairs(r: Roles) -> DataFrame:
+    return r.lineitem.join(r.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_suppkey").alias("from_bus"), (F.col("o_custkey") % 200).alias("to_bus")).agg(F.sum("l_quantity").alias("value"))
+
+
+_register(
+    "attach_to_branch",
+    lambda r: keyed.attach_to_branch(_pairs(r), r.circuit.where("ckt = '4'").select("from_bus", "to_bus", "rate_a")),
+    """val AS (SELECT l_suppkey AS f, o_custkey % 200 AS t, sum(l_quantity) AS value FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey GROUP BY 1, 2), br AS (SELECT from_bus, to_bus, rate_a FROM {circuit} WHERE ckt = '4'),
+direct AS (SELECT from_bus, to_bus, value, rate_a, FALSE AS swapped FROM val JOIN br ON f = from_bus AND t = to_bus)
+FINALLY SELECT * FROM direct UNION ALL SELECT from_bus, to_bus, value, rate_a, TRUE FROM val JOIN br ON t = from_bus AND f = to_bus WHERE NOT EXISTS (SELECT 1 FROM br x WHERE x.from_bus = f AND x.to_bus = t)""",
+    "value rate_a",
+)
+_register("dense_index", lambda r: keyed.dense_index(r.bus.where("bus_id % 3 <> 1").select("bus_id"), "bus_id"), "SELECT bus_id, row_number() OVER (ORDER BY bus_id) - 1 AS dense FROM {bus} WHERE bus_id % 3 <> 1")
+_register(
+    "neighbors",
+    lambda r: keyed.neighbors(r.sparse_circuit).withColumn("buses", F.array_join(F.col("buses").cast("array<string>"), ",")),
+    "ends AS (SELECT from_bus AS bus_id, to_bus AS other FROM {sparse_circuit} UNION ALL SELECT to_bus, from_bus FROM {sparse_circuit}), one AS (SELECT DISTINCT * FROM ends)\nFINALLY SELECT n.bus_id, n.circuits, b.buses FROM (SELECT bus_id, count(*) AS circuits FROM ends GROUP BY bus_id) AS n JOIN (SELECT bus_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS buses FROM one GROUP BY bus_id) AS b ON b.bus_id = n.bus_id",
+)
+_register(
+    "apply_overrides",
+    lambda r: keyed.apply_overrides(r.generator.select("bus_id", "gen_id", "pg", "status"), r.orders.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("bus_id"), (F.col("o_orderkey") % 9).cast("string").alias("gen_id"), F.col("o_totalprice").alias("pg"), F.col("o_orderkey").alias("seq")), ["bus_id", "gen_id"]),
+    """SELECT g.bus_id, g.gen_id, coalesce(o.pg, g.pg) AS pg, g.status FROM {generator} g LEFT JOIN (SELECT o_custkey AS bus_id, CAST(o_orderkey % 9 AS VARCHAR) AS gen_id, arg_max(o_totalprice, o_orderkey) AS pg FROM {orders} WHERE o_orderkey % 5 = 0 GROUP BY 1, 2) AS o
+ ON o.bus_id = g.bus_id AND o.gen_id = g.gen_id""",
+    "pg",
+)
+_SETPOINTS = "SELECT o_custkey AS bus_id, CAST(o_orderkey % 9 AS VARCHAR) AS gen_id, CAST(o_orderkey % 4 AS INT) AS scenario_idx, sum(CASE WHEN o_orderstatus = 'F' THEN 0e0 ELSE o_totalprice END) / 1000 AS value FROM {orders} GROUP BY 1, 2, 3"
+_register(
+    "apply_setpoints",
+    lambda r: keyed.apply_setpoints(
+        r.generator.select("bus_id", "gen_id", "pg", "status"),
+        r.orders.groupBy(F.col("o_custkey").alias("bus_id"), (F.col("o_orderkey") % 9).cast("string").alias("gen_id"), (F.col("o_orderkey") % 4).cast("int").alias("scenario_idx")).agg((F.sum(F.when(F.col("o_orderstatus") == "F", 0.0).otherwise(F.col("o_totalprice"))) / 1000).alias("value")),
+    ),
+    f"SELECT g.bus_id, g.gen_id, s.scenario_idx, s.value AS pg, CAST(CASE WHEN s.value = 0 THEN 0 ELSE 1 END AS INT) AS status FROM {{generator}} g JOIN ({_SETPOINTS}) AS s ON s.bus_id = g.bus_id AND s.gen_id = g.gen_id",
+    "pg",
+)
+_register(
+    "apply_scenarios",
+    lambda r: keyed.apply_scenarios(r.circuit.select("from_bus", "to_bus", "ckt", "status"), r.scenario).groupBy("event_idx", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("from_bus") * 7 + F.col("to_bus")).alias("mark")),
+    "SELECT s.event_idx, CAST(CASE WHEN s.from_bus = c.from_bus AND s.to_bus = c.to_bus AND s.ckt = c.ckt THEN 0 ELSE status END AS INT) AS status, count(*) AS n, CAST(sum(c.from_bus * 7 + c.to_bus) AS BIGINT) AS mark FROM {circuit} c CROSS JOIN {scenario} s GROUP BY 1, 2",
+)
+_register(
+    "elements_not_found",
+    lambda r: keyed.elements_not_found(r.circuit, _elements(r).withColumn("to_bus", F.when(F.col("pos") == 2, F.col("to_bus") + 1).otherwise(F.col("to_bus")))).select("event_idx", "from_bus", "to_bus", "ckt"),
+    f"{_ELEMENT_SQL}, moved AS (SELECT event_idx, from_bus, CASE WHEN pos = 2 THEN to_bus + 1 ELSE to_bus END AS to_bus, ckt FROM el)\nFINALLY SELECT m.* FROM moved m WHERE NOT EXISTS (SELECT 1 FROM {{circuit}} c WHERE c.from_bus = m.from_bus AND c.to_bus = m.to_bus AND c.ckt = m.ckt)",
+)
+_register(
+    "lookup_names",
+    lambda r: keyed.lookup_names(r.bus.select("bus_id", "area", "zone", "owner"), r.area, r.zone, r.owner),
+    "SELECT b.bus_id, b.area, b.zone, b.owner, a.name AS area_name, coalesce(z.name, '') AS zone_name, trim(o.name, '''') AS owner_name FROM {bus} b LEFT JOIN {area} a ON a.number = area LEFT JOIN {zone} z ON z.number = zone LEFT JOIN {owner} o ON o.number = owner",
+)
+_register(
+    "first_writer_dedup",
+    lambda r: keyed.first_writer_dedup(r.orders.select(F.col("o_custkey").alias("bus_id"), F.col("o_orderkey").alias("part"), "o_orderstatus", "o_totalprice"), "bus_id", "part"),
+    "SELECT o_custkey AS bus_id, min(o_orderkey) AS part, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM {orders} GROUP BY 1",
+)
+_register("indexed_store", lambda r: keyed.indexed_store(r.events.select((F.col("user_id") * 3 % 101).alias("idx"), "value", F.col("event_id").alias("seq"))), "SELECT user_id * 3 % 101 AS idx, arg_max(value, event_id) AS value FROM {events} GROUP BY 1")
+_register(
+    "merge_partial_records",
+    lambda r: keyed.merge_partial_records(
+        [r.generator.select("bus_id", F.col("gen_id").alias("tag"), "pg", "qmax"), r.load.select("bus_id", F.col("load_id").alias("tag"), "pl"), r.shunt.select("bus_id", F.col("shunt_id").alias("tag"), F.col("gl").alias("pg"))], ["bus_id", "tag"]
+    ),
+    "SELECT bus_id, tag, coalesce(max(pg2), max(pg1)) AS pg, max(qmax) AS qmax, max(pl) AS pl FROM (SELECT bus_id, gen_id AS tag, pg AS pg1, NULL AS pg2, qmax, NULL AS pl FROM {generator} UNION ALL SELECT bus_id, load_id, NULL, NULL, NULL, pl FROM {load} UNION ALL SELECT bus_id, shunt_id, NULL, gl, NULL, NULL FROM {shunt}) AS u GROUP BY 1, 2",
+    "pg qmax pl",
+)
+
+# --- topology -------------------------------------------------------------------------------------------------------
+
+_register("lone_buses", lambda r: topology.lone_buses(r.bus, r.sparse_circuit).select("bus_id"), "SELECT bus_id FROM {bus} b WHERE type <> 4 AND NOT EXISTS (SELECT 1 FROM {sparse_circuit} c WHERE status = 1 AND (c.from_bus = b.bus_id OR c.to_bus = b.bus_id))")
+_ISLANDS = """live AS (SELECT bus_id FROM {bus} WHERE type <> 4), onn AS (SELECT from_bus AS u, to_bus AS v FROM {sparse_circuit} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM live) AND to_bus IN (SELECT bus_id FROM live)),
+e AS (SELECT u, v FROM onn UNION SELECT v, u FROM onn), walk(bus_id, seen) AS (SELECT bus_id, bus_id FROM live UNION SELECT e.v, walk.seen FROM walk JOIN e ON e.u = walk.bus_id),
+isl AS (SELECT bus_id, min(seen) AS island FROM walk GROUP BY bus_id), siz AS (SELECT island, count(*) AS n_buses FROM isl GROUP BY island)"""
+_register(
+    "islands",
+    lambda r: topology.islands(r.bus, r.sparse_circuit),
+    f"{_ISLANDS}\nFINALLY SELECT bus_id, isl.island, n_buses, isl.island = (SELECT island FROM siz ORDER BY n_buses DESC, island LIMIT 1) AS main FROM isl JOIN siz ON siz.island = isl.island",
+)
+_register(
+    "islands_by_scenario",
+    lambda r: topology.islands(r.bus, keyed.apply_scenarios(r.sparse_circuit, r.sparse_circuit.orderBy("from_bus", "to_bus").limit(5).withColumn("event_idx", F.row_number().over(Window.orderBy("from_bus", "to_bus"))).select("event_idx", "from_bus", "to_bus", "ckt"))).groupBy("event_idx").agg(F.countDistinct("island").alias("islands"), F.max("n_buses").alias("largest")),
+    """live AS (SELECT bus_id FROM {bus} WHERE type <> 4), five AS (SELECT CAST(row_number() OVER (ORDER BY from_bus, to_bus) AS INT) AS event_idx, from_bus, to_bus FROM (SELECT * FROM {sparse_circuit} ORDER BY from_bus, to_bus LIMIT 5) AS h),
+onn AS (SELECT event_idx, c.from_bus AS u, c.to_bus AS v FROM {sparse_circuit} c CROSS JOIN five f WHERE status = 1 AND NOT (c.from_bus = f.from_bus AND c.to_bus = f.to_bus) AND c.from_bus IN (SELECT bus_id FROM live) AND c.to_bus IN (SELECT bus_id FROM live)),
+e AS (SELECT event_idx, u, v FROM onn UNION SELECT event_idx, v, u FROM onn), walk(event_idx, bus_id, seen) AS (SELECT event_idx, bus_id, bus_id FROM live CROSS JOIN five UNION SELECT e.event_idx, e.v, walk.seen FROM walk JOIN e ON e.u = walk.bus_id AND e.event_idx = walk.event_idx),
+isl AS (SELECT event_idx, bus_id, min(seen) AS island FROM walk GROUP BY 1, 2), siz AS (SELECT event_idx, island, count(*) AS n FROM isl GROUP BY 1, 2)
+FINALLY SELECT event_idx, count(*) AS islands, max(n) AS largest FROM siz GROUP BY 1""",
+)
+_SCREEN = """onn AS (SELECT from_bus, to_bus, ckt FROM {sparse_circuit} WHERE status = 1), e AS (SELECT from_bus AS u, to_bus AS v, from_bus AS a, to_bus AS b, ckt FROM onn UNION ALL SELECT to_bus, from_bus, from_bus, to_bus, ckt FROM onn),
+comp(bus_id, seen) AS (SELECT bus_id, bus_id FROM {bus} UNION SELECT e.v, comp.seen FROM comp JOIN e ON e.u = comp.bus_id), base AS (SELECT count(*) AS n FROM (SELECT bus_id, min(seen) AS s FROM comp GROUP BY 1) AS c WHERE s = bus_id),
+reach(a, b, ckt, pos) AS (SELECT from_bus, to_bus, ckt, from_bus FROM onn UNION SELECT r.a, r.b, r.ckt, e.v FROM reach r JOIN e ON e.u = r.pos AND NOT (e.a = r.a AND e.b = r.b AND e.ckt = r.ckt)),
+ok AS (SELECT DISTINCT a, b, ckt FROM reach WHERE pos = b)"""
+_register(
+    "screen_outages",
+    lambda r: topology.screen_outages(r.bus, r.sparse_circuit),
+    f"{_SCREEN}\nFINALLY SELECT from_bus, to_bus, onn.ckt, ok.a IS NULL AS bridge, (SELECT n FROM base) + CASE WHEN ok.a IS NULL THEN 1 ELSE 0 END AS components FROM onn LEFT JOIN ok ON ok.a = from_bus AND ok.b = to_bus AND ok.ckt = onn.ckt",
+)
+_DEGREE = "deg AS (SELECT bus_id FROM (SELECT from_bus AS bus_id FROM {sparse_circuit} WHERE status = 1 UNION ALL SELECT to_bus FROM {sparse_circuit} WHERE status = 1) AS d GROUP BY 1 HAVING count(*) >= 2)"
+_register("outage_candidates_by_degree", lambda r: topology.outage_candidates_by_degree(r.sparse_circuit).select("from_bus", "to_bus", "ckt"), f"{_DEGREE}\nFINALLY SELECT from_bus, to_bus, ckt FROM {{sparse_circuit}} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM deg) AND to_bus IN (SELECT bus_id FROM deg)")
+_register(
+    "screen_n1",
+    lambda r: scenarios.screen_n1(r.sparse_circuit, r.bus).select("from_bus", "to_bus", "ckt"),
+    f"{_SCREEN}, {_DEGREE}\nFINALLY SELECT from_bus, to_bus, onn.ckt FROM onn JOIN ok ON ok.a = from_bus AND ok.b = to_bus AND ok.ckt = onn.ckt WHERE from_bus IN (SELECT bus_id FROM deg) AND to_bus IN (SELECT bus_id FROM deg)",
+)
+_register(
+    "transfer_slack",
+    lambda r: topology.transfer_slack(r.bus, r.generator.where("status = 1").withColumn("event_idx", (F.col("bus_id") % 6).cast("int"))),
+    "cap AS (SELECT CAST(g.bus_id % 6 AS INT) AS event_idx, g.bus_id, b.type, sum(pmax) AS pmax FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 AND type <> 4 GROUP BY 1, 2, 3)\nFINALLY SELECT event_idx, coalesce(min(CASE WHEN type = 3 THEN bus_id END), (SELECT c.bus_id FROM cap c WHERE c.event_idx = cap.event_idx AND c.pmax > 0 ORDER BY round(c.pmax, 6) DESC, c.bus_id LIMIT 1)) AS slack_bus, min(CASE WHEN type = 3 THEN bus_id END) IS NULL AS transferred FROM cap GROUP BY event_idx",
+)
+_register(
+    "tie_lines",
+    lambda r: topology.tie_lines(r.circuit, r.bus, 1, 0, 2, 3).select("from_bus", "to_bus", "ckt"),
+    "SELECT from_bus, to_bus, ckt FROM {circuit} JOIN {bus} a ON a.bus_id = from_bus JOIN {bus} b ON b.bus_id = to_bus WHERE (a.area = 1 AND b.area = 2 AND b.zone = 3) OR (b.area = 1 AND a.area = 2 AND a.zone = 3)",
+)
+
+# --- scenarios ------------------------------------------------------------------------------------------------------
+
+_register("n1_branches", lambda r: scenarios.n1_branches(r.circuit).select("scenario", "type"), "SELECT 'BR_' || from_bus || '_' || to_bus || '_' || ckt AS scenario, 'Line' AS type FROM {circuit}")
+_register("n1_generators", lambda r: scenarios.n1_generators(r.generator).select("scenario", "type"), "SELECT 'GN_' || bus_id || '_' || gen_id AS scenario, 'Generator' AS type FROM {generator}")
+_register(
+    "n1_in_area",
+    lambda r: scenarios.n1_in_area(r.circuit, r.generator, r.bus, 1),
+    """ins AS (SELECT bus_id FROM {bus} WHERE area = 1)
+FINALLY SELECT 'LineCTG' || row_number() OVER (ORDER BY from_bus, to_bus, ckt) AS name, from_bus AS bus1, to_bus AS bus2, ckt AS tag FROM {circuit} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM ins) AND to_bus IN (SELECT bus_id FROM ins)
+ UNION ALL SELECT 'GenCTG' || row_number() OVER (ORDER BY bus_id, gen_id), bus_id, NULL, gen_id FROM {generator} WHERE status = 1 AND bus_id IN (SELECT bus_id FROM ins)""",
+)
+
+
+def _singles(r: Roles) -> DataFrame:
+    a = r.generator.where("bus_id % 101 = 3").select((F.col("bus_id") * 20 + F.col("gen_id").cast("int")).alias("idx"), F.lit("Generator").alias("type"))
+    return a.union(r.sparse_circuit.where("from_bus % 17 = 5").select((F.col("from_bus") * 100000 + F.col("to_bus") + 1).alias("idx"), F.lit("Line")))
+
+
+_SINGLES = "si AS (SELECT bus_id * 20 + CAST(gen_id AS INT) AS idx, 'Generator' AS type FROM {generator} WHERE bus_id % 101 = 3 UNION ALL SELECT from_bus * 100000 + to_bus + 1, 'Line' FROM {sparse_circuit} WHERE from_bus % 17 = 5)"
+_register(
+    "n2_pairs",
+    lambda r: scenarios.n2_pairs(_singles(r), {"GG": None, "GL": 40, "LL": 25}),
+    f"""{_SINGLES}, gl AS (SELECT 'GL' AS kind, a.idx AS a, b.idx AS b FROM si a CROSS JOIN si b WHERE a.type = 'Generator' AND b.type = 'Line' ORDER BY 2, 3 LIMIT 40), ll AS (SELECT 'LL' AS kind, a.idx AS a, b.idx AS b FROM si a JOIN si b ON a.idx < b.idx WHERE a.type = 'Line' AND b.type = 'Line' ORDER BY 2, 3 LIMIT 25)
+FINALLY SELECT 'GG' AS kind, a.idx AS a, b.idx AS b FROM si a JOIN si b ON a.idx < b.idx WHERE a.type = 'Generator' AND b.type = 'Generator' UNION ALL SELECT * FROM gl UNION ALL SELECT * FROM ll""",
+)
+_register(
+    "dedup_scenarios",
+    lambda r: scenarios.dedup_scenarios(_elements(r), _elements(r).where("from_bus % 2 = 0").withColumns({"event_idx": -F.col("event_idx"), "pos": 5 - F.col("pos")})).select("event_idx").distinct(),
+    f"{_ELEMENT_SQL}\nFINALLY SELECT DISTINCT event_idx FROM el WHERE from_bus % 2 <> 0",
+)
+_register(
+    "combine_scenarios",
+    lambda r: scenarios.combine(_elements(r).where("from_bus % 3 = 0"), _elements(r).where("from_bus % 2 = 0"))[1],
+    f"{_ELEMENT_SQL}\nFINALLY SELECT count(DISTINCT CASE WHEN from_bus % 3 = 0 THEN event_idx END) AS auto, count(DISTINCT CASE WHEN from_bus % 2 = 0 AND from_bus % 3 <> 0 THEN event_idx END) AS added, count(DISTINCT CASE WHEN from_bus % 6 = 0 THEN event_idx END) AS skipped FROM el",
+)
+_register("task_grid", lambda r: scenarios.task_grid(r.customer.select(F.col("c_custkey").alias("fault")), r.nation.select(F.col("n_nationkey").alias("config")), 25), "SELECT c_custkey * 25 + n_nationkey AS task, c_custkey AS fault, n_nationkey AS config FROM {customer} CROSS JOIN {nation}")
+
+# --- electrical quantities ------------------------------------------------------------------------------------------
+
+_register("branch_admittance", lambda r: electrical.branch_admittance(r.circuit), f"{_ELEMENTS}\nFINALLY SELECT from_bus, to_bus, sum(gft) AS fwd_re, sum(bft) AS fwd_im, sum(gtf) AS rev_re, sum(btf) AS rev_im FROM elements GROUP BY 1, 2", "fwd_re fwd_im rev_re rev_im")
+_SHUNT = """shn AS (SELECT b.bus_id, (coalesce(gl, 0e0)) / 1e2 AS g, (coalesce(bl, 0e0) + coalesce(binit, 0e0)) / 1e2 AS b FROM {bus} b LEFT JOIN (SELECT bus_id, sum(gl) AS gl, sum(bl) AS bl FROM {shunt} WHERE status = 1 GROUP BY 1) AS f ON f.bus_id = b.bus_id
+ LEFT JOIN (SELECT bus_id, sum(binit) AS binit FROM {switched_shunt} WHERE status = 1 GROUP BY 1) AS s ON s.bus_id = b.bus_id)"""
+_YBUS = f"{_ELEMENTS}, {_SHUNT}, ybus AS (SELECT i, j, sum(re) AS re, sum(im) AS im FROM (SELECT from_bus AS i, from_bus AS j, gff AS re, bff AS im FROM elements UNION ALL SELECT from_bus, to_bus, gft, bft FROM elements UNION ALL SELECT to_bus, from_bus, gtf, btf FROM elements UNION ALL SELECT to_bus, to_bus, gtt, btt FROM elements UNION ALL SELECT bus_id, bus_id, g, b FROM shn) AS u GROUP BY 1, 2)"
+_INJECT = f"{_YBUS}, inj AS (SELECT v.event_idx, i AS bus_id, sum(v.v_pu * w.v_pu * (re * cos(radians(v.angle_deg) - radians(w.angle_deg)) + im * sin(radians(v.angle_deg) - radians(w.angle_deg)))) AS p, sum(v.v_pu * w.v_pu * (re * sin(radians(v.angle_deg) - radians(w.angle_deg)) - im * cos(radians(v.angle_deg) - radians(w.angle_deg)))) AS q FROM ybus JOIN {{voltage}} v ON v.bus_id = i JOIN {{voltage}} w ON w.bus_id = j AND w.event_idx = v.event_idx GROUP BY 1, 2)"
+_SCHED = "sch AS (SELECT coalesce(g.bus_id, d.bus_id) AS bus_id, (coalesce(pg, 0e0) - coalesce(pl, 0e0)) / 1e2 AS p, (coalesce(qg, 0e0) - coalesce(ql, 0e0)) / 1e2 AS q FROM (SELECT bus_id, sum(pg) AS pg, sum(qg) AS qg FROM {generator} WHERE status = 1 GROUP BY 1) AS g FULL JOIN (SELECT bus_id, sum(pl) AS pl, sum(ql) AS ql FROM {load} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = g.bus_id)"
+
+
+def _shunts(r: Roles) -> DataFrame:
+    return electrical.bus_shunt(r.bus, r.shunt, r.switched_shunt)
+
+
+def _injection(r: Roles) -> DataFrame:
+    return electrical.bus_injection(electrical.ybus_coo(r.circuit, _shunts(r)), r.voltage)
+
+
+_register("bus_shunt", _shunts, f"{_SHUNT}\nFINALLY SELECT * FROM shn", "g b")
+_register("ybus_coo", lambda r: electrical.ybus_coo(r.circuit, _shunts(r)), f"{_YBUS}\nFINALLY SELECT * FROM ybus", "re im")
+_register("line_flow", lambda r: _flow(r).select("event_idx", "from_bus", "to_bus", "ckt", "p_from", "q_from", "p_to", "q_to"), f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, p_from, q_from, p_to, q_to FROM flow", "p_from q_from p_to q_to")
+_register("bus_injection", _injection, f"{_INJECT}\nFINALLY SELECT * FROM inj", "p q")
+_register("scheduled_injection", lambda r: electrical.scheduled_injection(r.generator, r.load), f"{_SCHED}\nFINALLY SELECT * FROM sch", "p q")
+_ZIP = "zl AS (SELECT event_idx, v.bus_id, ip * v_pu + yp * v_pu * v_pu AS p, iq * v_pu - yq * v_pu * v_pu AS q FROM {voltage} v JOIN (SELECT bus_id, sum(ip) AS ip, sum(iq) AS iq, sum(yp) AS yp, sum(yq) AS yq FROM {load} WHERE status = 1 GROUP BY 1) AS s ON s.bus_id = v.bus_id)"
+_register("zip_load", lambda r: electrical.zip_load(r.load, r.voltage), f"{_ZIP}\nFINALLY SELECT * FROM zl", "p q")
+_OUTPUT = f"{_INJECT}, {_ZIP}, outp AS (SELECT inj.event_idx, inj.bus_id, CASE WHEN type = 3 THEN inj.p * 1e2 + coalesce(pl, 0e0) + coalesce(zl.p, 0e0) ELSE coalesce(pg, 0e0) END AS p FROM inj JOIN {{bus}} b ON b.bus_id = inj.bus_id LEFT JOIN (SELECT bus_id, sum(pg) AS pg FROM {{generator}} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = inj.bus_id LEFT JOIN (SELECT bus_id, sum(pl) AS pl FROM {{load}} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = inj.bus_id LEFT JOIN zl ON zl.bus_id = inj.bus_id AND zl.event_idx = inj.event_idx)"
+
+
+def _output(r: Roles) -> DataFrame:
+    return electrical.generator_output(r.bus, r.generator, r.load, _injection(r), r.voltage)
+
+
+_register("generator_output", _output, f"{_OUTPUT}\nFINALLY SELECT * FROM outp", "p")
+_register(
+    "bus_result",
+    lambda r: electrical.bus_result(r.bus, r.generator, r.load, r.voltage),
+    """SELECT event_idx, v.bus_id, v_pu, angle_deg, coalesce(p_gen, 0e0) AS p_gen, coalesce(q_gen, 0e0) AS q_gen, coalesce(p_load, 0e0) AS p_load, coalesce(q_load, 0e0) AS q_load, coalesce(p_gen, 0e0) - coalesce(p_load, 0e0) AS p_net, coalesce(q_gen, 0e0) - coalesce(q_load, 0e0) AS q_net
+ FROM {voltage} v LEFT JOIN (SELECT bus_id, sum(pg) AS p_gen, sum(qg) AS q_gen FROM {generator} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = v.bus_id LEFT JOIN (SELECT bus_id, sum(pl) AS p_load, sum(ql) AS q_load FROM {load} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = v.bus_id""",
+    "v_pu angle_deg p_gen q_gen p_load q_load p_net q_net",
+)
+_register(
+    "branch_result",
+    lambda r: electrical.branch_result(_flow(r).where("event_idx < 3")),
+    f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, p_from, q_from, p_to, q_to, sqrt(p_from * p_from + q_from * q_from) AS s_from, sqrt(p_to * p_to + q_to * q_to) AS s_to, p_from + p_to AS p_loss, q_from + q_to AS q_loss, CASE WHEN rate_a > 0 THEN greatest(sqrt(p_from * p_from + q_from * q_from), sqrt(p_to * p_to + q_to * q_to)) / rate_a * 100 ELSE 0e0 END AS loading FROM flow WHERE status = 1 AND event_idx < 3",
+    "p_from q_from p_to q_to s_from s_to p_loss q_loss loading",
+)
+_register("generator_result", lambda r: electrical.generator_result(r.generator), "SELECT bus_id, gen_id, status, CASE WHEN status = 1 THEN pg ELSE 0e0 END AS pg, CASE WHEN status = 1 AND pmax > pmin THEN (pg - pmin) / (pmax - pmin) * 100 ELSE 0e0 END AS share FROM {generator}", "pg share")
+_register(
+    "mismatch_summary",
+    lambda r: electrical.mismatch_summary(electrical.scheduled_injection(r.generator, r.load), _injection(r)),
+    f"""{_INJECT}, {_SCHED}, mm AS (SELECT event_idx, inj.bus_id, round(abs(inj.p - sch.p), 6) AS dp, round(abs(inj.q - sch.q), 6) AS dq FROM inj JOIN sch ON sch.bus_id = inj.bus_id), mp AS (SELECT *, row_number() OVER (PARTITION BY event_idx ORDER BY dp DESC, bus_id) AS n, row_number() OVER (PARTITION BY event_idx ORDER BY dq DESC, bus_id) AS m FROM mm)
+FINALLY SELECT event_idx, max(CASE WHEN n = 1 THEN bus_id END) AS max_p_bus, max(dp) AS max_p, max(CASE WHEN m = 1 THEN bus_id END) AS max_q_bus, max(dq) AS max_q FROM mp GROUP BY event_idx""",
+    "max_p max_q",
+)
+_register(
+    "scale_load",
+    lambda r: electrical.scale_load(r.load, r.bus, 2, 0, 1.25).select("bus_id", "load_id", "pl", "ql", "ip", "yq"),
+    "SELECT l.bus_id, load_id, pl * f AS pl, ql * f AS ql, ip * f AS ip, yq * f AS yq FROM (SELECT *, CASE WHEN status = 1 AND bus_id IN (SELECT bus_id FROM {bus} WHERE area = 2) THEN 125e-2 ELSE 1e0 END AS f FROM {load}) AS l",
+    "pl ql ip yq",
+)
+_register(
+    "scale_generation",
+    lambda r: electrical.scale_generation(electrical.scale_generation(r.generator, r.bus, 2, 0, 0.4), r.bus, 3, 8, -0.5).select("bus_id", "gen_id", "pg"),
+    "SELECT g.bus_id, gen_id, CASE WHEN status = 1 AND area = 2 THEN pg + 4e-1 * (pmax - pg) WHEN status = 1 AND area = 3 AND zone = 8 THEN pg - 5e-1 * (pg - pmin) ELSE pg END AS pg FROM {generator} g LEFT JOIN {bus} b ON b.bus_id = g.bus_id",
+    "pg",
+)
+
+
+def _ratings(r: Roles) -> DataFrame:
+    g = stats.generator_margins(r.generator, r.bus).where("zone IS NULL").select("area", F.col("pg").alias("gen"), "pmin", "pmax")
+    d = stats.area_load(r.load, r.bus).where("zone IS NULL").select("area", F.col("pl").alias("load_total"))
+    return electrical.rating_to_scale(g.join(d, "area").withColumn("rating", F.explode(F.array(*[F.lit(v) for v in (0.5, 0.95, 1.0, 1.05, 2.0)])))).select("area", "rating", "load_rating", "scale", "feasible")
+
+
+_register(
+    "rating_to_scale",
+    _ratings,
+    """g AS (SELECT area, sum(pg) AS gen, sum(pmin) AS pmin, sum(pmax) AS pmax FROM {generator} x JOIN {bus} b ON b.bus_id = x.bus_id WHERE status = 1 GROUP BY 1), d AS (SELECT area, sum(pl) AS t FROM {load} x JOIN {bus} b ON b.bus_id = x.bus_id WHERE status = 1 GROUP BY 1),
+k AS (SELECT g.*, t, rating, (rating - 1) * t AS ex FROM g JOIN d ON d.area = g.area CROSS JOIN (VALUES (5e-1), (95e-2), (1e0), (105e-2), (2e0)) AS v(rating)), u AS (SELECT *, greatest(least(ex, pmax - gen), pmin - gen) AS used FROM k)
+FINALLY SELECT area, rating, 1 + used / t AS load_rating, CASE WHEN used > 0 THEN used / (pmax - gen) WHEN used < 0 THEN used / (gen - pmin) ELSE 0e0 END AS scale, ex <= pmax - gen AND ex >= pmin - gen AS feasible FROM u""",
+    "load_rating scale",
+)
+_register(
+    "allocate_reactive",
+    lambda r: electrical.allocate_reactive(r.generator.withColumn("rmpct", F.lit(0.0)), r.generator.groupBy("bus_id").agg((F.sum(F.when(F.col("status") == 1, F.col("qmax"))) * F.when(F.col("bus_id") % 3 == 0, 1.5).when(F.col("bus_id") % 3 == 1, -2.0).otherwise(0.5)).alias("q_required"))),
+    """SELECT g.bus_id, gen_id, CASE WHEN req > top + 1e-1 THEN qmax WHEN req < low - 1e-1 THEN qmin ELSE greatest(least(req * qmax / top, qmax), qmin) END AS q, req > top + 1e-1 OR req < low - 1e-1 OR req * qmax / top > qmax OR req * qmax / top < qmin AS clamped, req > top + 1e-1 OR req < low - 1e-1 AS to_pq
+ FROM {generator} g JOIN (SELECT bus_id, sum(qmax) AS top, sum(qmin) AS low, sum(qmax) * CASE WHEN bus_id % 3 = 0 THEN 15e-1 WHEN bus_id % 3 = 1 THEN -2e0 ELSE 5e-1 END AS req FROM {generator} WHERE status = 1 GROUP BY bus_id) AS t ON t.bus_id = g.bus_id WHERE status = 1""",
+    "q",
+)
+
+# --- limits ---------------------------------------------------------------------------------------------------------
+
+_register(
+    "monitor_filter",
+    lambda r: limits.monitor_filter(_flat(r), r.circuit.where("(from_bus + to_bus) % 9 = 0").select("from_bus", "to_bus", "ckt")).select("event_idx", "from_bus", "to_bus", "ckt", "loading"),
+    f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, loading FROM flat WHERE (from_bus + to_bus) % 9 = 0",
+    "loading",
+)
+_register(
+    "area_kv_filter",
+    lambda r: limits.area_kv_filter(_flat(r).where("event_idx = 0"), r.bus, [0, 3], 69.0, 138.0).select("from_bus", "to_bus", "ckt", "mva"),
+    f"{_FLAT}\nFINALLY SELECT from_bus, to_bus, ckt, mva FROM flat JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE event_idx = 0 AND (a.area IN (0, 3) OR b.area IN (0, 3)) AND greatest(a.base_kv, b.base_kv) BETWEEN 69 AND 138",
+    "mva",
+)
+_wrap = lambda d: f"({d}) + 180e0 - 360e0 * floor((({d}) + 180e0) / 360e0) - 180e0"
+_register(
+    "delta_rows",
+    lambda r: limits.delta_rows(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0")).where("event_idx < 4").select("event_idx", "from_bus", "to_bus", "ckt", "d_p", "d_loading", "d_ang_from", "d_ang_to", "base_p", "viol"),
+    f"{_FLAT}\nFINALLY SELECT c.event_idx, c.from_bus, c.to_bus, c.ckt, c.p - b.p AS d_p, c.loading - b.loading AS d_loading, {_wrap('c.ang_from_deg - b.ang_from_deg')} AS d_ang_from, {_wrap('c.ang_to_deg - b.ang_to_deg')} AS d_ang_to, b.p AS base_p, c.viol FROM flat c JOIN flat b ON b.event_idx = 0 AND b.from_bus = c.from_bus AND b.to_bus = c.to_bus AND b.ckt = c.ckt WHERE c.event_idx BETWEEN 1 AND 3 AND (c.from_bus + c.to_bus) % 5 <> 0",
+    "d_p d_loading d_ang_from d_ang_to base_p",
+)
+_register("delta_skipped", lambda r: limits.delta_skipped(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0")), f"{_FLAT}\nFINALLY SELECT event_idx, count(*) AS skipped FROM flat WHERE event_idx > 0 AND (from_bus + to_bus) % 5 = 0 GROUP BY 1")
+_register("performance_index", lambda r: limits.performance_index(_flow(r)), f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, CASE WHEN rate_a > 0 THEN (p_from * p_from + q_from * q_from) / (rate_a * rate_a) ELSE 0e0 END AS pi, CASE WHEN rate_a > 0 THEN sqrt(p_from * p_from + q_from * q_from) / rate_a > 1 ELSE FALSE END AS viol FROM flow", "pi")
+_VV = "vv AS (SELECT event_idx, v.bus_id, v_pu FROM {voltage} v WHERE v_pu > 106e-2 OR v_pu < 93e-2)"
+
+
+def _voltage_bad(r: Roles) -> DataFrame:
+    return limits.voltage_violations(r.voltage, 0.93, 1.06).select("event_idx", "bus_id", "v_pu")
+
+
+_register("voltage_violations", lambda r: limits.voltage_violations(r.voltage, 0.93, 1.06, r.bus.where("bus_id % 4 = 1"), r.bus.where("area = 2")).select("event_idx", "bus_id", "v_pu"), f"{_VV}\nFINALLY SELECT * FROM vv WHERE bus_id % 4 <> 1 AND bus_id IN (SELECT bus_id FROM {{bus}} WHERE area = 2)", "v_pu")
+_register("ignore_baseline", lambda r: limits.ignore_baseline(_voltage_bad(r), ["bus_id"]), f"{_VV}\nFINALLY SELECT * FROM vv WHERE event_idx <> 0 AND bus_id NOT IN (SELECT bus_id FROM vv WHERE event_idx = 0)", "v_pu")
+_OVER = f"{_ELEMENTS}, {_FLOW}, ov AS (SELECT event_idx, from_bus, to_bus, ckt, s, rate FROM (SELECT *, sqrt(p_from * p_from + q_from * q_from) AS s, CASE WHEN rate_b > 0 THEN rate_b ELSE rate_a END AS rate FROM flow WHERE status = 1) AS f WHERE rate > 0 AND s > rate)"
+
+
+def _overloads(r: Roles) -> DataFrame:
+    return limits.overload_violations(_flow(r).where("event_idx < 3"), True, r.circuit.where("ckt = '5'").select("from_bus", "to_bus", "ckt"))
+
+
+_register("overload_violations", _overloads, f"{_OVER}\nFINALLY SELECT * FROM ov WHERE ckt <> '5' AND event_idx < 3", "s rate")
+_register(
+    "watched_line_verdict",
+    lambda r: limits.watched_line_verdict(r.circuit.where("from_bus % 11 = 2").select(F.col("to_bus").alias("from_bus"), F.col("from_bus").alias("to_bus"), "ckt"), _flat(r)),
+    f"{_FLAT}, ver AS (SELECT least(from_bus, to_bus) AS u, greatest(from_bus, to_bus) AS v, ckt, max(viol) AS viol FROM flat GROUP BY 1, 2, 3)\nFINALLY SELECT c.to_bus AS from_bus, c.from_bus AS to_bus, c.ckt, coalesce(viol, 0) = 0 AS secure FROM {{circuit}} c LEFT JOIN ver ON u = least(c.from_bus, c.to_bus) AND v = greatest(c.from_bus, c.to_bus) AND ver.ckt = c.ckt WHERE c.from_bus % 11 = 2",
+)
+_register(
+    "violation_list",
+    lambda r: limits.violation_list(_voltage_bad(r).where("event_idx < 3"), _overloads(r)),
+    f"{_VV}, {_OVER}\nFINALLY SELECT event_idx, 'bus' AS kind, bus_id AS bus1, NULL AS bus2, NULL AS tag, 'voltage at bus ' || bus_id AS text FROM vv WHERE event_idx < 3 UNION ALL SELECT event_idx, 'branch', from_bus, to_bus, ckt, 'overload of branch ' || from_bus || ' ' || to_bus || ' ' || ckt FROM ov WHERE ckt <> '5' AND event_idx < 3",
+)
+_register(
+    "violation_code",
+    lambda r: r.convergence_a.select("event_idx", limits.violation_code(F.col("iterations") > 6, F.col("converged")).alias("code")),
+    "SELECT event_idx, CAST(CASE WHEN iterations > 6 AND converged THEN 4 WHEN converged THEN 3 WHEN iterations > 6 THEN 2 ELSE 1 END AS INT) AS code FROM {convergence_a}",
+)
+_register(
+    "status_code",
+    lambda r: limits.status_code(r.convergence_a.select("event_idx", F.col("converged").alias("solved"), (F.col("iterations") < 9).alias("slack_ok"), (F.col("event_idx") % 3).alias("n_islands"), (F.col("event_idx") % 5 > 0).alias("elements_found"), (F.col("event_idx") % 7 > 0).alias("has_slack"))).select("event_idx", "status_code"),
+    "SELECT event_idx, CASE WHEN converged AND iterations >= 9 THEN 'SLACK_OVERLOAD' WHEN converged THEN 'OK' WHEN event_idx % 3 > 1 THEN 'ISLANDED' WHEN event_idx % 5 = 0 OR event_idx % 7 = 0 THEN 'NO_SLACK' ELSE 'DIVERGED' END AS status_code FROM {convergence_a}",
+)
+_register(
+    "slack_capacity",
+    lambda r: limits.slack_capacity(_output(r), r.generator, r.bus),
+    f"{_OUTPUT}, cap AS (SELECT outp.*, coalesce(pmax, 0e0) AS pmax FROM outp JOIN {{bus}} b ON b.bus_id = outp.bus_id AND type = 3 LEFT JOIN (SELECT bus_id, sum(pmax) AS pmax FROM {{generator}} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = outp.bus_id)\nFINALLY SELECT event_idx, bus_id, p, pmax, p <= pmax + greatest(1e-2 * pmax, 1e-1) AS ok FROM cap",
+    "p pmax",
+)
+
+
+def _devices(r: Roles) -> DataFrame:
+    low = 0.94 + 0.001 * (F.col("bus_id") % 9)
+    return r.bus.where("bus_id % 4 = 0").select(
+        F.col("bus_id").alias("device"), F.col("bus_id").alias("own_bus"), F.when(F.col("bus_id") % 8 == 0, F.col("bus_id") + 2).otherwise(0).alias("remote_bus"), low.alias("low"),
+        F.when(F.col("bus_id") % 12 == 0, low + 0.001).otherwise(low + 0.1).alias("high"), F.when(F.col("bus_id") % 3 == 0, "shunt").otherwise("tap").alias("kind"), F.lit(0.02).alias("step"), F.lit(-0.01).alias("rmi"), F.lit(0.015).alias("rma"), (F.col("bus_id") % 16 == 0).alias("to_side"),
+    )
+
+
+_register(
+    "deadband_screen",
+    lambda r: limits.deadband_screen(_devices(r), r.voltage.where("event_idx = 0")),
+    """dev AS (SELECT bus_id AS device, CASE WHEN bus_id % 8 = 0 THEN bus_id + 2 ELSE bus_id END AS ctl, 94e-2 + 1e-3 * (bus_id % 9) AS low, CASE WHEN bus_id % 12 = 0 THEN 1e-3 ELSE 1e-1 END AS w FROM {bus} WHERE bus_id % 4 = 0),
+dir AS (SELECT device, event_idx, v_pu, CAST(CASE WHEN v_pu < CASE WHEN w < 2e-3 THEN low + w / 2 - 1e-3 ELSE low END THEN 1 WHEN v_pu > CASE WHEN w < 2e-3 THEN low + w / 2 + 1e-3 ELSE low + w END THEN -1 END AS INT) AS direction FROM dev JOIN {voltage} v ON v.bus_id = ctl AND event_idx = 0)
+FINALLY SELECT device, event_idx, v_pu, direction, CASE WHEN device % 3 <> 0 THEN greatest(least(direction * CASE WHEN device % 16 = 0 THEN -1 ELSE 1 END * 2e-2, 15e-3), -1e-2) END AS step FROM dir WHERE direction IS NOT NULL""",
+    "v_pu step",
+)
+
+
+def _cases(r: Roles) -> DataFrame:
+    return r.convergence_a.where("event_idx < 9").withColumn("event_idx", F.col("event_idx").cast("int"))
+
+
+_register(
+    "scenario_summary",
+    lambda r: limits.scenario_summary(_cases(r), _voltage_bad(r).where("event_idx % 2 = 0"), _overloads(r)),
+    f"{_VV}, {_OVER}\nFINALLY SELECT CAST(event_idx AS INT) AS event_idx, name, type, converged, iterations, event_idx % 2 = 0 AND event_idx IN (SELECT event_idx FROM vv) AS has_voltage_violation, event_idx IN (SELECT event_idx FROM ov WHERE ckt <> '5' AND event_idx < 3) AS has_branch_violation FROM {{convergence_a}} WHERE event_idx < 9",
+)
+
+
+def _outcomes(r: Roles) -> DataFrame:
+    rating = F.explode(F.transform(F.sequence(F.lit(50), F.lit(150)), lambda i: i / 100.0)).alias("rating")
+    return r.bus.where("bus_id % 50 = 7").select(F.col("bus_id").alias("tie"), rating).withColumn("ok", F.col("rating") <= 0.7 + 0.01 * (F.col("tie") % 61))
+
+
+_register(
+    "rating_search",
+    lambda r: limits.rating_search(_outcomes(r)),
+    "t AS (SELECT bus_id AS tie, 70 + bus_id % 61 AS top FROM {bus} WHERE bus_id % 50 = 7)\nFINALLY SELECT tie, (SELECT max(k / 1e2) FROM range(50, 151) AS g(k) WHERE k / 1e2 <= 7e-1 + 1e-2 * (tie % 61)) AS rating FROM t",
+    "rating",
+)
+_register(
+    "scenario_rank",
+    lambda r: limits.worst(_flat(r), ["from_bus"], 2, ("event_idx", "to_bus", "ckt")).select("from_bus", "rank", "event_idx", "to_bus", "ckt", "loading"),
+    f"{_FLAT}\nFINALLY SELECT from_bus, rank, event_idx, to_bus, ckt, loading FROM (SELECT *, CAST(row_number() OVER (PARTITION BY from_bus ORDER BY round(loading, 6) DESC, event_idx, to_bus, ckt) AS INT) AS rank FROM flat) AS k WHERE rank <= 2",
+    "loading",
+)
+
+# --- statistics -----------------------------------------------------------------------------------------------------
+
+_register(
+    "mean_rms",
+    lambda r: stats.mean_rms(r.stat, 1),
+    """k AS (SELECT row_key, count(*) FILTER (WHERE mask >= 1) AS n, avg(value) FILTER (WHERE mask >= 1) AS mean, stddev_samp(value) FILTER (WHERE mask >= 1) AS sd FROM {stat} GROUP BY 1),
+d AS (SELECT s.row_key, sum((s.value - b.value) * (s.value - b.value)) AS sq FROM {stat} s JOIN {stat} b ON b.row_key = s.row_key AND b.scenario_idx = 0 WHERE s.scenario_idx > 0 AND s.mask >= 1 GROUP BY 1)
+FINALLY SELECT k.row_key, n, mean, CASE WHEN n > 1 THEN sd ELSE 0e0 END AS std, CASE WHEN n > 1 AND sq IS NOT NULL THEN sqrt(sq / (n - 1)) WHEN n <= 1 OR EXISTS (SELECT 1 FROM {stat} b WHERE b.row_key = k.row_key AND b.scenario_idx = 0) THEN 0e0 END AS rms FROM k LEFT JOIN d ON d.row_key = k.row_key WHERE n > 0""",
+    "mean std rms",
+)
+_register(
+    "min_max",
+    lambda r: stats.min_max(r.stat, 2),
+    """u AS (SELECT s.*, b.value AS base FROM {stat} s JOIN {stat} b ON b.row_key = s.row_key AND b.scenario_idx = 0), w AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY value, scenario_idx) AS lo, row_number() OVER (PARTITION BY row_key ORDER BY value DESC, scenario_idx) AS hi FROM u WHERE scenario_idx = 0 OR mask >= 2),
+m AS (SELECT row_key, min(base) AS base, min(value) AS mi, max(value) AS ma, max(CASE WHEN lo = 1 THEN scenario_idx END) AS argmin, max(CASE WHEN hi = 1 THEN scenario_idx END) AS argmax FROM w GROUP BY 1)
+FINALLY SELECT m.row_key, base, mi AS "min", ma AS "max", mi - base AS d_min, ma - base AS d_max, min_bound, max_bound, argmin, argmax FROM m JOIN (SELECT row_key, min(min_bound) AS min_bound, max(max_bound) AS max_bound FROM {stat} GROUP BY 1) AS b ON b.row_key = m.row_key""",
+    "base d_min d_max min_bound max_bound",
+)
+_register("mask_count", lambda r: stats.mask_count(r.stat, 1), "SELECT row_key, count(*) FILTER (WHERE mask = 1) AS n FROM {stat} GROUP BY 1")
+_register("column_sums", lambda r: stats.column_sums(r.stat, 1), "SELECT scenario_idx, coalesce(sum(value) FILTER (WHERE mask >= 1), 0e0) AS total, coalesce(sum(value) FILTER (WHERE mask >= 1), 0e0) / count(*) AS avg_over_all_rows FROM {stat} GROUP BY 1", "total avg_over_all_rows")
+_register(
+    "build_stat",
+    lambda r: stats.build_stat(_flat(r), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0)).where("substring(row_key, 1, 1) = '7'"),
+    f"""{_FLAT}, kk AS (SELECT *, from_bus || '_' || to_bus || '_' || ckt AS row_key FROM flat WHERE left(CAST(from_bus AS VARCHAR), 1) = '7')
+FINALLY SELECT row_key, event_idx AS scenario_idx, p AS value, CAST(CASE WHEN viol = 1 THEN 2 ELSE 1 END AS INT) AS mask, -rate AS min_bound, rate AS max_bound FROM kk WHERE event_idx = 0 OR event_idx % 3 > 0
+ UNION ALL SELECT row_key, CAST(e AS INT), 0e0, 0, -rate, rate FROM kk CROSS JOIN (VALUES (3), (6)) AS v(e) WHERE event_idx = 0""",
+    "value min_bound max_bound",
+)
+_register(
+    "network_counts",
+    lambda r: stats.network_counts(r.bus, r.circuit, r.generator, r.load),
+    """SELECT 'generator' AS kind, bus_id, count(*) AS n FROM {generator} GROUP BY 2 UNION ALL SELECT 'load', bus_id, count(*) FROM {load} GROUP BY 2 UNION ALL SELECT 'circuit_end', bus_id, count(*) FROM (SELECT from_bus AS bus_id FROM {circuit} UNION ALL SELECT to_bus FROM {circuit}) AS e GROUP BY 2
+ UNION ALL SELECT 'generator', NULL, count(*) FROM {generator} UNION ALL SELECT 'load', NULL, count(*) FROM {load} UNION ALL SELECT 'circuit', NULL, count(*) FROM {circuit} UNION ALL SELECT 'bus', NULL, count(*) FROM {bus} UNION ALL SELECT 'branch', NULL, count(*) FROM (SELECT DISTINCT from_bus, to_bus FROM {circuit}) AS d""",
+)
+_register("area_load", lambda r: stats.area_load(r.load, r.bus), "SELECT area, zone, sum(pl) AS pl FROM {load} l JOIN {bus} b ON b.bus_id = l.bus_id WHERE status = 1 GROUP BY GROUPING SETS ((area), (area, zone))", "pl")
+_register("generator_margins", lambda r: stats.generator_margins(r.generator, r.bus), "SELECT area, zone, sum(pg) AS pg, sum(pmin) AS pmin, sum(pmax) AS pmax FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 GROUP BY GROUPING SETS ((area), (area, zone))", "pg pmin pmax")
+_register(
+    "area_export",
+    lambda r: stats.area_export(_flow(r), r.bus),
+    f"{_ELEMENTS}, {_FLOW}, tie AS (SELECT event_idx, a.area AS f, b.area AS t, p_from FROM flow JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE a.area <> b.area)\nFINALLY SELECT event_idx, area, sum(p) AS export FROM (SELECT event_idx, f AS area, p_from AS p FROM tie UNION ALL SELECT event_idx, t, -p_from FROM tie) AS u GROUP BY 1, 2",
+    "export",
+)
+_register(
+    "zone_totals",
+    lambda r: stats.zone_totals(r.bus, r.generator, r.load),
+    "SELECT z.zone, coalesce(pl, 0e0) AS pl, coalesce(ql, 0e0) AS ql, coalesce(pg, 0e0) AS pg, coalesce(qg, 0e0) AS qg FROM (SELECT DISTINCT zone FROM {bus}) AS z LEFT JOIN (SELECT zone, sum(pl) AS pl, sum(ql) AS ql FROM {load} l JOIN {bus} b ON b.bus_id = l.bus_id WHERE status = 1 GROUP BY 1) AS d ON d.zone = z.zone LEFT JOIN (SELECT zone, sum(pg) AS pg, sum(qg) AS qg FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 GROUP BY 1) AS g ON g.zone = z.zone",
+    "pl ql pg qg",
+)
+_SOURCE = "rep AS (SELECT 'source' AS side, g.bus_id, gen_id AS tag, pg AS now, pg + 5e-1 * (pmax - pg) AS scaled FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 AND area = 1 UNION ALL SELECT 'sink', l.bus_id, load_id, pl, pl * 2e0 FROM {load} l JOIN {bus} b ON b.bus_id = l.bus_id WHERE status = 1 AND area = 2 AND zone = 12)"
+
+
+def _report(r: Roles) -> DataFrame:
+    return stats.source_sink_report(r.generator, r.load, r.bus, (1, 0), (2, 12), 0.5, 2.0)
+
+
+_register("source_sink_report", _report, f"{_SOURCE}\nFINALLY SELECT * FROM rep", "now scaled")
+_register("source_sink_totals", lambda r: stats.source_sink_totals(_report(r)), f"{_SOURCE}\nFINALLY SELECT side, count(*) AS n, sum(now) AS now, sum(scaled) AS scaled, min(scaled) AS least, max(scaled) AS most FROM rep GROUP BY 1", "now scaled least most")
+_register("reduce", lambda r: stats.reduce(r.lineitem.withColumn("returned", F.col("l_returnflag") == "R"), "l_quantity", "returned"), """SELECT sum(l_quantity) AS "sum", max(l_quantity) AS "max", min(l_quantity) AS "min", bool_or(l_returnflag = 'R') AS "any", bool_and(l_returnflag = 'R') AS "all" FROM {lineitem}""")
+
+
+def _timers(r: Roles) -> DataFrame:
+    return r.lineitem.select(F.concat_ws("-", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("timer"), (F.col("l_suppkey") % 20).alias("rank"), (F.col("l_extendedprice") / 1000).alias("seconds"))
+
+
+_TIMER = "tim AS (SELECT l_returnflag || '-' || l_linestatus || '-' || l_linenumber AS timer, l_suppkey % 20 AS rank, l_extendedprice / 1000 AS seconds FROM {lineitem})"
+_register("timer_stats", lambda r: stats.timer_stats(_timers(r)), f'{_TIMER}\nFINALLY SELECT timer, count(*) AS n, avg(seconds) AS "avg", max(seconds) AS "max", min(seconds) AS "min", stddev_samp(seconds) AS std FROM tim GROUP BY 1', "avg max min std")
+_register(
+    "load_balance",
+    lambda r: stats.load_balance(_timers(r).groupBy(F.col("timer").alias("file"), "rank").agg(F.count(F.lit(1)).alias("tasks"))),
+    f'{_TIMER}, tk AS (SELECT timer AS file, rank, count(*) AS tasks FROM tim GROUP BY 1, 2)\nFINALLY SELECT file, CAST(sum(tasks) AS BIGINT) AS total, min(tasks) AS "min", max(tasks) AS "max", avg(tasks) AS mean, stddev_pop(tasks) AS std, 100 * stddev_pop(tasks) / avg(tasks) AS cv_percent, max(tasks) / avg(tasks) AS max_over_mean FROM tk GROUP BY 1',
+    "mean std cv_percent max_over_mean",
+)
+_register(
+    "ensemble_quantiles",
+    lambda r: stats.ensemble_quantiles(r.series, [0.05, 0.5, 0.95]),
+    "SELECT machine, step, q, quantile_cont(value, 5e-2) AS value FROM {series}, (VALUES (5e-2)) AS v(q) GROUP BY 1, 2, 3 UNION ALL SELECT machine, step, 5e-1, quantile_cont(value, 5e-1) FROM {series} GROUP BY 1, 2 UNION ALL SELECT machine, step, 95e-2, quantile_cont(value, 95e-2) FROM {series} GROUP BY 1, 2",
+    "value",
+)
+_register(
+    "watch_pivot",
+    lambda r: stats.watch_pivot(_flat(r), [0, 1, 2], r.circuit.where("from_bus % 13 = 1")),
+    f"{_FLAT}\nFINALLY SELECT c.from_bus, c.to_bus, c.ckt, {', '.join(f'coalesce(sum({k}) FILTER (WHERE event_idx = {e}), 0e0) AS {k.upper()}_{e}' for e in (0, 1, 2) for k in 'pq')} FROM {{circuit}} c LEFT JOIN flat f ON f.from_bus = c.from_bus AND f.to_bus = c.to_bus AND f.ckt = c.ckt WHERE c.from_bus % 13 = 1 GROUP BY 1, 2, 3",
+    "P_0 Q_0 P_1 Q_1 P_2 Q_2",
+)
+
+# --- series ---------------------------------------------------------------------------------------------------------
+
+_EXCURSION = "ord AS (SELECT machine, t, value, row_number() OVER (PARTITION BY machine ORDER BY t, value) AS n, lag(value) OVER (PARTITION BY machine ORDER BY t, value) AS before FROM {series} WHERE t >= 5e0)," + ", ".join(
+    f"""{side}(machine, n, since, hit) AS (SELECT machine, n, CASE WHEN {beyond} THEN t END, FALSE FROM ord WHERE n = 1 UNION ALL SELECT o.machine, o.n, CASE WHEN NOT ({beyond.replace('value', 'o.value')}) THEN NULL WHEN w.since IS NULL THEN o.t WHEN {away} THEN w.since END,
+ w.since IS NOT NULL AND {beyond.replace('value', 'o.value')} AND {away} AND o.t - w.since >= 5e-1 FROM {side} w JOIN ord o ON o.machine = w.machine AND o.n = w.n + 1)"""
+    for side, beyond, away in (("up", "value > 61", "o.value > o.before"), ("down", "value < 59", "o.value < o.before"))
+)
+_register(
+    "sustained_excursion",
+    lambda r: series.sustained_excursion(r.series, start=5.0),
+    f"{_EXCURSION}\nFINALLY SELECT o.machine, t, value, 'up' AS side FROM up JOIN ord o ON o.machine = up.machine AND o.n = up.n WHERE hit UNION ALL SELECT o.machine, t, value, 'down' FROM down JOIN ord o ON o.machine = down.machine AND o.n = down.n WHERE hit",
+    "t value",
+)
+_register("over_limit", lambda r: series.over_limit(r.series, 62.5), "SELECT machine, count(*) AS n, max(value) AS most FROM {series} WHERE value > 625e-1 GROUP BY 1", "most")
+_register("angle_spread", lambda r: series.angle_spread(r.series, 5.95), "SELECT scenario_idx, step, max(value) - min(value) AS spread, max(value) - min(value) <= 595e-2 AS secure FROM {series} GROUP BY 1, 2", "spread")
+_register(
+    "unpivot_watch",
+    lambda r: series.unpivot_watch(r.generator.where("gen_id = '1'").select(F.col("bus_id").cast("double").alias("t"), F.col("pg").alias("12_1_GENP"), F.col("qg").alias("12_1_GENQ"), F.col("pmax").alias("7_A_SPD"), F.col("pmin").alias("other"))),
+    "SELECT CAST(bus_id AS DOUBLE) AS t, 12 AS bus_id, '1' AS gen_id, 'GENP' AS var, pg AS value FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 12, '1', 'GENQ', qg FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 7, 'A', 'SPD', pmax FROM {generator} WHERE gen_id = '1'",
+    "value",
+)
+_register("watched_generators", lambda r: series.watched_generators(r.generator, r.bus, 3, 0), "SELECT g.bus_id, gen_id FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 AND area = 3")
+_register(
+    "observations",
+    lambda r: series.observations(r.customer.select(F.when(F.col("c_custkey") % 2 == 0, " Generator").otherwise("BUS").alias("type"), (F.col("c_custkey") * 2).alias("bus_id"), F.when(F.col("c_custkey") % 2 == 0, "'3 '").alias("tag")), r.generator.select(F.lit("generator").alias("type"), "bus_id", F.col("gen_id").alias("tag"), F.col("pg").alias("value")).union(r.bus.select(F.lit("bus"), "bus_id", F.lit(""), "v_pu"))),
+    """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'generator' ELSE 'bus' END AS type, c_custkey * 2 AS bus_id, CASE WHEN c_custkey % 2 = 0 THEN '3' ELSE '' END AS tag, coalesce(pg, v_pu, 0e0) AS value, coalesce(pg, v_pu) IS NOT NULL AS found
+ FROM {customer} LEFT JOIN {generator} g ON c_custkey % 2 = 0 AND g.bus_id = c_custkey * 2 AND gen_id = '3' LEFT JOIN {bus} b ON c_custkey % 2 = 1 AND b.bus_id = c_custkey * 2""",
+    "value",
+)
+_register("power_angle", lambda r: r.bus.select("bus_id", x.power_angle(F.col("angle_deg") * 3, F.lit(12.5)).alias("angle")), f"SELECT bus_id, {_wrap('angle_deg * 3 - 125e-1')} AS angle FROM {{bus}}", "angle")
+
+# --- measurements ---------------------------------------------------------------------------------------------------
+
+_N_BUS = 60
+_STATE_SQL = "vst AS (SELECT event_idx AS case_id, v.bus_id, v.v_pu, v.angle_deg, 1e-1 * v.v_pu AS p, 5e-2 * v.v_pu AS q FROM {voltage} v WHERE event_idx < 8)"
+_MEASURED = f"""{_STATE_SQL}, mea AS (SELECT m.*, CASE type WHEN 'VM' THEN v_pu WHEN 'VA' THEN angle_deg WHEN 'PI' THEN p WHEN 'QI' THEN q END AS predicted FROM {{measurement}} m JOIN vst ON vst.case_id = m.case_id AND vst.bus_id = m.bus_id),
+res AS (SELECT *, value - predicted AS residual, 1 / (deviation * deviation) AS weight, (value - predicted) / deviation AS norm FROM mea)"""
+
+
+def _measured(r: Roles) -> DataFrame:
+    state = r.voltage.where("event_idx < 8").select(F.col("event_idx").alias("case_id"), "bus_id", "v_pu", "angle_deg")
+    return measure.residuals(measure.predicted_value(r.measurement, state, state.select("case_id", "bus_id", (0.1 * F.col("v_pu")).alias("p"), (0.05 * F.col("v_pu")).alias("q"))))
+
+
+_register("assign_measurements", lambda r: measure.assign_measurements(r.measurement, r.bus, r.circuit)[0].select("case_id", "bus_id", "idx", "type", "nth"), "SELECT m.case_id, m.bus_id, idx, m.type, CAST(row_number() OVER (PARTITION BY case_id, m.bus_id ORDER BY m.type, printf('%.6f', value), idx) AS INT) AS nth FROM {measurement} m JOIN {bus} b ON b.bus_id = m.bus_id")
+_register(
+    "limit_measurements",
+    lambda r: measure.limit_measurements(r.bus, r.measurement, 0.95, 1.05, 0.01),
+    "SELECT case_id, bus_id, t AS type, x AS value, 1e-2 AS deviation FROM {bus} CROSS JOIN (SELECT DISTINCT case_id FROM {measurement}) AS c CROSS JOIN (VALUES ('VUL', 105e-2), ('VLL', 95e-2)) AS v(t, x) WHERE type = 1",
+)
+_register("predicted_value", lambda r: _measured(r).select("case_id", "idx", "type", "predicted"), f"{_MEASURED}\nFINALLY SELECT case_id, idx, type, predicted FROM res", "predicted")
+_register("residuals", lambda r: _measured(r).select("case_id", "idx", "residual", "weight", "norm"), f"{_MEASURED}\nFINALLY SELECT case_id, idx, residual, weight, norm FROM res", "residual weight norm")
+_CHI = f"""{_MEASURED}, chi AS (SELECT *, CASE WHEN dof >= 1 AND dof <= {3 * _N_BUS} THEN dof * pow(1 - 2e0 / (9e0 * dof) + 1645e-3 * sqrt(2e0 / (9e0 * dof)), 3) ELSE 150e0 END AS threshold FROM (SELECT case_id, sum(residual * residual * weight) AS chi, count(*) AS n, greatest(count(*) - {2 * _N_BUS - 1}, 1) AS dof FROM res GROUP BY 1) AS c)"""
+_register("chi_square", lambda r: measure.chi_square(_measured(r), _N_BUS), f"{_CHI}\nFINALLY SELECT case_id, chi, n, dof, threshold, chi < threshold AS passed FROM chi", "chi threshold")
+_register("chi_threshold", lambda r: r.customer.select("c_custkey", measure.chi_threshold(F.col("c_custkey"), F.lit(200)).alias("threshold")), "SELECT c_custkey, CASE WHEN c_custkey >= 1 AND c_custkey <= 600 THEN c_custkey * pow(1 - 2e0 / (9e0 * c_custkey) + 1645e-3 * sqrt(2e0 / (9e0 * c_custkey)), 3) ELSE 500e0 END AS threshold FROM {customer}", "threshold")
+_BAD = f"""{_CHI}, fl AS (SELECT res.case_id, idx, res.type, res.bus_id, norm, 10e0 * CASE WHEN res.type = 'VM' THEN 3 WHEN res.type = 'VA' AND b.type = 3 THEN 50 WHEN res.type = 'VA' THEN 5 ELSE 1 END AS lim FROM res JOIN {{bus}} b ON b.bus_id = res.bus_id),
+rk AS (SELECT *, abs(norm) > lim AS ov, row_number() OVER (PARTITION BY case_id ORDER BY (abs(norm) > lim) DESC, round(abs(norm), 6) DESC, idx) AS rank FROM fl),
+bad AS (SELECT rk.case_id, idx, type, bus_id, norm, lim AS "limit", CAST(rank AS INT) AS rank FROM rk JOIN chi ON chi.case_id = rk.case_id WHERE rank <= 5 AND (ov OR (rank = 1 AND chi >= threshold)))"""
+
+
+def _flags(r: Roles) -> DataFrame:
+    m = _measured(r)
+    return measure.flag_bad(m, measure.chi_square(m, _N_BUS), r.bus, 10.0)
+
+
+_register("flag_bad", _flags, f"{_BAD}\nFINALLY SELECT * FROM bad", "norm")
+_register(
+    "top_residuals",
+    lambda r: measure.top_residuals(_measured(r), 10.0),
+    f"{_MEASURED}, tr AS (SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(abs(norm), 6) DESC, idx) AS INT) AS rank, idx, type, norm, 10e0 * CASE type WHEN 'VM' THEN 3 WHEN 'VA' THEN 5 ELSE 1 END AS lim FROM res)\nFINALLY SELECT case_id, rank, idx, type, norm, lim AS \"limit\", CASE WHEN abs(norm) > lim THEN 'BAD' ELSE 'OK' END AS verdict FROM tr WHERE rank <= 10",
+    "norm",
+)
+_register(
+    "deweight",
+    lambda r: measure.deweight(r.measurement.select("case_id", "idx", "deviation"), r.measurement.where("idx % 7 = 0"), r.measurement.where("idx % 14 = 0").withColumn("k", (F.col("idx") % 3).cast("int"))),
+    "SELECT case_id, idx, deviation * CASE WHEN idx % 14 = 0 THEN pow(10e0, idx % 3 + 1) WHEN idx % 7 = 0 THEN 10e0 ELSE 1e0 END AS deviation FROM {measurement}",
+    "deviation",
+)
+_HISTORY = "hist AS (SELECT case_id, idx // 1000 AS iteration, avg(value) * 100 AS chi, 40e0 AS threshold, count(*) FILTER (WHERE deviation > 187e-4) AS flagged FROM {measurement} GROUP BY 1, 2)"
+
+
+def _history(r: Roles) -> DataFrame:
+    return r.measurement.groupBy("case_id", F.floor(F.col("idx") / 1000).alias("iteration")).agg((F.avg("value") * 100).alias("chi"), F.lit(40.0).alias("threshold"), F.count_if(F.col("deviation") > 0.0187).alias("flagged"))
+
+
+_register("iteration_stop", lambda r: measure.iteration_stop(_history(r)), f"{_HISTORY}, lg AS (SELECT *, lag(chi) OVER (PARTITION BY case_id ORDER BY iteration) AS before FROM hist)\nFINALLY SELECT case_id, iteration, before IS NOT NULL AND ((chi < threshold AND flagged = 0) OR chi > 11e-1 * before) AS stop FROM lg")
+_register("iteration_report", lambda r: measure.iteration_report(_history(r)), f"{_HISTORY}, lg AS (SELECT *, lag(chi) OVER (PARTITION BY case_id ORDER BY iteration) AS before FROM hist)\nFINALLY SELECT case_id, iteration, flagged, CAST(sum(flagged) OVER (PARTITION BY case_id ORDER BY iteration ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative, chi, 100 * (before - chi) / before AS reduction_percent FROM lg", "chi reduction_percent")
+_register(
+    "persistent_bad",
+    lambda r: measure.persistent_bad(r.measurement.where("deviation > 0.0165").select("case_id", (F.col("bus_id") % 40).alias("idx"), F.col("idx").alias("iteration"), F.col("value").alias("norm"))),
+    "pb AS (SELECT case_id, bus_id % 40 AS idx, count(*) AS times, arg_min(value, idx) AS first_norm, arg_max(value, idx) AS last_norm FROM {measurement} WHERE deviation > 165e-4 GROUP BY 1, 2)\nFINALLY SELECT *, CASE WHEN times > 1 AND abs(last_norm) < abs(first_norm) THEN 'Persistent (reduced)' WHEN times > 1 THEN 'Persistent' ELSE 'Recently flagged' END AS label FROM pb",
+    "first_norm last_norm",
+)
+_register(
+    "consistency_check",
+    lambda r: measure.consistency_check(
+        r.circuit.withColumn("r", F.when(F.col("ckt") == "1", 0.0).otherwise(F.col("r"))),
+        r.circuit.where("ckt = '1'").select("from_bus", "to_bus", "ckt", F.lit("PIJ").alias("type"), F.lit(1).alias("idx"), F.when(F.col("to_bus") % 2 == 0, 0.0).otherwise(1.0).alias("value")),
+        r.voltage.where("event_idx = 0").select("bus_id", "v_pu", "angle_deg"),
+    ),
+    """con AS (SELECT from_bus, to_bus, ckt, x, v.v_pu AS v1, w.v_pu AS v2, radians(v.angle_deg) - radians(w.angle_deg) AS dt FROM {circuit} JOIN {voltage} v ON v.bus_id = from_bus AND v.event_idx = 0 JOIN {voltage} w ON w.bus_id = to_bus AND w.event_idx = 0 WHERE ckt = '1' AND to_bus % 2 = 0)
+FINALLY SELECT from_bus, to_bus, ckt, CASE WHEN abs(dt) > 1e-3 THEN 'warning' ELSE 'note' END AS kind, 0e0 AS measured, CASE WHEN abs(dt) > 1e-3 THEN v1 * v2 / x * sin(dt) END AS expected FROM con WHERE abs(dt) > 1e-3 OR abs(v1 - v2) > 1e-2""",
+    "expected",
+)
+_register("measurement_coverage", lambda r: measure.measurement_coverage(r.measurement, 300), "SELECT m.case_id, type, count(*) AS n, count(DISTINCT bus_id) AS buses, case_n, case_n <= 599 AS underdetermined FROM {measurement} m JOIN (SELECT case_id, count(*) AS case_n FROM {measurement} GROUP BY 1) AS t ON t.case_id = m.case_id GROUP BY 1, 2, case_n")
+
+# --- comparison -----------------------------------------------------------------------------------------------------
+
+_KEYS = ["event_idx", "from_bus", "to_bus", "ckt"]
+_ONE_A, _ONE_B = ("{}u AS (SELECT event_idx, from_bus, to_bus, ckt, sum(p) AS p, sum(q) AS q, max(angle) AS angle FROM {{flat_{}}} GROUP BY 1, 2, 3, 4)".format(s, s) for s in "ab")
+_BOTH = f"{_ONE_A}, {_ONE_B}, fj AS (SELECT coalesce(a.event_idx, b.event_idx) AS event_idx, coalesce(a.from_bus, b.from_bus) AS from_bus, a.p AS pa, b.p AS pb, a.q AS qa, b.q AS qb, a.angle AS aa, b.angle AS ab, a.event_idx IS NOT NULL AS ina, b.event_idx IS NOT NULL AS inb FROM au a FULL JOIN bu b ON a.event_idx = b.event_idx AND a.from_bus = b.from_bus AND a.to_bus = b.to_bus AND a.ckt = b.ckt)"
+
+
+def _run(r: Roles, which: str) -> DataFrame:
+    return getattr(r, f"flat_{which}").groupBy(*_KEYS).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.max("angle").alias("angle"))
+
+
+_register("require_unique", lambda r: compare.require_unique(r.lineitem, ["l_orderkey", "l_linenumber"]), "SELECT count(*) AS duplicated_keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicated_rows FROM (SELECT count(*) AS n FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) AS d")
+_register("coverage", lambda r: compare.coverage(_run(r, "a"), _run(r, "b"), _KEYS, ["q"]), f"{_BOTH}\nFINALLY SELECT count(*) FILTER (WHERE ina AND inb) AS matched, count(*) FILTER (WHERE NOT inb) AS only_a, count(*) FILTER (WHERE NOT ina) AS only_b, 1e2 * count(*) FILTER (WHERE ina AND inb) / count(*) AS match_percent, count(*) FILTER (WHERE ina AND inb AND qa <> qb) AS q_mismatch FROM fj", "match_percent")
+
+
+def _metric_sql(name: str, a: str, b: str, d: str) -> str:
+    return f"""SELECT '{name}' AS "column", count(*) AS n, avg({a}) AS mean_a, avg({b}) AS mean_b, avg({d}) AS mean_diff, avg(abs({d})) AS mean_abs_diff, sqrt(avg(({d}) * ({d}))) AS rms_diff, max(abs({d})) AS max_abs_diff,
+ avg(CASE WHEN abs({b}) > 1e-9 THEN 100 * abs({d}) / abs({b}) END) AS mean_percent, avg(CASE WHEN abs({a}) + abs({b}) > 1e-9 THEN 200 * abs({d}) / (abs({a}) + abs({b})) END) AS mean_symmetric_percent, count(*) FILTER (WHERE abs({d}) <= 1e-6 + 1e-6 * abs({b})) AS within FROM fj WHERE ina AND inb"""
+
 
-def flagship(spark, sf_dir):
-    return queries()["flat_rows"](spark, sf_dir)
+_register(
+    "numeric_metrics",
+    lambda r: compare.numeric_metrics(_run(r, "a"), _run(r, "b"), _KEYS, ["p"], ["angle"]),
+    f"{_BOTH}\nFINALLY {_metric_sql('p', 'pa', 'pb', 'pa - pb')} UNION ALL {_metric_sql('angle', 'aa', 'ab', _wrap('aa - ab'))}",
+    "mean_a mean_b mean_diff mean_abs_diff rms_diff max_abs_diff mean_percent mean_symmetric_percent",
+)
+_register("unmatched_by", lambda r: compare.unmatched_by(_run(r, "a"), _run(r, "b"), _KEYS, ["event_idx"]), f"{_BOTH}\nFINALLY SELECT event_idx, count(*) FILTER (WHERE NOT inb) AS only_a, count(*) FILTER (WHERE NOT ina) AS only_b FROM fj GROUP BY 1 HAVING count(*) FILTER (WHERE NOT (ina AND inb)) > 0")
+_register(
+    "convergence_matrix",
+    lambda r: compare.convergence_matrix(r.convergence_a, r.convergence_b),
+    'SELECT count(*) FILTER (WHERE a.converged AND b.converged) AS "both", count(*) FILTER (WHERE NOT a.converged AND NOT b.converged) AS neither, count(*) FILTER (WHERE a.converged AND NOT b.converged) AS a_only, count(*) FILTER (WHERE NOT a.converged AND b.converged) AS b_only, 1e2 * count(*) FILTER (WHERE a.converged = b.converged) / count(*) AS agreement_percent FROM {convergence_a} a JOIN {convergence_b} b ON b.name = a.name AND b.type = a.type',
+    "agreement_percent",
+)
+_register("status_transitions", lambda r: compare.status_transitions(r.convergence_a, r.convergence_b), "SELECT a.status_code AS status_a, b.status_code AS status_b, count(*) AS n FROM {convergence_a} a JOIN {convergence_b} b ON b.name = a.name AND b.type = a.type GROUP BY 1, 2")
+_register("series_stats", lambda r: compare.series_stats(r.flat_a, "p", ["event_idx"]), 'SELECT event_idx, count(p) AS "count", avg(p) AS mean, quantile_cont(p, 5e-1) AS median, quantile_cont(p, 95e-2) AS p95, min(p) AS "min", max(p) AS "max" FROM {flat_a} GROUP BY 1', "mean median p95 min max")
+_register(
+    "annotate_coverage",
+    lambda r: compare.annotate_coverage(compare.unmatched_by(_run(r, "a"), _run(r, "b"), _KEYS, ["event_idx"]), r.convergence_a, r.convergence_b),
+    f"{_BOTH}, un AS (SELECT event_idx, count(*) FILTER (WHERE NOT inb) AS only_a, count(*) FILTER (WHERE NOT ina) AS only_b FROM fj GROUP BY 1 HAVING count(*) FILTER (WHERE NOT (ina AND inb)) > 0)\nFINALLY SELECT un.event_idx, only_a, only_b, a.converged AS converged_a, a.status_code AS status_a, b.converged AS converged_b, b.status_code AS status_b FROM un LEFT JOIN {{convergence_a}} a ON a.event_idx = un.event_idx LEFT JOIN {{convergence_b}} b ON b.event_idx = un.event_idx",
+)
+_register(
+    "compare_buses",
+    lambda r: compare.compare_buses(r.bus, r.bus.where("bus_id % 31 <> 0").withColumns({"base_kv": F.col("base_kv") + F.col("bus_id") % 2, "area": F.when(F.col("bus_id") % 10 == 0, 9).otherwise(F.col("area"))})),
+    """SELECT count(*) FILTER (WHERE bus_id % 31 <> 0) AS matched, count(*) FILTER (WHERE bus_id % 31 = 0) AS only_a, 0 AS only_b, avg(CASE WHEN bus_id % 31 <> 0 THEN CAST(bus_id % 2 AS DOUBLE) END) AS mean_kv_diff, max(CASE WHEN bus_id % 31 <> 0 THEN CAST(bus_id % 2 AS DOUBLE) END) AS max_kv_diff,
+ 0 AS name_mismatch, count(*) FILTER (WHERE bus_id % 31 <> 0 AND bus_id % 10 = 0) AS area_mismatch, 0 AS zone_mismatch, 0 AS owner_mismatch FROM {bus}""",
+    "mean_kv_diff max_kv_diff",
+)
+_register(
+    "timer_comparison",
+    lambda r: compare.timer_comparison(_timers(r).groupBy("timer").agg(F.sum("seconds").alias("seconds")), _timers(r).where("rank < 10 AND timer < 'R'").groupBy("timer").agg(F.sum("seconds").alias("seconds"))),
+    f"{_TIMER}, ta AS (SELECT timer, sum(seconds) AS s FROM tim GROUP BY 1), tb AS (SELECT timer, sum(seconds) AS s FROM tim WHERE rank < 10 AND timer < 'R' GROUP BY 1)\nFINALLY SELECT ta.timer, ta.s AS seconds_a, tb.s AS seconds_b, ta.s / tb.s AS speedup, 100 * (1 - tb.s / ta.s) AS reduction_percent FROM ta LEFT JOIN tb ON tb.timer = ta.timer",
+    "seconds_a seconds_b speedup reduction_percent",
+)
+_register(
+    "assert_close",
+    lambda r: compare.assert_close(_run(r, "a"), _run(r, "b"), _KEYS, ["p", "q"], 1e-6, 1e-5),
+    f"{_BOTH}\nFINALLY SELECT count(*) FILTER (WHERE NOT inb) AS only_golden, count(*) FILTER (WHERE NOT ina) AS only_candidate, count(*) FILTER (WHERE ina AND inb AND abs(pa - pb) > 1e-6 + 1e-5 * abs(pb)) AS p_bad, count(*) FILTER (WHERE ina AND inb AND abs(qa - qb) > 1e-6 + 1e-5 * abs(qb)) AS q_bad FROM fj",
+)
 
+# --- coordinate algebra ---------------------------------------------------------------------------------------------
 
-def queries() -> dict:
-    return {}
+_UNION = "SELECT i, j, sum(re) AS re, sum(im) AS im FROM ({}) AS u GROUP BY 1, 2"
+_register("coo_merge", lambda r: coo.merge(r.coo, coo.transpose(r.coo)), _UNION.format("SELECT i, j, re, im FROM {coo} UNION ALL SELECT j, i, re, im FROM {coo}"), "re im")
+_register(
+    "coo_overwrite",
+    lambda r: coo.overwrite(r.lineitem.select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 50).alias("j"), F.col("l_quantity").alias("re"), F.col("l_tax").alias("im"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax").alias("seq"))),
+    "SELECT i, j, re, im FROM (SELECT l_suppkey AS i, l_partkey % 50 AS j, l_quantity AS re, l_tax AS im, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC, l_tax DESC) AS n FROM {lineitem}) AS k WHERE n = 1",
+)
+_register("coo_add", lambda r: coo.add(r.coo, r.coo.where("i < j")), _UNION.format("SELECT i, j, re, im FROM {coo} UNION ALL SELECT i, j, re, im FROM {coo} WHERE i < j"), "re im")
+_register("coo_scale", lambda r: coo.scale(r.coo, 2.0, -0.5), "SELECT i, j, re * 2 + im * 5e-1 AS re, im * 2 - re * 5e-1 AS im FROM {coo}", "re im")
+_register("add_diagonal", lambda r: coo.add_diagonal(r.coo, _vector(r)), f"{_VEC}\nFINALLY " + _UNION.format("SELECT i, j, re, im FROM {coo} UNION ALL SELECT i, i, re, im FROM vec"), "re im")
+_register("multiply_diagonal", lambda r: coo.multiply_diagonal(r.coo, _vector(r)), f"{_VEC}\nFINALLY SELECT c.i, j, CASE WHEN c.i = j THEN c.re * v.re - c.im * v.im ELSE c.re END AS re, CASE WHEN c.i = j THEN c.re * v.im + c.im * v.re ELSE c.im END AS im FROM {{coo}} c JOIN vec v ON v.i = c.i", "re im")
+_register("spmv", lambda r: coo.spmv(r.coo, _vector(r)), f"{_VEC}\nFINALLY SELECT c.i, sum(c.re * v.re - c.im * v.im) AS re, sum(c.re * v.im + c.im * v.re) AS im FROM {{coo}} c JOIN vec v ON v.i = c.j GROUP BY 1", "re im")
+_register("spmv_transpose", lambda r: coo.spmv_transpose(r.coo, _vector(r)), f"{_VEC}\nFINALLY SELECT c.j AS i, sum(c.re * v.re - c.im * v.im) AS re, sum(c.re * v.im + c.im * v.re) AS im FROM {{coo}} c JOIN vec v ON v.i = c.i GROUP BY 1", "re im")
+_register("spgemm", lambda r: coo.spgemm(r.coo.where("j < 100"), r.coo.where("j < 60")), "SELECT a.i, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM {coo} a JOIN {coo} b ON b.i = a.j WHERE a.j < 100 AND b.j < 60 GROUP BY 1, 2", "re im")
+_register("transpose", lambda r: coo.transpose(r.coo), "SELECT j AS i, i AS j, re, im FROM {coo}", "re im")
+_register("diagonal", lambda r: coo.diagonal(r.coo), "SELECT i, re, im FROM {coo} WHERE i = j", "re im")
+_register("column", lambda r: coo.column(r.coo, 7), "SELECT i, re, im FROM {coo} WHERE j = 7", "re im")
+_register("identity", lambda r: coo.identity(r.coo), "SELECT DISTINCT i, i AS j, 1e0 AS re, 0e0 AS im FROM {coo}")
+_register("norms", lambda r: coo.norms(r.coo), "SELECT sum(sqrt(re * re + im * im)) AS norm1, sqrt(sum(re * re + im * im)) AS norm2, max(sqrt(re * re + im * im)) AS norm_inf FROM {coo}", "norm1 norm2 norm_inf")
+_register("conjugate", lambda r: coo.conjugate(r.coo), "SELECT i, j, re, -im AS im FROM {coo}", "re im")
+_register("real_and_imaginary", lambda r: coo.real(r.coo).union(coo.imaginary(r.coo)), "SELECT i, j, re, 0e0 AS im FROM {coo} UNION ALL SELECT i, j, im, 0e0 FROM {coo}", "re im")
+_register("vector_add", lambda r: coo.vector_add(_vector(r), coo.diagonal(r.coo)), f"{_VEC}\nFINALLY SELECT i, sum(re) AS re, sum(im) AS im FROM (SELECT i, re, im FROM vec UNION ALL SELECT i, re, im FROM {{coo}} WHERE i = j) AS u GROUP BY 1", "re im")
+_register("element_multiply", lambda r: coo.element_multiply(_vector(r), coo.diagonal(r.coo)), f"{_VEC}, dg AS (SELECT i, re, im FROM {{coo}} WHERE i = j)\nFINALLY SELECT v.i, v.re * coalesce(d.re, 0e0) - v.im * coalesce(d.im, 0e0) AS re, v.re * coalesce(d.im, 0e0) + v.im * coalesce(d.re, 0e0) AS im FROM vec v LEFT JOIN dg d ON d.i = v.i", "re im")
+_register("element_divide", lambda r: coo.element_divide(coo.diagonal(r.coo), _vector(r)), f"{_VEC}, dg AS (SELECT i, re, im FROM {{coo}} WHERE i = j)\nFINALLY SELECT v.i, (coalesce(d.re, 0e0) * v.re + coalesce(d.im, 0e0) * v.im) / (v.re * v.re + v.im * v.im) AS re, (coalesce(d.im, 0e0) * v.re - coalesce(d.re, 0e0) * v.im) / (v.re * v.re + v.im * v.im) AS im FROM vec v LEFT JOIN dg d ON d.i = v.i", "re im")
 
+# --- sinks and streams ----------------------------------------------------------------------------------------------
 
-def oracle_sql() -> dict:
-    return {}
+_register("convergence_rows", lambda r: sinks.convergence_rows(r.convergence_a), "SELECT * FROM {convergence_a}")
+_register(
+    "flat_export",
+    lambda r: sinks.rounded(_flat(r).where("event_idx = 0").drop("p", "q", "ang_from_deg", "ang_to_deg")),
+    f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, round(mva, 4) AS mva, round(rate, 4) AS rate, round(loading, 2) AS loading, viol, round(v_from_pu, 6) AS v_from_pu, round(v_to_pu, 6) AS v_to_pu FROM flat WHERE event_idx = 0",
+)
+_register(
+    "nested_case_json",
+    lambda r: sinks.nested_case_json(_cases(r), r.voltage.where("bus_id < 4").select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.where("bus_id = 3").select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
+    None,
+)
