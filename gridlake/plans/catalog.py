@@ -332,7 +332,7 @@ _register("bus_shunt", _shunts, f"{_SHUNT}\nFINALLY SELECT * FROM shn", "g b")
 _register("ybus_coo", lambda r: electrical.ybus_coo(r.circuit, _shunts(r)), f"{_YBUS}\nFINALLY SELECT * FROM ybus", "re im")
 _register("line_flow", lambda r: _flow(r).select("event_idx", "from_bus", "to_bus", "ckt", "p_from", "q_from", "p_to", "q_to"), f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, p_from, q_from, p_to, q_to FROM flow", "p_from q_from p_to q_to")
 _register("bus_injection", _injection, f"{_INJECT}\nFINALLY SELECT * FROM inj", "p q")
-_register("scheduled_injection", lambda r: electrical.scheduled_injection(r.generator, r.load), f"{_SCHED}\nFINALLY SELECT * FROM sch", "p q")
+_register("scheduled_injection", lambda r: electrical.scheduled_injection(r.generator, r.load, 1.0), f"{_SCHED}\nFINALLY SELECT bus_id, 1e2 * p AS p, 1e2 * q AS q FROM sch", "p q")
 _ZIP = "zl AS (SELECT event_idx, v.bus_id, ip * v_pu + yp * v_pu * v_pu AS p, iq * v_pu - yq * v_pu * v_pu AS q FROM {voltage} v JOIN (SELECT bus_id, sum(ip) AS ip, sum(iq) AS iq, sum(yp) AS yp, sum(yq) AS yq FROM {load} WHERE status = 1 GROUP BY 1) AS s ON s.bus_id = v.bus_id)"
 _register("zip_load", lambda r: electrical.zip_load(r.load, r.voltage), f"{_ZIP}\nFINALLY SELECT * FROM zl", "p q")
 _OUTPUT = f"{_INJECT}, {_ZIP}, outp AS (SELECT inj.event_idx, inj.bus_id, CASE WHEN type = 3 THEN inj.p * 1e2 + coalesce(pl, 0e0) + coalesce(zl.p, 0e0) ELSE coalesce(pg, 0e0) END AS p FROM inj JOIN {{bus}} b ON b.bus_id = inj.bus_id LEFT JOIN (SELECT bus_id, sum(pg) AS pg FROM {{generator}} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = inj.bus_id LEFT JOIN (SELECT bus_id, sum(pl) AS pl FROM {{load}} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = inj.bus_id LEFT JOIN zl ON zl.bus_id = inj.bus_id AND zl.event_idx = inj.event_idx)"

@@ -19,7 +19,7 @@ HEADER_LINES = 3
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of all files below ``path``; line numbers start at 0."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
@@ -38,7 +38,7 @@ def read_case_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     quit_line = F.upper("line") == "Q"
     rows = lines.withColumns({"_end": is_end, "_section": ended, "_quit": F.coalesce(F.max(quit_line.cast("int")).over(before), F.lit(0))})
     rows = rows.where(~F.col("_end") & (F.col("_quit") == 0) & ~quit_line & (F.col("line") != ""))
-    fields = F.transform(F.split("line", r""",(?=(?:[^']*'[^']*')*[^']*$)"""), F.trim)
+    fields = F.transform(F.split("line", r""",(?=(?:[^']*'[^']*')*[^']*$)"""), lambda field: F.trim(field))
     rows = rows.select("file", "line_no", "_section", fields.alias("fields"))
     return {name: rows.where(F.col("_section") == i).select("file", "line_no", "fields") for i, name in enumerate(SECTIONS)}
 
@@ -76,7 +76,7 @@ def expand_three_winding(transformers: DataFrame, bus: DataFrame, sbase: float =
 
 def read_dynamic_archive(spark: SparkSession, path: str) -> DataFrame:
     """(file, bus_id, model, tag, params array<double>) of device records, which end at ``/`` and may span lines; ``//`` lines are comments."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"(?m)^\s*//.*$", "").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"(?m)^\s*//.*$", "").alias("value"))
     records = text.select("file", F.explode(F.split("value", "/[^\\r\\n]*")).alias("record")).where(F.trim(F.regexp_replace("record", r"\s+", " ")) != "")
     parts = F.expr(r"regexp_extract_all(record, '\'[^\']*\'|[^\\s,]+', 0)")
     tag = lambda i: F.trim(F.regexp_replace(F.expr(f"get(parts, {i})"), "'", ""))
