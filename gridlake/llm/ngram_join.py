@@ -28,6 +28,7 @@ from gridlake.operators.components import connected_components
 
 ROWS_PER_KEY = 4
 BLOCK_SHINGLES = 4_000_000
+FILTER_BITS = 1 << 25
 _MU = 0.0085
 
 
@@ -163,6 +164,16 @@ def _describe(documents: DataFrame, words_each: int, keys: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, v long, keys array<long>")
 
 
+def _likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose doc_id is in ``ids``, and few others: a bitmap of hashed ids (FILTER_BITS bits, so 4 MB at most) is broadcast
+    in buckets, and most texts that no search group needs are dropped before the shuffle of the exact join."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    byte = "cast(conv(hex(substring(bits, cast(bit div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    rows = texts.where("doc_id IS NOT NULL").withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)})
+    return rows.join(F.broadcast(bits), "bucket").where(F.expr(f"(shiftright({byte}, cast(bit % 8 AS int)) & 1) = 1")).select("doc_id", "text")
+
+
 def _signed(texts: DataFrame, words_each: int) -> DataFrame:
     """(v, text): the texts with the signatures of their sets."""
 
@@ -213,7 +224,8 @@ def components(documents: DataFrame, words_each: int = 4, percent: int = 85) ->
     blocks = placed.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("nb"))
     members = placed.join(blocks, "grp").select("v", "grp", "nb", F.col("least").alias("doc_id"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = members.where("doc_id IS NOT NULL").join(texts.where("doc_id IS NOT NULL"), "doc_id")
+    wanted = members.where("doc_id IS NOT NULL")
+    found = wanted.join(_likely(texts, wanted.select("doc_id")), "doc_id")
     if not members.where("doc_id IS NULL").isEmpty():  # classes known only by rows without an id
         found = found.unionByName(members.where("doc_id IS NULL").join(_signed(texts.where("doc_id IS NULL"), words_each), "v"))
     sets = _sets(found, words_each)
