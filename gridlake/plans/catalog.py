@@ -618,7 +618,7 @@ _register("angle_spread", lambda r: series.angle_spread(r.series, 5.95), "SELECT
 _register(
     "unpivot_watch",
     lambda r: series.unpivot_watch(r.generator.where("gen_id = '1'").select(F.col("bus_id").cast("double").alias("t"), F.col("pg").alias("12_1_GENP"), F.col("qg").alias("12_1_GENQ"), F.col("pmax").alias("7_A_SPD"), F.col("pmin").alias("other"))),
-    "SELECT CAST(bus_id AS DOUBLE) AS t, 12 AS bus_id, '1' AS gen_id, 'GENP' AS var, pg AS value FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 12, '1', 'GENQ', qg FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 7, 'A', 'SPD', pmax FROM {generator} WHERE gen_id = '1'",
+    "SELECT CAST(bus_id AS DOUBLE) AS t, CAST(12 AS BIGINT) AS bus_id, '1' AS gen_id, 'GENP' AS var, pg AS value FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 12, '1', 'GENQ', qg FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 7, 'A', 'SPD', pmax FROM {generator} WHERE gen_id = '1'",
     "value",
 )
 _register("watched_generators", lambda r: series.watched_generators(r.generator, r.bus, 3, 0), "SELECT g.bus_id, gen_id FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 AND area = 3")
@@ -749,8 +749,8 @@ _register(
 _register(
     "compare_buses",
     lambda r: compare.compare_buses(r.bus, r.bus.where("bus_id % 31 <> 0").withColumns({"base_kv": F.col("base_kv") + F.col("bus_id") % 2, "area": F.when(F.col("bus_id") % 10 == 0, 9).otherwise(F.col("area"))})),
-    """SELECT count(*) FILTER (WHERE bus_id % 31 <> 0) AS matched, count(*) FILTER (WHERE bus_id % 31 = 0) AS only_a, 0 AS only_b, avg(CASE WHEN bus_id % 31 <> 0 THEN CAST(bus_id % 2 AS DOUBLE) END) AS mean_kv_diff, max(CASE WHEN bus_id % 31 <> 0 THEN CAST(bus_id % 2 AS DOUBLE) END) AS max_kv_diff,
- 0 AS name_mismatch, count(*) FILTER (WHERE bus_id % 31 <> 0 AND bus_id % 10 = 0) AS area_mismatch, 0 AS zone_mismatch, 0 AS owner_mismatch FROM {bus}""",
+    """SELECT count(*) FILTER (WHERE bus_id % 31 <> 0) AS matched, count(*) FILTER (WHERE bus_id % 31 = 0) AS only_a, CAST(0 AS BIGINT) AS only_b, avg(CASE WHEN bus_id % 31 <> 0 THEN CAST(bus_id % 2 AS DOUBLE) END) AS mean_kv_diff, max(CASE WHEN bus_id % 31 <> 0 THEN CAST(bus_id % 2 AS DOUBLE) END) AS max_kv_diff,
+ CAST(0 AS BIGINT) AS name_mismatch, count(*) FILTER (WHERE bus_id % 31 <> 0 AND bus_id % 10 = 0) AS area_mismatch, CAST(0 AS BIGINT) AS zone_mismatch, CAST(0 AS BIGINT) AS owner_mismatch FROM {bus}""",
     "mean_kv_diff max_kv_diff",
 )
 _register(
