@@ -93,33 +93,53 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.slope * most + model.shift, -30, 30)))
 
 
+def _training_set(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram buckets, where each passage's begin, row of each passage) of all texts, made a few texts at a time."""
+    ids, counts, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, some in chunks(pa.array([t.encode() for t in texts], pa.binary()), 1 << 18):
+        found, owner, row = subwords(some, window)
+        ids.append(found.astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(row)))
+        rows.append(row + at)
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(rows)
+
+
+def _training_logits(weight: np.ndarray, bias: float, ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    out = np.full(len(cut) - 1, bias)
+    for lo in range(0, len(out), 8192):
+        hi = min(lo + 8192, len(out))
+        n = np.diff(cut[lo : hi + 1])
+        owner = np.repeat(np.arange(hi - lo), n)
+        out[lo:hi] += np.bincount(owner, weights=weight[ids[cut[lo] : cut[hi]]], minlength=hi - lo) / np.maximum(n, 1)
+    return out
+
+
 def fit(texts: list[str], labels: list[int], window: int = 2, dim: int = 12, epochs: int = 8, rate: float = 0.6, seed: int = 7) -> Model:
     """Train embeddings and softmax jointly. Without both labels every text gets the share of label 1."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))), window)
-    ids, owner, row = subwords([t.encode() for t in texts], window)
-    cut = np.searchsorted(owner, np.arange(len(row) + 1))
+    ids, cut, row = _training_set(texts, window)
     rng = np.random.default_rng(seed)
     # start: an n-gram's log ratio of toxic to clean texts that hold it
-    pairs = np.unique(row[owner] * BUCKETS + ids)
-    toxic = y[pairs // BUCKETS] > 0
-    seen = [np.bincount(pairs[m] % BUCKETS, minlength=BUCKETS) for m in (toxic, ~toxic)]
-    weight = np.log((seen[0] + 0.5) / (y.sum() + 1)) - np.log((seen[1] + 0.5) / (len(y) - y.sum() + 1))
-    weight = np.where(seen[0] + seen[1] > 1, np.maximum(weight, -1.0), 0.0)
+    seen = np.zeros((2, BUCKETS))
+    texts_cut = cut[np.searchsorted(row, np.arange(len(y) + 1))]
+    for r in range(len(y)):
+        seen[int(y[r]), np.unique(ids[texts_cut[r] : texts_cut[r + 1]])] += 1
+    weight = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
+    weight = np.where(seen.sum(0) > 1, np.maximum(weight, -1.0), 0.0)
     emb = rng.normal(0, 0.05, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     direction = soft[:, 1] - soft[:, 0]
     emb += np.outer(weight * 2.0, direction / (direction @ direction)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    by_row = np.argsort(row, kind="stable")
-    row_cut = np.searchsorted(row[by_row], np.arange(len(y) + 1))
+    row_cut = np.searchsorted(row, np.arange(len(y) + 1))
     for epoch in range(epochs):
-        logits = _passage_logits(emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), ids, owner, len(row))
+        logits = _training_logits(emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), ids, cut)
         use, target = [], []
         for r in range(len(y)):
-            own = by_row[row_cut[r] : row_cut[r + 1]]
+            own = np.arange(row_cut[r], row_cut[r + 1])
             if not len(own):
                 continue
             top = own[np.argmax(logits[own])]
@@ -150,7 +170,7 @@ def fit(texts: list[str], labels: list[int], window: int = 2, dim: int = 12, epo
             bias -= step * p.sum(0).astype(np.float32)
     weight = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
     b = float(bias[1] - bias[0])
-    most = _text_max(_passage_logits(weight, b, ids, owner, len(row)), row, len(y), b - 8.0)
+    most = _text_max(_training_logits(weight, b, ids, cut), row, len(y), b - 8.0)
     scale = max(float(most.std()), 1e-3)
     x, slope, shift = (most - most.mean()) / scale, 1.0, 0.0
     for _ in range(400):  # logistic calibration of the maximum
@@ -159,11 +179,11 @@ def fit(texts: list[str], labels: list[int], window: int = 2, dim: int = 12, epo
     return Model(weight, b, slope / scale, shift - slope * float(most.mean()) / scale, window)
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500) -> Model:
-    """Fit on at most ``per_class`` labelled texts of each class (documented bound of the sample)."""
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1200, max_chars: int = 8000) -> Model:
+    """Fit on at most ``per_class`` labelled texts of each class, of at most ``max_chars`` each (documented bounds of the sample)."""
     ids = bounded_ids(labels, "doc_id", label, per_class)
     truth = {i: int(v) for v, found in ids.items() for i in found}
-    texts = texts_of(documents, list(truth))
+    texts = texts_of(documents, list(truth), max_chars=max_chars)
     return fit(list(texts.values()), [truth[i] for i in texts])
 
 
