@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 SKIP_TAGS = frozenset("head script style noscript template svg math iframe object canvas nav footer header aside form button select textarea dialog menu".split())
 #: Words in class, id or role of elements that never hold main text.
 SKIP_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|footer|header|banner|masthead|ad|ads|advert\w*|promo\w*|sponsor\w*|cookies?|consent|notice|notices|"
+    r"(?:^|\s|(?<!with)(?<!has)(?<!no)[_-])(?:nav|navbar|navigation|menu|sidebar|footer|header|banner|masthead|ad|ads|advert\w*|promo\w*|sponsor\w*|cookies?|consent|notice|notices|"
     r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommended|"
     r"breadcrumbs?|pagination|pager|widget|toolbar|tags|complementary|contentinfo|search|skip|hidden)(?:$|[\s_-])",
     re.I,
@@ -38,8 +38,10 @@ CLOSES = {"p": "p", "li": "li", "td": "td", "th": "th", "tr": "tr", "dd": "dd",
 class Lines(HTMLParser):
     """Collects (text, tags, ids of the containers around it) of each block of text outside skipped elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_name: bool = True) -> None:
+        """by_name: classes, ids and roles can mark an element as skipped."""
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.open: list[tuple[str, int, bool]] = []  # tag, id, skipped
         self.names: list[str] = []
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
@@ -63,7 +65,7 @@ class Lines(HTMLParser):
         if tag in CLOSES and self.open and self.open[-1][0] == CLOSES[tag]:
             self.handle_endtag(tag)
         skip = tag in SKIP_TAGS
-        if not skip and attrs and tag not in ("html", "body", "main"):
+        if not skip and attrs and self.by_name and tag not in ("html", "body", "main"):
             skip = any(k in ("class", "id", "role") and v and SKIP_WORDS.search(v) for k, v in attrs) or any(k == "hidden" for k, _ in attrs)
         self.open.append((tag, len(self.names), skip))
         self.names.append(tag)
@@ -104,10 +106,13 @@ def main_text(html: str | None) -> str:
     """Main text of one page; empty for null, empty or textless pages."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
+    for by_name in (True, False):  # if names would skip the whole page, only elements count
+        parser = Lines(by_name)
+        parser.feed(html)
+        parser.close()
+        parser.end_line()
+        if parser.lines:
+            break
     lines = parser.lines
     if not lines:
         return ""

@@ -8,6 +8,7 @@ language is low. The language with the fewest phrases per character wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,10 @@ BLOCK = 384
 _cache: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]] = {}
 
 
-def letters(code_points: int = 0x3100) -> np.ndarray:
-    """Boolean table of code points: True for letters; all from ``code_points`` on count as letters."""
-    return np.array([chr(i).isalpha() for i in range(code_points)] + [True])
+@cache
+def letters() -> np.ndarray:
+    """Boolean table of all code points: True for letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def automaton(classes: np.ndarray) -> np.ndarray:
@@ -75,10 +77,8 @@ def class_table(training: dict[str, str]) -> np.ndarray:
     """Class of each code point: the letters most frequent in the training texts get their own."""
     found = np.concatenate([np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32) for t in training.values()] or [np.zeros(0, np.uint32)])
     is_letter = letters()
-    found = np.minimum(found, len(is_letter) - 1)
     count = np.bincount(found[is_letter[found]], minlength=len(is_letter))
-    count[-1] = 0
-    table = np.where(is_letter, _UNSEEN, 0).astype(np.int64)
+    table = np.where(is_letter, _UNSEEN, 0).astype(np.int16)
     top = np.argsort(-count, kind="stable")[: ALPHABET - 1]
     top = top[count[top] > 0]
     table[top] = np.arange(1, len(top) + 1)
@@ -87,7 +87,7 @@ def class_table(training: dict[str, str]) -> np.ndarray:
 
 def classes_of(text: str, table: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    found = table[np.minimum(points, len(table) - 1)]
+    found = table[points]
     return found[(found != 0) | np.concatenate([[0], found[:-1]]).astype(bool)]  # one class 0 for a run, none in front
 
 

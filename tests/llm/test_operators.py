@@ -86,6 +86,7 @@ def test_classifiers_on_awkward_tables(spark, awkward):
         assert module.score(awkward.where("false"), module.train(awkward.where("false"), labels)).count() == 0
     out = langid.predict(awkward, langid.train(awkward)).collect()
     assert len(out) == 15 and {r.lang_pred for r in out if r.doc_id in (3, 4, 5, 11)} == {"und"}
+    assert langid.identify(["🙂 🙂 12", "漢字"], {"en": "the quick brown fox"})[0] == ["und", "en"]
     assert {r.lang_pred for r in langid.predict(awkward, {}).collect()} == {"und"}
 
 
@@ -345,6 +346,8 @@ def test_html_regions():
     assert html_extract.main_text(divs) == "A long paragraph of the only text on this page, really. Short."
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p></p>") == ""
     assert html_extract.main_text("plain words") == "plain words"
+    assert html_extract.main_text("<body><div class='content with-sidebar'><p>Text of it.</p></div></body>") == "Text of it."
+    assert html_extract.main_text("<body><div id=search><p>All that there is.</p></div></body>") == "All that there is."
 
 
 def test_html_rows(spark):
