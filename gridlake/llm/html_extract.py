@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 SKIP_TAGS = frozenset("head script style noscript template svg math iframe object canvas nav footer header aside form button select textarea dialog menu".split())
 #: Words in class, id or role of elements that never hold main text.
 SKIP_WORDS = re.compile(
-    r"(?:^|\s|(?<!with)(?<!has)(?<!no)[_-])(?:nav|navbar|navigation|menu|sidebar|footer|header|banner|masthead|ad|ads|advert\w*|promo\w*|sponsor\w*|cookies?|consent|notice|notices|"
-    r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommended|"
+    r"(?:^|\s|(?<!with)(?<!has)(?<!no)[_-])(?:nav|navbar|subnav|topbar|navigation|menu|side|sidebar|aside|rail|footer|header|banner|masthead|copyright|ad|ads\w*|advert\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|"
+    r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|discussion|replies|reply|respond|disqus|share|sharing|social|related|recommended|"
     r"breadcrumbs?|pagination|pager|widget|toolbar|tags|complementary|contentinfo|search|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol "
@@ -66,7 +67,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
         skip = tag in SKIP_TAGS
         if not skip and attrs and self.by_name and tag not in ("html", "body", "main"):
-            skip = any(k in ("class", "id", "role") and v and SKIP_WORDS.search(v) for k, v in attrs) or any(k == "hidden" for k, _ in attrs)
+            skip = any(k in ("class", "id", "role") and v and SKIP_WORDS.search(v) for k, v in attrs) or any(k == "hidden" or (k == "style" and v and _UNSEEN.search(v)) for k, v in attrs)
         self.open.append((tag, len(self.names), skip))
         self.names.append(tag)
         self.skipping += skip
