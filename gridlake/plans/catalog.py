@@ -805,3 +805,34 @@ _register(
     lambda r: sinks.nested_case_json(_cases(r), r.voltage.where("bus_id < 4").select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.where("bus_id = 3").select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
     None,
 )
+
+
+def _stream(r: Roles, name: str) -> DataFrame:
+    """A given table as a stream of its files (a pattern, as the table may be a single file)."""
+    table = getattr(r, name)
+    return r.spark.readStream.schema(table.schema).parquet(f"{r.sf_dir}/{name}.parque[t]")
+
+
+_register(
+    "stream_excursion",
+    lambda r: streams.drained(streams.stream_excursion(r.spark.sql(roles.SQL["series"], events=_stream(r, "events")), start=5.0)),
+    f"{_EXCURSION}\nFINALLY SELECT o.machine, t, value, 'up' AS side FROM up JOIN ord o ON o.machine = up.machine AND o.n = up.n WHERE hit UNION ALL SELECT o.machine, t, value, 'down' FROM down JOIN ord o ON o.machine = down.machine AND o.n = down.n WHERE hit",
+    "t value",
+)
+
+
+def _arriving(frame: DataFrame) -> DataFrame:
+    return frame.select((F.col("l_orderkey") % 50).alias("event_idx"), F.col("l_suppkey").alias("from_bus"), F.col("l_partkey").alias("to_bus"), F.col("l_linenumber").cast("string").alias("ckt"), (F.col("l_extendedprice") / 1000).alias("p"), F.col("l_quantity").alias("q"))
+
+
+_register(
+    "stream_violations",
+    lambda r: streams.drained(streams.stream_violations(_arriving(_stream(r, "lineitem")), _arriving(r.lineitem).groupBy("from_bus", "to_bus", "ckt").agg((F.avg("p") + 5).alias("rate_a"), F.lit(0.0).alias("rate_b"), F.lit(0.0).alias("rate_c")))).select("event_idx", "from_bus", "to_bus", "ckt", "mva", "rate"),
+    "arr AS (SELECT l_orderkey % 50 AS event_idx, l_suppkey AS from_bus, l_partkey AS to_bus, CAST(l_linenumber AS VARCHAR) AS ckt, l_extendedprice / 1000 AS p, l_quantity AS q FROM {lineitem}), rat AS (SELECT from_bus, to_bus, ckt, avg(p) + 5 AS rate FROM arr GROUP BY 1, 2, 3)\nFINALLY SELECT event_idx, arr.from_bus, arr.to_bus, arr.ckt, sqrt(p * p + q * q) AS mva, rate FROM arr JOIN rat ON rat.from_bus = arr.from_bus AND rat.to_bus = arr.to_bus AND rat.ckt = arr.ckt WHERE sqrt(p * p + q * q) > rate",
+    "mva rate",
+)
+_register(
+    "stream_watch",
+    lambda r: streams.drained(streams.stream_watch(_stream(r, "events").select(F.col("event_type").alias("type"), F.col("user_id").alias("bus_id"), F.lit(None).cast("string").alias("tag"), "event_id", "value"), r.customer.where("c_custkey % 3 = 0").select(F.lit("CLICK ").alias("type"), F.col("c_custkey").alias("bus_id"), F.lit("").alias("tag")))),
+    "SELECT event_type AS type, user_id AS bus_id, '' AS tag, event_id, value FROM {events} WHERE event_type = 'click' AND user_id IN (SELECT c_custkey FROM {customer} WHERE c_custkey % 3 = 0)",
+)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridlake.functions.durable import shared_folder
 from gridlake.functions.exprs import canonical_tag, select_rating
 
 
@@ -62,3 +64,12 @@ def stream_watch(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Arriving observations (type, bus_id, tag, ...) that are on the static watch list."""
     clean = lambda f: f.withColumns({"type": F.lower(F.trim("type")), "tag": F.coalesce(canonical_tag(F.col("tag")), F.lit(""))})
     return clean(rows).join(clean(asked).select("type", "bus_id", "tag").distinct(), ["type", "bus_id", "tag"])
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """Everything that a stream has available now, written to the shared folder with its checkpoint and read back."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/gridlake-stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
