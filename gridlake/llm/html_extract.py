@@ -1,13 +1,15 @@
 """Main text of web pages from streaming parser events and smoothed text-to-tag ratios.
 
 The standard library's parser is fed the page; each block of text becomes a line with its characters, its tags and the
-elements around it. Lines inside menus, footers, adverts, forms and the like never count. The text-to-tag ratio of the
-rest is smoothed with a Gaussian, lines at or over the threshold form clusters, and the content region is the smallest container
-(an article if there is one) that holds most of the clusters' text. All lines of that region are returned.
+elements around it. Lines inside menus, footers, adverts, forms and the like don't count, unless such an element holds most
+of the page's text or was never closed. The text-to-tag ratio of the rest is smoothed with a Gaussian, lines at or over the
+threshold form clusters, and the content region is the smallest container that holds all clusters. All lines of that region are
+returned.
 """
 
 from __future__ import annotations
 
+import os.path
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -18,6 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Elements that never hold main text.
 SKIP_TAGS = frozenset("head script style noscript template svg math iframe object canvas nav footer header aside form button select textarea dialog menu".split())
+#: Of these, the ones whose text is never looked at, and the ones that are kept when they hold most of a page's text.
+NEVER_TAGS = frozenset("head script style template iframe textarea".split())
+HOLDERS = frozenset("nav footer header aside form dialog menu".split())
+#: Elements that may stand in a head; any other one ends it.
+HEAD_TAGS = frozenset("title base link meta script style noscript template".split())
 #: Words in class, id or role of elements that never hold main text.
 SKIP_WORDS = re.compile(
     r"(?:^|\s|(?<!with)(?<!has)(?<!no)[_-])(?:nav|navbar|subnav|topbar|navigation|menu|side|sidebar|aside|rail|footer|header|banner|masthead|copyright|ad|ads\w*|advert\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|"
@@ -37,40 +44,61 @@ CLOSES = {"p": "p", "li": "li", "td": "td", "th": "th", "tr": "tr", "dd": "dd",
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, ids of the containers around it) of each block of text outside skipped elements."""
+    """Collects each block of text: its parts with the skipped elements around them, its tags and the containers around it."""
 
-    def __init__(self, by_name: bool = True) -> None:
-        """by_name: classes, ids and roles can mark an element as skipped."""
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.by_name = by_name
-        self.open: list[tuple[str, int, bool]] = []  # tag, id, skipped
+        self.open: list[tuple[str, int, bool]] = []  # tag, id, skipped whatever it holds
         self.names: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.parts: list[str] = []
+        self.blocks: list[tuple[list[tuple[str, tuple[int, ...], bool]], int, tuple[int, ...]]] = []  # (data, ids of open candidates, in a link), tags, containers
+        self.parts: list[tuple[str, tuple[int, ...], bool]] = []
         self.tags = 0
         self.skipping = 0
+        self.links = 0
+        self.around: tuple[int, ...] = ()  # open candidates for skipping
+        self.why: dict[int, str] = {}  # candidate: tag, name or unseen
+        self.closed: set[int] = set()  # candidates that met their own end tag
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, tuple(i for tag, i, _ in self.open if tag in CONTAINERS)))
+        if self.parts:
+            self.blocks.append((self.parts, self.tags, tuple(i for tag, i, _ in self.open if tag in CONTAINERS)))
             self.tags = 0
         self.parts = []
 
+    def leave(self, at: int) -> None:
+        """Close the open elements from place ``at`` on."""
+        for tag, i, skip in self.open[at:]:
+            self.skipping -= skip
+            self.links -= tag == "a"
+            if i in self.why:
+                self.around = tuple(k for k in self.around if k != i)
+        del self.open[at:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if self.open and self.open[-1][0] == "head" and tag not in HEAD_TAGS:
+            self.leave(len(self.open) - 1)  # </head> may be left out
         if tag in BLOCK:
             self.end_line()
         if tag in VOID:
             return
         if tag in CLOSES and self.open and self.open[-1][0] == CLOSES[tag]:
             self.handle_endtag(tag)
-        skip = tag in SKIP_TAGS
-        if not skip and attrs and self.by_name and tag not in ("html", "body", "main"):
-            skip = any(k in ("class", "id", "role") and v and SKIP_WORDS.search(v) for k, v in attrs) or any(k == "hidden" or (k == "style" and v and _UNSEEN.search(v)) for k, v in attrs)
-        self.open.append((tag, len(self.names), skip))
+        i = len(self.names)
+        skip = tag in NEVER_TAGS
+        if tag in SKIP_TAGS and not skip:
+            self.why[i] = "tag"
+        elif not skip and attrs and tag not in ("html", "body", "main"):
+            if any(k == "hidden" or (k == "style" and v and _UNSEEN.search(v)) for k, v in attrs):
+                self.why[i] = "unseen"
+            elif any(k in ("class", "id", "role") and v and SKIP_WORDS.search(v) for k, v in attrs):
+                self.why[i] = "name"
+        if i in self.why:
+            self.around += (i,)
+        self.open.append((tag, i, skip))
         self.names.append(tag)
         self.skipping += skip
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -83,16 +111,48 @@ class Lines(HTMLParser):
             self.end_line()
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                for _, _, skip in self.open[at:]:
-                    self.skipping -= skip
-                del self.open[at:]
+                self.closed.add(self.open[at][1])
+                self.leave(at)
                 break
             if self.open[at][0] in ("article", "main", "body") and tag not in ("html", "body", "main", "article"):
                 break  # a stray end tag doesn't close the article
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.leave(len(self.open) - 1)
         if not self.skipping:
-            self.parts.append(data)
+            self.parts.append((data, self.around, self.links > 0))
+
+    def skipped(self) -> set[int]:
+        """Candidates that are skipped: all but those that hold over half of the page's text, not mostly links, and those
+        without an end tag, as what follows would be lost with them (a footer's end may be missing: little follows it)."""
+        total, held, linked = 0, dict.fromkeys(self.why, 0), dict.fromkeys(self.why, 0)
+        for parts, _, _ in self.blocks:
+            for data, around, link in parts:
+                n = sum(map(len, data.split()))
+                total += n
+                for i in around:
+                    held[i] += n
+                    linked[i] += n * link
+
+        def freed(i: int) -> bool:
+            tag, why = self.names[i], self.why[i]
+            if i not in self.closed and tag != "footer" and why != "unseen":
+                return True
+            return 2 * held[i] > total and (tag == "form" or 2 * linked[i] <= held[i]) and (why == "name" or tag in HOLDERS)
+
+        return {i for i in self.why if not freed(i)}
+
+    def lines(self, skipped: set[int]) -> list[tuple[str, int, tuple[int, ...]]]:
+        """(text, tags, ids of the containers around it) of each block with text outside skipped elements."""
+        found, tags = [], 0
+        for parts, n, around in self.blocks:
+            tags += n
+            text = " ".join("".join(data for data, inside, _ in parts if skipped.isdisjoint(inside)).split())
+            if text:
+                found.append((text, tags, around))
+                tags = 0
+        return found
 
 
 def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -107,32 +167,20 @@ def main_text(html: str | None) -> str:
     """Main text of one page; empty for null, empty or textless pages."""
     if not html:
         return ""
-    for by_name in (True, False):  # if names would skip the whole page, only elements count
-        parser = Lines(by_name)
-        parser.feed(html)
-        parser.close()
-        parser.end_line()
-        if parser.lines:
-            break
-    lines = parser.lines
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser.end_line()
+    skipped = parser.skipped()
+    lines = parser.lines(skipped) or parser.lines({i for i in skipped if parser.why[i] == "tag"})  # if names would skip the whole page, only elements count
     if not lines:
         return ""
     size = np.array([len(t) for t, _, _ in lines], float)
     ratio = smooth(size / np.maximum([n for _, n, _ in lines], 1))
     chosen = ratio >= min(ratio.std(), ratio.max())
-    weight: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for (_, _, around), use, n in zip(lines, chosen, size, strict=True):
-        for d, i in enumerate(around):
-            depth[i] = d
-            weight[i] = weight.get(i, 0.0) + (n if use else 0.0)
-    total = float(size[chosen].sum())
-    articles = [i for i in weight if parser.names[i] in ("article", "main") and weight[i] >= 0.5 * total]
-    if articles:
-        root = max((i for i in articles if parser.names[i] == "article"), key=lambda i: (weight[i], -depth[i]), default=articles[0])
-    else:
-        root = max((i for i in weight if weight[i] >= 0.8 * total), key=lambda i: (depth[i], -i), default=None)
-    return " ".join(t for t, _, around in lines if root is None or root in around)
+    inside = [around for (_, _, around), use in zip(lines, chosen, strict=True) if use]
+    common = os.path.commonprefix(inside)
+    return " ".join(t for t, _, around in lines if around[: len(common)] == common)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -350,6 +350,22 @@ def test_html_regions():
     assert html_extract.main_text("<body><div id=search><p>All that there is.</p></div></body>") == "All that there is."
 
 
+def test_html_keeps_whole_articles():
+    long = "A long paragraph that is most of the text on this page, really."
+    assert html_extract.main_text(f"<html><head><title>T</title><body><p>{long}</p></body></html>") == long
+    assert html_extract.main_text(f"<head><title>T</title>{long}") == long
+    assert html_extract.main_text(f"<body><p>Top.</p><form action=x><div><p>{long}</p></div></form></body>") == f"Top. {long}"
+    for name in ("sidebar-right", "x-widget-content"):
+        assert long in html_extract.main_text(f"<body><p>Left over.</p><div class='{name}'><div><p>{long}</p></div></div></body>")
+    for tag in ("nav", "form", "header"):
+        assert long in html_extract.main_text(f"<body><div><{tag}><b>Top</b><p>Other.</p><p>{long}</p></div><p>{long} {long} {long}</p></body>")
+    two = f"<article><p>{long} {long}</p></article><article><p>The second one is shorter but text too.</p></article>"
+    assert html_extract.main_text(f"<body><main>{two}</main><nav>a</nav></body>") == f"{long} {long} The second one is shorter but text too."
+    assert html_extract.main_text(f"<body>{two}</body>").endswith("text too.")
+    menu = "".join(f"<li><a href=/{i}>Entry number {i} of it</a>" for i in range(30))
+    assert html_extract.main_text(f"<body><nav><ul>{menu}</ul></nav><p>{long}</p></body>") == long
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>hé</p>", "x"), (1, "u", "<p>hé</p>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted([tuple(r) for r in html_extract.extract(pages).select("page_id", "url", "text", "n_chars").collect()], key=str) == sorted([(1, "u", "hé", 2), (1, "u", "hé", 2), (None, None, "", 0)], key=str)
