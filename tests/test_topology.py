@@ -57,6 +57,34 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert set(found.values()) == {0, 1000} and len(found) == 301 + 400
 
 
+def test_components_of_a_very_long_chain(spark):
+    chain = spark.range(2000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    found = connected_components(chain).collect()
+    assert len(found) == 2001 and {r.component for r in found} == {0}
+    bus, circuit = spark.range(2001).select(F.col("id").alias("bus_id"), F.lit(1).alias("type")), chain.select(F.col("u").alias("from_bus"), F.col("v").alias("to_bus"), F.lit("1").alias("ckt"), F.lit(1).alias("status"))
+    assert {(r.island, r.n_buses, r.main) for r in topology.islands(bus, circuit).collect()} == {(0, 2001, True)}
+
+
+def test_components_of_random_graphs_with_keys(spark):
+    import collections
+
+    rng = random.Random(7)
+    edges = [(k, rng.randrange(60), rng.randrange(60)) for k in range(4) for _ in range(20 + 10 * k)]
+    found = {(r.k, r.node): r.component for r in connected_components(spark.createDataFrame(edges, "k int, u long, v long"), ("k",)).collect()}
+    near = collections.defaultdict(set)
+    for k, a, b in edges:
+        near[k, a].add(b)
+        near[k, b].add(a)
+    assert set(found) == set(near)
+    for k, node in near:
+        seen, todo = {node}, [node]
+        while todo:
+            new = near[k, todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert found[k, node] == min(seen)
+
+
 def test_components_keep_keys_apart_and_self_loops(spark):
     edges = spark.createDataFrame([(1, 5, 6), (2, 6, 7), (2, 8, 8), (1, None, 3)], "k int, u long, v long")
     assert sorted(tuple(r) for r in connected_components(edges, ("k",)).collect()) == [(1, 5, 5), (1, 6, 5), (2, 6, 6), (2, 7, 6), (2, 8, 8)]
