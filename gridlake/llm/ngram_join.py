@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlake.functions.durable import durable
 from gridlake.llm.text import chunks, mix, shingle_sets
@@ -213,9 +213,17 @@ def components(documents: DataFrame, words_each: int = 4, percent: int = 85) ->
     link. Rows are kept, repeated ones too; a null doc_id never names a component unless nothing else could (then null).
     Sets are told apart by 64-bit signatures.
     """
+    described, names = _rooted(documents, words_each, percent)
+    names = names.join(names.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("v", "component_id")
+    return described.select("doc_id", "n_shingles", "v").join(names, "v", "left").select("doc_id", "n_shingles", F.expr("if(v is null, doc_id, component_id)").alias("component_id"))
+
+
+def _rooted(documents: DataFrame, words_each: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and (v, least, unnamed, root): every class with its smallest doc_id, whether a row of it has none,
+    and a class that stands for its component."""
     described = durable(_describe(documents, words_each, keys_needed(percent)))
     some = described.where("v IS NOT NULL")
-    classes = durable(some.groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    classes = durable(some.groupBy("v").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("unnamed"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     postings = classes.select("v", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.min("v").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "root")
     stars = postings.join(shared, "key").where("v <> root").select(F.col("root").alias("u"), "v").distinct()
@@ -244,18 +252,39 @@ def components(documents: DataFrame, words_each: int = 4, percent: int = 85) ->
 
     links = durable(spread.groupBy("grp", "i", "j").applyInPandas(search, "u long, w long"))
     linked = connected_components(links, u="u", v="w").select(F.col("node").alias("v"), F.col("component").alias("root"))
-    rooted = classes.select("v", "least").join(linked, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
-    names = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("v", "component_id")
-    return described.select("doc_id", "n_shingles", "v").join(names, "v", "left").select("doc_id", "n_shingles", F.expr("if(v is null, doc_id, component_id)").alias("component_id"))
+    return described, classes.select("v", "least", "unnamed").join(linked, "v", "left").select("v", "least", "unnamed", F.coalesce("root", "v").alias("root"))
+
+
+def _keyed(documents: DataFrame, words_each: int) -> DataFrame:
+    """All columns of documents, with doc_id as ``_id``, the signature of the text's set as ``_v`` (0 if empty) and whether it has one as ``_some``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in chunks(batch.column("text")):
+                size, v = signatures(*shingle_sets(texts, words_each), len(texts))
+                part = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.where(size > 0, v.view(np.int64), 0)), pa.array(size > 0)], names=[*part.schema.names, "_v", "_some"])
+
+    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_v", T.LongType()), T.StructField("_some", T.BooleanType())]))
 
 
 def keep_one(documents: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents, with all their columns, that stand for their component (its smallest doc_id).
+    """The rows of documents, with all their columns, that stand for their component: one row each.
 
-    Texts without words stay. Of repeated rows with one doc_id a single one stays; rows without a doc_id, which can't
-    be told apart, all stay.
+    It is a row of the component's smallest doc_id; where texts under that id differ, one of the smallest signature. So
+    different texts under a repeated id are decided each by its own component. Rows without a doc_id can't stand for
+    named ones; of those in a component a single one stays. Texts without words stay, one for each doc_id that isn't null.
     """
-    found = components(documents, words_each, percent)
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = documents.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
-    return named.unionByName(documents.where("doc_id IS NULL"))
+    described, names = _rooted(documents, words_each, percent)
+    best = durable(
+        names.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct(F.col("least").alias("_id"), F.col("v").alias("_v")))).alias("named"), F.min(F.when(F.col("unnamed"), F.col("v"))).alias("_v"))
+    )
+    empty = described.where("v IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_v"), F.lit(False).alias("_some")).distinct()
+    ids = best.where("named IS NOT NULL").select("named.*", F.lit(True).alias("_some")).union(empty)
+    key = ["_id", "_v", "_some"]
+    named = _keyed(documents.where("doc_id IS NOT NULL"), words_each).join(ids, key, "left_semi").dropDuplicates(key)
+    unnamed = _keyed(documents.where("doc_id IS NULL"), words_each)
+    single = unnamed.where("_some").join(best.where("_v IS NOT NULL").select("_v"), "_v", "left_semi").dropDuplicates(["_v"])
+    out = [part.select(*documents.columns) for part in (named, single, unnamed.where("NOT _some"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])

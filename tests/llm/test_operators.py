@@ -312,6 +312,21 @@ def test_ngram_join_awkward(spark, awkward):
     assert ngram_join.components(awkward.where("false")).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(40)) for name in "abcd")
+    near = three + " end"
+    rows = [
+        (1, one), (5, one), (5, two), (5, two), (5, None), (5, ""), (6, three), (6, four),  # 5: a copy of 1, its own text twice, empty; 6: two texts
+        *[(None, t) for t in [near] * 20 + [three] * 20 + ["e f g h i j"] * 20], (None, None), (None, " "),
+    ]
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = ngram_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    found = collections.Counter((r.doc_id, r.text) if r.text and r.text.strip() else (r.doc_id, "") for r in kept.collect())
+    assert sum(found.pop((None, t), 0) for t in (near, three)) == 1
+    assert found == collections.Counter([(1, one), (5, two), (5, ""), (6, three), (6, four), (None, "e f g h i j"), (None, ""), (None, "")])
+
+
 # --- 8: decontamination ---------------------------------------------------------------------------------------------
 
 
