@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridlake.functions.durable import durable
+from gridlake.functions.durable import Workspace
 
 
 def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), u: str = "u", v: str = "v") -> DataFrame:
@@ -16,33 +16,37 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), u: str =
     a root vanish. A root has either taken in all its neighbours or gets a smaller one, and then is no root in the
     next round, so two rounds at least halve the nodes that have edges: at most 2 log2 n rounds for any numbering.
     Aggregates combine on the map side and joins are equi-joins, so nodes of any degree are handled. Only whether a
-    table is empty reaches the driver. Nodes without edges aren't returned; self loops are.
+    table is empty reaches the driver. Nodes without edges aren't returned; self loops are. One durable table, the
+    labels, outlives the call.
     """
     keys = tuple(keys)
     edges = edges.select(*keys, F.col(u).alias("u"), F.col(v).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = edges.select(*keys, F.col("u").alias("node")).union(edges.select(*keys, F.col("v").alias("node"))).distinct()
-    live = durable(edges.where("u <> v").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    label = None
-    while not live.isEmpty():
-        both = live.select(*keys, F.col("u").alias("node"), F.col("v").alias("other")).union(live.select(*keys, F.col("v").alias("node"), F.col("u").alias("other")))
-        point = both.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("other")).alias("root"))
-        point = durable(point)
-        while True:
-            far = point.select(*keys, F.col("node").alias("root"), F.col("root").alias("further"))
-            point = durable(point.join(far, [*keys, "root"]).select(*keys, "node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
-            if point.where("moved").isEmpty():
-                break
-            point = point.drop("moved")
-        point = point.drop("moved")
+    with Workspace(edges.sparkSession) as tables:
+        live = tables.durable(edges.where("u <> v").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        label = None
+        while not live.isEmpty():
+            both = live.select(*keys, F.col("u").alias("node"), F.col("v").alias("other")).union(live.select(*keys, F.col("v").alias("node"), F.col("u").alias("other")))
+            point = tables.durable(both.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+            while True:
+                far = point.select(*keys, F.col("node").alias("root"), F.col("root").alias("further"))
+                old, point = point, tables.durable(point.join(far, [*keys, "root"]).select(*keys, "node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
+                tables.drop(old)
+                if point.where("moved").isEmpty():
+                    break
+            if label is None:
+                label = tables.durable(point.drop("moved"))
+            else:
+                far = point.select(*keys, F.col("node").alias("root"), F.col("root").alias("further"))
+                old, label = label, tables.durable(label.join(far, [*keys, "root"], "left").select(*keys, "node", F.coalesce("further", "root").alias("root")))
+                tables.drop(old)
+            of_u = point.select(*keys, F.col("node").alias("u"), F.col("root").alias("ru"))
+            of_v = point.select(*keys, F.col("node").alias("v"), F.col("root").alias("rv"))
+            moved = live.join(of_u, [*keys, "u"]).join(of_v, [*keys, "v"]).where("ru <> rv")
+            old, live = live, tables.durable(moved.select(*keys, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+            tables.drop(old)
+            tables.drop(point)
         if label is None:
-            label = point
-        else:
-            far = point.select(*keys, F.col("node").alias("root"), F.col("root").alias("further"))
-            label = durable(label.join(far, [*keys, "root"], "left").select(*keys, "node", F.coalesce("further", "root").alias("root")))
-        of_u = point.select(*keys, F.col("node").alias("u"), F.col("root").alias("ru"))
-        of_v = point.select(*keys, F.col("node").alias("v"), F.col("root").alias("rv"))
-        moved = live.join(of_u, [*keys, "u"]).join(of_v, [*keys, "v"]).where("ru <> rv")
-        live = durable(moved.select(*keys, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
-    if label is None:
-        return nodes.select(*keys, "node", F.col("node").alias("component"))
-    return nodes.join(label, [*keys, "node"], "left").select(*keys, "node", F.coalesce("root", "node").alias("component"))
+            return nodes.select(*keys, "node", F.col("node").alias("component"))
+        loops = nodes.join(tables.keep(label), [*keys, "node"], "left")
+    return loops.select(*keys, "node", F.coalesce("root", "node").alias("component"))
