@@ -82,8 +82,43 @@ def join_texts(texts: list[bytes], sep: int = 0x20) -> tuple[np.ndarray, np.ndar
     return buffer, np.cumsum([len(t) + 1 for t in texts])
 
 
+def pieces(texts: list[bytes], separators: np.ndarray, fold: np.ndarray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(rows, parts) of at most about ``max_bytes``: long texts are cut at separators, so that no word is cut."""
+    rows: list[int] = []
+    parts: list[bytes] = []
+    size = 0
+    for r, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            to = len(t)
+            if to - at > max_bytes:
+                to = at + max_bytes
+                while to < len(t):  # on to the next separator, a window at a time
+                    ahead = np.flatnonzero(separators[fold[np.frombuffer(t, np.uint8, min(4096, len(t) - to), to)]])
+                    if len(ahead):
+                        to += int(ahead[0])
+                        break
+                    to = min(to + 4096, len(t))
+            rows.append(r)
+            parts.append(t[at:to])
+            size += to - at
+            at = to
+            if size >= max_bytes:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if parts:
+        yield rows, parts
+
+
 def words(texts: list[bytes], separators: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each word, 64-bit hash of each word) in text order."""
+    """(row of each word, 64-bit hash of each word) in text order. Long texts are read part by part: 16 bytes a word stay."""
+    found = [(np.asarray(rows)[row], value) for rows, parts in pieces(texts, separators, fold) for row, value in [_words(parts, separators, fold)]]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([r for r, _ in found]), np.concatenate([v for _, v in found])
+
+
+def _words(texts: list[bytes], separators: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     buffer, ends = join_texts(texts)
     folded = fold[buffer]
     inside = ~separators[folded]
@@ -128,3 +163,12 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         new = np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])
         r, h = r[new], h[new]
     return r, h
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column (in any case) has."""
+    taken = {c.lower() for c in columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]

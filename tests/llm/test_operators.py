@@ -275,31 +275,47 @@ def test_ngram_join_against_brute_force(spark):
         assert found == brute_components(rows, k, percent)
 
 
-def test_ngram_join_blocks_give_the_same(spark, monkeypatch):
+def test_ngram_join_parts_and_exact_search_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"v{i}" for i in range(100)]
     rows = []
-    for i in range(60):
-        words = list(base)
+    for i in range(90):
+        words = list(base) if i < 60 else [f"v{(i % 3) * 40 + j % 90}" for j in range(70)]
         for _ in range(rng.randrange(6)):
-            words[rng.randrange(100)] = f"e{rng.randrange(5)}"
+            words[rng.randrange(len(words))] = f"e{rng.randrange(5)}"
         rows.append((i, " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 900)
+    wanted = sorted(brute_components(rows, 4, 85))
+    assert sorted(tuple(r) for r in ngram_join.components(frame, exact=True).collect()) == wanted
+    for name, small in (("TASK_SHINGLES", 300), ("LIST_BLOCK", 7), ("HOT_KEYS", 20)):
+        monkeypatch.setattr(ngram_join, name, small)
+    assert sorted(tuple(r) for r in ngram_join.components(frame).collect()) == wanted
+
+
+def test_ngram_join_finds_what_hubs_miss(spark):
+    """Chains of texts that each link only with the next one: no text is a hub of them all."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 5, i * 5 + 80))) for i in range(0, 40)]
+    rows += [(100 + i, " ".join(f"u{j}" for j in range(i * 30, i * 30 + 60))) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in ngram_join.components(frame).collect()) == sorted(brute_components(rows, 4, 85))
 
 
-def test_divide_skip_against_counting():
+def test_search_against_counting():
     rng = random.Random(2)
-    sets = [sorted(rng.sample(range(60), rng.randrange(20, 40))) for _ in range(50)] + [list(range(30)), list(range(29)), list(range(31))]
-    index = collections.defaultdict(list)
-    for d, s in enumerate(sets):
-        for t in s:
-            index[t].append(d)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randrange(20, 40)))) for _ in range(50)] + [np.arange(30), np.arange(29), np.arange(31)]
     for percent in (50, 85):
         for s in sets:
-            found = ngram_join.divide_skip(s, len(s), index, [len(x) for x in sets], bytearray(b"\1") * len(sets), percent)
-            assert sorted(found) == [d for d, o in enumerate(sets) if 100 * len(set(s) & set(o)) >= percent * len(set(s) | set(o))]
+            found = ngram_join.search(s, sets, percent)
+            mine = set(s.tolist())
+            assert found == [d for d, o in enumerate(sets) if 100 * len(mine & set(o.tolist())) >= percent * len(mine | set(o.tolist()))]
+    assert ngram_join.search(sets[0], [], 85) == []
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    some = [(" ".join(f"w{i}" for i in range(3000))).encode(), b"", b"x" * 20_000 + b" y", "ü é".encode() * 900]
+    whole = text.words(some, text.WHITE)
+    monkeypatch.setattr(text.pieces, "__defaults__", (512,))
+    assert all((a == b).all() for a, b in zip(whole, text.words(some, text.WHITE), strict=True))
 
 
 def test_ngram_join_awkward(spark, awkward):
