@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from gridlake.functions.ordering import number
 
 END = ("from_bus", "to_bus")
 
@@ -41,17 +43,12 @@ def attach_to_branch(values: DataFrame, branch: DataFrame) -> DataFrame:
 
 
 def dense_index(frame: DataFrame, key: str, name: str = "dense") -> DataFrame:
-    """Adds the rank 0..n-1 of the distinct ``key``, which must be a long.
+    """Adds the rank 0..n-1 of the distinct ``key``, of any type that can be ordered; rows without a key are left out.
 
-    Keys are numbered inside ranges of 65,536 values; one small table holds how many keys come before each range, so
-    no window covers all keys.
+    Keys are numbered in ranges, so no window or task covers all keys, however they are spread.
     """
-    keys = frame.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_range", F.shiftright(F.col(key).cast("long"), 16))
-    counts = keys.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    numbered = keys.withColumn("_nth", nth).join(before, "_range").select(key, (F.col("_before") + F.col("_nth") - 1).cast("long").alias(name))
-    return frame.join(numbered, key)
+    keys = frame.select(key).where(F.col(key).isNotNull()).distinct()
+    return frame.join(number(keys, [key], name), key)
 
 
 def neighbors(branch: DataFrame) -> DataFrame:

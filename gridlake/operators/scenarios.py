@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from gridlake.functions.ordering import number
 from gridlake.operators import topology
 from gridlake.operators.keyed import scenario_name
 
@@ -33,9 +34,10 @@ def n1_in_area(circuit: DataFrame, generator: DataFrame, bus: DataFrame, area: i
     for end in ("from_bus", "to_bus"):
         lines = lines.join(inside.withColumnRenamed("bus_id", end), end, "left_semi")
     machines = generator.where("status = 1").join(inside, "bus_id", "left_semi")
-    n = lambda *by: F.row_number().over(Window.orderBy(*by)).cast("string")  # noqa: E731  one area's outages
-    a = lines.select(F.concat(F.lit("LineCTG"), n("from_bus", "to_bus", "ckt")).alias("name"), F.col("from_bus").alias("bus1"), F.col("to_bus").alias("bus2"), F.col("ckt").alias("tag"))
-    b = machines.select(F.concat(F.lit("GenCTG"), n("bus_id", "gen_id")).alias("name"), F.col("bus_id").alias("bus1"), F.lit(None).cast("long").alias("bus2"), F.col("gen_id").alias("tag"))
+    lines = number(lines.select("from_bus", "to_bus", "ckt"), ["from_bus", "to_bus", "ckt"], "n", start=1)
+    machines = number(machines.select("bus_id", "gen_id"), ["bus_id", "gen_id"], "n", start=1)
+    a = lines.select(F.concat(F.lit("LineCTG"), F.col("n").cast("string")).alias("name"), F.col("from_bus").alias("bus1"), F.col("to_bus").alias("bus2"), F.col("ckt").alias("tag"))
+    b = machines.select(F.concat(F.lit("GenCTG"), F.col("n").cast("string")).alias("name"), F.col("bus_id").alias("bus1"), F.lit(None).cast("long").alias("bus2"), F.col("gen_id").alias("tag"))
     return a.union(b)
 
 
@@ -80,10 +82,9 @@ def combine(auto: DataFrame, file: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(combined, counts): the automatic list, then rows of the file list that repeat none of it; event_idx follows list order.
     counts has auto, added and skipped."""
     added = dedup_scenarios(file, auto)
-    order = Window.orderBy("_list", "_old")
     old = auto.select("event_idx").distinct().select(F.lit(0).alias("_list"), F.col("event_idx").alias("_old"))
     old = old.union(added.select("event_idx").distinct().select(F.lit(1), F.col("event_idx")))
-    index = old.withColumn("_new", F.row_number().over(order))  # a scenario list, not result rows
+    index = number(old, ["_list", "_old"], "_new", start=1)
     whole = auto.withColumn("_list", F.lit(0)).unionByName(added.withColumn("_list", F.lit(1))).withColumnRenamed("event_idx", "_old")
     combined = whole.join(index, ["_list", "_old"]).withColumnRenamed("_new", "event_idx").drop("_list", "_old")
     distinct = lambda f: f.agg(F.countDistinct("event_idx").alias("n"))
