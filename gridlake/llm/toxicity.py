@@ -1,10 +1,11 @@
 """Toxicity scoring with subword-bag embeddings and a linear softmax.
 
-A text is cut into passages of a few words. A passage's vector is the mean of the embeddings of its character
-n-grams, and a linear softmax over it gives clean against toxic; embeddings and softmax are trained jointly by
-gradient descent in numpy. As only n-grams are embedded, a misspelling never seen shares most of its vectors with
-the word it stands for. A text scores by its most toxic passage (labels are per text, so training picks that
-passage anew in each epoch), calibrated by a logistic fit. Scoring reads whole texts in one pass, without a shuffle.
+A text's passages are all its runs of a few words. A passage's vector is the mean of the embeddings of its character
+n-grams, and a linear softmax over it gives clean against toxic; embeddings and softmax start at random and are trained
+jointly by gradient descent in numpy. As only n-grams are embedded, a misspelling never seen shares most of its vectors
+with the word it stands for. A text scores by its most toxic passage. Labels are per text: the first epochs let every
+passage have its text's label, the later ones pick the most toxic passage of each text anew. A logistic fit calibrates
+the score. Scoring reads whole texts in one pass, without a shuffle; long ones part by part.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridlake.llm.sampling import bounded_ids, texts_of
-from gridlake.llm.text import LOWER, WHITE, chunks, join_texts, mix
+from gridlake.llm.text import LOWER, WHITE, chunks, join_texts, mix, pieces
 
 BUCKETS = 1 << 17
 GRAMS = (3, 5, 7)
@@ -37,8 +38,8 @@ class Model:
     window: int
 
 
-def subwords(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram buckets in order of passage, passage of each, row of each passage); ``window`` words a passage."""
+def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram buckets in order of word, number of each word's, row of each word)."""
     buffer, ends = join_texts(texts)
     folded = LOWER[buffer]
     white = WHITE[folded]
@@ -46,12 +47,8 @@ def subwords(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     first = np.flatnonzero(start)
     row = np.searchsorted(ends, first, "right")
     if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new_row = np.concatenate([[True], row[1:] != row[:-1]])
-    nth = np.arange(len(row)) - np.flatnonzero(new_row)[np.cumsum(new_row) - 1]
-    opens = nth % window == 0
-    passage_of_word = np.cumsum(opens) - 1
-    word_of_byte = np.maximum(np.cumsum(start) - 1, 0)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word_of_byte = np.maximum(np.cumsum(start, dtype=np.int32) - 1, 0)
     edge = _EDGE[folded]
     # edges are one symbol, so that a word looks the same before a blank and before a full stop
     code = np.where(edge, np.uint64(0x51ED270B), _LETTER[folded])
@@ -65,18 +62,28 @@ def subwords(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
         h = h * np.uint64(0x9E3779B97F4A7C55) + padded[j : j + n]
         if j + 1 in GRAMS:
             at = np.flatnonzero(~broken & ~edge)
-            ids.append((mix(h[at]) % np.uint64(BUCKETS)).astype(np.int64))
-            owners.append(passage_of_word[word_of_byte[at]])
+            ids.append((mix(h[at]) % np.uint64(BUCKETS)).astype(np.int32))
+            owners.append(word_of_byte[at])
         if j:
             broken = broken | letters[j : j + n]
     ids, owners = np.concatenate(ids), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return ids[order], owners[order], row[opens]
+    return ids[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(first)), row
 
 
-def _passage_logits(model_weight: np.ndarray, bias: float, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    count = np.maximum(np.bincount(owner, minlength=n), 1)
-    return np.bincount(owner, weights=model_weight[ids], minlength=n) / count + bias
+def passages(row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, past the last word) of every run of ``window`` words of a row; a shorter row is one run."""
+    n = len(row)
+    first = np.arange(n)
+    end = np.searchsorted(row, row, "right")
+    opens = np.searchsorted(row, row, "left") == first
+    use = (first + window <= end) | opens
+    return first[use], np.minimum(first + window, end)[use]
+
+
+def _logits(weight: np.ndarray, bias: float, ids: np.ndarray, count: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    by_word = np.concatenate([[0.0], np.cumsum(np.bincount(np.repeat(np.arange(len(count)), count), weights=weight[ids], minlength=len(count)))])
+    grams = np.concatenate([[0], np.cumsum(count)])
+    return (by_word[end] - by_word[first]) / np.maximum(grams[end] - grams[first], 1) + bias
 
 
 def _text_max(logits: np.ndarray, row: np.ndarray, n: int, floor: float) -> np.ndarray:
@@ -86,104 +93,111 @@ def _text_max(logits: np.ndarray, row: np.ndarray, n: int, floor: float) -> np.n
 
 
 def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Probability that a text is toxic; a text without words scores as its lowest possible passage."""
-    ids, owner, row = subwords(texts, model.window)
-    logits = _passage_logits(model.weight, model.bias, ids, owner, len(row))
-    most = _text_max(logits, row, len(texts), model.bias - 8.0)
+    """Probability that a text is toxic; a text without words scores as its lowest possible passage.
+
+    Long texts are read part by part; a part begins with the last words of the one before, so no passage is missed."""
+    most = np.full(len(texts), -np.inf)
+    before: tuple[int, bytes] = (-1, b"")
+    for rows, parts in pieces(texts, WHITE, LOWER):
+        tail = (rows[-1], b" ".join(parts[-1][-4096:].split()[-(model.window - 1) :]) if model.window > 1 else b"")
+        if rows[0] == before[0]:
+            parts[0] = before[1] + b" " + parts[0]
+        before = tail
+        ids, count, row = subwords(parts)
+        if len(row):
+            first, end = passages(row, model.window)
+            np.maximum.at(most, np.asarray(rows)[row[first]], _logits(model.weight, model.bias, ids, count, first, end))
+    most = np.where(np.isfinite(most), most, model.bias - 8.0)
     return 1 / (1 + np.exp(-np.clip(model.slope * most + model.shift, -30, 30)))
 
 
-def _training_set(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram buckets, where each passage's begin, row of each passage) of all texts, made a few texts at a time."""
+def _training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram buckets, number of each word's, row of each word) of all texts, made a few texts at a time."""
     ids, counts, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at, some in chunks(pa.array([t.encode() for t in texts], pa.binary()), 1 << 18):
-        found, owner, row = subwords(some, window)
-        ids.append(found.astype(np.int32))
-        counts.append(np.bincount(owner, minlength=len(row)))
+        found, count, row = subwords(some)
+        ids.append(found)
+        counts.append(count)
         rows.append(row + at)
-    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(rows)
-
+    return np.concatenate(ids), np.concatenate(counts), np.concatenate(rows)
 
-def _training_logits(weight: np.ndarray, bias: float, ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    out = np.full(len(cut) - 1, bias)
-    for lo in range(0, len(out), 8192):
-        hi = min(lo + 8192, len(out))
-        n = np.diff(cut[lo : hi + 1])
-        owner = np.repeat(np.arange(hi - lo), n)
-        out[lo:hi] += np.bincount(owner, weights=weight[ids[cut[lo] : cut[hi]]], minlength=hi - lo) / np.maximum(n, 1)
-    return out
 
-
-def fit(texts: list[str], labels: list[int], window: int = 2, dim: int = 12, epochs: int = 8, rate: float = 0.6, seed: int = 7) -> Model:
+def fit(
+    texts: list[str], labels: list[int], window: int = 2, dim: int = 8, spread_epochs: int = 3, epochs: int = 6, rate: float = 0.5, batch: int = 2048, seed: int = 7
+) -> Model:
     """Train embeddings and softmax jointly. Without both labels every text gets the share of label 1."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))), window)
-    ids, cut, row = _training_set(texts, window)
+    ids, count, word_row = _training_set(texts)
+    first, end = passages(word_row, window)
+    row = word_row[first]
+    cut = np.concatenate([[0], np.cumsum(count)])
     rng = np.random.default_rng(seed)
-    # start: an n-gram's log ratio of toxic to clean texts that hold it
-    seen = np.zeros((2, BUCKETS))
-    texts_cut = cut[np.searchsorted(row, np.arange(len(y) + 1))]
-    for r in range(len(y)):
-        seen[int(y[r]), np.unique(ids[texts_cut[r] : texts_cut[r + 1]])] += 1
-    weight = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
-    weight = np.where(seen.sum(0) > 1, np.maximum(weight, -1.0), 0.0)
     emb = rng.normal(0, 0.05, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
-    direction = soft[:, 1] - soft[:, 0]
-    emb += np.outer(weight * 2.0, direction / (direction @ direction)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    row_cut = np.searchsorted(row, np.arange(len(y) + 1))
-    for epoch in range(epochs):
-        logits = _training_logits(emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), ids, cut)
-        use, target = [], []
-        for r in range(len(y)):
-            own = np.arange(row_cut[r], row_cut[r + 1])
-            if not len(own):
-                continue
-            top = own[np.argmax(logits[own])]
-            picked = [top] if y[r] else [top, *rng.choice(own, min(3, len(own)), replace=False)]
-            use += picked
-            target += [int(y[r])] * len(picked)
-        use, target = np.array(use), np.array(target)
-        order = rng.permutation(len(use))
-        for lo in range(0, len(order), 128):
-            some = use[order[lo : lo + 128]]
-            lens = cut[some + 1] - cut[some]
-            some, hit = some[lens > 0], target[order[lo : lo + 128]][lens > 0]
-            lens = lens[lens > 0]
+    of_row = np.searchsorted(row, np.arange(len(y) + 1))
+
+    def now() -> tuple[np.ndarray, float]:
+        return (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0])
+
+    def epoch(use: np.ndarray, weight: np.ndarray, step: float) -> None:
+        nonlocal emb, soft, bias
+        for lo in range(0, len(use), batch):
+            some = use[lo : lo + batch]
+            begin, lens = cut[first[some]], cut[end[some]] - cut[first[some]]
+            some, begin, lens, w = some[lens > 0], begin[lens > 0], lens[lens > 0], weight[lo : lo + batch][lens > 0]
             if not len(some):
                 continue
-            at = np.repeat(cut[some] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-            g = ids[at]
-            mean = np.add.reduceat(emb[g], np.concatenate([[0], np.cumsum(lens)[:-1]])) / lens[:, None]
+            opens = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            g = ids[np.repeat(begin - opens, lens) + np.arange(lens.sum())]
+            mean = np.add.reduceat(emb[g], opens) / lens[:, None]
             z = mean @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(hit)), hit] -= 1
-            p *= np.where(hit, 2.0, 1.0)[:, None] / len(hit)
-            step = rate / (1 + epoch)
-            back = (p @ soft.T) / lens[:, None]
-            np.add.at(emb, g, -step * 40 * np.repeat(back, lens, axis=0).astype(np.float32))
-            soft -= step * (mean.T @ p).astype(np.float32)
-            bias -= step * p.sum(0).astype(np.float32)
-    weight = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-    b = float(bias[1] - bias[0])
-    most = _text_max(_training_logits(weight, b, ids, cut), row, len(y), b - 8.0)
+            p[np.arange(len(some)), y[row[some]].astype(int)] -= 1
+            p *= w[:, None]
+            back = np.repeat(((p @ soft.T) / lens[:, None]).astype(np.float32), lens, axis=0)
+            for d in range(dim):
+                emb[:, d] -= np.clip(step * np.bincount(g, weights=back[:, d], minlength=BUCKETS), -0.5, 0.5)
+            soft -= step / len(some) * (mean.T @ p).astype(np.float32)
+            bias -= step / len(some) * p.sum(0).astype(np.float32)
+
+    per_row = np.diff(of_row)[row]
+    for e in range(spread_epochs):  # every passage bears its text's label; texts and labels weigh alike
+        use = rng.permutation(len(row))
+        share = np.where(y[row] == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))) / per_row * len(row) / len(y)
+        epoch(use, share[use], rate / (1 + e))
+    for e in range(epochs):
+        logits = _logits(*now(), ids, count, first, end)
+        picked = []
+        for r in range(len(y)):
+            own = np.arange(of_row[r], of_row[r + 1])
+            if len(own):
+                top = own[np.argmax(logits[own])]
+                picked += [top] if y[r] else [top, *rng.choice(own, min(3, len(own)), replace=False)]
+        use = rng.permutation(np.array(picked, int))
+        epoch(use, np.where(y[row[use]] == 1, 2.0, 1.0), rate * 4 / (1 + e))
+    weight, b = now()
+    most = _text_max(_logits(weight, b, ids, count, first, end), row, len(y), b - 8.0)
     scale = max(float(most.std()), 1e-3)
     x, slope, shift = (most - most.mean()) / scale, 1.0, 0.0
     for _ in range(400):  # logistic calibration of the maximum
         p = 1 / (1 + np.exp(-(slope * x + shift)))
         slope, shift = slope - 2 * ((p - y) * x).mean() - 0.002 * slope, shift - 2 * (p - y).mean()
-    return Model(weight, b, slope / scale, shift - slope * float(most.mean()) / scale, window)
+    return Model(weight.astype(np.float32), b, slope / scale, shift - slope * float(most.mean()) / scale, window)
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1200, max_chars: int = 8000) -> Model:
-    """Fit on at most ``per_class`` labelled texts of each class, of at most ``max_chars`` each (documented bounds of the sample)."""
+    """Fit on at most ``per_class`` labelled texts of each class, of at most ``max_chars`` each (documented bounds of the sample).
+
+    Longer texts aren't learned from, as their heads alone may not bear out their label. Rows without doc_id, label or text are
+    left out; of a repeated doc_id the smallest text counts. Without labels of both kinds every text scores the same."""
     ids = bounded_ids(labels, "doc_id", label, per_class)
     truth = {i: int(v) for v, found in ids.items() for i in found}
-    texts = texts_of(documents, list(truth), max_chars=max_chars)
+    texts = texts_of(documents, list(truth), max_chars=max_chars, whole=True)
     return fit(list(texts.values()), [truth[i] for i in texts])
 
 
@@ -191,7 +205,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     """All columns of documents plus ``score`` and ``predicted``; own columns of those names are replaced.
 
     Null and empty texts get the score of a text without any passage. Rows are never dropped; repeated rows score
-    alike. One pass of mapInArrow; the model (about 1 MB, a fixed number of buckets) travels as a broadcast.
+    alike, and ties are no matter: each row has its own score. Texts of any length take some 30 MB of a worker. One pass of mapInArrow; the model (about 1 MB, a fixed number of buckets) travels as a broadcast.
     """
     keep = [c for c in documents.columns if c not in ("score", "predicted")]
     sent = documents.sparkSession.sparkContext.broadcast(model)
