@@ -2,7 +2,8 @@
 
 For each language a suffix automaton of bounded labelled text recognises all its substrings. A text is parsed greedily
 into the longest phrases that occur there; few phrases for a text's length mean that its entropy relative to the
-language is low. The language with the fewest phrases per character wins.
+language is low. The language with the fewest phrases per character wins. A text is parsed whole: it is cut into blocks that
+are parsed at once, and each block's parse is then mended from the state in which the block before it ended.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridlake.llm.sampling import bounded_ids, texts_of
-from gridlake.llm.text import chunks
+from gridlake.llm.text import chunks, mix
 
 UNKNOWN = "und"
 ALPHABET = 62
-#: Class 0 stands for runs of characters that aren't letters, the last but one for unseen letters, the last pads.
+#: Class 0 stands for runs of characters that aren't letters, 1 to OWN for single letters, the next for shared ones, ALPHABET for unseen letters.
+OWN = 40
 _UNSEEN, _PAD = ALPHABET, ALPHABET + 1
 BLOCK = 384
 _cache: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]] = {}
@@ -74,14 +76,17 @@ def automaton(classes: np.ndarray) -> np.ndarray:
 
 
 def class_table(training: dict[str, str]) -> np.ndarray:
-    """Class of each code point: the letters most frequent in the training texts get their own."""
+    """Class of each code point: the OWN most frequent letters of the training texts get their own, its other letters share the rest
+    by a hash (so scripts of thousands of letters still differ word by word), and letters it doesn't have are unseen."""
     found = np.concatenate([np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32) for t in training.values()] or [np.zeros(0, np.uint32)])
     is_letter = letters()
     count = np.bincount(found[is_letter[found]], minlength=len(is_letter))
     table = np.where(is_letter, _UNSEEN, 0).astype(np.int16)
-    top = np.argsort(-count, kind="stable")[: ALPHABET - 1]
-    top = top[count[top] > 0]
-    table[top] = np.arange(1, len(top) + 1)
+    order = np.argsort(-count, kind="stable")
+    order = order[: np.count_nonzero(count)]
+    table[order[:OWN]] = np.arange(1, len(order[:OWN]) + 1)
+    rest = order[OWN:]
+    table[rest] = OWN + 1 + (mix(rest.astype(np.uint64)) % np.uint64(ALPHABET - OWN - 1)).astype(np.int16)
     return table
 
 
@@ -101,32 +106,65 @@ def models(training: dict[str, str]) -> tuple[np.ndarray, dict[str, np.ndarray]]
     return _cache[key]
 
 
-def phrases(sequences: list[np.ndarray], automata: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each sequence (row) against each automaton (column); sequences are parsed in blocks of BLOCK
-    classes, all blocks of the call in step. A phrase ends with its block."""
-    counts = np.array([-(-len(s) // BLOCK) for s in sequences])
+def phrases(sequences: list[np.ndarray], automata: list[np.ndarray], size: int = BLOCK) -> np.ndarray:
+    """Phrases of each sequence (row) against each automaton (column).
+
+    Blocks of ``size`` classes are parsed in step, as if a phrase began with each. Then every block is parsed again from the state
+    in which the one before ended, up to the first place where a phrase begins in both parses: from there on they are the
+    same. A block that they never agree in hands its new end state on, until nothing changes. So the result is that of
+    parsing each sequence from its front.
+    """
+    counts = np.array([-(-len(s) // size) for s in sequences])
     owner = np.repeat(np.arange(len(sequences)), counts)
     out = np.zeros((len(sequences), len(automata)), np.int64)
     if not len(owner):
         return out
     lens = np.array([len(s) for s in sequences])
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    size = np.minimum(lens[owner] - nth * BLOCK, BLOCK)
-    order = np.argsort(-size, kind="stable")  # blocks that still run stay in front
+    length = np.minimum(lens[owner] - nth * size, size)
+    order = np.argsort(-length, kind="stable")  # blocks that still run stay in front
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     flat = np.concatenate(sequences)
-    begin = (np.repeat(np.cumsum(lens) - lens, counts) + nth * BLOCK)[order]
-    size = size[order]
-    running = np.searchsorted(-size, -np.arange(1, BLOCK + 1), "right")
+    begin = (np.repeat(np.cumsum(lens) - lens, counts) + nth * size)[order]
+    length = length[order]
+    before = np.where(nth > 0, place[np.arange(len(order)) - 1], -1)[order]  # the block in front, by place
+    running = np.searchsorted(-length, -np.arange(1, size + 1), "right")
     columns = [flat[begin[:n] + i].astype(np.int32) for i, n in enumerate(running) if n]
     width = np.int32(ALPHABET + 2)
     for k, table in enumerate(automata):
-        flat_table = table.ravel()
-        state, count = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
-        for c in columns:
+        step = table.ravel()
+        state = np.zeros(len(begin), np.int32)
+        opens = np.zeros((len(columns), len(begin)), bool)
+        for i, c in enumerate(columns):
             n = len(c)
-            found = flat_table[state[:n] * width + c]
-            count[:n] += found & 1
+            found = step[state[:n] * width + c]
+            opens[i, :n] = found & 1
             state[:n] = found >> 1
+        count = opens.sum(0)
+        entered = np.zeros(len(begin), np.int32)  # state in which each block is entered, so far
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            start = state[before[todo]]
+            todo, start = todo[start != entered[todo]], start[start != entered[todo]]
+            entered[todo] = start
+            lanes, now, changed = todo, start, []
+            i = 0
+            while len(lanes):
+                over = length[lanes] <= i  # the parses didn't meet in the block
+                if over.any():
+                    state[lanes[over]] = now[over]
+                    changed.append(lanes[over])
+                    lanes, now = lanes[~over], now[~over]
+                    if not len(lanes):
+                        break
+                found = step[now * width + flat[begin[lanes] + i].astype(np.int32)]
+                new = (found & 1).astype(bool)
+                met = new & opens[i, lanes]
+                count[lanes] += new.astype(np.int64) - opens[i, lanes]
+                opens[i, lanes] = new
+                lanes, now, i = lanes[~met], (found >> 1)[~met], i + 1
+            todo = np.flatnonzero(np.isin(before, np.concatenate(changed))) if changed else np.zeros(0, int)
         np.add.at(out[:, k], owner[order], count)
     return out
 
@@ -146,16 +184,21 @@ def identify(texts: list[str], training: dict[str, str]) -> tuple[list[str], np.
     return [names[b] if ok else UNKNOWN for b, ok in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0)
 
 
-def train(documents: DataFrame, per_language: int = 120, max_chars: int = 24_000) -> dict[str, str]:
-    """Text of each non-null language, from at most ``per_language`` labelled documents and of at most ``max_chars``
-    characters (documented bounds of the sample; a language is cut at the bound)."""
+def train(documents: DataFrame, per_language: int = 120, max_chars: int = 24_000, total_chars: int = 1_000_000) -> dict[str, str]:
+    """Text of each non-null language: heads of at most ``max_chars`` characters of at most ``per_language`` labelled documents,
+    cut at ``max_chars`` a language and, where there are many languages, at an equal share of ``total_chars``.
+
+    These documented bounds fix what a Python worker holds: a state or two of 256 bytes a character, so 0.5 GB at most. Languages
+    without a letter in their sample are left out; so are rows without doc_id or lang.
+    """
     ids = bounded_ids(documents, "doc_id", "lang", per_language)
     lang_of = {i: str(lang) for lang, found in ids.items() for i in found}
+    bound = min(max_chars, total_chars // max(1, len(ids)))
     out: dict[str, list[str]] = {}
-    for i, text in texts_of(documents.where("lang IS NOT NULL"), list(lang_of), max_chars=max_chars).items():
+    for i, text in texts_of(documents.where("lang IS NOT NULL"), list(lang_of), max_chars=bound).items():
         if text and any(c.isalpha() for c in text):
             out.setdefault(lang_of[i], []).append(text)
-    return {lang: " ".join(texts)[:max_chars] for lang, texts in out.items()}
+    return {lang: " ".join(texts)[:bound] for lang, texts in out.items()}
 
 
 def predict(documents: DataFrame, training: dict[str, str]) -> DataFrame:
