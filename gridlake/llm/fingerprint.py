@@ -9,7 +9,9 @@ likeness (share of agreeing slots) falls when passages are moved, which makes it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gridlake.functions.ordering import number
 
 SLOT_BITS = 6
 
@@ -71,22 +73,15 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"if({either} = 0, 1.0D, size(array_intersect({a}, {b})) / CAST({either} AS double))")
 
 
-def next_lower(ids: DataFrame, levels: int = 3, bits: int = 12) -> DataFrame:
-    """(id, next_id) for a table of distinct long ids: the greatest smaller id, after the least the greatest.
+def next_lower(ids: DataFrame) -> DataFrame:
+    """(id, next_id) for a table of distinct ids: the greatest smaller id, after the least the greatest.
 
-    Ids are compared inside runs of 2**bits values; for a run's least id the greatest of the next run that has ids is
-    looked up in the same way, one level up. So no window holds more than 2**bits rows until, after ``levels`` levels,
-    few runs remain.
-    """
-    if levels == 0:
-        order = Window.orderBy(F.col("id").desc())
-        return ids.select("id", F.coalesce(F.lead("id").over(order), F.first("id").over(order)).alias("next_id"))
-    run = F.shiftright("id", bits)
-    runs = ids.groupBy(run.alias("run")).agg(F.max("id").alias("top"))
-    up = next_lower(runs.select(F.col("run").alias("id")), levels - 1, bits)
-    tops = up.join(runs.select(F.col("run").alias("next_id"), "top"), "next_id").select(F.col("id").alias("run"), "top")
-    inner = ids.select("id", run.alias("run"), F.lead("id").over(Window.partitionBy(run).orderBy(F.col("id").desc())).alias("following"))
-    return inner.join(tops, "run").select("id", F.coalesce("following", "top").alias("next_id"))
+    Ids are numbered in ranges, so however they are spread no task holds more than its range; then each number's id is joined
+    with that of the number below. One durable table outlives the call."""
+    placed = number(ids.select("id"), ["id"], "place")
+    total = placed.count()
+    below = placed.select(F.col("id").alias("next_id"), F.expr(f"(place + 1) % {max(total, 1)}").alias("place"))
+    return placed.join(below, "place").select("id", "next_id")
 
 
 def fingerprint_with_edits(documents: DataFrame, k: int = 3, tuple_size: int = 2) -> DataFrame:
@@ -95,7 +90,8 @@ def fingerprint_with_edits(documents: DataFrame, k: int = 3, tuple_size: int = 2
     The next document is that of the greatest smaller doc_id (after the least: the greatest). The edited text has the
     last third of its code points replaced by as many of the next document's first ones. Null texts are empty; a null doc_id
     counts as the least id. Rows that share a doc_id are kept; as a next document the one whose text has the smallest
-    hash stands for them. Whole texts are shuffled once, and then only the part that an edit can use.
+    hash stands for them; of equal hashes any, as the texts are equal. An empty table gives an empty one; other columns are left out. Whole texts
+    are shuffled once, and then only the part that an edit can use.
     """
     least = -(1 << 63)
     own = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
