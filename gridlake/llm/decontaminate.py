@@ -14,12 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridlake.llm.text import NOT_ALNUM, chunks, grams, words
+from gridlake.functions.durable import durable
+from gridlake.llm.text import NOT_ALNUM, chunks, fresh, grams, mix, words
 
 WIDTH = 3
 BLOCK_WINDOWS = 400_000
+#: Blocks that pass over the documents in one scan.
+SCAN_BLOCKS = 4
+#: Bits of the filter of all benchmark shingles, and cells of the table of their counts in the corpus.
+FILTER_BITS, COUNT_CELLS = 1 << 24, 1 << 18
 _ADDED = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
 
 
@@ -41,17 +47,18 @@ class Index:
     tokens: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def windows_of(ids: list[str], texts: list[bytes], window: int) -> Windows:
-    row, value = words(texts, NOT_ALNUM)
-    count = np.bincount(row, minlength=len(texts))
-    first = np.cumsum(count) - count
+def windows_of(ids: list[str], hashes: list[np.ndarray], window: int) -> Windows:
+    """Windows of items given by their words' hashes."""
     starts, lengths, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, n in enumerate(count.tolist()):
+    value = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    at = 0
+    for i, n in enumerate(map(len, hashes)):
         if n:
             k = max(1, n - window + 1)
-            starts.append(first[i] + np.arange(k))
+            starts.append(at + np.arange(k))
             lengths.append(np.full(k, min(n, window)))
             owners.append(np.full(k, i))
+        at += n
     start, length, owner = map(np.concatenate, (starts, lengths, owners))
     table = np.zeros((len(start), window), np.uint64)
     for j in range(window):
@@ -78,13 +85,12 @@ def shingles_of(windows: Windows) -> dict[int, list[tuple[np.ndarray, np.ndarray
     return out
 
 
-def build_index(windows: Windows, corpus_count: dict[int, tuple[np.ndarray, np.ndarray]]) -> Index:
-    """corpus_count: by width, sorted shingles and how often the corpus has each."""
+def build_index(windows: Windows, counts: np.ndarray) -> Index:
+    """``counts``: by cell of a shingle, how often the corpus has shingles of it."""
     tokens = {}
     for width, parts in shingles_of(windows).items():
         window, offset, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        known, often = corpus_count[width]
-        rank = often[np.searchsorted(known, h)]
+        rank = counts[_cell(h)]
         order = np.lexsort((offset, h, rank, window))
         rarest = order[np.concatenate([[True], window[order][1:] != window[order][:-1]])]
         by_token = rarest[np.argsort(h[rarest], kind="stable")]
@@ -124,51 +130,56 @@ def occurrences(row: np.ndarray, value: np.ndarray, index: Index) -> tuple[np.nd
     return np.concatenate(starts), np.concatenate(found)
 
 
-def _count_shingles(documents: DataFrame, windows: Windows) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """How often the whole corpus has each shingle of the windows. One pass; at most one number a shingle and task moves."""
-    known = {width: np.unique(np.concatenate([p[2] for p in parts])) for width, parts in shingles_of(windows).items()}
-    sent = documents.sparkSession.sparkContext.broadcast(known)
+def _cell(shingle: np.ndarray) -> np.ndarray:
+    return (shingle % np.uint64(COUNT_CELLS)).astype(np.int64)
+
+
+def _bit(shingle: np.ndarray) -> np.ndarray:
+    return (mix(shingle) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _count_shingles(documents: DataFrame, widths: set[int], wanted: np.ndarray) -> np.ndarray:
+    """How often the whole corpus has shingles that pass the filter ``wanted``, by cell. One pass for all blocks; at most one number
+    a cell and task moves, and only for cells in use."""
+    sent = documents.sparkSession.sparkContext.broadcast((sorted(widths), np.packbits(wanted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {width: np.zeros(len(h), np.int64) for width, h in sent.value.items()}
-        sieves = {}
-        for width, h in sent.value.items():
-            sieves[width] = np.zeros(1 << 16, bool)
-            sieves[width][(h & np.uint64(0xFFFF)).astype(int)] = True
+        counts = np.zeros(COUNT_CELLS, np.int64)
+        widths, packed = sent.value
+        passes = np.unpackbits(packed).view(bool)
         for batch in batches:
             for _, texts in chunks(batch.column("text")):
                 row, value = words(texts, NOT_ALNUM)
-                for width, h in sent.value.items():
+                for width in widths:
                     _, g = grams(row, value, width)
-                    g = g[sieves[width][(g & np.uint64(0xFFFF)).astype(np.int64)]]
-                    place = np.searchsorted(h, g)
-                    ok = place < len(h)
-                    ok[ok] = h[place[ok]] == g[ok]
-                    counts[width] += np.bincount(place[ok], minlength=len(h))
-        for width, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), width, np.int32)), pa.array(at), pa.array(c[at])], names=["width", "place", "n"])
-
-    total = documents.select("text").mapInArrow(run, "width int, place long, n long").groupBy("width", "place").agg(F.sum("n").alias("n"))
-    out = {width: (h, np.zeros(len(h), np.int64)) for width, h in known.items()}
-    for r in total.collect():
-        out[r["width"]][1][r["place"]] = r["n"]
+                    counts += np.bincount(_cell(g[passes[_bit(g)]]), minlength=COUNT_CELLS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
+
+    out = np.zeros(COUNT_CELLS, np.int64)
+    for r in documents.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
     return out
 
 
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[Windows]:
-    """Windows of the items in blocks of bounded size, so that each block may be broadcast."""
+    """Windows of the items in blocks of at most BLOCK_WINDOWS, so that each block may be broadcast. Long items are cut."""
     ids: list[str] = []
-    texts: list[bytes] = []
-    size = 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).where("i IS NOT NULL").toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"].encode())
-        size += len(texts[-1]) // 4
-        if size >= BLOCK_WINDOWS:
-            yield windows_of(ids, texts, window)
-            ids, texts, size = [], [], 0
-    yield windows_of(ids, texts, window)
+    hashes: list[np.ndarray] = []
+    room = BLOCK_WINDOWS
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("i IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+        _, value = words([r["text"].encode()], NOT_ALNUM)
+        at, n = 0, max(1, len(value) - window + 1)
+        while len(value) and at < n:
+            k = min(room, n - at)
+            ids.append(r["i"])
+            hashes.append(value[at : at + k + window - 1])
+            at, room = at + k, room - k
+            if not room:
+                yield windows_of(ids, hashes, window)
+                ids, hashes, room = [], [], BLOCK_WINDOWS
+    if ids:
+        yield windows_of(ids, hashes, window)
 
 
 def annotate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -176,34 +187,54 @@ def annotate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased; null texts have none. ``spans`` has the
     merged word ranges as first, past the last, first, ... covered by occurrences of windows, n_hit their words, ``items`` the sorted ids
-    (as strings) of items with an occurring window. Items without words or id match nothing. The benchmark is taken
-    in blocks of about BLOCK_WINDOWS windows; each block's index is broadcast (some 60 MB at most) and documents pass
-    through the blocks one after another in the same scan, so nothing of them is shuffled.
+    (as strings) of items with an occurring window. Items without words or id match nothing; repeated rows of either table count
+    as they stand; other columns, of any name, come through; an empty benchmark or table is no error.
+
+    The benchmark is read twice by the driver, item by item, into blocks of BLOCK_WINDOWS windows. One pass over the documents counts
+    the shingles of all blocks. Each block's index is broadcast (some 60 MB at most), and SCAN_BLOCKS of them pass over the
+    documents in one scan, so nothing of them is shuffled; of a benchmark with more blocks (over 1.6 million windows) a durable table
+    carries the hits from scan to scan.
     """
     keep = [c for c in documents.columns if c not in _ADDED]
-    frame = documents.select(*keep).withColumns({"_spans": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>"), "_n": F.lit(0).cast("long")})
+    spans, items, n = fresh(documents.columns, "spans", "items", "n")
+    wanted, widths = np.zeros(FILTER_BITS, bool), set()
+    for windows in _blocks(benchmark, window):
+        for width, parts in shingles_of(windows).items():
+            widths.add(width)
+            for _, _, h in parts:
+                wanted[_bit(h)] = True
+    counts = _count_shingles(documents, widths, wanted) if widths else np.zeros(COUNT_CELLS, np.int64)
+    frame = documents.select(*keep)
+    frame = frame.withColumns({spans: F.lit(None).cast("array<int>"), items: F.lit(None).cast("array<string>"), n: F.lit(0).cast("long")})
+    done = 0
     for windows in _blocks(benchmark, window):
-        index = build_index(windows, _count_shingles(documents, windows))
-        frame = _pass(frame, frame.sparkSession.sparkContext.broadcast(index))
+        if done and done % SCAN_BLOCKS == 0:
+            frame = durable(frame)
+        frame = _pass(frame, frame.sparkSession.sparkContext.broadcast(build_index(windows, counts)), spans, items, n)
+        done += 1
+    if not done:
+        empty = windows_of([], [], window)
+        frame = _pass(frame, frame.sparkSession.sparkContext.broadcast(build_index(empty, counts)), spans, items, n)
+    sizes = f"aggregate(sequence(1, cast(size({spans}) div 2 as int)), 0L, (s, i) -> s + {spans}[2 * i - 1] - {spans}[2 * i - 2])"
     return frame.select(
         *keep,
-        F.col("_n").alias("n_words"),
-        F.expr("if(size(_spans) = 0, 0L, aggregate(sequence(1, cast(size(_spans) div 2 as int)), 0L, (s, i) -> s + _spans[2 * i - 1] - _spans[2 * i - 2]))").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.array_sort("_items").alias("items"),
-        F.col("_spans").alias("spans"),
-        (F.size("_spans") > 0).alias("contaminated"),
+        F.col(n).alias("n_words"),
+        F.expr(f"if(size({spans}) = 0, 0L, {sizes})").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.array_sort(items).alias("items"),
+        F.col(spans).alias("spans"),
+        (F.size(spans) > 0).alias("contaminated"),
     )
 
 
-def _pass(frame: DataFrame, sent) -> DataFrame:
+def _pass(frame: DataFrame, sent: Broadcast, spans_name: str, items_name: str, n_name: str) -> DataFrame:
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
             spans, items, n_words = [], [], []
-            old_spans, old_items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
+            old_spans, old_items = batch.column(spans_name).to_pylist(), batch.column(items_name).to_pylist()
             for at, texts in chunks(batch.column("text")):
                 row, value = words(texts, NOT_ALNUM)
                 count = np.bincount(row, minlength=len(texts))
@@ -229,7 +260,7 @@ def _pass(frame: DataFrame, sent) -> DataFrame:
                             ids.update(index.windows.items[index.windows.cut[x] : index.windows.cut[x + 1]])
                     spans.append(had)
                     items.append(sorted(ids))
-            new = {"_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string())), "_n": pa.array(n_words, pa.int64())}
+            new = {spans_name: pa.array(spans, pa.list_(pa.int32())), items_name: pa.array(items, pa.list_(pa.string())), n_name: pa.array(n_words, pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
     return frame.mapInArrow(run, frame.schema)
