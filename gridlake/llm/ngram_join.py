@@ -29,8 +29,10 @@ from gridlake.llm.text import chunks, fresh, mix, shingle_sets
 from gridlake.operators.components import connected_components
 
 ROWS_PER_KEY = 4
-#: Shingles of the candidates in one search task.
-TASK_SHINGLES = 200_000
+#: Shingles of the candidates in one search.
+TASK_SHINGLES = 10_000
+#: Cells by which keys are counted first, and rows of a cell (as a multiple of the mean) from which its keys count as hot.
+CELLS, HOT_CELL, LEAST_HOT = 1 << 16, 8, 64
 #: A key with over 1 / HOT_KEYS of all rows is looked up by broadcast; there can't be more than HOT_KEYS of them.
 HOT_KEYS = 20_000
 LIST_BLOCK = 2_000
@@ -176,6 +178,21 @@ def _lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int
     return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ``times``, how many rows have the key. Keys of a hot cell (the hash has CELLS of them, and at most one in HOT_CELL
+    can be hot, so they are broadcast) stay where they are and get the cell's count, which is no less; the others are shuffled once, and
+    no key among them has more than a small share of all rows. So ``times`` is a function of the key."""
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
+    cells = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("cell_rows"))
+    counts = cells.agg(F.coalesce(F.sum("cell_rows"), F.lit(0)).alias("total")).first()
+    hot = cells.where(F.col("cell_rows") > max(LEAST_HOT, HOT_CELL * counts["total"] // CELLS))
+    columns = rows.columns
+    rows = rows.withColumn("cell", cell)
+    stay = rows.join(F.broadcast(hot), "cell").select(*columns, F.col("cell_rows").alias("times"))
+    rest = rows.join(F.broadcast(hot.select("cell")), "cell", "left_anti").select(*columns)
+    return stay.union(rest.select(*columns, F.count(F.lit(1)).over(Window.partitionBy(key)).alias("times")))
+
+
 def components(documents: DataFrame, words_each: int = 4, percent: int = 85, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of documents.
 
@@ -197,26 +214,21 @@ def _rooted(documents: DataFrame, words_each: int, percent: int, exact: bool) ->
     with Workspace(documents.sparkSession) as tables:
         described = tables.keep(tables.durable(_describe(documents, words_each, 0 if exact else keys_needed(percent))))
         some = described.where("v IS NOT NULL")
-        classes = tables.keep(
-            tables.durable(some.groupBy("v").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("unnamed"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-        )
-        live = classes.select("v", "least", "n")
+        classes = some.groupBy("v").agg(F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("unnamed"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        classes = tables.keep(tables.durable(classes.withColumn("id", F.monotonically_increasing_id())))  # the ids are fixed by being written
+        live = classes.select("id", "v", "least")
         if not exact:
-            postings = classes.select("v", F.explode("keys").alias("key"))
-            shared = tables.durable(postings.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
-            total = shared.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-            live = tables.durable(live.join(_lookup(postings, shared, "key", "times", total).select("v").distinct(), "v", "left_semi"))
+            shared = _counted(classes.select("id", F.explode("keys").alias("key")), "key").where("times > 1")
+            live = tables.durable(live.join(shared.select("id").distinct(), "id", "left_semi"))
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        named = live.where("least IS NOT NULL")
-        sets = _sets(_likely(texts, named.select(F.col("least").alias("doc_id"))), words_each)
-        sets = sets.join(named.select("v", F.col("least").alias("doc_id")), ["v", "doc_id"], "left_semi")
+        named = live.where("least IS NOT NULL").select("id", "v", F.col("least").alias("doc_id"))
+        sets = _sets(_likely(texts, named.select("doc_id")), words_each).join(named, ["v", "doc_id"]).select("id", "tokens")
         if not live.where("least IS NULL").isEmpty():  # classes known only by rows without an id
-            sets = sets.union(_sets(texts.where("doc_id IS NULL"), words_each).join(live.where("least IS NULL"), "v", "left_semi"))
-        sets = sets.dropDuplicates(["v"]).select("v", F.monotonically_increasing_id().alias("id"), "tokens")
-        sets = tables.durable(sets)  # the ids are fixed by being written
+            sets = sets.union(_sets(texts.where("doc_id IS NULL"), words_each).join(live.where("least IS NULL"), "v").select("id", "tokens"))
+        sets = tables.durable(sets.dropDuplicates(["id"]))
         links = tables.durable(_links(sets.select("id", F.size("tokens").alias("n"), "tokens"), percent, tables))
         linked = connected_components(links).select(F.col("node").alias("id"), "component")
-        roots = tables.keep(tables.durable(sets.select("v", "id").join(linked, "id").join(sets.select(F.col("v").alias("root"), F.col("id").alias("component")), "component").select("v", "root")))
+        roots = tables.keep(tables.durable(live.select("id", "v").join(linked, "id").join(live.select(F.col("v").alias("root"), F.col("id").alias("component")), "component").select("v", "root")))
     return described, classes.select("v", "least", "unnamed").join(roots, "v", "left").select("v", "least", "unnamed", F.coalesce("root", "v").alias("root"))
 
 
@@ -238,16 +250,15 @@ def _links(sets: DataFrame, percent: int, tables: Workspace) -> DataFrame:
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(t, id, n, most, central): the tokens of each set that a linked one may have as the rarest in common.
 
-    A token that no other set has comes first in the order of rarity. Sets with under ``percent`` of shared tokens link with
+    A token that no other set has comes first in the order of rarity, those of hot cells come last. Sets with under ``percent`` of shared tokens link with
     nothing. ``most`` is the largest set that the token's place leaves room to link with: with r tokens from there on, a set of m
-    needs r >= percent * (n + m) / (100 + percent). ``central`` is the mean number of sets that have one of the set's tokens.
+    needs r >= percent * (n + m) / (100 + percent). ``central`` is about the mean number of sets that have one of the set's tokens.
     """
-    tokens = sets.select("id", "n", F.explode("tokens").alias("t"))
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = _lookup(tokens, often, "t", "times", total)
+    counted = _counted(sets.select("id", F.explode("tokens").alias("t")), "t").where("times > 1")
     own = Window.partitionBy("id")
-    ranked = counted.select("id", "n", "t", F.row_number().over(own.orderBy("times", "t")).alias("nth"), F.count(F.lit(1)).over(own).alias("shared"), (F.sum("times").over(own) / F.col("n")).alias("central"))
+    ranked = counted.select("id", "t", F.row_number().over(own.orderBy("times", "t")).alias("nth"), F.count(F.lit(1)).over(own).alias("shared"), F.sum("times").over(own).alias("weight"))
+    ranked = ranked.where(F.col("nth") <= (100 - percent) * F.col("shared") / 100 + 1)  # no token beyond can pass below, as n is no less than shared
+    ranked = ranked.join(sets.select("id", "n"), "id").withColumn("central", F.col("weight") / F.col("n"))
     rest = F.col("shared") - F.col("nth") + 1  # tokens from this one on
     ranked = ranked.withColumn("most", (F.floor(rest * (100 + percent) / F.lit(percent)) - F.col("n")).cast("long"))
     return ranked.where(F.lit(100) * F.col("most") >= percent * F.col("n")).select("t", "id", "n", "most", "central")

@@ -397,7 +397,7 @@ def test_ngram_join_parts_and_exact_search_give_the_same(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = sorted(brute_components(rows, 4, 85))
     assert sorted(tuple(r) for r in ngram_join.components(frame, exact=True).collect()) == wanted
-    for name, small in (("TASK_SHINGLES", 300), ("LIST_BLOCK", 7), ("HOT_KEYS", 20)):
+    for name, small in (("TASK_SHINGLES", 300), ("LIST_BLOCK", 7), ("HOT_KEYS", 20), ("CELLS", 64), ("LEAST_HOT", 10)):
         monkeypatch.setattr(ngram_join, name, small)
     assert sorted(tuple(r) for r in ngram_join.components(frame).collect()) == wanted
 
