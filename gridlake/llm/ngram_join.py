@@ -32,7 +32,7 @@ ROWS_PER_KEY = 4
 #: Shingles of the candidates in one search.
 TASK_SHINGLES = 10_000
 #: Cells by which keys are counted first, and rows of a cell (as a multiple of the mean) from which its keys count as hot.
-CELLS, HOT_CELL, LEAST_HOT = 1 << 16, 8, 64
+CELLS, HOT_CELL, LEAST_HOT, SPREAD = 1 << 16, 8, 64, 64
 #: A key with over 1 / HOT_KEYS of all rows is looked up by broadcast; there can't be more than HOT_KEYS of them.
 HOT_KEYS = 20_000
 LIST_BLOCK = 2_000
@@ -179,18 +179,17 @@ def _lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int
 
 
 def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """rows with ``times``, how many rows have the key. Keys of a hot cell (the hash has CELLS of them, and at most one in HOT_CELL
-    can be hot, so they are broadcast) stay where they are and get the cell's count, which is no less; the others are shuffled once, and
-    no key among them has more than a small share of all rows. So ``times`` is a function of the key."""
+    """rows (id, key) with ``times``, how many rows have the key. Keys are first counted by CELLS cells of their hash; at most one cell in
+    HOT_CELL can be hot, so the hot ones are broadcast. Keys of a hot cell get the cell's count, which is no less, and their rows are
+    spread over SPREAD tasks; no other key has more than a small share of all rows. So ``times`` is a function of the key."""
     cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
     cells = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("cell_rows"))
     counts = cells.agg(F.coalesce(F.sum("cell_rows"), F.lit(0)).alias("total")).first()
     hot = cells.where(F.col("cell_rows") > max(LEAST_HOT, HOT_CELL * counts["total"] // CELLS))
-    columns = rows.columns
-    rows = rows.withColumn("cell", cell)
-    stay = rows.join(F.broadcast(hot), "cell").select(*columns, F.col("cell_rows").alias("times"))
-    rest = rows.join(F.broadcast(hot.select("cell")), "cell", "left_anti").select(*columns)
-    return stay.union(rest.select(*columns, F.count(F.lit(1)).over(Window.partitionBy(key)).alias("times")))
+    spread = F.when(F.col("cell_rows").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(-1)
+    marked = rows.withColumn("cell", cell).join(F.broadcast(hot), "cell", "left").withColumn("spread", spread)
+    times = F.coalesce("cell_rows", F.count(F.lit(1)).over(Window.partitionBy(key, "spread")))
+    return marked.select(*rows.columns, times.alias("times"))
 
 
 def components(documents: DataFrame, words_each: int = 4, percent: int = 85, exact: bool = False) -> DataFrame:
