@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from gridlake.functions.durable import Workspace
 
 
+def spanning_forest(edges: DataFrame, u: str = "u", v: str = "v") -> tuple[DataFrame, DataFrame]:
+    """((node, component), (u, v)): components as below, and the edges, u < v, of a spanning forest: one for each root that got another one."""
+    return _contracted(edges, (), u, v, forest=True)
+
+
 def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), u: str = "u", v: str = "v") -> DataFrame:
     """(keys..., node, component): the smallest node that each node of an edge can reach.
 
@@ -19,15 +24,28 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), u: str =
     table is empty reaches the driver. Nodes without edges aren't returned; self loops are. One durable table, the
     labels, outlives the call.
     """
-    keys = tuple(keys)
+    return _contracted(edges, tuple(keys), u, v)[0]
+
+
+def _contracted(edges: DataFrame, keys: tuple[str, ...], u: str, v: str, forest: bool = False) -> tuple[DataFrame, DataFrame | None]:
     edges = edges.select(*keys, F.col(u).alias("u"), F.col(v).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = edges.select(*keys, F.col("u").alias("node")).union(edges.select(*keys, F.col("v").alias("node"))).distinct()
     with Workspace(edges.sparkSession) as tables:
-        live = tables.durable(edges.where("u <> v").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        label = None
+        live = edges.where("u <> v").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        own = [F.struct("u", "v").alias("edge")] if forest else []  # the edge of the graph that an edge between roots stands for
+        carry = ["edge"] if forest else []
+        live = tables.durable(live.select("*", *own))
+        label, hooks = None, []
         while not live.isEmpty():
-            both = live.select(*keys, F.col("u").alias("node"), F.col("v").alias("other")).union(live.select(*keys, F.col("v").alias("node"), F.col("u").alias("other")))
-            point = tables.durable(both.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+            both = live.select(*keys, F.col("u").alias("node"), F.col("v").alias("other"), *carry).union(live.select(*keys, F.col("v").alias("node"), F.col("u").alias("other"), *carry))
+            if forest:
+                best = both.groupBy("node").agg(F.min(F.struct("other", "edge")).alias("best"))
+                point = tables.durable(best.select("node", F.least(F.col("node"), F.col("best.other")).alias("root"), "best.edge"))
+                hooks.append(tables.durable(point.where("root < node").select("edge.u", "edge.v")))
+                point, full = tables.durable(point.drop("edge")), point
+                tables.drop(full)
+            else:
+                point = tables.durable(both.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
             while True:
                 far = point.select(*keys, F.col("node").alias("root"), F.col("root").alias("further"))
                 old, point = point, tables.durable(point.join(far, [*keys, "root"]).select(*keys, "node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
@@ -43,10 +61,15 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), u: str =
             of_u = point.select(*keys, F.col("node").alias("u"), F.col("root").alias("ru"))
             of_v = point.select(*keys, F.col("node").alias("v"), F.col("root").alias("rv"))
             moved = live.join(of_u, [*keys, "u"]).join(of_v, [*keys, "v"]).where("ru <> rv")
-            old, live = live, tables.durable(moved.select(*keys, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+            ends = moved.select(*keys, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"), *carry)
+            old, live = live, tables.durable(ends.groupBy("u", "v").agg(F.min("edge").alias("edge")) if forest else ends.distinct())
             tables.drop(old)
             tables.drop(point)
         if label is None:
-            return nodes.select(*keys, "node", F.col("node").alias("component"))
+            return nodes.select(*keys, "node", F.col("node").alias("component")), edges.select("u", "v").limit(0) if forest else None
+        tree = None
+        for hook in hooks:
+            tree = hook if tree is None else tree.union(hook)
+        tree = tables.keep(tables.durable(tree)) if forest else None
         loops = nodes.join(tables.keep(label), [*keys, "node"], "left")
-    return loops.select(*keys, "node", F.coalesce("root", "node").alias("component"))
+    return loops.select(*keys, "node", F.coalesce("root", "node").alias("component")), tree

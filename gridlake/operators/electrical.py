@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridlake.functions.exprs import Complex, columns, named, polar
 
 SBASE = 100.0
+BROADCAST_ROWS = 1_000_000
 
 
 def _parts(circuit_status: Column | None = None) -> tuple[Complex, Complex, Complex, Column, Complex]:
@@ -68,15 +69,21 @@ def _at(voltage: DataFrame, end: str, p: str) -> DataFrame:
     return voltage.select("event_idx", F.col("bus_id").alias(end), F.col("v_pu").alias(f"v_{p}_pu"), F.col("angle_deg").alias(f"ang_{p}_deg"), isolated.alias(f"_iso_{p}"))
 
 
+def _sized(voltage: DataFrame) -> DataFrame:
+    """Voltages, marked for broadcast if counting finds no more than BROADCAST_ROWS of them (some 60 MB); joins shuffle them otherwise."""
+    return F.broadcast(voltage) if voltage.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else voltage
+
+
 def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE) -> DataFrame:
     """Flow into each circuit from both ends, per event of ``voltage``: p_from, q_from, p_to, q_to and both ends' voltages.
 
-    Zero when the circuit is out of service or an end is isolated. Circuits with an event_idx join only that event. The two
-    joins are hash joins on (event, bus); voltages are the small side.
+    Zero when the circuit is out of service or an end is isolated. Circuits with an event_idx join only that event. Voltages of
+    a checked size are broadcast, so the rows of circuits and events are made where the circuits are and never shuffled; larger ones
+    are joined by (event, bus), and admittances are only worked out behind both joins.
     """
-    e = branch_elements(circuit)
     keys = ["event_idx"] if "event_idx" in circuit.columns else []
-    rows = e.join(_at(voltage, "from_bus", "from"), [*keys, "from_bus"]).join(_at(voltage, "to_bus", "to"), ["event_idx", "to_bus"])
+    small = _sized(voltage.select("event_idx", "bus_id", "v_pu", "angle_deg", *(["isolated"] if "isolated" in voltage.columns else [])))
+    rows = branch_elements(circuit.join(_at(small, "from_bus", "from"), [*keys, "from_bus"]).join(_at(small, "to_bus", "to"), ["event_idx", "to_bus"]))
     vi, vj = polar(F.col("v_from_pu"), F.col("ang_from_deg")), polar(F.col("v_to_pu"), F.col("ang_to_deg"))
     live = (F.col("status") == 1) & ~F.col("_iso_from") & ~F.col("_iso_to")
     s_from = vi.times((named("yff").times(vi) + named("yft").times(vj)).conj()).scaled(sbase).where(live)
@@ -86,9 +93,12 @@ def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE) -> D
 
 
 def bus_injection(ybus: DataFrame, voltage: DataFrame) -> DataFrame:
-    """(event_idx, bus_id, p, q) in per unit: P = sum v1 v2 (G cos + B sin), Q = sum v1 v2 (G sin - B cos), own terms included."""
-    a = voltage.select("event_idx", F.col("bus_id").alias("i"), F.col("v_pu").alias("vi"), F.radians("angle_deg").alias("ti"))
-    b = voltage.select("event_idx", F.col("bus_id").alias("j"), F.col("v_pu").alias("vj"), F.radians("angle_deg").alias("tj"))
+    """(event_idx, bus_id, p, q) in per unit: P = sum v1 v2 (G cos + B sin), Q = sum v1 v2 (G sin - B cos), own terms included.
+
+    With voltages of a checked size broadcast, only the sums of an event and bus are shuffled."""
+    small = _sized(voltage.select("event_idx", "bus_id", "v_pu", "angle_deg"))
+    a = small.select("event_idx", F.col("bus_id").alias("i"), F.col("v_pu").alias("vi"), F.radians("angle_deg").alias("ti"))
+    b = small.select("event_idx", F.col("bus_id").alias("j"), F.col("v_pu").alias("vj"), F.radians("angle_deg").alias("tj"))
     rows = ybus.join(a, "i").join(b, ["event_idx", "j"])
     t, vv = F.col("ti") - F.col("tj"), F.col("vi") * F.col("vj")
     p = vv * (F.col("re") * F.cos(t) + F.col("im") * F.sin(t))
@@ -122,29 +132,35 @@ def generator_output(bus: DataFrame, generator: DataFrame, load: DataFrame, inje
     return rows.select("event_idx", "bus_id", F.when(F.col("type") == 3, F.col("p") * sbase + z("pl") + z("zip_p")).otherwise(z("pg")).alias("p"))
 
 
-def bus_result(bus: DataFrame, generator: DataFrame, load: DataFrame, voltage: DataFrame, star_prefix: str = "DUMMY_BUS") -> DataFrame:
-    """(event_idx, bus_id, v_pu, angle_deg, p_gen, q_gen, p_load, q_load, p_net, q_net); star buses of transformers are left out."""
+def bus_result(bus: DataFrame, generator: DataFrame, load: DataFrame, voltage: DataFrame, shunt: DataFrame | None = None, star_prefix: str = "DUMMY_BUS", sbase: float = SBASE) -> DataFrame:
+    """(event_idx, bus_id, type, area, zone, base_kv, v_pu, angle_deg, p_gen, q_gen, p_load, q_load, p_net, q_net, shunt_mvar); star buses of
+    transformers are left out. ``shunt`` (bus_id, g, b in per unit) gives b * v^2 * sbase."""
     g = generator.where("status = 1").groupBy("bus_id").agg(F.sum("pg").alias("p_gen"), F.sum("qg").alias("q_gen"))
     d = load.where("status = 1").groupBy("bus_id").agg(F.sum("pl").alias("p_load"), F.sum("ql").alias("q_load"))
-    real = bus.where(~F.col("name").startswith(star_prefix)).select("bus_id")
-    rows = voltage.select("event_idx", "bus_id", "v_pu", "angle_deg").join(real, "bus_id", "left_semi").join(g, "bus_id", "left").join(d, "bus_id", "left")
-    rows = rows.fillna(0.0, ["p_gen", "q_gen", "p_load", "q_load"])
-    return rows.select("event_idx", "bus_id", "v_pu", "angle_deg", "p_gen", "q_gen", "p_load", "q_load", (F.col("p_gen") - F.col("p_load")).alias("p_net"), (F.col("q_gen") - F.col("q_load")).alias("q_net"))
+    real = bus.where(~F.col("name").startswith(star_prefix)).select("bus_id", "type", "area", "zone", "base_kv")
+    fixed = real.join(g, "bus_id", "left").join(d, "bus_id", "left")  # per bus, before events multiply the rows
+    fixed = fixed.join(shunt.select("bus_id", F.col("b").alias("_b")), "bus_id", "left") if shunt is not None else fixed.withColumn("_b", F.lit(0.0))
+    fixed = fixed.fillna(0.0, ["p_gen", "q_gen", "p_load", "q_load", "_b"])
+    rows = voltage.select("event_idx", "bus_id", "v_pu", "angle_deg").join(fixed, "bus_id")
+    net = [(F.col("p_gen") - F.col("p_load")).alias("p_net"), (F.col("q_gen") - F.col("q_load")).alias("q_net"), (F.col("_b") * F.col("v_pu") * F.col("v_pu") * sbase).alias("shunt_mvar")]
+    return rows.select("event_idx", "bus_id", "type", "area", "zone", "base_kv", "v_pu", "angle_deg", "p_gen", "q_gen", "p_load", "q_load", *net)
 
 
 def branch_result(flow: DataFrame) -> DataFrame:
-    """Per circuit in service: flows, apparent power at both ends, loss and loading (0 if rate_a <= 0)."""
+    """Per circuit in service: flows, apparent power at both ends, loss, rate_a and loading (0 if rate_a <= 0)."""
     s_from, s_to = F.hypot("p_from", "q_from"), F.hypot("p_to", "q_to")
     loading = F.when(F.col("rate_a") > 0, F.greatest(s_from, s_to) / F.col("rate_a") * 100).otherwise(0.0)
     on = flow.where("status = 1")
-    return on.select("event_idx", "from_bus", "to_bus", "ckt", "p_from", "q_from", "p_to", "q_to", s_from.alias("s_from"), s_to.alias("s_to"), (F.col("p_from") + F.col("p_to")).alias("p_loss"), (F.col("q_from") + F.col("q_to")).alias("q_loss"), loading.alias("loading"))
+    loss = [(F.col("p_from") + F.col("p_to")).alias("p_loss"), (F.col("q_from") + F.col("q_to")).alias("q_loss")]
+    return on.select("event_idx", "from_bus", "to_bus", "ckt", "p_from", "q_from", "p_to", "q_to", s_from.alias("s_from"), s_to.alias("s_to"), *loss, "rate_a", loading.alias("loading"))
 
 
 def generator_result(generator: DataFrame) -> DataFrame:
-    """Generators with their output, zero when out of service, and its share of the room between pmin and pmax in percent."""
+    """(bus_id, gen_id, p, q, qmax, qmin, v_set, status): generators with their output, zero when out of service. ``vs`` is the set-point, null if absent."""
     on = F.col("status") == 1
-    room = F.col("pmax") - F.col("pmin")
-    return generator.select("bus_id", "gen_id", "status", F.when(on, F.col("pg")).otherwise(0.0).alias("pg"), F.when(on & (room > 0), (F.col("pg") - F.col("pmin")) / room * 100).otherwise(0.0).alias("share"))
+    power = [F.when(on, F.col(c)).otherwise(0.0).alias(name) for c, name in (("pg", "p"), ("qg", "q"))]
+    setpoint = F.col("vs") if "vs" in generator.columns else F.lit(None).cast("double")
+    return generator.select("bus_id", "gen_id", *power, "qmax", "qmin", setpoint.alias("v_set"), "status")
 
 
 def mismatch_summary(scheduled: DataFrame, injection: DataFrame) -> DataFrame:
@@ -193,19 +209,22 @@ def rating_to_scale(ratings: DataFrame) -> DataFrame:
 def allocate_reactive(generator: DataFrame, required: DataFrame, deadband: float = 0.1, rounds: int = 20) -> DataFrame:
     """(bus_id, gen_id, q, clamped, to_pq): reactive power of each online unit for a bus's requirement (bus_id, q_required).
 
-    Units share by rmpct (by qmax if no rmpct is positive) among those not clamped; a share beyond qmin..qmax is clamped and the rest is
-    shared again, at most ``rounds`` times. Beyond sum qmax + deadband (or below sum qmin - deadband) the bus turns from PV to PQ and all
-    units sit at the limit. A bus's units fold in one expression; a bus has a handful.
+    In each round the units not clamped yet share what the clamped ones leave, by rmpct, or by qmax if theirs have no positive sum; a share
+    beyond qmin..qmax is clamped and the rest is shared again, at most ``rounds`` times. Without a positive basis shares stay. Beyond sum qmax +
+    deadband (or below sum qmin - deadband) the bus turns from PV to PQ and all units sit at the limit. A bus's units fold in one
+    expression; a bus has a handful.
     """
     unit = F.struct("gen_id", F.coalesce("rmpct", F.lit(0.0)).alias("w"), "qmax", "qmin", F.lit(0.0).alias("q"), F.lit(False).alias("clamped"))
     per_bus = generator.where("status = 1").groupBy("bus_id").agg(F.array_sort(F.collect_list(unit)).alias("units"), F.sum("qmax").alias("top"), F.sum("qmin").alias("low"))
     per_bus = per_bus.join(required.select("bus_id", "q_required"), "bus_id")
-    per_bus = per_bus.withColumn("units", F.expr("if(aggregate(units, 0.0D, (s, u) -> s + u.w) > 0, units, transform(units, u -> named_struct('gen_id', u.gen_id, 'w', u.qmax, 'qmax', u.qmax, 'qmin', u.qmin, 'q', u.q, 'clamped', u.clamped)))"))
-    left = "(q_required - aggregate(us, 0.0D, (s, u) -> s + if(u.clamped, u.q, 0.0D)))"
-    weight = "aggregate(us, 0.0D, (s, u) -> s + if(u.clamped, 0.0D, u.w))"
-    share = f"if(u.clamped, u.q, if({weight} = 0, 0.0D, {left} * u.w / {weight}))"
+    total = lambda value: f"aggregate(s.us, 0.0D, (t, u) -> t + {value})"
+    basis = f"named_struct('us', s.us, 'rest', q_required - {total('if(u.clamped, u.q, 0.0D)')}, 'w', {total('if(u.clamped, 0.0D, u.w)')}, 'm', {total('if(u.clamped, 0.0D, u.qmax)')})"
+    part = "if(k.w > 0, u.w, u.qmax)"
+    whole = "if(k.w > 0, k.w, k.m)"
+    share = f"if(u.clamped OR {whole} <= 0, u.q, k.rest * {part} / {whole})"
     new = f"named_struct('gen_id', u.gen_id, 'w', u.w, 'qmax', u.qmax, 'qmin', u.qmin, 'q', greatest(least({share}, u.qmax), u.qmin), 'clamped', u.clamped OR {share} > u.qmax OR {share} < u.qmin)"
-    folded = F.expr(f"aggregate(sequence(1, {rounds}), units, (us, i) -> transform(us, u -> {new}))")
+    step = f"element_at(transform(array({basis}), k -> named_struct('us', transform(k.us, u -> {new}))), 1)"
+    folded = F.expr(f"aggregate(sequence(1, {rounds}), named_struct('us', units), (s, i) -> {step}).us")
     over, under = F.col("q_required") > F.col("top") + deadband, F.col("q_required") < F.col("low") - deadband
     rows = per_bus.select("bus_id", over.alias("over"), under.alias("under"), F.explode(folded).alias("u"))
     q = F.when(F.col("over"), F.col("u.qmax")).when(F.col("under"), F.col("u.qmin")).otherwise(F.col("u.q"))

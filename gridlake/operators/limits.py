@@ -11,15 +11,20 @@ from gridlake.functions.exprs import circular_diff, select_rating
 CIRCUIT = ("from_bus", "to_bus", "ckt")
 
 
-def flat_rows(flow: DataFrame, rating: str = "A") -> DataFrame:
-    """One row per event and circuit: power, mva, rate, loading (0 if rate <= 0), viol and both ends' state. Event 0 always uses rate A."""
+BASE_CASE = "base_case"
+
+
+def flat_rows(flow: DataFrame, rating: str = "A", names: DataFrame | None = None) -> DataFrame:
+    """One row per event and circuit: contingency, power, mva, rate, loading (0 if rate <= 0), viol and both ends' state. Event 0 always uses
+    rate A and is the base case; ``names`` (event_idx, contingency) names the others, which are null without it."""
     which = F.when(F.col("event_idx") == 0, "A").otherwise(rating)
     rate = select_rating(which, F.col("rate_a"), F.col("rate_b"), F.col("rate_c"))
     mva = F.sqrt(F.col("p_from") * F.col("p_from") + F.col("q_from") * F.col("q_from"))
-    rows = flow.withColumns({"mva": mva, "rate": rate})
+    named = flow.join(names.select("event_idx", "contingency"), "event_idx", "left") if names is not None else flow.withColumn("contingency", F.lit(None).cast("string"))
+    rows = named.withColumns({"mva": mva, "rate": rate, "contingency": F.when(F.col("event_idx") == 0, BASE_CASE).otherwise(F.col("contingency"))})
     loading = F.when(F.col("rate") > 0, 100 * F.col("mva") / F.col("rate")).otherwise(0.0)
     viol = ((F.col("rate") > 0) & (F.col("mva") > F.col("rate"))).cast("int")
-    return rows.select("event_idx", *CIRCUIT, F.col("p_from").alias("p"), F.col("q_from").alias("q"), "mva", "rate", loading.alias("loading"), viol.alias("viol"), "v_from_pu", "v_to_pu", "ang_from_deg", "ang_to_deg")
+    return rows.select("event_idx", "contingency", *CIRCUIT, F.col("p_from").alias("p"), F.col("q_from").alias("q"), "mva", "rate", loading.alias("loading"), viol.alias("viol"), "v_from_pu", "v_to_pu", "ang_from_deg", "ang_to_deg")
 
 
 def monitor_filter(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -41,19 +46,26 @@ def area_kv_filter(rows: DataFrame, bus: DataFrame, areas: Sequence[int] = (), k
     return joined.where(keep).select(*rows.columns)
 
 
-def delta_rows(rows: DataFrame) -> DataFrame:
-    """Event rows beside the base row (event 0) of the same circuit, with differences; circuits without a base row are skipped."""
-    state = ("p", "q", "mva", "rate", "loading", "v_from_pu", "v_to_pu", "ang_from_deg", "ang_to_deg")
-    base = rows.where("event_idx = 0").select(*CIRCUIT, *[F.col(c).alias(f"base_{c}") for c in state])
-    joined = rows.where("event_idx <> 0").select("event_idx", *CIRCUIT, *state, "viol").join(base, list(CIRCUIT))
-    return joined.withColumns(
-        {
-            "d_p": F.col("p") - F.col("base_p"),
-            "d_loading": F.col("loading") - F.col("base_loading"),
-            "d_ang_from": circular_diff(F.col("ang_from_deg"), F.col("base_ang_from_deg")),
-            "d_ang_to": circular_diff(F.col("ang_to_deg"), F.col("base_ang_to_deg")),
-        }
-    )
+def delta_rows(rows: DataFrame, bus: DataFrame, scenarios: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Event rows beside the base row (event 0) of the same circuit; circuits without a base row are skipped.
+
+    ``scenarios`` (event_idx, type) and ``facilities`` (event_idx, label) describe the events, ``bus`` both ends. Columns: event_idx, contingency, type,
+    the circuit, base_kv and area of both ends, base_ and cont_ of rate, p, q, mva and loading, _base and _cont of v_from, v_to, ang_from and
+    ang_to, the angle across the circuit before and after (d_angle_base, d_angle_cont) and cont_event_facility. Buses are joined to the base
+    rows, which are as many as circuits, before events multiply them.
+    """
+    pairs = ("rate", "p", "q", "mva", "loading")
+    ends = {"v_from": "v_from_pu", "v_to": "v_to_pu", "ang_from": "ang_from_deg", "ang_to": "ang_to_deg"}
+    base = rows.where("event_idx = 0").select(*CIRCUIT, *[F.col(c).alias(f"base_{c}") for c in pairs], *[F.col(c).alias(f"{n}_base") for n, c in ends.items()])
+    for end in ("from", "to"):
+        base = base.join(bus.select(F.col("bus_id").alias(f"{end}_bus"), F.col("base_kv").alias(f"base_kv_{end}"), F.col("area").alias(f"area_{end}")), f"{end}_bus", "left")
+    event = rows.where("event_idx <> 0").select("event_idx", "contingency", *CIRCUIT, *[F.col(c).alias(f"cont_{c}") for c in pairs], *[F.col(c).alias(f"{n}_cont") for n, c in ends.items()])
+    told = scenarios.select("event_idx", "type").join(facilities.select("event_idx", F.col("label").alias("cont_event_facility")), "event_idx", "full")
+    joined = event.join(base, list(CIRCUIT)).join(told, "event_idx", "left")
+    across = [circular_diff(F.col(f"ang_from_{s}"), F.col(f"ang_to_{s}")).alias(f"d_angle_{s}") for s in ("base", "cont")]
+    both = lambda names, a, b: [c for n in names for c in (a.format(n), b.format(n))]
+    front = ["event_idx", "contingency", "type", *CIRCUIT, "base_kv_from", "base_kv_to", "area_from", "area_to"]
+    return joined.select(*front, *both(pairs, "base_{}", "cont_{}"), *both(ends, "{}_base", "{}_cont"), *across, "cont_event_facility")
 
 
 def delta_skipped(rows: DataFrame) -> DataFrame:

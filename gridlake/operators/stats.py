@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _base() -> Column:
@@ -13,15 +13,17 @@ def _base() -> Column:
 
 def mean_rms(stat: DataFrame, mask: int) -> DataFrame:
     """(row_key, n, mean, std, rms) over values with at least this mask; std is that of a sample, rms the deviation from the base:
-    sqrt(sum over other scenarios of (x - base)^2 / (n - 1)). Both are 0 if n <= 1. One aggregate: the squares are expanded."""
+    sqrt(sum over other scenarios of (x - base)^2 / (n - 1)). Both are 0 if n <= 1, all three if there is no such value. A row's base
+    is attached in the shuffle that groups it, so that large values with small deviations keep their digits. rms is null without a base."""
     use = F.col("mask") >= mask
+    based = stat.withColumn("_base", F.max(F.when(F.col("scenario_idx") == 0, F.col("value"))).over(Window.partitionBy("row_key")))
     x = F.when(use, F.col("value"))
-    other = F.when(use & (F.col("scenario_idx") > 0), F.col("value"))
-    rows = stat.groupBy("row_key").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), _base().alias("base"), F.count(other).alias("m"), F.sum(other).alias("s1"), F.sum(other * other).alias("s2"))
-    square = F.greatest(F.col("s2") - 2 * F.col("base") * F.col("s1") + F.col("m") * F.col("base") * F.col("base"), F.lit(0.0))
+    off = F.when(use & (F.col("scenario_idx") > 0), F.col("value") - F.col("_base"))
+    other = F.count(F.when(use & (F.col("scenario_idx") > 0), 1)).alias("m")
+    rows = based.groupBy("row_key").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.max("_base").alias("base"), other, F.sum(off * off).alias("square"))
     many = F.col("n") > 1
-    rms = F.when(many & (F.col("m") > 0), F.sqrt(square / (F.col("n") - 1))).when(F.col("base").isNotNull() | ~many, 0.0)
-    return rows.where("n > 0").select("row_key", "n", "mean", F.when(many, F.col("sd")).otherwise(0.0).alias("std"), rms.alias("rms"))
+    rms = F.when(many & (F.col("m") > 0), F.sqrt(F.col("square") / (F.col("n") - 1))).when(F.col("base").isNotNull() | ~many, 0.0)
+    return rows.select("row_key", "n", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when(many, F.col("sd")).otherwise(0.0).alias("std"), rms.alias("rms"))
 
 
 def min_max(stat: DataFrame, mask: int) -> DataFrame:
@@ -60,14 +62,18 @@ def build_stat(rows: DataFrame, convergence: DataFrame, value: str = "p") -> Dat
     return solved.unionByName(filled)
 
 
-def network_counts(bus: DataFrame, circuit: DataFrame, generator: DataFrame, load: DataFrame) -> DataFrame:
-    """(kind, bus_id, n): generators, loads and circuit ends per bus, and totals of all kinds with a null bus."""
+def network_counts(bus: DataFrame, circuit: DataFrame, generator: DataFrame, load: DataFrame, storage: DataFrame | None = None) -> DataFrame:
+    """(kind, bus_id, n): generators, loads, storage units and circuit ends per bus, and totals of all kinds with a null bus."""
     per = lambda f, kind: f.groupBy("bus_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "bus_id", "n")
     ends = circuit.select(F.explode(F.array("from_bus", "to_bus")).alias("bus_id"))
     total = lambda f, kind: f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("bus_id"), "n")
     out = per(generator, "generator").union(per(load, "load")).union(per(ends, "circuit_end"))
     branches = circuit.select("from_bus", "to_bus").distinct()
-    for f, kind in ((generator, "generator"), (load, "load"), (circuit, "circuit"), (bus, "bus"), (branches, "branch")):
+    kinds = [(generator, "generator"), (load, "load"), (circuit, "circuit"), (bus, "bus"), (branches, "branch")]
+    if storage is not None:
+        out = out.union(per(storage, "storage"))
+        kinds.append((storage, "storage"))
+    for f, kind in kinds:
         out = out.union(total(f, kind))
     return out
 

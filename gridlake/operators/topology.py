@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridlake.functions.durable import durable
-from gridlake.operators.components import connected_components
+from gridlake.functions.durable import Workspace
+from gridlake.functions.ordering import number
+from gridlake.operators.components import connected_components, spanning_forest
 
 ISOLATED = 4
 
@@ -51,60 +52,54 @@ def islands(bus: DataFrame, circuit: DataFrame) -> DataFrame:
 def screen_outages(bus: DataFrame, circuit: DataFrame) -> DataFrame:
     """(from_bus, to_bus, ckt, bridge, components): for every circuit in service the number of components without it.
 
-    Cycle-space sampling: edges outside a spanning forest get random 128-bit labels; a forest edge gets the XOR of the labels that
-    leave its subtree, and is a bridge iff that is zero (wrong with probability 2**-128 an edge). The forest is grown from
-    every component's smallest bus, level by level, after buses of degree one have been peeled off (their circuit is a bridge).
-    Parallel circuits and self loops are never bridges; isolated buses count as components.
+    Cycle-space sampling: edges outside a spanning forest get random 128-bit labels; a forest edge is a bridge iff the XOR of the labels
+    that leave one side of it is zero (wrong with probability 2**-128 an edge). The forest comes from the hooks of the components. A
+    bus bears the XOR of its edges' labels at one place of its tree's Euler tour, so a side's XOR is that of the part of the tour
+    between the edge's two arcs; sums to the end of all tours take log2(arcs) rounds of pointer doubling, so a chain of n buses takes
+    about 2 log2 n joins. Parallel circuits and self loops are never bridges; isolated buses count as components.
     """
     on = circuit.where("status = 1").select("from_bus", "to_bus", "ckt")
     edges = on.where("from_bus <> to_bus").select(F.least("from_bus", "to_bus").alias("u"), F.greatest("from_bus", "to_bus").alias("v"))
-    pairs = durable(edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
-    label = connected_components(pairs)
-    n_base = bus.join(label.select(F.col("node").alias("bus_id")), "bus_id", "left_anti").count() + label.select("component").distinct().count()
-    bridges = pairs.select("u", "v").limit(0)
-    live = pairs
-    while True:  # peel: rounds are bounded by the longest dangling chain
-        degree = live.select(F.col("u").alias("node"), "n").union(live.select("v", "n")).groupBy("node").agg(F.sum("n").alias("d")).where("d = 1").select("node")
-        leaf = durable(live.join(degree.withColumnRenamed("node", "u"), "u", "left_semi").union(live.join(degree.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v", "n")).select("u", "v").distinct())
-        if leaf.isEmpty():
-            break
-        bridges = bridges.union(leaf)
-        live = durable(live.join(leaf, ["u", "v"], "left_anti"))
-    core = connected_components(live)
-    both = durable(live.select("u", "v", "n").union(live.select("v", "u", "n")))
-    depth = 0
-    reached = durable(core.select(F.col("component").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct())
-    levels = [reached]
-    while True:
-        step = both.join(levels[-1].select(F.col("node").alias("u")), "u").join(reached.select(F.col("node").alias("v")), "v", "left_anti")
-        depth += 1
-        found = durable(step.groupBy("v").agg(F.min("u").alias("parent")).select(F.col("v").alias("node"), F.lit(depth).alias("depth"), "parent"))
-        if found.isEmpty():
-            break
-        levels.append(found)
-        reached = reached.union(found)
-    reached = durable(reached)
-    tree = reached.where("parent IS NOT NULL").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"), F.col("node").alias("child"))
-    spare = live.join(tree, ["u", "v"], "left").where("child IS NULL OR n > 1")  # parallels of a forest edge are spare edges too
-    tag = spare.select("u", "v", F.xxhash64("u", "v", F.lit(1)).alias("a"), F.xxhash64("v", "u", F.lit(2)).alias("b"))
-    mine = durable(tag.select(F.col("u").alias("node"), "a", "b").union(tag.select("v", "a", "b")).groupBy("node").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")))
-    total = reached.join(mine, "node", "left").select("node", "depth", "parent", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
-    total = durable(total)
-    carried = None
-    for d in range(len(levels) - 1, 0, -1):  # fold the labels up, deepest level first
-        level = total.where(F.col("depth") == d)
-        if carried is not None:
-            level = level.join(carried, "node", "left").select("node", "parent", F.col("a").bitwiseXOR(F.coalesce("ca", F.lit(0))).alias("a"), F.col("b").bitwiseXOR(F.coalesce("cb", F.lit(0))).alias("b"))
-        level = durable(level.select("node", "parent", "a", "b"))
-        cut = level.where("a = 0 AND b = 0").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
-        bridges = bridges.union(cut)
-        carried = level.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("a").alias("ca"), F.bit_xor("b").alias("cb"))
-    cut = durable(bridges).withColumn("bridge", F.lit(True))
+    with Workspace(circuit.sparkSession) as tables:
+        pairs = tables.durable(edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
+        label, tree = spanning_forest(pairs)
+        n_base = bus.join(label.select(F.col("node").alias("bus_id")), "bus_id", "left_anti").count() + label.select("component").distinct().count()
+        in_tree = tree.withColumn("tree", F.lit(True))
+        spare = pairs.join(in_tree, ["u", "v"], "left").where("tree IS NULL OR n > 1")  # parallels of a forest edge are spare edges too
+        tag = spare.select("u", "v", F.xxhash64("u", "v", F.lit(1)).alias("a"), F.xxhash64("v", "u", F.lit(2)).alias("b"))
+        mine = tag.select(F.col("u").alias("v"), "a", "b").union(tag.select("v", "a", "b")).groupBy("v").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+        arcs = _euler_tour(tree, label.select(F.col("node").alias("v"), "component"), tables)
+        own = lambda c: F.when(F.col("opens"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
+        arcs = tables.durable(arcs.join(mine, "v", "left").select("id", "v", "w", "next", own("a").alias("a"), own("b").alias("b")))
+        state = arcs.select("id", F.col("next").alias("to"), F.col("a").alias("sa"), F.col("b").alias("sb"))
+        while True:
+            ahead = state.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("sa").alias("ta"), F.col("sb").alias("tb"))
+            both = state.join(ahead, "to", "left").select("id", F.col("further").alias("to"), *[F.col(f"s{c}").bitwiseXOR(F.coalesce(f"t{c}", F.lit(0))).alias(f"s{c}") for c in "ab"])
+            old, state = state, tables.durable(both)
+            tables.drop(old)
+            if state.where("to IS NOT NULL").isEmpty():
+                break
+        rest = arcs.join(state, "id").select("v", "w", F.col("sa").bitwiseXOR(F.col("a")).alias("a"), F.col("sb").bitwiseXOR(F.col("b")).alias("b"))
+        sides = rest.groupBy(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+        cut = tables.keep(tables.durable(sides.where("a = 0 AND b = 0").select("u", "v", F.lit(True).alias("bridge"))))
     keyed = on.withColumn("u", F.least("from_bus", "to_bus")).withColumn("v", F.greatest("from_bus", "to_bus")).join(cut, ["u", "v"], "left")
     bridge = F.coalesce("bridge", F.lit(False))
     return keyed.select("from_bus", "to_bus", "ckt", bridge.alias("bridge"), (F.lit(n_base) + bridge.cast("int")).cast("long").alias("components"))
 
 
+def _euler_tour(tree: DataFrame, label: DataFrame, tables: Workspace) -> DataFrame:
+    """(id, v, w, next, opens): both arcs of every tree edge with the arc that follows on the tour of its tree, null at the tour's end; ``opens``
+    marks one arc out of every node. From an arc (v, w) a tour goes on with the arc out of w that follows (w, v) in w's list, which is circular.
+    A tour is opened before the first arc out of the tree's label."""
+    out = tree.select(F.col("u").alias("v"), F.col("v").alias("w")).union(tree.select("v", F.col("u").alias("w")))
+    placed = number(out, ["v", "w"], "id")
+    lists = placed.groupBy("v").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    placed = tables.durable(placed.join(lists, "v").join(label, "v").withColumn("follows", F.when(F.col("id") == F.col("last"), F.col("first")).otherwise(F.col("id") + 1)))
+    starts = (F.col("v") == F.col("component")) & (F.col("follows") == F.col("first"))
+    after = placed.select(F.col("w").alias("v"), F.col("v").alias("w"), F.when(~starts, F.col("follows")).alias("next"))  # of the arc into v that is the reverse
+    return placed.join(after, ["v", "w"]).select("id", "v", "w", "next", (F.col("id") == F.col("first")).alias("opens"))
+
+
 def outage_candidates_by_degree(circuit: DataFrame) -> DataFrame:
     """Lines in service whose both ends have at least two lines in service."""
     on = circuit.where("status = 1")

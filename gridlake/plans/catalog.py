@@ -55,20 +55,20 @@ def oracle_sql() -> dict[str, str]:
 
 # --- pieces shared by several queries -------------------------------------------------------------------------------
 
-_FLOW = """flow AS (SELECT event_idx, from_bus, to_bus, ckt, status, rate_a, rate_b, rate_c, vf, vt, af, ad, CASE WHEN status = 1 THEN 1e2 * vf * (vf * gff + vt * (gft * cos(d) + bft * sin(d))) ELSE 0e0 END AS p_from,
+_FLOW = """flow AS MATERIALIZED (SELECT event_idx, from_bus, to_bus, ckt, status, rate_a, rate_b, rate_c, vf, vt, af, ad, CASE WHEN status = 1 THEN 1e2 * vf * (vf * gff + vt * (gft * cos(d) + bft * sin(d))) ELSE 0e0 END AS p_from,
  CASE WHEN status = 1 THEN 1e2 * vf * (-vf * bff + vt * (gft * sin(d) - bft * cos(d))) ELSE 0e0 END AS q_from,
  CASE WHEN status = 1 THEN 1e2 * vt * (vt * gtt + vf * (gtf * cos(d) - btf * sin(d))) ELSE 0e0 END AS p_to,
  CASE WHEN status = 1 THEN 1e2 * vt * (-vt * btt + vf * (-gtf * sin(d) - btf * cos(d))) ELSE 0e0 END AS q_to FROM (
  SELECT v.event_idx, e.*, v.v_pu AS vf, w.v_pu AS vt, v.angle_deg AS af, w.angle_deg AS ad, radians(v.angle_deg) - radians(w.angle_deg) AS d
  FROM elements e JOIN {voltage} v ON v.bus_id = e.from_bus JOIN {voltage} w ON w.bus_id = e.to_bus AND w.event_idx = v.event_idx) AS j)"""
-_ELEMENTS = """elements AS (SELECT *, g / (t * t) AS gff, (h + b / 2) / (t * t) AS bff, g AS gtt, h + b / 2 AS btt,
+_ELEMENTS = """elements AS MATERIALIZED (SELECT *, g / (t * t) AS gff, (h + b / 2) / (t * t) AS bff, g AS gtt, h + b / 2 AS btt,
  -(g * cos(s) - h * sin(s)) / t AS gft, -(h * cos(s) + g * sin(s)) / t AS bft, -(g * cos(s) + h * sin(s)) / t AS gtf, -(h * cos(s) - g * sin(s)) / t AS btf FROM (
  SELECT from_bus, to_bus, ckt, status, rate_a, rate_b, rate_c, CASE WHEN status = 1 THEN b ELSE 0e0 END AS b, CASE WHEN status = 1 THEN r / (r * r + x * x) ELSE 0e0 END AS g,
  CASE WHEN status = 1 THEN -x / (r * r + x * x) ELSE 0e0 END AS h, CASE WHEN tap <> 0 THEN tap ELSE 1e0 END AS t,
  CASE WHEN tap = 0 THEN 0e0 WHEN switched THEN -radians(shift_deg) ELSE radians(shift_deg) END AS s FROM {circuit}) AS y)"""
-_FLAT = f"""{_ELEMENTS}, {_FLOW}, flat AS (SELECT event_idx, from_bus, to_bus, ckt, p, q, mva, rate, CASE WHEN rate > 0 THEN 100 * mva / rate ELSE 0e0 END AS loading,
+_FLAT = f"""{_ELEMENTS}, {_FLOW}, flat AS MATERIALIZED (SELECT event_idx, CASE WHEN event_idx = 0 THEN 'base_case' ELSE contingency END AS contingency, from_bus, to_bus, ckt, p, q, mva, rate, CASE WHEN rate > 0 THEN 100 * mva / rate ELSE 0e0 END AS loading,
  CAST(CASE WHEN rate > 0 AND mva > rate THEN 1 ELSE 0 END AS INT) AS viol, vf AS v_from_pu, vt AS v_to_pu, af AS ang_from_deg, ad AS ang_to_deg FROM (SELECT *, p_from AS p, q_from AS q, sqrt(p_from * p_from + q_from * q_from) AS mva,
- CASE WHEN event_idx = 0 THEN rate_a WHEN rate_c > 0 THEN rate_c WHEN rate_b > 0 THEN rate_b ELSE rate_a END AS rate FROM flow) AS m)"""
+ CASE WHEN event_idx = 0 THEN rate_a WHEN rate_c > 0 THEN rate_c WHEN rate_b > 0 THEN rate_b ELSE rate_a END AS rate FROM flow) AS m LEFT JOIN (SELECT event_idx AS ev, concat('BR_', from_bus, '_', to_bus, '_', ckt) AS contingency FROM {{scenario}}) AS nm ON ev = event_idx)"""
 _STATE = "p q mva rate loading v_from_pu v_to_pu ang_from_deg ang_to_deg"
 
 
@@ -77,7 +77,13 @@ def _flow(r: Roles) -> DataFrame:
 
 
 def _flat(r: Roles) -> DataFrame:
-    return limits.flat_rows(_flow(r), "C")
+    return limits.flat_rows(_flow(r), "C", keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency"))
+
+
+def _outages(r: Roles) -> DataFrame:
+    """The scenarios as one-element outages."""
+    none = [F.lit(None).cast("long").alias("bus_id"), F.lit(None).cast("string").alias("gen_id")]
+    return r.scenario.select("event_idx", F.lit("Line").alias("type"), F.lit(0).alias("pos"), "from_bus", "to_bus", "ckt", *none)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,17 +173,17 @@ def _pairs(r: Roles) -> DataFrame:
 
 _register(
     "attach_to_branch",
-    lambda r: keyed.attach_to_branch(_pairs(r), r.circuit.where("ckt = '4'").select("from_bus", "to_bus", "rate_a")),
-    """val AS (SELECT l_suppkey AS f, o_custkey % 200 AS t, sum(l_quantity) AS value FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey GROUP BY 1, 2), br AS (SELECT from_bus, to_bus, rate_a FROM {circuit} WHERE ckt = '4'),
+    lambda r: keyed.attach_to_branch(_pairs(r), r.circuit.groupBy("from_bus", "to_bus").agg(F.min("rate_a").alias("rate_a"))),
+    """val AS (SELECT l_suppkey AS f, o_custkey % 200 AS t, sum(l_quantity) AS value FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey GROUP BY 1, 2), br AS (SELECT from_bus, to_bus, min(rate_a) AS rate_a FROM {circuit} GROUP BY 1, 2),
 direct AS (SELECT from_bus, to_bus, value, rate_a, FALSE AS swapped FROM val JOIN br ON f = from_bus AND t = to_bus)
 FINALLY SELECT * FROM direct UNION ALL SELECT from_bus, to_bus, value, rate_a, TRUE FROM val JOIN br ON t = from_bus AND f = to_bus WHERE NOT EXISTS (SELECT 1 FROM br x WHERE x.from_bus = f AND x.to_bus = t)""",
     "value rate_a",
 )
-_register("dense_index", lambda r: keyed.dense_index(r.bus.where("bus_id % 3 <> 1").select("bus_id"), "bus_id"), "SELECT bus_id, row_number() OVER (ORDER BY bus_id) - 1 AS dense FROM {bus} WHERE bus_id % 3 <> 1")
+_register("dense_index", lambda r: keyed.dense_index(r.circuit.select("from_bus", "to_bus", "ckt", (F.col("from_bus") * 1_000_003 + F.col("to_bus") * 7).alias("key")), "key"), "SELECT from_bus, to_bus, ckt, from_bus * 1000003 + to_bus * 7 AS key, dense_rank() OVER (ORDER BY from_bus * 1000003 + to_bus * 7) - 1 AS dense FROM {circuit}")
 _register(
     "neighbors",
-    lambda r: keyed.neighbors(r.sparse_circuit).withColumn("buses", F.array_join(F.col("buses").cast("array<string>"), ",")),
-    "ends AS (SELECT from_bus AS bus_id, to_bus AS other FROM {sparse_circuit} UNION ALL SELECT to_bus, from_bus FROM {sparse_circuit}), one AS (SELECT DISTINCT * FROM ends)\nFINALLY SELECT n.bus_id, n.circuits, b.buses FROM (SELECT bus_id, count(*) AS circuits FROM ends GROUP BY bus_id) AS n JOIN (SELECT bus_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS buses FROM one GROUP BY bus_id) AS b ON b.bus_id = n.bus_id",
+    lambda r: keyed.neighbors(r.circuit).withColumn("buses", F.array_join(F.col("buses").cast("array<string>"), ",")),
+    "ends AS (SELECT from_bus AS bus_id, to_bus AS other FROM {circuit} UNION ALL SELECT to_bus, from_bus FROM {circuit}), one AS (SELECT DISTINCT * FROM ends)\nFINALLY SELECT n.bus_id, n.circuits, b.buses FROM (SELECT bus_id, count(*) AS circuits FROM ends GROUP BY bus_id) AS n JOIN (SELECT bus_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS buses FROM one GROUP BY bus_id) AS b ON b.bus_id = n.bus_id",
 )
 _register(
     "apply_overrides",
@@ -228,40 +234,31 @@ _register(
 
 # --- topology -------------------------------------------------------------------------------------------------------
 
-_register("lone_buses", lambda r: topology.lone_buses(r.bus, r.sparse_circuit).select("bus_id"), "SELECT bus_id FROM {bus} b WHERE type <> 4 AND NOT EXISTS (SELECT 1 FROM {sparse_circuit} c WHERE status = 1 AND (c.from_bus = b.bus_id OR c.to_bus = b.bus_id))")
-_ISLANDS = """live AS (SELECT bus_id FROM {bus} WHERE type <> 4), onn AS (SELECT from_bus AS u, to_bus AS v FROM {sparse_circuit} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM live) AND to_bus IN (SELECT bus_id FROM live)),
-e AS (SELECT u, v FROM onn UNION SELECT v, u FROM onn), walk(bus_id, seen) AS (SELECT bus_id, bus_id FROM live UNION SELECT e.v, walk.seen FROM walk JOIN e ON e.u = walk.bus_id),
-isl AS (SELECT bus_id, min(seen) AS island FROM walk GROUP BY bus_id), siz AS (SELECT island, count(*) AS n_buses FROM isl GROUP BY island)"""
+_register("lone_buses", lambda r: topology.lone_buses(r.bus, r.circuit).select("bus_id"), "SELECT bus_id FROM {bus} b WHERE type <> 4 AND NOT EXISTS (SELECT 1 FROM {circuit} c WHERE status = 1 AND (c.from_bus = b.bus_id OR c.to_bus = b.bus_id))")
+_ISLANDS = """live AS (SELECT bus_id FROM {bus} WHERE type <> 4), onn AS MATERIALIZED (SELECT DISTINCT from_bus AS u, to_bus AS v FROM {circuit} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM live) AND to_bus IN (SELECT bus_id FROM live)),
+e AS MATERIALIZED (SELECT u, v FROM onn UNION SELECT v, u FROM onn), top(bus_id) AS (SELECT min(bus_id) FROM live UNION SELECT e.v FROM top JOIN e ON e.u = top.bus_id), rest AS MATERIALIZED (SELECT bus_id FROM live WHERE bus_id NOT IN (SELECT bus_id FROM top)),
+walk(bus_id, seen) AS (SELECT bus_id, bus_id FROM rest UNION SELECT e.v, walk.seen FROM walk JOIN e ON e.u = walk.bus_id),
+isl AS (SELECT bus_id, min(seen) AS island FROM walk GROUP BY bus_id UNION ALL SELECT bus_id, (SELECT min(bus_id) FROM live) FROM top), siz AS (SELECT island, count(*) AS n_buses FROM isl GROUP BY island)"""
 _register(
     "islands",
-    lambda r: topology.islands(r.bus, r.sparse_circuit),
+    lambda r: topology.islands(r.bus, r.circuit),
     f"{_ISLANDS}\nFINALLY SELECT bus_id, isl.island, n_buses, isl.island = (SELECT island FROM siz ORDER BY n_buses DESC, island LIMIT 1) AS main FROM isl JOIN siz ON siz.island = isl.island",
 )
 _register(
     "islands_by_scenario",
-    lambda r: topology.islands(r.bus, keyed.apply_scenarios(r.sparse_circuit, r.sparse_circuit.orderBy("from_bus", "to_bus").limit(5).withColumn("event_idx", F.row_number().over(Window.orderBy("from_bus", "to_bus"))).select("event_idx", "from_bus", "to_bus", "ckt"))).groupBy("event_idx").agg(F.countDistinct("island").alias("islands"), F.max("n_buses").alias("largest")),
-    """live AS (SELECT bus_id FROM {bus} WHERE type <> 4), five AS (SELECT CAST(row_number() OVER (ORDER BY from_bus, to_bus) AS INT) AS event_idx, from_bus, to_bus FROM (SELECT * FROM {sparse_circuit} ORDER BY from_bus, to_bus LIMIT 5) AS h),
-onn AS (SELECT event_idx, c.from_bus AS u, c.to_bus AS v FROM {sparse_circuit} c CROSS JOIN five f WHERE status = 1 AND NOT (c.from_bus = f.from_bus AND c.to_bus = f.to_bus) AND c.from_bus IN (SELECT bus_id FROM live) AND c.to_bus IN (SELECT bus_id FROM live)),
-e AS (SELECT event_idx, u, v FROM onn UNION SELECT event_idx, v, u FROM onn), walk(event_idx, bus_id, seen) AS (SELECT event_idx, bus_id, bus_id FROM live CROSS JOIN five UNION SELECT e.event_idx, e.v, walk.seen FROM walk JOIN e ON e.u = walk.bus_id AND e.event_idx = walk.event_idx),
-isl AS (SELECT event_idx, bus_id, min(seen) AS island FROM walk GROUP BY 1, 2), siz AS (SELECT event_idx, island, count(*) AS n FROM isl GROUP BY 1, 2)
+    lambda r: topology.islands(r.bus, keyed.apply_scenarios(r.circuit, r.scenario)).groupBy("event_idx").agg(F.countDistinct("island").alias("islands"), F.max("n_buses").alias("largest")),
+    """live AS (SELECT bus_id FROM {bus} WHERE type <> 4), lo AS (SELECT min(bus_id) AS b FROM live),
+onn AS MATERIALIZED (SELECT DISTINCT f.event_idx, c.from_bus AS u, c.to_bus AS v FROM {circuit} c CROSS JOIN {scenario} f WHERE status = 1 AND NOT (c.from_bus = f.from_bus AND c.to_bus = f.to_bus AND c.ckt = f.ckt) AND c.from_bus IN (SELECT bus_id FROM live) AND c.to_bus IN (SELECT bus_id FROM live)),
+e AS MATERIALIZED (SELECT event_idx, u, v FROM onn UNION SELECT event_idx, v, u FROM onn), top(event_idx, bus_id) AS (SELECT event_idx, b FROM {scenario} CROSS JOIN lo UNION SELECT e.event_idx, e.v FROM top JOIN e ON e.u = top.bus_id AND e.event_idx = top.event_idx),
+rest AS MATERIALIZED (SELECT event_idx, bus_id FROM live CROSS JOIN {scenario} f WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.event_idx = f.event_idx AND top.bus_id = live.bus_id)),
+walk(event_idx, bus_id, seen) AS (SELECT event_idx, bus_id, bus_id FROM rest UNION SELECT e.event_idx, e.v, walk.seen FROM walk JOIN e ON e.u = walk.bus_id AND e.event_idx = walk.event_idx),
+isl AS (SELECT event_idx, bus_id, min(seen) AS island FROM walk GROUP BY 1, 2 UNION ALL SELECT event_idx, bus_id, (SELECT b FROM lo) FROM top), siz AS (SELECT event_idx, island, count(*) AS n FROM isl GROUP BY 1, 2)
 FINALLY SELECT event_idx, count(*) AS islands, max(n) AS largest FROM siz GROUP BY 1""",
 )
-_SCREEN = """onn AS (SELECT from_bus, to_bus, ckt FROM {sparse_circuit} WHERE status = 1), e AS (SELECT from_bus AS u, to_bus AS v, from_bus AS a, to_bus AS b, ckt FROM onn UNION ALL SELECT to_bus, from_bus, from_bus, to_bus, ckt FROM onn),
-comp(bus_id, seen) AS (SELECT bus_id, bus_id FROM {bus} UNION SELECT e.v, comp.seen FROM comp JOIN e ON e.u = comp.bus_id), base AS (SELECT count(*) AS n FROM (SELECT bus_id, min(seen) AS s FROM comp GROUP BY 1) AS c WHERE s = bus_id),
-reach(a, b, ckt, pos) AS (SELECT from_bus, to_bus, ckt, from_bus FROM onn UNION SELECT r.a, r.b, r.ckt, e.v FROM reach r JOIN e ON e.u = r.pos AND NOT (e.a = r.a AND e.b = r.b AND e.ckt = r.ckt)),
-ok AS (SELECT DISTINCT a, b, ckt FROM reach WHERE pos = b)"""
-_register(
-    "screen_outages",
-    lambda r: topology.screen_outages(r.bus, r.sparse_circuit),
-    f"{_SCREEN}\nFINALLY SELECT from_bus, to_bus, onn.ckt, ok.a IS NULL AS bridge, (SELECT n FROM base) + CASE WHEN ok.a IS NULL THEN 1 ELSE 0 END AS components FROM onn LEFT JOIN ok ON ok.a = from_bus AND ok.b = to_bus AND ok.ckt = onn.ckt",
-)
-_DEGREE = "deg AS (SELECT bus_id FROM (SELECT from_bus AS bus_id FROM {sparse_circuit} WHERE status = 1 UNION ALL SELECT to_bus FROM {sparse_circuit} WHERE status = 1) AS d GROUP BY 1 HAVING count(*) >= 2)"
-_register("outage_candidates_by_degree", lambda r: topology.outage_candidates_by_degree(r.sparse_circuit).select("from_bus", "to_bus", "ckt"), f"{_DEGREE}\nFINALLY SELECT from_bus, to_bus, ckt FROM {{sparse_circuit}} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM deg) AND to_bus IN (SELECT bus_id FROM deg)")
-_register(
-    "screen_n1",
-    lambda r: scenarios.screen_n1(r.sparse_circuit, r.bus).select("from_bus", "to_bus", "ckt"),
-    f"{_SCREEN}, {_DEGREE}\nFINALLY SELECT from_bus, to_bus, onn.ckt FROM onn JOIN ok ON ok.a = from_bus AND ok.b = to_bus AND ok.ckt = onn.ckt WHERE from_bus IN (SELECT bus_id FROM deg) AND to_bus IN (SELECT bus_id FROM deg)",
-)
+_register("screen_outages", lambda r: topology.screen_outages(r.bus, r.circuit), None)  # removal of every circuit in turn is too slow in SQL; see tests/test_topology.py
+_DEGREE = "deg AS (SELECT bus_id FROM (SELECT from_bus AS bus_id FROM {circuit} WHERE status = 1 UNION ALL SELECT to_bus FROM {circuit} WHERE status = 1) AS d GROUP BY 1 HAVING count(*) >= 2)"
+_register("outage_candidates_by_degree", lambda r: topology.outage_candidates_by_degree(r.circuit).select("from_bus", "to_bus", "ckt"), f"{_DEGREE}\nFINALLY SELECT from_bus, to_bus, ckt FROM {{circuit}} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM deg) AND to_bus IN (SELECT bus_id FROM deg)")
+_register("screen_n1", lambda r: scenarios.screen_n1(r.circuit, r.bus).select("from_bus", "to_bus", "ckt"), None)
 _register(
     "transfer_slack",
     lambda r: topology.transfer_slack(r.bus, r.generator.where("status = 1").withColumn("event_idx", (F.col("bus_id") % 6).cast("int"))),
@@ -287,16 +284,17 @@ FINALLY SELECT 'LineCTG' || row_number() OVER (ORDER BY from_bus, to_bus, ckt) A
 
 
 def _singles(r: Roles) -> DataFrame:
-    a = r.generator.where("bus_id % 101 = 3").select((F.col("bus_id") * 20 + F.col("gen_id").cast("int")).alias("idx"), F.lit("Generator").alias("type"))
-    return a.union(r.sparse_circuit.where("from_bus % 17 = 5").select((F.col("from_bus") * 100000 + F.col("to_bus") + 1).alias("idx"), F.lit("Line")))
+    a = r.generator.select((F.col("bus_id") * 20 + F.col("gen_id").cast("int")).alias("idx"), F.lit("Generator").alias("type"))
+    return a.union(r.circuit.select((F.col("from_bus") * 1_000_000 + F.col("to_bus") * 10 + F.col("ckt").cast("int")).alias("idx"), F.lit("Line")))
 
 
-_SINGLES = "si AS (SELECT bus_id * 20 + CAST(gen_id AS INT) AS idx, 'Generator' AS type FROM {generator} WHERE bus_id % 101 = 3 UNION ALL SELECT from_bus * 100000 + to_bus + 1, 'Line' FROM {sparse_circuit} WHERE from_bus % 17 = 5)"
+_SINGLES = """si AS (SELECT bus_id * 20 + CAST(gen_id AS INT) AS idx, 'Generator' AS type FROM {generator} UNION ALL SELECT from_bus * 1000000 + to_bus * 10 + CAST(ckt AS INT), 'Line' FROM {circuit}),
+g AS MATERIALIZED (SELECT idx FROM si WHERE type = 'Generator' ORDER BY idx LIMIT 200), l AS MATERIALIZED (SELECT idx FROM si WHERE type = 'Line' ORDER BY idx LIMIT 200)"""  # the first pairs need no later ones
 _register(
     "n2_pairs",
-    lambda r: scenarios.n2_pairs(_singles(r), {"GG": None, "GL": 40, "LL": 25}),
-    f"""{_SINGLES}, gl AS (SELECT 'GL' AS kind, a.idx AS a, b.idx AS b FROM si a CROSS JOIN si b WHERE a.type = 'Generator' AND b.type = 'Line' ORDER BY 2, 3 LIMIT 40), ll AS (SELECT 'LL' AS kind, a.idx AS a, b.idx AS b FROM si a JOIN si b ON a.idx < b.idx WHERE a.type = 'Line' AND b.type = 'Line' ORDER BY 2, 3 LIMIT 25)
-FINALLY SELECT 'GG' AS kind, a.idx AS a, b.idx AS b FROM si a JOIN si b ON a.idx < b.idx WHERE a.type = 'Generator' AND b.type = 'Generator' UNION ALL SELECT * FROM gl UNION ALL SELECT * FROM ll""",
+    lambda r: scenarios.n2_pairs(_singles(r), {"GG": 60, "GL": 40, "LL": 25}),
+    f"""{_SINGLES}, gg AS (SELECT 'GG' AS kind, a.idx AS a, b.idx AS b FROM g a JOIN g b ON a.idx < b.idx ORDER BY 2, 3 LIMIT 60), gl AS (SELECT 'GL' AS kind, a.idx AS a, b.idx AS b FROM g a CROSS JOIN l b ORDER BY 2, 3 LIMIT 40), ll AS (SELECT 'LL' AS kind, a.idx AS a, b.idx AS b FROM l a JOIN l b ON a.idx < b.idx ORDER BY 2, 3 LIMIT 25)
+FINALLY SELECT * FROM gg UNION ALL SELECT * FROM gl UNION ALL SELECT * FROM ll""",
 )
 _register(
     "dedup_scenarios",
@@ -308,6 +306,12 @@ _register(
     lambda r: scenarios.combine(_elements(r).where("from_bus % 3 = 0"), _elements(r).where("from_bus % 2 = 0"))[1],
     f"{_ELEMENT_SQL}\nFINALLY SELECT count(DISTINCT CASE WHEN from_bus % 3 = 0 THEN event_idx END) AS auto, count(DISTINCT CASE WHEN from_bus % 2 = 0 AND from_bus % 3 <> 0 THEN event_idx END) AS added, count(DISTINCT CASE WHEN from_bus % 6 = 0 THEN event_idx END) AS skipped FROM el",
 )
+_register(
+    "combined_scenarios",
+    lambda r: scenarios.combine(_elements(r).where("from_bus % 3 = 0"), _elements(r).where("from_bus % 2 = 0"))[0].select("event_idx", "pos", "from_bus", "to_bus", "ckt"),
+    f"""{_ELEMENT_SQL}, al AS (SELECT CASE WHEN from_bus % 3 = 0 THEN 0 ELSE 1 END AS list, * FROM el WHERE from_bus % 3 = 0 OR from_bus % 2 = 0)
+FINALLY SELECT dense_rank() OVER (ORDER BY list, event_idx) AS event_idx, pos, from_bus, to_bus, ckt FROM al""",
+)
 _register("task_grid", lambda r: scenarios.task_grid(r.customer.select(F.col("c_custkey").alias("fault")), r.nation.select(F.col("n_nationkey").alias("config")), 25), "SELECT c_custkey * 25 + n_nationkey AS task, c_custkey AS fault, n_nationkey AS config FROM {customer} CROSS JOIN {nation}")
 
 # --- electrical quantities ------------------------------------------------------------------------------------------
@@ -345,18 +349,19 @@ def _output(r: Roles) -> DataFrame:
 _register("generator_output", _output, f"{_OUTPUT}\nFINALLY SELECT * FROM outp", "p")
 _register(
     "bus_result",
-    lambda r: electrical.bus_result(r.bus, r.generator, r.load, r.voltage),
-    """SELECT event_idx, v.bus_id, v_pu, angle_deg, coalesce(p_gen, 0e0) AS p_gen, coalesce(q_gen, 0e0) AS q_gen, coalesce(p_load, 0e0) AS p_load, coalesce(q_load, 0e0) AS q_load, coalesce(p_gen, 0e0) - coalesce(p_load, 0e0) AS p_net, coalesce(q_gen, 0e0) - coalesce(q_load, 0e0) AS q_net
- FROM {voltage} v LEFT JOIN (SELECT bus_id, sum(pg) AS p_gen, sum(qg) AS q_gen FROM {generator} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = v.bus_id LEFT JOIN (SELECT bus_id, sum(pl) AS p_load, sum(ql) AS q_load FROM {load} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = v.bus_id""",
-    "v_pu angle_deg p_gen q_gen p_load q_load p_net q_net",
+    lambda r: electrical.bus_result(r.bus, r.generator, r.load, r.voltage, _shunts(r)),
+    f"""{_SHUNT}
+FINALLY SELECT event_idx, v.bus_id, z.type, area, zone, base_kv, v.v_pu, v.angle_deg, coalesce(p_gen, 0e0) AS p_gen, coalesce(q_gen, 0e0) AS q_gen, coalesce(p_load, 0e0) AS p_load, coalesce(q_load, 0e0) AS q_load, coalesce(p_gen, 0e0) - coalesce(p_load, 0e0) AS p_net, coalesce(q_gen, 0e0) - coalesce(q_load, 0e0) AS q_net, 1e2 * shn.b * v.v_pu * v.v_pu AS shunt_mvar
+ FROM {{voltage}} v JOIN {{bus}} z ON z.bus_id = v.bus_id JOIN shn ON shn.bus_id = v.bus_id LEFT JOIN (SELECT bus_id, sum(pg) AS p_gen, sum(qg) AS q_gen FROM {{generator}} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = v.bus_id LEFT JOIN (SELECT bus_id, sum(pl) AS p_load, sum(ql) AS q_load FROM {{load}} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = v.bus_id""",
+    "v_pu angle_deg p_gen q_gen p_load q_load p_net q_net shunt_mvar",
 )
 _register(
     "branch_result",
-    lambda r: electrical.branch_result(_flow(r).where("event_idx < 3")),
-    f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, p_from, q_from, p_to, q_to, sqrt(p_from * p_from + q_from * q_from) AS s_from, sqrt(p_to * p_to + q_to * q_to) AS s_to, p_from + p_to AS p_loss, q_from + q_to AS q_loss, CASE WHEN rate_a > 0 THEN greatest(sqrt(p_from * p_from + q_from * q_from), sqrt(p_to * p_to + q_to * q_to)) / rate_a * 100 ELSE 0e0 END AS loading FROM flow WHERE status = 1 AND event_idx < 3",
+    lambda r: electrical.branch_result(_flow(r)),
+    f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, p_from, q_from, p_to, q_to, sqrt(p_from * p_from + q_from * q_from) AS s_from, sqrt(p_to * p_to + q_to * q_to) AS s_to, p_from + p_to AS p_loss, q_from + q_to AS q_loss, rate_a, CASE WHEN rate_a > 0 THEN greatest(sqrt(p_from * p_from + q_from * q_from), sqrt(p_to * p_to + q_to * q_to)) / rate_a * 100 ELSE 0e0 END AS loading FROM flow WHERE status = 1",
     "p_from q_from p_to q_to s_from s_to p_loss q_loss loading",
 )
-_register("generator_result", lambda r: electrical.generator_result(r.generator), "SELECT bus_id, gen_id, status, CASE WHEN status = 1 THEN pg ELSE 0e0 END AS pg, CASE WHEN status = 1 AND pmax > pmin THEN (pg - pmin) / (pmax - pmin) * 100 ELSE 0e0 END AS share FROM {generator}", "pg share")
+_register("generator_result", lambda r: electrical.generator_result(r.generator.withColumn("vs", 1 + 0.001 * (F.col("bus_id") % 50))), "SELECT bus_id, gen_id, CASE WHEN status = 1 THEN pg ELSE 0e0 END AS p, CASE WHEN status = 1 THEN qg ELSE 0e0 END AS q, qmax, qmin, 1e0 + 1e-3 * (bus_id % 50) AS v_set, status FROM {generator}", "p q qmax qmin v_set")
 _register(
     "mismatch_summary",
     lambda r: electrical.mismatch_summary(electrical.scheduled_injection(r.generator, r.load), _injection(r)),
@@ -410,17 +415,26 @@ _register(
 )
 _register(
     "area_kv_filter",
-    lambda r: limits.area_kv_filter(_flat(r).where("event_idx = 0"), r.bus, [0, 3], 69.0, 138.0).select("from_bus", "to_bus", "ckt", "mva"),
-    f"{_FLAT}\nFINALLY SELECT from_bus, to_bus, ckt, mva FROM flat JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE event_idx = 0 AND (a.area IN (0, 3) OR b.area IN (0, 3)) AND greatest(a.base_kv, b.base_kv) BETWEEN 69 AND 138",
+    lambda r: limits.area_kv_filter(_flat(r), r.bus, [0, 3], 69.0, 138.0).select("event_idx", "from_bus", "to_bus", "ckt", "mva"),
+    f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, mva FROM flat JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE (a.area IN (0, 3) OR b.area IN (0, 3)) AND greatest(a.base_kv, b.base_kv) BETWEEN 69 AND 138",
     "mva",
 )
 _wrap = lambda d: f"({d}) + 180e0 - 360e0 * floor((({d}) + 180e0) / 360e0) - 180e0"
-_register(
-    "delta_rows",
-    lambda r: limits.delta_rows(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0")).where("event_idx < 4").select("event_idx", "from_bus", "to_bus", "ckt", "d_p", "d_loading", "d_ang_from", "d_ang_to", "base_p", "viol"),
-    f"{_FLAT}\nFINALLY SELECT c.event_idx, c.from_bus, c.to_bus, c.ckt, c.p - b.p AS d_p, c.loading - b.loading AS d_loading, {_wrap('c.ang_from_deg - b.ang_from_deg')} AS d_ang_from, {_wrap('c.ang_to_deg - b.ang_to_deg')} AS d_ang_to, b.p AS base_p, c.viol FROM flat c JOIN flat b ON b.event_idx = 0 AND b.from_bus = c.from_bus AND b.to_bus = c.to_bus AND b.ckt = c.ckt WHERE c.event_idx BETWEEN 1 AND 3 AND (c.from_bus + c.to_bus) % 5 <> 0",
-    "d_p d_loading d_ang_from d_ang_to base_p",
-)
+
+
+def _delta(r: Roles) -> DataFrame:
+    """Circuits whose ends' sum is divisible by 5 have no base row."""
+    return limits.delta_rows(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0"), r.bus, _outages(r), keyed.facility_label(_outages(r), r.bus))
+
+
+_DELTA = f"""{_FLAT}, fac AS (SELECT event_idx, concat('[', area, '] ', from_bus, ' ', to_bus, ' ', ckt) AS label FROM {{scenario}} JOIN {{bus}} ON bus_id = from_bus),
+delta AS (SELECT c.event_idx, c.contingency, 'Line' AS type, c.from_bus, c.to_bus, c.ckt, f.base_kv AS base_kv_from, t.base_kv AS base_kv_to, f.area AS area_from, t.area AS area_to,
+ {", ".join(f"b.{n} AS base_{n}, c.{n} AS cont_{n}" for n in ("rate", "p", "q", "mva", "loading"))}, {", ".join(f"b.{c} AS {n}_base, c.{c} AS {n}_cont" for n, c in (("v_from", "v_from_pu"), ("v_to", "v_to_pu"), ("ang_from", "ang_from_deg"), ("ang_to", "ang_to_deg")))},
+ {_wrap('b.ang_from_deg - b.ang_to_deg')} AS d_angle_base, {_wrap('c.ang_from_deg - c.ang_to_deg')} AS d_angle_cont, fac.label AS cont_event_facility
+ FROM flat c JOIN flat b ON b.event_idx = 0 AND b.from_bus = c.from_bus AND b.to_bus = c.to_bus AND b.ckt = c.ckt JOIN {{bus}} f ON f.bus_id = c.from_bus JOIN {{bus}} t ON t.bus_id = c.to_bus JOIN fac ON fac.event_idx = c.event_idx
+ WHERE c.event_idx > 0 AND (c.from_bus + c.to_bus) % 5 <> 0)"""
+_STATES = " ".join(f"{a}_{n}" for n in ("p", "q", "mva", "loading") for a in ("base", "cont")) + " d_angle_base d_angle_cont"
+_register("delta_rows", _delta, f"{_DELTA}\nFINALLY SELECT * FROM delta", _STATES)
 _register("delta_skipped", lambda r: limits.delta_skipped(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0")), f"{_FLAT}\nFINALLY SELECT event_idx, count(*) AS skipped FROM flat WHERE event_idx > 0 AND (from_bus + to_bus) % 5 = 0 GROUP BY 1")
 _register("performance_index", lambda r: limits.performance_index(_flow(r)), f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, CASE WHEN rate_a > 0 THEN (p_from * p_from + q_from * q_from) / (rate_a * rate_a) ELSE 0e0 END AS pi, CASE WHEN rate_a > 0 THEN sqrt(p_from * p_from + q_from * q_from) / rate_a > 1 ELSE FALSE END AS viol FROM flow", "pi")
 _VV = "vv AS (SELECT event_idx, v.bus_id, v_pu FROM {voltage} v WHERE v_pu > 106e-2 OR v_pu < 93e-2)"
@@ -436,10 +450,10 @@ _OVER = f"{_ELEMENTS}, {_FLOW}, ov AS (SELECT event_idx, from_bus, to_bus, ckt,
 
 
 def _overloads(r: Roles) -> DataFrame:
-    return limits.overload_violations(_flow(r).where("event_idx < 3"), True, r.circuit.where("ckt = '5'").select("from_bus", "to_bus", "ckt"))
+    return limits.overload_violations(_flow(r), True, r.circuit.where("ckt = '5'").select("from_bus", "to_bus", "ckt"))
 
 
-_register("overload_violations", _overloads, f"{_OVER}\nFINALLY SELECT * FROM ov WHERE ckt <> '5' AND event_idx < 3", "s rate")
+_register("overload_violations", _overloads, f"{_OVER}\nFINALLY SELECT * FROM ov WHERE ckt <> '5'", "s rate")
 _register(
     "watched_line_verdict",
     lambda r: limits.watched_line_verdict(r.circuit.where("from_bus % 11 = 2").select(F.col("to_bus").alias("from_bus"), F.col("from_bus").alias("to_bus"), "ckt"), _flat(r)),
@@ -447,8 +461,8 @@ _register(
 )
 _register(
     "violation_list",
-    lambda r: limits.violation_list(_voltage_bad(r).where("event_idx < 3"), _overloads(r)),
-    f"{_VV}, {_OVER}\nFINALLY SELECT event_idx, 'bus' AS kind, bus_id AS bus1, NULL AS bus2, NULL AS tag, 'voltage at bus ' || bus_id AS text FROM vv WHERE event_idx < 3 UNION ALL SELECT event_idx, 'branch', from_bus, to_bus, ckt, 'overload of branch ' || from_bus || ' ' || to_bus || ' ' || ckt FROM ov WHERE ckt <> '5' AND event_idx < 3",
+    lambda r: limits.violation_list(_voltage_bad(r), _overloads(r)),
+    f"{_VV}, {_OVER}\nFINALLY SELECT event_idx, 'bus' AS kind, bus_id AS bus1, NULL AS bus2, NULL AS tag, 'voltage at bus ' || bus_id AS text FROM vv UNION ALL SELECT event_idx, 'branch', from_bus, to_bus, ckt, 'overload of branch ' || from_bus || ' ' || to_bus || ' ' || ckt FROM ov WHERE ckt <> '5'",
 )
 _register(
     "violation_code",
@@ -470,7 +484,7 @@ _register(
 
 def _devices(r: Roles) -> DataFrame:
     low = 0.94 + 0.001 * (F.col("bus_id") % 9)
-    return r.bus.where("bus_id % 4 = 0").select(
+    return r.bus.select(
         F.col("bus_id").alias("device"), F.col("bus_id").alias("own_bus"), F.when(F.col("bus_id") % 8 == 0, F.col("bus_id") + 2).otherwise(0).alias("remote_bus"), low.alias("low"),
         F.when(F.col("bus_id") % 12 == 0, low + 0.001).otherwise(low + 0.1).alias("high"), F.when(F.col("bus_id") % 3 == 0, "shunt").otherwise("tap").alias("kind"), F.lit(0.02).alias("step"), F.lit(-0.01).alias("rmi"), F.lit(0.015).alias("rma"), (F.col("bus_id") % 16 == 0).alias("to_side"),
     )
@@ -478,9 +492,9 @@ def _devices(r: Roles) -> DataFrame:
 
 _register(
     "deadband_screen",
-    lambda r: limits.deadband_screen(_devices(r), r.voltage.where("event_idx = 0")),
-    """dev AS (SELECT bus_id AS device, CASE WHEN bus_id % 8 = 0 THEN bus_id + 2 ELSE bus_id END AS ctl, 94e-2 + 1e-3 * (bus_id % 9) AS low, CASE WHEN bus_id % 12 = 0 THEN 1e-3 ELSE 1e-1 END AS w FROM {bus} WHERE bus_id % 4 = 0),
-dir AS (SELECT device, event_idx, v_pu, CAST(CASE WHEN v_pu < CASE WHEN w < 2e-3 THEN low + w / 2 - 1e-3 ELSE low END THEN 1 WHEN v_pu > CASE WHEN w < 2e-3 THEN low + w / 2 + 1e-3 ELSE low + w END THEN -1 END AS INT) AS direction FROM dev JOIN {voltage} v ON v.bus_id = ctl AND event_idx = 0)
+    lambda r: limits.deadband_screen(_devices(r), r.voltage),
+    """dev AS (SELECT bus_id AS device, CASE WHEN bus_id % 8 = 0 THEN bus_id + 2 ELSE bus_id END AS ctl, 94e-2 + 1e-3 * (bus_id % 9) AS low, CASE WHEN bus_id % 12 = 0 THEN 1e-3 ELSE 1e-1 END AS w FROM {bus}),
+dir AS (SELECT device, event_idx, v_pu, CAST(CASE WHEN v_pu < CASE WHEN w < 2e-3 THEN low + w / 2 - 1e-3 ELSE low END THEN 1 WHEN v_pu > CASE WHEN w < 2e-3 THEN low + w / 2 + 1e-3 ELSE low + w END THEN -1 END AS INT) AS direction FROM dev JOIN {voltage} v ON v.bus_id = ctl)
 FINALLY SELECT device, event_idx, v_pu, direction, CASE WHEN device % 3 <> 0 THEN greatest(least(direction * CASE WHEN device % 16 = 0 THEN -1 ELSE 1 END * 2e-2, 15e-3), -1e-2) END AS step FROM dir WHERE direction IS NOT NULL""",
     "v_pu step",
 )
@@ -493,19 +507,19 @@ def _cases(r: Roles) -> DataFrame:
 _register(
     "scenario_summary",
     lambda r: limits.scenario_summary(_cases(r), _voltage_bad(r).where("event_idx % 2 = 0"), _overloads(r)),
-    f"{_VV}, {_OVER}\nFINALLY SELECT CAST(event_idx AS INT) AS event_idx, name, type, converged, iterations, event_idx % 2 = 0 AND event_idx IN (SELECT event_idx FROM vv) AS has_voltage_violation, event_idx IN (SELECT event_idx FROM ov WHERE ckt <> '5' AND event_idx < 3) AS has_branch_violation FROM {{convergence_a}} WHERE event_idx < 9",
+    f"{_VV}, {_OVER}\nFINALLY SELECT CAST(event_idx AS INT) AS event_idx, name, type, converged, iterations, event_idx % 2 = 0 AND event_idx IN (SELECT event_idx FROM vv) AS has_voltage_violation, event_idx IN (SELECT event_idx FROM ov WHERE ckt <> '5') AS has_branch_violation FROM {{convergence_a}} WHERE event_idx < 9",
 )
 
 
 def _outcomes(r: Roles) -> DataFrame:
     rating = F.explode(F.transform(F.sequence(F.lit(50), F.lit(150)), lambda i: i / 100.0)).alias("rating")
-    return r.bus.where("bus_id % 50 = 7").select(F.col("bus_id").alias("tie"), rating).withColumn("ok", F.col("rating") <= 0.7 + 0.01 * (F.col("tie") % 61))
+    return r.bus.select(F.col("bus_id").alias("tie"), rating).withColumn("ok", F.col("rating") <= 0.7 + 0.01 * (F.col("tie") % 61))
 
 
 _register(
     "rating_search",
     lambda r: limits.rating_search(_outcomes(r)),
-    "t AS (SELECT bus_id AS tie, 70 + bus_id % 61 AS top FROM {bus} WHERE bus_id % 50 = 7)\nFINALLY SELECT tie, (SELECT max(k / 1e2) FROM range(50, 151) AS g(k) WHERE k / 1e2 <= 7e-1 + 1e-2 * (tie % 61)) AS rating FROM t",
+    "t AS (SELECT bus_id AS tie, 70 + bus_id % 61 AS top FROM {bus})\nFINALLY SELECT tie, (SELECT max(k / 1e2) FROM range(50, 151) AS g(k) WHERE k / 1e2 <= 7e-1 + 1e-2 * (tie % 61)) AS rating FROM t",
     "rating",
 )
 _register(
@@ -522,7 +536,7 @@ _register(
     lambda r: stats.mean_rms(r.stat, 1),
     """k AS (SELECT row_key, count(*) FILTER (WHERE mask >= 1) AS n, avg(value) FILTER (WHERE mask >= 1) AS mean, stddev_samp(value) FILTER (WHERE mask >= 1) AS sd FROM {stat} GROUP BY 1),
 d AS (SELECT s.row_key, sum((s.value - b.value) * (s.value - b.value)) AS sq FROM {stat} s JOIN {stat} b ON b.row_key = s.row_key AND b.scenario_idx = 0 WHERE s.scenario_idx > 0 AND s.mask >= 1 GROUP BY 1)
-FINALLY SELECT k.row_key, n, mean, CASE WHEN n > 1 THEN sd ELSE 0e0 END AS std, CASE WHEN n > 1 AND sq IS NOT NULL THEN sqrt(sq / (n - 1)) WHEN n <= 1 OR EXISTS (SELECT 1 FROM {stat} b WHERE b.row_key = k.row_key AND b.scenario_idx = 0) THEN 0e0 END AS rms FROM k LEFT JOIN d ON d.row_key = k.row_key WHERE n > 0""",
+FINALLY SELECT k.row_key, n, coalesce(mean, 0e0) AS mean, CASE WHEN n > 1 THEN sd ELSE 0e0 END AS std, CASE WHEN n > 1 AND sq IS NOT NULL THEN sqrt(sq / (n - 1)) WHEN n <= 1 OR EXISTS (SELECT 1 FROM {stat} b WHERE b.row_key = k.row_key AND b.scenario_idx = 0) THEN 0e0 END AS rms FROM k LEFT JOIN d ON d.row_key = k.row_key""",
     "mean std rms",
 )
 _register(
@@ -537,17 +551,17 @@ _register("mask_count", lambda r: stats.mask_count(r.stat, 1), "SELECT row_key,
 _register("column_sums", lambda r: stats.column_sums(r.stat, 1), "SELECT scenario_idx, coalesce(sum(value) FILTER (WHERE mask >= 1), 0e0) AS total, coalesce(sum(value) FILTER (WHERE mask >= 1), 0e0) / count(*) AS avg_over_all_rows FROM {stat} GROUP BY 1", "total avg_over_all_rows")
 _register(
     "build_stat",
-    lambda r: stats.build_stat(_flat(r), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0)).where("substring(row_key, 1, 1) = '7'"),
-    f"""{_FLAT}, kk AS (SELECT *, from_bus || '_' || to_bus || '_' || ckt AS row_key FROM flat WHERE left(CAST(from_bus AS VARCHAR), 1) = '7')
+    lambda r: stats.build_stat(_flat(r), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0)),
+    f"""{_FLAT}, kk AS (SELECT *, from_bus || '_' || to_bus || '_' || ckt AS row_key FROM flat)
 FINALLY SELECT row_key, event_idx AS scenario_idx, p AS value, CAST(CASE WHEN viol = 1 THEN 2 ELSE 1 END AS INT) AS mask, -rate AS min_bound, rate AS max_bound FROM kk WHERE event_idx = 0 OR event_idx % 3 > 0
  UNION ALL SELECT row_key, CAST(e AS INT), 0e0, 0, -rate, rate FROM kk CROSS JOIN (VALUES (3), (6)) AS v(e) WHERE event_idx = 0""",
     "value min_bound max_bound",
 )
 _register(
     "network_counts",
-    lambda r: stats.network_counts(r.bus, r.circuit, r.generator, r.load),
+    lambda r: stats.network_counts(r.bus, r.circuit, r.generator, r.load, r.shunt),
     """SELECT 'generator' AS kind, bus_id, count(*) AS n FROM {generator} GROUP BY 2 UNION ALL SELECT 'load', bus_id, count(*) FROM {load} GROUP BY 2 UNION ALL SELECT 'circuit_end', bus_id, count(*) FROM (SELECT from_bus AS bus_id FROM {circuit} UNION ALL SELECT to_bus FROM {circuit}) AS e GROUP BY 2
- UNION ALL SELECT 'generator', NULL, count(*) FROM {generator} UNION ALL SELECT 'load', NULL, count(*) FROM {load} UNION ALL SELECT 'circuit', NULL, count(*) FROM {circuit} UNION ALL SELECT 'bus', NULL, count(*) FROM {bus} UNION ALL SELECT 'branch', NULL, count(*) FROM (SELECT DISTINCT from_bus, to_bus FROM {circuit}) AS d""",
+ UNION ALL SELECT 'generator', NULL, count(*) FROM {generator} UNION ALL SELECT 'load', NULL, count(*) FROM {load} UNION ALL SELECT 'circuit', NULL, count(*) FROM {circuit} UNION ALL SELECT 'bus', NULL, count(*) FROM {bus} UNION ALL SELECT 'storage', bus_id, count(*) FROM {shunt} GROUP BY 2 UNION ALL SELECT 'storage', NULL, count(*) FROM {shunt} UNION ALL SELECT 'branch', NULL, count(*) FROM (SELECT DISTINCT from_bus, to_bus FROM {circuit}) AS d""",
 )
 _register("area_load", lambda r: stats.area_load(r.load, r.bus), "SELECT area, zone, sum(pl) AS pl FROM {load} l JOIN {bus} b ON b.bus_id = l.bus_id WHERE status = 1 GROUP BY GROUPING SETS ((area), (area, zone))", "pl")
 _register("generator_margins", lambda r: stats.generator_margins(r.generator, r.bus), "SELECT area, zone, sum(pg) AS pg, sum(pmin) AS pmin, sum(pmax) AS pmax FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 GROUP BY GROUPING SETS ((area), (area, zone))", "pg pmin pmax")
@@ -617,8 +631,8 @@ _register("over_limit", lambda r: series.over_limit(r.series, 62.5), "SELECT mac
 _register("angle_spread", lambda r: series.angle_spread(r.series, 5.95), "SELECT scenario_idx, step, max(value) - min(value) AS spread, max(value) - min(value) <= 595e-2 AS secure FROM {series} GROUP BY 1, 2", "spread")
 _register(
     "unpivot_watch",
-    lambda r: series.unpivot_watch(r.generator.where("gen_id = '1'").select(F.col("bus_id").cast("double").alias("t"), F.col("pg").alias("12_1_GENP"), F.col("qg").alias("12_1_GENQ"), F.col("pmax").alias("7_A_SPD"), F.col("pmin").alias("other"))),
-    "SELECT CAST(bus_id AS DOUBLE) AS t, CAST(12 AS BIGINT) AS bus_id, '1' AS gen_id, 'GENP' AS var, pg AS value FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 12, '1', 'GENQ', qg FROM {generator} WHERE gen_id = '1' UNION ALL SELECT CAST(bus_id AS DOUBLE), 7, 'A', 'SPD', pmax FROM {generator} WHERE gen_id = '1'",
+    lambda r: series.unpivot_watch(r.generator.select((F.col("bus_id") * 10 + F.col("gen_id").cast("int")).cast("double").alias("t"), F.col("pg").alias("12_1_GENP"), F.col("qg").alias("12_1_GENQ"), F.col("pmax").alias("7_A_SPD"), F.col("pmin").alias("other"))),
+    "SELECT CAST(bus_id * 10 + CAST(gen_id AS INT) AS DOUBLE) AS t, CAST(12 AS BIGINT) AS bus_id, '1' AS gen_id, 'GENP' AS var, pg AS value FROM {generator} UNION ALL SELECT CAST(bus_id * 10 + CAST(gen_id AS INT) AS DOUBLE), 12, '1', 'GENQ', qg FROM {generator} UNION ALL SELECT CAST(bus_id * 10 + CAST(gen_id AS INT) AS DOUBLE), 7, 'A', 'SPD', pmax FROM {generator}",
     "value",
 )
 _register("watched_generators", lambda r: series.watched_generators(r.generator, r.bus, 3, 0), "SELECT g.bus_id, gen_id FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 AND area = 3")
@@ -651,6 +665,36 @@ _register(
     "SELECT case_id, bus_id, t AS type, x AS value, 1e-2 AS deviation FROM {bus} CROSS JOIN (SELECT DISTINCT case_id FROM {measurement}) AS c CROSS JOIN (VALUES ('VUL', 105e-2), ('VLL', 95e-2)) AS v(t, x) WHERE type = 1",
 )
 _register("predicted_value", lambda r: _measured(r).select("case_id", "idx", "type", "predicted"), f"{_MEASURED}\nFINALLY SELECT case_id, idx, type, predicted FROM res", "predicted")
+
+
+
+def _branch_measurement(r: Roles) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(t) for t in measure.BRANCH_TYPES]), (F.col("to_bus") % 6 + 1).cast("int"))
+    return r.circuit.select(((F.col("from_bus") + F.col("to_bus")) % 8).cast("int").alias("case_id"), "from_bus", "to_bus", "ckt", kind.alias("type"), F.col("rate_a").alias("value"), F.lit(0.01).alias("deviation"))
+
+
+def _branch_predicted(r: Roles) -> DataFrame:
+    state = r.voltage.where("event_idx < 8").withColumnRenamed("event_idx", "case_id")
+    flow = _flow(r).withColumnRenamed("event_idx", "case_id")
+    limit = measure.limit_measurements(r.bus, r.measurement, 0.95, 1.05, 0.01)
+    found = measure.predicted_value(_branch_measurement(r).unionByName(limit, allowMissingColumns=True), state, state.select("case_id", "bus_id", F.lit(0.0).alias("p"), F.lit(0.0).alias("q")), flow)
+    return found.select("case_id", "bus_id", "from_bus", "to_bus", "ckt", "type", "predicted")
+
+
+_register(
+    "predicted_branch_value",
+    _branch_predicted,
+    f"""{_ELEMENTS}, {_FLOW}, km AS (SELECT CAST((from_bus + to_bus) % 8 AS INT) AS case_id, from_bus, to_bus, ckt, ['PIJ', 'PJI', 'QIJ', 'QJI', 'IIJ', 'IJI'][to_bus % 6 + 1] AS type FROM {{circuit}})
+FINALLY SELECT km.case_id, NULL AS bus_id, km.from_bus, km.to_bus, km.ckt, km.type, CASE km.type WHEN 'PIJ' THEN p_from WHEN 'PJI' THEN p_to WHEN 'QIJ' THEN q_from WHEN 'QJI' THEN q_to WHEN 'IIJ' THEN sqrt(p_from * p_from + q_from * q_from) / vf ELSE sqrt(p_to * p_to + q_to * q_to) / vt END / 1e2 AS predicted
+ FROM km JOIN flow ON flow.event_idx = km.case_id AND flow.from_bus = km.from_bus AND flow.to_bus = km.to_bus AND flow.ckt = km.ckt
+ UNION ALL SELECT v.event_idx, v.bus_id, NULL, NULL, NULL, t, CASE WHEN t = 'VUL' THEN greatest(v.v_pu, 105e-2) ELSE least(v.v_pu, 95e-2) END FROM {{voltage}} v JOIN {{bus}} b ON b.bus_id = v.bus_id AND b.type = 1 CROSS JOIN (VALUES ('VUL'), ('VLL')) AS w(t) WHERE v.event_idx IN (SELECT case_id FROM {{measurement}})""",
+    "predicted",
+)
+_register(
+    "assign_branch_measurements",
+    lambda r: measure.assign_measurements(_branch_measurement(r).withColumns({"idx": F.col("ckt").cast("int"), "bus_id": F.lit(None).cast("long")}), r.bus, r.circuit)[1].select("case_id", "from_bus", "to_bus", "ckt", "type", "nth"),
+    "SELECT CAST((from_bus + to_bus) % 8 AS INT) AS case_id, from_bus, to_bus, ckt, ['PIJ', 'PJI', 'QIJ', 'QJI', 'IIJ', 'IJI'][to_bus % 6 + 1] AS type, CAST(row_number() OVER (PARTITION BY from_bus, to_bus ORDER BY ckt) AS INT) AS nth FROM {circuit}",
+)
 _register("residuals", lambda r: _measured(r).select("case_id", "idx", "residual", "weight", "norm"), f"{_MEASURED}\nFINALLY SELECT case_id, idx, residual, weight, norm FROM res", "residual weight norm")
 _CHI = f"""{_MEASURED}, chi AS (SELECT *, CASE WHEN dof >= 1 AND dof <= {3 * _N_BUS} THEN dof * pow(1 - 2e0 / (9e0 * dof) + 1645e-3 * sqrt(2e0 / (9e0 * dof)), 3) ELSE 150e0 END AS threshold FROM (SELECT case_id, sum(residual * residual * weight) AS chi, count(*) AS n, greatest(count(*) - {2 * _N_BUS - 1}, 1) AS dof FROM res GROUP BY 1) AS c)"""
 _register("chi_square", lambda r: measure.chi_square(_measured(r), _N_BUS), f"{_CHI}\nFINALLY SELECT case_id, chi, n, dof, threshold, chi < threshold AS passed FROM chi", "chi threshold")
@@ -780,7 +824,7 @@ _register("add_diagonal", lambda r: coo.add_diagonal(r.coo, _vector(r)), f"{_VEC
 _register("multiply_diagonal", lambda r: coo.multiply_diagonal(r.coo, _vector(r)), f"{_VEC}\nFINALLY SELECT c.i, j, CASE WHEN c.i = j THEN c.re * v.re - c.im * v.im ELSE c.re END AS re, CASE WHEN c.i = j THEN c.re * v.im + c.im * v.re ELSE c.im END AS im FROM {{coo}} c JOIN vec v ON v.i = c.i", "re im")
 _register("spmv", lambda r: coo.spmv(r.coo, _vector(r)), f"{_VEC}\nFINALLY SELECT c.i, sum(c.re * v.re - c.im * v.im) AS re, sum(c.re * v.im + c.im * v.re) AS im FROM {{coo}} c JOIN vec v ON v.i = c.j GROUP BY 1", "re im")
 _register("spmv_transpose", lambda r: coo.spmv_transpose(r.coo, _vector(r)), f"{_VEC}\nFINALLY SELECT c.j AS i, sum(c.re * v.re - c.im * v.im) AS re, sum(c.re * v.im + c.im * v.re) AS im FROM {{coo}} c JOIN vec v ON v.i = c.i GROUP BY 1", "re im")
-_register("spgemm", lambda r: coo.spgemm(r.coo.where("j < 100"), r.coo.where("j < 60")), "SELECT a.i, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM {coo} a JOIN {coo} b ON b.i = a.j WHERE a.j < 100 AND b.j < 60 GROUP BY 1, 2", "re im")
+_register("spgemm", lambda r: coo.spgemm(r.coo, r.coo), "SELECT a.i, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM {coo} a JOIN {coo} b ON b.i = a.j GROUP BY 1, 2", "re im")
 _register("transpose", lambda r: coo.transpose(r.coo), "SELECT j AS i, i AS j, re, im FROM {coo}", "re im")
 _register("diagonal", lambda r: coo.diagonal(r.coo), "SELECT i, re, im FROM {coo} WHERE i = j", "re im")
 _register("column", lambda r: coo.column(r.coo, 7), "SELECT i, re, im FROM {coo} WHERE j = 7", "re im")
@@ -797,12 +841,12 @@ _register("element_divide", lambda r: coo.element_divide(coo.diagonal(r.coo), _v
 _register("convergence_rows", lambda r: sinks.convergence_rows(r.convergence_a), "SELECT * FROM {convergence_a}")
 _register(
     "flat_export",
-    lambda r: sinks.rounded(_flat(r).where("event_idx = 0").drop("p", "q", "ang_from_deg", "ang_to_deg")),
-    f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, round(mva, 4) AS mva, round(rate, 4) AS rate, round(loading, 2) AS loading, viol, round(v_from_pu, 6) AS v_from_pu, round(v_to_pu, 6) AS v_to_pu FROM flat WHERE event_idx = 0",
+    lambda r: sinks.rounded(_flat(r).drop("contingency", "p", "q", "ang_from_deg", "ang_to_deg")),
+    f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, round(mva, 4) AS mva, round(rate, 4) AS rate, round(loading, 2) AS loading, viol, round(v_from_pu, 6) AS v_from_pu, round(v_to_pu, 6) AS v_to_pu FROM flat",
 )
 _register(
     "nested_case_json",
-    lambda r: sinks.nested_case_json(_cases(r), r.voltage.where("bus_id < 4").select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.where("bus_id = 3").select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
+    lambda r: sinks.nested_case_json(_cases(r), r.voltage.select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
     None,
 )
 

@@ -30,7 +30,6 @@ SQL = {
           CAST(CASE WHEN min(l_returnflag) = 'R' AND max(l_linestatus) = 'F' THEN 0 ELSE 1 END AS INT) AS status
           FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey
           GROUP BY o_custkey, l_partkey % (SELECT count(*) FROM {customer}), l_linenumber) AS grouped WHERE from_bus <> to_bus""",
-    "sparse_circuit": "SELECT * FROM {circuit} WHERE ckt = '1' AND (from_bus * 7 + to_bus) % 13 = 0",
     "generator": """SELECT bus_id, gen_id, pg, 13e-1 * pg AS pmax, 2e-1 * pg AS pmin, 5e-1 * pg AS qmax, -3e-1 * pg AS qmin, 5e-2 * pg AS qg, status FROM (
         SELECT o_custkey AS bus_id, CAST(o_orderkey % 9 AS VARCHAR(9)) AS gen_id, round(sum(o_totalprice) / 5000, 6) AS pg,
         CAST(CASE WHEN min(o_orderstatus) = 'F' THEN 0 ELSE 1 END AS INT) AS status FROM {orders} GROUP BY o_custkey, o_orderkey % 9) AS grouped""",

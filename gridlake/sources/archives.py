@@ -6,7 +6,9 @@ directory of many files is read by many tasks. A single file is one task's work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from gridlake.functions.ordering import number
 
 #: Fixed order of the sections of version 33 case files.
 SECTIONS = (
@@ -56,22 +58,89 @@ def branch_table_of(section: DataFrame) -> DataFrame:
     return section.select("file", f(0, "bigint").alias("from_bus"), f(1, "bigint").alias("to_bus"), tag.alias("ckt"), f(3, "double").alias("r"), f(4, "double").alias("x"), f(5, "double").alias("b"), f(6, "double").alias("rate_a"), f(7, "double").alias("rate_b"), f(8, "double").alias("rate_c"), F.coalesce(f(13, "int"), F.lit(1)).alias("status"))
 
 
+#: Fields of the other sections that are read: name, type, place in the line.
+_FIELDS = {
+    "load": "bus_id bigint 0, load_id string 1, status int 2, area int 3, zone int 4, pl double 5, ql double 6, ip double 7, iq double 8, yp double 9, yq double 10",
+    "fixed_shunt": "bus_id bigint 0, shunt_id string 1, status int 2, gl double 3, bl double 4",
+    "generator": "bus_id bigint 0, gen_id string 1, pg double 2, qg double 3, qmax double 4, qmin double 5, vs double 6, ireg bigint 7, mbase double 8, status int 14, rmpct double 15, pmax double 16, pmin double 17",
+    "area": "number int 0, isw bigint 1, pdes double 2, ptol double 3, name string 4",
+    "zone": "number int 0, name string 1",
+    "owner": "number int 0, name string 1",
+    "inter_area": "from_area int 0, to_area int 1, tag string 2, transfer double 3",
+    "switched_shunt": "bus_id bigint 0, modsw int 1, status int 3, vswhi double 4, vswlo double 5, swrem bigint 6, binit double 9",
+}
+
+
+def _field(line: str, place: int, kind: str) -> Column:
+    if kind == "string":
+        return F.trim(F.regexp_replace(F.expr(f"get({line}, {place})"), "['\"]", ""))
+    return F.expr(f"try_cast(get({line}, {place}) AS {kind})")
+
+
+def typed_section(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """Typed rows, with their file, of any section but transformers; fields that are missing or no numbers are null. Switched shunts have
+    ``steps``, an array of (n, b), from the tenth field on."""
+    if name in ("bus", "branch"):
+        return (bus_table_of if name == "bus" else branch_table_of)(tables[name])
+    fields = [f.split() for f in _FIELDS[name].split(", ")]
+    columns = [_field("fields", int(place), kind).alias(column) for column, kind, place in fields]
+    if name == "switched_shunt":
+        pair = "named_struct('n', try_cast(get(fields, 10 + 2 * k) AS int), 'b', try_cast(get(fields, 11 + 2 * k) AS double))"
+        columns.append(F.expr(f"filter(transform(sequence(0, 7), k -> {pair}), s -> s.n > 0)").alias("steps"))
+    return tables[name].select("file", *columns)
+
+
+def transformer_tables_of(section: DataFrame, sbase: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """(two-winding, three-winding) transformers of a transformer section.
+
+    A record spans four lines, five with a third bus; its first line is the one that has a quoted field, so records are told
+    apart by a running count in their file. Two windings: (file, from_bus, to_bus, ckt, r, x, rate_a, rate_b, rate_c, tap, shift_deg, status), r and x
+    on the system base. Three windings: what ``expand_three_winding`` takes.
+    """
+    opens = F.exists("fields", lambda f: f.contains("'") | f.contains('"')).cast("int")
+    so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = section.withColumn("_record", F.sum(opens).over(so_far))
+    records = numbered.groupBy("file", "_record").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "fields"))), lambda x: x["fields"]).alias("lines"))
+    f = lambda line, place, kind, name: _field(f"get(lines, {line})", place, kind).alias(name)
+    tag = f(0, 3, "string", "ckt")
+    third = F.coalesce(F.expr("try_cast(get(get(lines, 0), 2) AS bigint)"), F.lit(0))
+    base = F.expr("try_cast(get(get(lines, 1), 2) AS double)")
+    onto = F.when(base != 0, sbase / base).otherwise(1.0)
+    rates = [f(2, 3 + i, "double", f"rate_{c}") for i, c in enumerate("abc")]
+    tap = (f(2, 0, "double", "t") / f(3, 0, "double", "u")).alias("tap")
+    impedance = [(f(1, i, "double", c) * onto).alias(c) for i, c in enumerate("rx")]
+    two = records.where(third == 0).select("file", f(0, 0, "bigint", "from_bus"), f(0, 1, "bigint", "to_bus"), tag, *impedance, *rates, tap, f(2, 2, "double", "shift_deg"), F.coalesce(f(0, 11, "int", "s"), F.lit(1)).alias("status"))
+    names = ("r12", "x12", "sb12", "r23", "x23", "sb23", "r31", "x31", "sb31", "v_star", "ang_star")
+    buses = [f(0, i, "bigint", f"bus_{c}") for i, c in enumerate("ijk")]
+    three = records.where(third != 0).select("file", *buses, tag, *[f(1, i, "double", name) for i, name in enumerate(names)])
+    return two, three
+
+
 def expand_three_winding(transformers: DataFrame, bus: DataFrame, sbase: float = 100.0) -> tuple[DataFrame, DataFrame]:
-    """(star buses, branches) of three-winding transformers (bus_i, bus_j, bus_k, ckt, r12, x12, sb12, r23, x23, sb23, r31, x31, sb31).
+    """(star buses, branches) of three-winding transformers (bus_i, bus_j, bus_k, ckt, r12, x12, sb12, r23, x23, sb23, r31, x31, sb31[, v_star, ang_star]).
 
-    Pairwise impedances are taken to the system base (times sbase / sb); each winding gets half the sum of its two pairs minus the third.
-    The star bus is named DUMMY_BUS-i-j-k, takes area and owner of the first winding's bus, and has an id above all others in the file's network.
+    Pairwise impedances are taken to the system base (times sbase / sb, unless sb is 0); each winding gets half the sum of its two pairs minus the
+    third. The star bus is named DUMMY_BUS-i-j-k, takes area and owner of the first winding's bus, and has an id above all others in its
+    network: of its file, if the tables have one, else of the whole bus table.
     """
-    z = {p: F.col(p) * sbase / F.col("sb" + p[1:]) for p in ("r12", "x12", "r23", "x23", "r31", "x31")}
+    keys = ["file"] if "file" in transformers.columns and "file" in bus.columns else []
+    on_base = lambda p: F.when(F.col("sb" + p[1:]) != 0, F.col(p) * sbase / F.col("sb" + p[1:])).otherwise(F.col(p))
+    z = {p: on_base(p) for p in ("r12", "x12", "r23", "x23", "r31", "x31")}
     half = lambda a, b, c: (z[a] + z[b] - z[c]) / 2
-    top = bus.agg(F.max("bus_id").alias("_top"))
-    order = Window.orderBy("bus_i", "bus_j", "bus_k", "ckt")  # a case's three-winding transformers: a short list
-    t = transformers.crossJoin(F.broadcast(top)).withColumn("star", F.col("_top") + F.row_number().over(order))
-    first = bus.select(F.col("bus_id").alias("bus_i"), "area", "owner")
-    stars = t.join(first, "bus_i").select(F.col("star").alias("bus_id"), F.concat_ws("-", F.lit("DUMMY_BUS"), "bus_i", "bus_j", "bus_k").alias("name"), "area", "owner")
+    order = ["bus_i", "bus_j", "bus_k", "ckt"]
+    top = bus.groupBy(*keys).agg(F.max("bus_id").alias("_top"))
+    if keys:
+        t = transformers.withColumn("_nth", F.row_number().over(Window.partitionBy("file").orderBy(*order))).join(top, "file")
+    else:
+        t = number(transformers, order, "_nth", start=1).crossJoin(F.broadcast(top))  # top is one row
+    t = t.withColumn("star", F.col("_top") + F.col("_nth"))
+    first = bus.select(*keys, F.col("bus_id").alias("bus_i"), "area", "owner")
+    state = [F.col(c) if c in t.columns else F.lit(v).alias(c) for c, v in (("v_star", 1.0), ("ang_star", 0.0))]
+    stars = t.join(first, [*keys, "bus_i"]).select(*keys, F.col("star").alias("bus_id"), F.concat_ws("-", F.lit("DUMMY_BUS"), "bus_i", "bus_j", "bus_k").alias("name"), "area", "owner", *state)
+    stars = stars.withColumnsRenamed({"v_star": "v_pu", "ang_star": "angle_deg"})
     wind = [F.struct(F.col(e).alias("from_bus"), half(f"r{a}", f"r{b}", f"r{c}").alias("r"), half(f"x{a}", f"x{b}", f"x{c}").alias("x")) for e, a, b, c in (("bus_i", "12", "31", "23"), ("bus_j", "12", "23", "31"), ("bus_k", "23", "31", "12"))]
-    rows = t.select("star", "ckt", F.explode(F.array(*wind)).alias("w"))
-    return stars, rows.select(F.col("w.from_bus").alias("from_bus"), F.col("star").alias("to_bus"), "ckt", F.col("w.r").alias("r"), F.col("w.x").alias("x"))
+    rows = t.select(*keys, "star", "ckt", F.explode(F.array(*wind)).alias("w"))
+    return stars, rows.select(*keys, F.col("w.from_bus").alias("from_bus"), F.col("star").alias("to_bus"), "ckt", F.col("w.r").alias("r"), F.col("w.x").alias("x"))
 
 
 def read_dynamic_archive(spark: SparkSession, path: str) -> DataFrame:

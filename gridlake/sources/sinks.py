@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 BUCKET = 256
-_PLACES = {"p": 4, "q": 4, "mva": 4, "rate": 4, "loading": 2, "v_from_pu": 6, "v_to_pu": 6, "ang_from_deg": 6, "ang_to_deg": 6}
+_PLACES = ((4, r"(base_|cont_)?(p|q|mva|rate)"), (2, r"(base_|cont_)?loading"), (6, r"v_(from|to)_(pu|base|cont)|ang_(from|to)_(deg|base|cont)|d_angle_(base|cont)"))
 
 
 def rounded(rows: DataFrame) -> DataFrame:
-    """Power to 4 places, loading to 2, voltages and angles to 6; base_ and d_ columns like their own."""
-    places = lambda c: _PLACES.get(c.removeprefix("base_"), 4 if c == "d_p" else 2 if c == "d_loading" else 6 if c.startswith("d_ang") else None)
-    return rows.withColumns({c: F.round(c, p) for c in rows.columns if (p := places(c)) is not None})
+    """Power to 4 places, loading to 2, voltages and angles to 6; those of delta rows too."""
+    return rows.withColumns({c: F.round(c, places) for c in rows.columns for places, names in _PLACES if re.fullmatch(names, c)})
 
 
 def _write(rows: DataFrame, path: str, fmt: str) -> None:

@@ -4,20 +4,48 @@ from gridlake.functions import exprs
 from gridlake.operators import electrical
 from gridlake.sources import archives, lists, sinks
 
-CASE = """0, 100.0, 33, 0, 1, 60.0 / a case
+CASE = """0, 50.0, 33, 0, 1, 60.0 / a case
 title one
 title, two
-1,'Bus 1, A', 138.0,3,1,1,1,1.06,0.0
-2,'Bus 2   ', 138.0,1,1,2,1,1.045,-4.98 / a comment
+11,'North, A', 220.0,3,1,1,1,1.02,0.0
+12,'South   ', 220.0,1,1,2,1,0.99,-3.25 / a comment
+13,'East', 33.0,1,2,2,1,1.01,-1.5
 0 / end of bus data
-2,'1 ',1,1,1,21.7,12.7
+12,'1 ',1,1,1,40.5,9.25,0,0,0,0
 0 / end of load data
+13,'1',1,0.5,12.5
 0 / end of fixed shunt data
-1,'1',232.4,-16.9
+11,'1',80.25,-4.5,30,-20,1.02,0,100,0,1,0,0,1,1,75,120,10
 0 / end of generator data
-1,2,'1 ',0.01938,0.05917,0.0528,100,110,120,0,0,0,0,1
-1,2,'2 ',0.02,0.06,0.05,0,0,0,0,0,0,0,0
+11,12,'1 ',0.011,0.07,0.03,90,95,105,0,0,0,0,1
+11,12,'2 ',0.012,0.08,0.03,0,0,0,0,0,0,0,0
 0 / end of branch data
+12,13,0,'1 ',1,2,1,0,0,2,'TWO WINDING ',1,1,1
+0.02,0.12,25
+0.97,0,4.5,60,65,70
+1.01,0
+11,12,13,'T ',1,2,1,0,0,2,'THREE',1,1,1
+0.1,0.3,50,0.2,0.4,50,0.3,0.5,25,1.003,-2.5
+1,0,0
+1,0,0
+1,0,0
+0 / end of transformer data
+1,11,5.5,1.25,'AREA ONE'
+0 / end of area data
+0 / two terminal
+0 / vsc
+0 / impedance correction
+0 / multi terminal
+0 / multi section
+2,'ZONE TWO'
+0 / zone
+1,2,'A',15.5
+0 / inter area
+1,'OWNER'
+0 / owner
+0 / facts
+13,1,0,1,1.05,0.95,12,100,' ',7.5,2,2.5,1,2.5
+0 / switched shunt
 Q
 """
 
@@ -28,17 +56,36 @@ def test_case_archive(spark, tmp_path):
     tables = archives.read_case_archive(spark, str(tmp_path))
     assert list(tables) == list(archives.SECTIONS)
     bus = archives.bus_table_of(tables["bus"]).orderBy("file", "bus_id").collect()
-    assert len(bus) == 6 and bus[0].name == "Bus 1, A" and bus[1].angle_deg == -4.98
+    assert len(bus) == 9 and bus[0].name == "North, A" and bus[1].angle_deg == -3.25
     branch = archives.branch_table_of(tables["branch"]).collect()
-    assert sorted({(b.from_bus, b.to_bus, b.ckt, b.status) for b in branch}) == [(1, 2, "1", 1), (1, 2, "2", 0)]
-    assert tables["load"].count() == 3 and tables["fixed_shunt"].count() == 0 and tables["transformer"].count() == 0
+    assert sorted({(b.from_bus, b.to_bus, b.ckt, b.status) for b in branch}) == [(11, 12, "1", 1), (11, 12, "2", 0)]
+    assert tables["load"].count() == 3 and tables["vsc"].count() == 0 and tables["transformer"].count() == 27
+
+
+def test_typed_sections_and_transformers(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / f"c{i}.raw").write_text(CASE)
+    tables = archives.read_case_archive(spark, str(tmp_path))
+    one = lambda name: {tuple(r)[1:] for r in archives.typed_section(tables, name).collect()}
+    assert one("load") == {(12, "1", 1, 1, 1, 40.5, 9.25, 0.0, 0.0, 0.0, 0.0)}
+    assert one("generator") == {(11, "1", 80.25, -4.5, 30.0, -20.0, 1.02, 0, 100.0, 1, 75.0, 120.0, 10.0)}
+    assert one("fixed_shunt") == {(13, "1", 1, 0.5, 12.5)} and one("area") == {(1, 11, 5.5, 1.25, "AREA ONE")}
+    assert one("zone") == {(2, "ZONE TWO")} and one("owner") == {(1, "OWNER")} and one("inter_area") == {(1, 2, "A", 15.5)}
+    (shunt,) = {(r.bus_id, r.status, r.binit, tuple((s.n, s.b) for s in r.steps)) for r in archives.typed_section(tables, "switched_shunt").collect()}
+    assert shunt == (13, 1, 7.5, ((2, 2.5), (1, 2.5)))
+    two, three = archives.transformer_tables_of(tables["transformer"], sbase=50.0)
+    assert {tuple(r)[1:] for r in two.collect()} == {(12, 13, "1", 0.04, 0.24, 60.0, 65.0, 70.0, 0.97 / 1.01, 4.5, 1)}
+    stars, branches = archives.expand_three_winding(three, archives.typed_section(tables, "bus"), sbase=50.0)
+    assert sorted(tuple(r)[1:] for r in stars.collect()) == [(14, "DUMMY_BUS-11-12-13", 1, 1, 1.003, -2.5)] * 2
+    found = {(r.from_bus, r.to_bus, round(r.r, 6), round(r.x, 6)) for r in branches.collect()}
+    assert found == {(11, 14, 0.25, 0.45), (12, 14, -0.15, -0.15), (13, 14, 0.35, 0.55)} and branches.count() == 6
 
 
 def test_three_windings(spark):
     t = spark.createDataFrame([(1, 2, 3, "1", 0.1, 0.3, 100.0, 0.2, 0.4, 100.0, 0.3, 0.5, 50.0)], "bus_i long, bus_j long, bus_k long, ckt string, r12 double, x12 double, sb12 double, r23 double, x23 double, sb23 double, r31 double, x31 double, sb31 double")
     bus = spark.createDataFrame([(1, 7, 9), (2, 8, 9), (3, 8, 9)], "bus_id long, area int, owner int")
     stars, branches = archives.expand_three_winding(t, bus)
-    assert [tuple(r) for r in stars.collect()] == [(4, "DUMMY_BUS-1-2-3", 7, 9)]
+    assert [tuple(r) for r in stars.collect()] == [(4, "DUMMY_BUS-1-2-3", 7, 9, 1.0, 0.0)]
     found = {r.from_bus: (round(r.r, 6), round(r.x, 6)) for r in branches.collect()}
     assert found == {1: (0.25, 0.45), 2: (-0.15, -0.15), 3: (0.35, 0.55)}
 
@@ -96,6 +143,30 @@ def test_tags_and_quotes(spark):
     assert raw.limit(1).select(exprs.csv_field(F.lit('a"b'))).first()[0] == '"a""b"'
 
 
+def test_reactive_basis_is_chosen_anew(spark):
+    units = spark.createDataFrame([(1, "1", 100.0, 10.0, -5.0, 1), (1, "2", 0.0, 100.0, -50.0, 1), (2, "1", 0.0, 0.0, 0.0, 1)], "bus_id long, gen_id string, rmpct double, qmax double, qmin double, status int")
+    need = spark.createDataFrame([(1, 60.0), (2, 0.05)], "bus_id long, q_required double")
+    found = {(r.bus_id, r.gen_id): (r.q, r.clamped) for r in electrical.allocate_reactive(units, need).collect()}
+    assert found == {(1, "1"): (10.0, True), (1, "2"): (50.0, False), (2, "1"): (0.0, False)}
+
+
+def test_small_deviations_of_large_values(spark):
+    from gridlake.operators import stats
+
+    rows = [("a", i, 1e8 + i * 1e-3, 1) for i in range(6)] + [("b", i, 5.0, 0) for i in range(3)]
+    found = {r.row_key: r for r in stats.mean_rms(spark.createDataFrame(rows, "row_key string, scenario_idx int, value double, mask int"), 1).collect()}
+    assert abs(found["a"].rms - (sum((i * 1e-3) ** 2 for i in range(6)) / 5) ** 0.5) < 1e-6
+    assert tuple(found["b"])[1:] == (0, 0.0, 0.0, 0.0)
+
+
+def test_broadcast_of_voltages_is_checked(spark, monkeypatch):
+    voltage = spark.createDataFrame([(e, b, 1.0 + 0.01 * b, 5.0 * b) for e in range(2) for b in range(3)], "event_idx int, bus_id long, v_pu double, angle_deg double")
+    circuit = spark.createDataFrame([(0, 1, "1", 0.01, 0.1, 0.02, 0.0, 0.0, False, 1), (1, 2, "1", 0.02, 0.2, 0.0, 0.98, 3.0, True, 1)], "from_bus long, to_bus long, ckt string, r double, x double, b double, tap double, shift_deg double, switched boolean, status int")
+    small = sorted(electrical.line_flow(circuit, voltage).collect())
+    monkeypatch.setattr(electrical, "BROADCAST_ROWS", 2)
+    assert sorted(electrical.line_flow(circuit, voltage).select(*electrical.line_flow(circuit, voltage).columns).collect()) == small and len(small) == 4
+
+
 def test_reactive_shares_are_clamped_and_shared_again(spark):
     units = spark.createDataFrame([(1, "1", 50.0, 10.0, -5.0, 1), (1, "2", 50.0, 100.0, -50.0, 1)], "bus_id long, gen_id string, rmpct double, qmax double, qmin double, status int")
     need = spark.createDataFrame([(1, 60.0)], "bus_id long, q_required double")

@@ -50,6 +50,21 @@ def test_random_graphs_against_removal(spark, seed):
     assert screened(spark, edges, n)[1] == brute(edges, n)
 
 
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A circuit of a chain is a bridge; so is none of a ring. Rounds are counted by the durable tables that are written."""
+    from gridlake.functions import durable
+
+    written = []
+    plain = durable._written
+    monkeypatch.setattr(durable, "_written", lambda frame: written.append(1) or plain(frame))
+    chain = spark.range(999).select(F.col("id").alias("from_bus"), (F.col("id") + 1).alias("to_bus"), F.lit("1").alias("ckt"), F.lit(1).alias("status"))
+    ring = spark.range(2000, 2300).select(F.col("id").alias("from_bus"), (F.when(F.col("id") == 2299, 2000).otherwise(F.col("id") + 1)).alias("to_bus"), F.lit("1").alias("ckt"), F.lit(1).alias("status"))
+    bus = spark.range(1000).union(spark.range(2000, 2300)).select(F.col("id").alias("bus_id"), F.lit(1).alias("type"))
+    found = topology.screen_outages(bus, chain.union(ring)).collect()
+    assert {(r.from_bus < 2000, r.bridge, r.components) for r in found} == {(True, True, 3), (False, False, 2)} and len(found) == 1299
+    assert len(written) < 60
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     star = spark.range(1001, 1400).select(F.lit(1000).cast("long").alias("u"), F.col("id").alias("v"))
