@@ -5,14 +5,16 @@ Doubles are rounded to six places on both sides, as sums are added up in differe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridlake.functions import exprs as x
+from gridlake.functions.durable import shared_folder
 from gridlake.operators import compare, coo, electrical, keyed, limits, measure, scenarios, series, stats, topology
 from gridlake.plans import roles
-from gridlake.sources import sinks
+from gridlake.sources import archives, lists, sinks
 from gridlake.streaming import streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +43,7 @@ def _register(name: str, build: Callable[[Roles], DataFrame], sql: str | None, d
         if exact:
             body = sql.strip()
             head, _, last = ("", "", body) if body.startswith("SELECT") else body.rpartition("\nFINALLY ")
-            sql = (head + "\n" if head else "") + f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in exact)}) FROM ({last}) AS found"
+            sql = (head + "\n" if head else "") + f"SELECT * REPLACE ({', '.join(f'round("{c}", 6) + 0e0 AS "{c}"' for c in exact)}) FROM ({last}) AS found"
         _SQL[name] = roles.check_sql(sql.replace("\nFINALLY ", "\n"))
 
 
@@ -844,6 +846,160 @@ _register(
     lambda r: sinks.rounded(_flat(r).drop("contingency", "p", "q", "ang_from_deg", "ang_to_deg")),
     f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, round(mva, 4) AS mva, round(rate, 4) AS rate, round(loading, 2) AS loading, viol, round(v_from_pu, 6) AS v_from_pu, round(v_to_pu, 6) AS v_to_pu FROM flat",
 )
+
+
+# --- files: written from the tables, read back by the readers ---------------------------------------------------------
+
+
+def _folder(r: Roles) -> str:
+    return f"{shared_folder(r.spark)}/gridlake-files-{uuid.uuid4().hex}"
+
+
+def _as_text(r: Roles, rows: DataFrame) -> str:
+    """Folder of text files from rows (part, value): a folder per part."""
+    path = _folder(r)
+    rows.write.partitionBy("part").text(path)
+    return path
+
+
+def _csv(*fields: str) -> F.Column:
+    """A comma-joined line; names in quotes are quoted in the line too."""
+    return F.concat_ws(",", *[F.concat(F.lit("'"), F.col(f.strip("'")).cast("string"), F.lit("'")) if f.startswith("'") else F.expr(f).cast("string") for f in fields])
+
+
+def _archive(r: Roles) -> dict[str, DataFrame]:
+    """Case files of the network, one a zone, with buses and what stands at them; a circuit is filed at its from bus."""
+    place = r.bus.select("bus_id", F.col("area").alias("_area"), F.col("zone").alias("_zone"))
+    at = lambda f, section, *fields: f.join(place, "bus_id").select(F.col("_zone").alias("part"), F.lit(section).alias("section"), _csv(*fields).alias("line"))
+    lines = at(r.bus, 0, "bus_id", "'name'", "base_kv", "type", "area", "zone", "owner", "v_pu", "angle_deg")
+    lines = lines.union(at(r.load, 1, "bus_id", "'load_id'", "status", "_area", "_zone", "pl", "ql", "ip", "iq", "yp", "yq"))
+    lines = lines.union(at(r.shunt, 2, "bus_id", "'shunt_id'", "status", "gl", "bl"))
+    lines = lines.union(at(r.generator, 3, "bus_id", "'gen_id'", "pg", "qg", "qmax", "qmin", "1.0", "0", "100.0", "0", "1", "0", "0", "1", "status", "100.0", "pmax", "pmin"))
+    branch = r.circuit.withColumn("bus_id", F.col("from_bus"))
+    lines = lines.union(at(branch, 4, "from_bus", "to_bus", "'ckt'", "r", "x", "b", "rate_a", "rate_b", "rate_c", "0", "0", "0", "0", "status"))
+    body = lambda k: F.transform(F.filter("lines", lambda x: x["section"] == k), lambda x: x["line"])
+    sections = F.flatten(F.array(*[F.concat(body(k), F.array(F.lit("0 / end"))) for k in range(len(archives.SECTIONS))]))
+    files = lines.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("section", "line"))).alias("lines"))
+    head = F.array(F.lit("0, 100.0, 33"), F.lit("case"), F.lit("of a zone"))
+    path = _as_text(r, files.select("part", F.array_join(F.concat(head, sections, F.array(F.lit("Q"))), "\n").alias("value")))
+    return archives.read_case_archive(r.spark, path)
+
+
+def _case_section(name: str) -> Callable[[Roles], DataFrame]:
+    return lambda r: archives.typed_section(_archive(r), name).drop("file")
+
+
+_register("read_case_buses", _case_section("bus"), "SELECT * FROM {bus}", "v_pu")
+_register("read_case_loads", _case_section("load"), "SELECT l.bus_id, load_id, status, area, zone, pl, ql, ip, iq, yp, yq FROM {load} l JOIN {bus} b ON b.bus_id = l.bus_id", "pl ql ip iq yp yq")
+_register("read_case_shunts", _case_section("fixed_shunt"), "SELECT bus_id, shunt_id, status, gl, bl FROM {shunt}", "gl bl")
+_register("read_case_generators", _case_section("generator"), "SELECT bus_id, gen_id, pg, qg, qmax, qmin, 1e0 AS vs, 0 AS ireg, 1e2 AS mbase, status, 1e2 AS rmpct, pmax, pmin FROM {generator}", "pg qg qmax qmin pmax pmin")
+_register("read_case_branches", _case_section("branch"), "SELECT from_bus, to_bus, ckt, r, x, b, rate_a, rate_b, rate_c, status FROM {circuit}", "r x b rate_a rate_b rate_c")
+
+
+def _windings(r: Roles) -> DataFrame:
+    """A three-winding transformer between every bus and the next two."""
+    z = lambda k: (F.col("bus_id") % k + 1) / 100
+    parts = {f"{q}{p}": z(k) for q, p, k in (("r", "12", 7), ("x", "12", 11), ("r", "23", 13), ("x", "23", 17), ("r", "31", 19), ("x", "31", 23))}
+    bases = {f"sb{p}": F.lit(v) for p, v in (("12", 50.0), ("23", 100.0), ("31", 0.0))}
+    return r.bus.select(F.col("bus_id").alias("bus_i"), (F.col("bus_id") + 1).alias("bus_j"), (F.col("bus_id") + 2).alias("bus_k"), F.lit("1").alias("ckt"), *[v.alias(k) for k, v in (parts | bases).items()])
+
+
+_register(
+    "expand_three_winding",
+    lambda r: archives.expand_three_winding(_windings(r), r.bus)[1],
+    """w AS (SELECT bus_id AS i, bus_id + 1 AS j, bus_id + 2 AS k, (SELECT max(bus_id) FROM {bus}) + row_number() OVER (ORDER BY bus_id) AS star, 2e0 * (bus_id % 7 + 1) / 100 AS r12, 2e0 * (bus_id % 11 + 1) / 100 AS x12, (bus_id % 13 + 1) / 1e2 AS r23, (bus_id % 17 + 1) / 1e2 AS x23, (bus_id % 19 + 1) / 1e2 AS r31, (bus_id % 23 + 1) / 1e2 AS x31 FROM {bus})
+FINALLY SELECT i AS from_bus, star AS to_bus, '1' AS ckt, (r12 + r31 - r23) / 2 AS r, (x12 + x31 - x23) / 2 AS x FROM w UNION ALL SELECT j, star, '1', (r12 + r23 - r31) / 2, (x12 + x23 - x31) / 2 FROM w UNION ALL SELECT k, star, '1', (r23 + r31 - r12) / 2, (x23 + x31 - x12) / 2 FROM w""",
+    "r x",
+)
+_register(
+    "read_dynamic_archive",
+    lambda r: archives.read_dynamic_archive(r.spark, _as_text(r, r.generator.select((F.col("bus_id") % 16).alias("part"), F.concat(F.concat_ws(" ", "bus_id", F.lit("'GENROU'"), F.concat(F.lit("'"), "gen_id", F.lit(" '")), F.col("pg").cast("string")), F.lit("\n  "), F.col("pmax").cast("string"), F.lit(" /")).alias("value")))).select("bus_id", "model", "tag", F.col("params")[0].alias("pg"), F.col("params")[1].alias("pmax"), F.size("params").alias("n")),
+    "SELECT bus_id, 'GENROU' AS model, gen_id AS tag, pg, pmax, 2 AS n FROM {generator}",
+    "pg pmax",
+)
+_register(
+    "read_bus_table",
+    lambda r: archives.read_bus_table(r.spark, _as_text(r, r.voltage.groupBy("bus_id").agg(F.array_sort(F.collect_list(F.struct("event_idx", "v_pu"))).alias("v")).select((F.col("bus_id") % 16).alias("part"), F.concat_ws(" ", "bus_id", F.lit("T1"), F.array_join(F.transform("v", lambda x: x["v_pu"].cast("string")), " ")).alias("value")))),
+    "SELECT bus_id, 'T1' AS tag, event_idx AS scenario_idx, v_pu AS value FROM {voltage}",
+    "value",
+)
+
+
+def _series_file(r: Roles) -> str:
+    wide = r.customer.groupBy((F.col("c_custkey") % 40).cast("double").alias("time-40")).pivot("c_nationkey", list(range(25))).agg(F.sum("c_acctbal"))
+    path = _folder(r)
+    wide.toDF("time-40", *[f"balance-{i}" for i in range(25)]).write.csv(path, header=True)
+    return path
+
+
+_register(
+    "read_series_wide",
+    lambda r: archives.read_series_wide(r.spark, _series_file(r))[0],
+    "SELECT n_nationkey AS bus_id, t, sum(c_acctbal) AS value FROM {nation} CROSS JOIN (SELECT DISTINCT CAST(c_custkey % 40 AS DOUBLE) AS t FROM {customer}) AS g LEFT JOIN {customer} ON c_nationkey = n_nationkey AND c_custkey % 40 = t GROUP BY 1, 2",
+    "value",
+)
+
+
+def _xml(r: Roles, rows: DataFrame, part: F.Column, top: str, tag: str, **fields: F.Column) -> str:
+    inner = [x for name, value in fields.items() for x in (F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))]
+    files = rows.select(part.alias("part"), F.concat(F.lit(f"<{tag}>"), *inner, F.lit(f"</{tag}>")).alias("line")).groupBy("part").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    return _as_text(r, files.select("part", F.concat(F.lit(f"<{top}>\n"), "lines", F.lit(f"\n</{top}>")).alias("value")))
+
+
+_register(
+    "read_measurements",
+    lambda r: lists.read_measurements(r.spark, _xml(r, r.measurement, F.col("bus_id") % 64, "Measurements", "Measurement", Type=F.col("type"), Bus=F.col("bus_id"), Value=F.col("value"), Deviation=F.col("deviation"))).select("type", "bus_id", "value", "deviation"),
+    "SELECT type, bus_id, value, deviation FROM {measurement}",
+    "value deviation",
+)
+_register(
+    "read_contingencies",
+    lambda r: lists.read_contingencies(r.spark, _xml(r, scenarios.n1_branches(r.circuit), F.col("from_bus") % 64, "Contingencies", "Contingency", contingencyType=F.col("type"), contingencyName=F.col("scenario"), contingencyLineBuses=F.concat_ws(" ", "from_bus", "to_bus"), CKT=F.col("ckt"))).select("name", "type", "pos", "from_bus", "to_bus", "ckt"),
+    "SELECT 'BR_' || from_bus || '_' || to_bus || '_' || ckt AS name, 'Line' AS type, 0 AS pos, from_bus, to_bus, ckt FROM {circuit}",
+)
+_register(
+    "read_monitor_list",
+    lambda r: lists.read_monitor_list(r.spark, _as_text(r, r.circuit.select((F.col("from_bus") % 16).alias("part"), F.concat_ws(",", "from_bus", "to_bus", F.concat(F.lit("'"), "ckt", F.lit(" '"))).alias("value")))),
+    "SELECT from_bus, to_bus, ckt FROM {circuit}",
+)
+_register(
+    "read_fault_events",
+    lambda r: lists.read_fault_events(r.spark, _xml(r, r.circuit, F.col("from_bus") % 64, "Faults", "faultEvent", beginFault=F.col("r"), endFault=F.col("r") + 1, faultBranch=F.concat_ws(" ", "from_bus", "to_bus"), timeStep=F.lit(0.005))),
+    "SELECT r AS begin, r + 1 AS \"end\", from_bus, to_bus, 5e-3 AS step FROM {circuit}",
+    "begin end",
+)
+
+
+def _logs(r: Roles) -> str:
+    lines = r.lineitem.groupBy((F.col("l_suppkey") % 8).alias("part"), "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("most"))
+    text = F.concat(F.lit("Timing statistics for: T"), F.col("l_suppkey").cast("string"), F.lit("\n   Maximum time:    "), F.col("most").cast("double").cast("string"), F.lit("\nNumber of tasks executed on process "), F.col("l_suppkey").cast("string"), F.lit(": "), F.col("n").cast("string"))
+    return _as_text(r, lines.select("part", text.alias("value")))
+
+
+_register("read_run_timers", lambda r: archives.read_run_logs(r.spark, _logs(r))[0].select("timer", "stat", "seconds"), "SELECT 'T' || l_suppkey AS timer, 'maximum' AS stat, CAST(max(l_quantity) AS DOUBLE) AS seconds FROM {lineitem} GROUP BY l_suppkey")
+_register("read_run_tasks", lambda r: archives.read_run_logs(r.spark, _logs(r))[1].select("rank", "tasks"), "SELECT CAST(l_suppkey AS INT) AS rank, CAST(count(*) AS INT) AS tasks FROM {lineitem} GROUP BY l_suppkey")
+
+
+def _written_delta(r: Roles) -> DataFrame:
+    path = _folder(r)
+    sinks.write_delta(_delta(r), path)
+    return r.spark.read.parquet(path).select("event_idx", "contingency", "type", "from_bus", "to_bus", "ckt", "base_mva", "cont_mva", "v_from_base", "v_to_cont", "cont_event_facility", "event_bucket")
+
+
+_register(
+    "write_delta",
+    _written_delta,
+    f"{_DELTA}\nFINALLY SELECT event_idx, contingency, type, from_bus, to_bus, ckt, round(base_mva, 4) AS base_mva, round(cont_mva, 4) AS cont_mva, round(v_from_base, 6) AS v_from_base, round(v_to_cont, 6) AS v_to_cont, cont_event_facility, CAST(event_idx // 256 AS INT) AS event_bucket FROM delta",
+)
+
+
+def _written_results(r: Roles) -> DataFrame:
+    path = _folder(r)
+    sinks.write_results({"generators": electrical.generator_result(r.generator)}, path)
+    return r.spark.read.csv(f"{path}/generators", header=True, schema="bus_id long, gen_id string, p double, q double, qmax double, qmin double, v_set double, status int")
+
+
+_register("write_results", _written_results, "SELECT bus_id, gen_id, CASE WHEN status = 1 THEN pg ELSE 0e0 END AS p, CASE WHEN status = 1 THEN qg ELSE 0e0 END AS q, qmax, qmin, CAST(NULL AS DOUBLE) AS v_set, status FROM {generator}", "p q qmax qmin")
 _register(
     "nested_case_json",
     lambda r: sinks.nested_case_json(_cases(r), r.voltage.select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
