@@ -12,6 +12,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a model of the labels outside the held-out fold. Null and empty texts score as texts without a passage;
+    rows with a null or repeated doc_id each get their own score (a null is in no fold); only the text is an input of a score."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(documents, labels.where(~toxicity.held_out(4, 2)))
     scored = toxicity.score(documents.select("doc_id", "text"), model)
@@ -19,18 +21,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 by the law ``key``. Null texts count 16 bytes; a null doc_id is a key like any other; repeated
+    rows share a shard and get slots of their own."""
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=40)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in bins of 2,048 words; null and wordless texts are pieces of size 0. Ties in size go by doc_id."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text, of its edited text and likeness with the next document's. Null texts are empty; a null doc_id is
+    the least; rows that share a doc_id are all kept."""
     return fingerprint.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by the texts outside the held-out fold; null texts and texts without a letter are und. Ties go to the first
+    language by name."""
     documents = _table(spark, sf_dir, "documents")
     training = langid.train(documents.where(~langid.held_out()))
     found = langid.predict(documents.select("doc_id", "text"), training)
@@ -38,6 +47,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the labels outside the held-out fold. Null texts score as empty ones; each row has its own score."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(documents, labels.where(~toxicity.held_out(5, 0)))
     scored = quality.score(documents.select("doc_id", "text"), model)
@@ -45,15 +55,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents over links of 4-word shingle sets at 85 %. Null and empty texts link with nothing; repeated rows are kept."""
     return ngram_join.components(_table(spark, sf_dir, "documents"), words_each=4, percent=85)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words in every document. Null texts have no words; items without words or id match nothing."""
     found = decontaminate.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_sha256().alias("items_sha256"), "contaminated")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null pages give the empty text, repeated rows are kept."""
     return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
