@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents and keep the rows that they accept; the last returns
-the packed pieces.
+the packed pieces. Null and empty texts are texts without words to every stage; columns of any name come through; repeated
+rows are judged each for itself, but for near duplicates, of which one stays; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,30 +21,31 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity model, fitted on the labelled rows of docs, doesn't mark as toxic."""
+    """Rows that the toxicity model, fitted on the labelled rows of docs, doesn't mark as toxic. Without labels of both kinds all share one score."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality model, fitted on the labelled rows of docs, accepts."""
+    """Rows that the quality model, fitted on the labelled rows of docs, accepts; without labels all of them."""
     model = quality.train(docs, _labels(spark, sf_dir))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that 0.8-similar sets of five-word shingles link."""
+    """One row of each group of texts that 0.8-similar sets of five-word shingles link: of the smallest doc_id, null ids last. Texts without
+    words stay, one a doc_id, and all of those without a doc_id."""
     return ngram_join.keep_one(docs, words_each=5, percent=80).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no ten-word window of a benchmark item occurs."""
+    """Rows in which no ten-word window of a benchmark item occurs (an item of fewer words is one window)."""
     found = decontaminate.annotate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("NOT contaminated").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in bins of 2,048 words."""
+    """Pieces of the remaining texts in bins of 2,048 words; a text without words is one piece of size 0."""
     return packing.pack(docs)
 
 
