@@ -24,6 +24,8 @@ ALPHABET = 62
 OWN = 40
 _UNSEEN, _PAD = ALPHABET, ALPHABET + 1
 BLOCK = 384
+#: Blocks to mend from which on they are mended one by one.
+FEW = 64
 _cache: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]] = {}
 
 
@@ -129,6 +131,8 @@ def phrases(sequences: list[np.ndarray], automata: list[np.ndarray], size: int =
     begin = (np.repeat(np.cumsum(lens) - lens, counts) + nth * size)[order]
     length = length[order]
     before = np.where(nth > 0, place[np.arange(len(order)) - 1], -1)[order]  # the block in front, by place
+    after = np.full(len(order), -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
     running = np.searchsorted(-length, -np.arange(1, size + 1), "right")
     columns = [flat[begin[:n] + i].astype(np.int32) for i, n in enumerate(running) if n]
     width = np.int32(ALPHABET + 2)
@@ -143,28 +147,42 @@ def phrases(sequences: list[np.ndarray], automata: list[np.ndarray], size: int =
             state[:n] = found >> 1
         count = opens.sum(0)
         entered = np.zeros(len(begin), np.int32)  # state in which each block is entered, so far
+        entries = memoryview(step)
         todo = np.flatnonzero(before >= 0)
         while len(todo):
             start = state[before[todo]]
-            todo, start = todo[start != entered[todo]], start[start != entered[todo]]
-            entered[todo] = start
-            lanes, now, changed = todo, start, []
-            i = 0
-            while len(lanes):
+            lanes, now = todo[start != entered[todo]], start[start != entered[todo]]
+            entered[lanes] = now
+            changed, i = [np.zeros(0, np.int64)], 0
+            while len(lanes) > FEW:
                 over = length[lanes] <= i  # the parses didn't meet in the block
                 if over.any():
                     state[lanes[over]] = now[over]
                     changed.append(lanes[over])
                     lanes, now = lanes[~over], now[~over]
-                    if not len(lanes):
-                        break
+                    continue
                 found = step[now * width + flat[begin[lanes] + i].astype(np.int32)]
                 new = (found & 1).astype(bool)
                 met = new & opens[i, lanes]
                 count[lanes] += new.astype(np.int64) - opens[i, lanes]
                 opens[i, lanes] = new
                 lanes, now, i = lanes[~met], (found >> 1)[~met], i + 1
-            todo = np.flatnonzero(np.isin(before, np.concatenate(changed))) if changed else np.zeros(0, int)
+            for lane, at in zip(lanes.tolist(), now.tolist(), strict=True):  # the last few one by one, without numpy's price of a step
+                stop, more, fresh = int(length[lane]), 0, []
+                for c, own in zip(flat[begin[lane] + i : begin[lane] + stop].tolist(), opens[i:stop, lane].tolist(), strict=True):
+                    found = entries[at * (ALPHABET + 2) + c]
+                    at, new = found >> 1, found & 1
+                    if new and own:
+                        break
+                    more += new - own
+                    fresh.append(new)
+                else:
+                    state[lane] = at
+                    changed.append(np.array([lane]))
+                count[lane] += more
+                opens[i : i + len(fresh), lane] = fresh
+            todo = after[np.concatenate(changed)]
+            todo = todo[todo >= 0]
         np.add.at(out[:, k], owner[order], count)
     return out
 
