@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridlake.functions.exprs import circular_diff
 
 
+#: Columns of a convergence row that are compared even if the scenario was not solved.
+DISCRETE = ("event_idx", "contingency", "name", "type", "converged", "iterations", "status_code")
+
+
 def require_unique(frame: DataFrame, keys: Sequence[str], fail: bool = False) -> DataFrame:
     """(duplicated_keys, duplicated_rows); with ``fail`` raises ValueError if there are any."""
     groups = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -68,6 +72,12 @@ def convergence_matrix(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("name"
     return both.agg(F.count_if(x & y).alias("both"), F.count_if(~x & ~y).alias("neither"), F.count_if(x & ~y).alias("a_only"), F.count_if(~x & y).alias("b_only"), (100.0 * F.count_if(x == y) / F.count(F.lit(1))).alias("agreement_percent"))
 
 
+def convergence_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("name", "type"), values: Sequence[str] = ("iterations", "final_tolerance"), ok: str = "OK", **tolerances: float) -> DataFrame:
+    """``numeric_metrics`` of convergence columns over the scenarios that both runs solved with status ``ok``."""
+    solved = F.col("converged") & (F.col("status_code") == ok)
+    return numeric_metrics(a.where(solved), b.where(solved), keys, values, **tolerances)
+
+
 def status_transitions(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("name", "type")) -> DataFrame:
     """(status_a, status_b, n) of scenarios in both runs."""
     both = _outer(a.select(*keys, "status_code"), b.select(*keys, "status_code"), keys).where("_in_a AND _in_b")
@@ -111,11 +121,20 @@ def _close(x: Column, y: Column, atol: float, rtol: float) -> Column:
     return (F.isnan(x) & F.isnan(y)) | (x.isNull() & y.isNull()) | F.when(infinite, x == y).otherwise(F.coalesce(near, F.lit(False)) & ~F.isnan(x) & ~F.isnan(y))
 
 
-def assert_close(golden: DataFrame, candidate: DataFrame, exact: Sequence[str], floats: Sequence[str], atol: float = 1e-6, rtol: float = 1e-6) -> DataFrame:
+def assert_close(golden: DataFrame, candidate: DataFrame, exact: Sequence[str], floats: Sequence[str], atol: float = 1e-6, rtol: float = 1e-6, converged: str | None = None, discrete: Sequence[str] = DISCRETE) -> DataFrame:
     """One row: rows only in golden, only in candidate, and of each float column the values further apart than atol + rtol * abs(candidate).
 
     Exact columns are the key; rows with an equal key are paired in order of their floats. NaN equals NaN, infinities must be equal.
+    ``converged`` names an exact column that tells solved rows (null: solved); of the others only the columns of ``discrete`` are compared, as
+    the residuals of a diverging solution mean nothing. Exact columns left out of that must be numbers, strings or booleans.
     """
+    if converged is not None:
+        solved = F.coalesce(F.col(converged), F.lit(True))
+        kept = (*discrete, converged)
+        golden, candidate = (
+            f.withColumns({c: F.when(solved, F.col(c)).otherwise(F.lit("0").cast(f.schema[c].dataType) if c in exact else F.lit(None)) for c in (*exact, *floats) if c not in kept})
+            for f in (golden, candidate)
+        )
     n = F.row_number().over(Window.partitionBy(*exact).orderBy(*floats))
     both = _outer(golden.select(*exact, *floats).withColumn("_n", n), candidate.select(*exact, *floats).withColumn("_n", n), [*exact, "_n"])
     matched = F.col("_in_a") & F.col("_in_b")

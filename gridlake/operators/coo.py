@@ -30,15 +30,18 @@ def overwrite(updates: DataFrame) -> DataFrame:
 
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sum of two matrices."""
     return merge(a, b)
 
 
 def scale(a: DataFrame, re: float, im: float = 0.0) -> DataFrame:
+    """Every entry times re + i im."""
     z = Complex(F.col("re"), F.col("im")).times(Complex(F.lit(re), F.lit(im)))
     return a.select("i", "j", z.re.alias("re"), z.im.alias("im"))
 
 
 def add_diagonal(a: DataFrame, vector: DataFrame) -> DataFrame:
+    """The vector's entries added to the diagonal."""
     return merge(a, vector.select("i", F.col("i").alias("j"), "re", "im"))
 
 
@@ -63,6 +66,7 @@ def spmv(a: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def spmv_transpose(a: DataFrame, vector: DataFrame) -> DataFrame:
+    """Transposed matrix times vector, without conjugation: a join on i and one aggregate."""
     return _times(a, vector, "i", "j")
 
 
@@ -75,14 +79,17 @@ def spgemm(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def transpose(a: DataFrame) -> DataFrame:
+    """Rows and columns exchanged."""
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "re", "im")
 
 
 def diagonal(a: DataFrame) -> DataFrame:
+    """Stored diagonal entries as a vector."""
     return a.where("i = j").select("i", "re", "im")
 
 
 def column(a: DataFrame, j: int) -> DataFrame:
+    """Stored entries of column j as a vector."""
     return a.where(F.col("j") == j).select("i", "re", "im")
 
 
@@ -98,18 +105,22 @@ def norms(frame: DataFrame) -> DataFrame:
 
 
 def real(a: DataFrame) -> DataFrame:
+    """Real parts; the imaginary ones become 0."""
     return a.withColumn("im", F.lit(0.0))
 
 
 def imaginary(a: DataFrame) -> DataFrame:
+    """Imaginary parts as real numbers."""
     return a.withColumns({"re": F.col("im"), "im": F.lit(0.0)})
 
 
 def conjugate(a: DataFrame) -> DataFrame:
+    """Complex conjugate of every entry."""
     return a.withColumn("im", -F.col("im"))
 
 
 def vector_add(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sum of two vectors; an absent entry is 0."""
     return _sum(a.select("i", "re", "im").union(b.select("i", "re", "im")), "i")
 
 
@@ -121,6 +132,7 @@ def _elementwise(a: DataFrame, b: DataFrame, divide: bool) -> DataFrame:
 
 
 def element_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Products entry by entry; an absent entry is 0."""
     return _elementwise(a, b, False)
 
 

@@ -785,6 +785,21 @@ _register(
     'SELECT count(*) FILTER (WHERE a.converged AND b.converged) AS "both", count(*) FILTER (WHERE NOT a.converged AND NOT b.converged) AS neither, count(*) FILTER (WHERE a.converged AND NOT b.converged) AS a_only, count(*) FILTER (WHERE NOT a.converged AND b.converged) AS b_only, 1e2 * count(*) FILTER (WHERE a.converged = b.converged) / count(*) AS agreement_percent FROM {convergence_a} a JOIN {convergence_b} b ON b.name = a.name AND b.type = a.type',
     "agreement_percent",
 )
+_register(
+    "convergence_metrics",
+    lambda r: compare.convergence_metrics(r.convergence_a, r.convergence_b),
+    f"""fj AS (SELECT a.iterations AS ia, b.iterations AS ib, a.final_tolerance AS ta, b.final_tolerance AS tb, TRUE AS ina, TRUE AS inb FROM {{convergence_a}} a JOIN {{convergence_b}} b ON b.name = a.name AND b.type = a.type
+ WHERE a.converged AND b.converged AND a.status_code = 'OK' AND b.status_code = 'OK')
+FINALLY {_metric_sql('iterations', 'ia', 'ib', 'ia - ib')} UNION ALL {_metric_sql('final_tolerance', 'ta', 'tb', 'ta - tb')}""",
+    "mean_a mean_b mean_diff mean_abs_diff rms_diff max_abs_diff mean_percent mean_symmetric_percent",
+)
+_register(
+    "assert_close_converged",
+    lambda r: compare.assert_close(r.convergence_a, r.convergence_b, ["name", "type", "converged", "status_code"], ["final_tolerance"], 1e-6, 1e-6, "converged"),
+    """ca AS (SELECT name, type, converged, status_code, CASE WHEN converged THEN final_tolerance END AS x FROM {convergence_a}), cb AS (SELECT name, type, converged, status_code, CASE WHEN converged THEN final_tolerance END AS y FROM {convergence_b}),
+cj AS (SELECT a.name AS na, b.name AS nb, x, y FROM ca a FULL JOIN cb b ON b.name = a.name AND b.type = a.type AND b.converged = a.converged AND b.status_code = a.status_code)
+FINALLY SELECT count(*) FILTER (WHERE nb IS NULL) AS only_golden, count(*) FILTER (WHERE na IS NULL) AS only_candidate, count(*) FILTER (WHERE na IS NOT NULL AND nb IS NOT NULL AND x IS NOT NULL AND abs(x - y) > 1e-6 + 1e-6 * abs(y)) AS final_tolerance_bad FROM cj""",
+)
 _register("status_transitions", lambda r: compare.status_transitions(r.convergence_a, r.convergence_b), "SELECT a.status_code AS status_a, b.status_code AS status_b, count(*) AS n FROM {convergence_a} a JOIN {convergence_b} b ON b.name = a.name AND b.type = a.type GROUP BY 1, 2")
 _register("series_stats", lambda r: compare.series_stats(r.flat_a, "p", ["event_idx"]), 'SELECT event_idx, count(p) AS "count", avg(p) AS mean, quantile_cont(p, 5e-1) AS median, quantile_cont(p, 95e-2) AS p95, min(p) AS "min", max(p) AS "max" FROM {flat_a} GROUP BY 1', "mean median p95 min max")
 _register(
@@ -1002,7 +1017,7 @@ def _written_results(r: Roles) -> DataFrame:
 _register("write_results", _written_results, "SELECT bus_id, gen_id, CASE WHEN status = 1 THEN pg ELSE 0e0 END AS p, CASE WHEN status = 1 THEN qg ELSE 0e0 END AS q, qmax, qmin, CAST(NULL AS DOUBLE) AS v_set, status FROM {generator}", "p q qmax qmin")
 _register(
     "nested_case_json",
-    lambda r: sinks.nested_case_json(_cases(r), r.voltage.select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
+    lambda r: sinks.nested_case_json(limits.scenario_summary(_cases(r), _voltage_bad(r), _overloads(r)), r.voltage.select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
     None,
 )
 

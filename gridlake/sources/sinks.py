@@ -39,7 +39,10 @@ def write_results(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def nested_case_json(convergence: DataFrame, buses: DataFrame, branches: DataFrame, generators: DataFrame) -> DataFrame:
-    """(event_idx, json): one object a scenario with name, type and solution {convergence, buses, branches, generators}."""
+    """(event_idx, json): one object a scenario with name, type, its flags and solution {convergence, buses, branches, generators}.
+
+    Flags are has_voltage_violation and has_branch_violation, where ``convergence`` has them (as ``scenario_summary`` gives it).
+    """
 
     def gathered(table: DataFrame, name: str) -> DataFrame:
         rest = [c for c in table.columns if c != "event_idx"]
@@ -49,7 +52,8 @@ def nested_case_json(convergence: DataFrame, buses: DataFrame, branches: DataFra
     for table, name in ((buses, "buses"), (branches, "branches"), (generators, "generators")):
         rows = rows.join(gathered(table, name), "event_idx", "left")
     solution = F.struct(F.struct("converged", "iterations").alias("convergence"), "buses", "branches", "generators").alias("solution")
-    return rows.select("event_idx", F.to_json(F.struct("event_idx", "name", "type", solution)).alias("json"))
+    flags = [c for c in ("has_voltage_violation", "has_branch_violation") if c in convergence.columns]
+    return rows.select("event_idx", F.to_json(F.struct("event_idx", "name", "type", *flags, solution)).alias("json"))
 
 
 def write_nested(cases: DataFrame, path: str) -> None:

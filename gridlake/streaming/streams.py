@@ -13,15 +13,21 @@ from gridlake.functions.durable import shared_folder
 from gridlake.functions.exprs import canonical_tag, select_rating
 
 
-def stream_excursion(series: DataFrame, high: float = 61.0, low: float = 59.0, hold: float = 0.5, start: float = 0.0, lateness: str | None = None) -> DataFrame:
+def stream_excursion(series: DataFrame, high: float = 61.0, low: float = 59.0, hold: float = 0.5, start: float = 0.0, lateness: str | None = None, forget_seconds: float | None = None) -> DataFrame:
     """Sustained excursions of a stream of (machine, t, value[, ts]): (machine, t, value, side).
 
     The state of a machine is its last value and the times its clocks were started. Samples of a micro-batch are taken in order of
     (t, value); samples older than the last one of their machine are dropped, and with ``lateness`` (a watermark on ts) those beyond it
-    before that. Replayed in order it gives what ``sustained_excursion`` gives on the whole.
+    before that. Replayed in order it gives what ``sustained_excursion`` gives on the whole. With ``forget_seconds`` (needs ``lateness``) the
+    state of a machine that has been silent for so long by the watermark is dropped; it then begins anew.
     """
+    if forget_seconds is not None and lateness is None:
+        raise ValueError("forget_seconds needs lateness")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before, up, down, at = state.get if state.exists else (None, None, None, None)
         rows = pd.concat(list(frames)).sort_values(["t", "value"])
         out = []
@@ -41,14 +47,18 @@ def stream_excursion(series: DataFrame, high: float = 61.0, low: float = 59.0, h
                 up, down = (since, down) if side == "up" else (up, since)
             before, at = f, t
         state.update((before, up, down, at))
+        if forget_seconds is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ms"].max())) + int(1000 * forget_seconds))
         yield pd.DataFrame(out, columns=["machine", "t", "value", "side"])
 
     rows = series.where((F.col("t") >= start) & F.col("value").isNotNull())
     if lateness is not None:
         rows = rows.withWatermark("ts", lateness)
     kind = series.schema["machine"].dataType.simpleString()
-    return rows.select("machine", "t", "value").groupBy("machine").applyInPandasWithState(
-        step, f"machine {kind}, t double, value double, side string", "before double, up double, down double, at double", "append", GroupStateTimeout.NoTimeout
+    used = ["machine", "t", "value", *(["ts", F.unix_millis("ts").alias("ms")] if forget_seconds is not None else [])]
+    timeout = GroupStateTimeout.NoTimeout if forget_seconds is None else GroupStateTimeout.EventTimeTimeout
+    return rows.select(*used).groupBy("machine").applyInPandasWithState(
+        step, f"machine {kind}, t double, value double, side string", "before double, up double, down double, at double", "append", timeout
     )
 
 

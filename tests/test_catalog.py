@@ -34,4 +34,5 @@ def test_nested_json_has_every_part(spark):
     rows = [json.loads(r.json) for r in catalog.queries()["nested_case_json"](spark, SF).collect()]
     one = next(r for r in rows if r["event_idx"] == 1)
     assert [b["bus_id"] for b in one["solution"]["buses"]] == list(range(150))
+    assert {one["has_voltage_violation"], one["has_branch_violation"]} <= {True, False}
     assert one["solution"]["generators"] and one["solution"]["branches"] and "iterations" in one["solution"]["convergence"]

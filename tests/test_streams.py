@@ -1,5 +1,8 @@
+import datetime
 import random
 
+import pytest
+
 from gridlake.operators.series import sustained_excursion
 from gridlake.streaming import streams
 
@@ -56,3 +59,19 @@ def test_static_joins_of_streams(spark):
     seen = spark.createDataFrame([("Bus ", 1, "", 1.0), ("bus", 2, "", 2.0)], "type string, bus_id long, tag string, value double")
     asked = spark.createDataFrame([("BUS", 2, None)], "type string, bus_id long, tag string")
     assert [r.value for r in streams.stream_watch(seen, asked).collect()] == [2.0]
+
+
+def test_silent_machines_are_forgotten(spark, tmp_path):
+    kind = "machine long, t double, value double, ts timestamp"
+    at = lambda m, t, v: (m, t, v, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t))
+    files = [[at(1, 0.0, 61.2), at(2, 0.0, 60.0)], [at(2, 100.0, 60.0)], [at(2, 101.0, 60.0)], [at(1, 102.0, 61.4), at(1, 103.0, 61.6)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    for name, forget, wanted in (("kept", None, [102.0, 103.0]), ("forgotten", 10.0, [103.0])):
+        source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        stream = streams.stream_excursion(source, lateness="5 seconds", forget_seconds=forget)
+        query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert sorted(r.t for r in spark.table(name).collect()) == wanted
+    with pytest.raises(ValueError):
+        streams.stream_excursion(source, forget_seconds=1.0)
