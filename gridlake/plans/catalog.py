@@ -503,13 +503,14 @@ FINALLY SELECT device, event_idx, v_pu, direction, CASE WHEN device % 3 <> 0 THE
 
 
 def _cases(r: Roles) -> DataFrame:
-    return r.convergence_a.where("event_idx < 9").withColumn("event_idx", F.col("event_idx").cast("int"))
+    """Convergence of the outage scenarios."""
+    return r.convergence_a.withColumn("event_idx", F.col("event_idx").cast("int")).join(r.scenario.select("event_idx"), "event_idx", "left_semi")
 
 
 _register(
     "scenario_summary",
-    lambda r: limits.scenario_summary(_cases(r), _voltage_bad(r).where("event_idx % 2 = 0"), _overloads(r)),
-    f"{_VV}, {_OVER}\nFINALLY SELECT CAST(event_idx AS INT) AS event_idx, name, type, converged, iterations, event_idx % 2 = 0 AND event_idx IN (SELECT event_idx FROM vv) AS has_voltage_violation, event_idx IN (SELECT event_idx FROM ov WHERE ckt <> '5') AS has_branch_violation FROM {{convergence_a}} WHERE event_idx < 9",
+    lambda r: limits.scenario_summary(r.convergence_a, _voltage_bad(r).where("event_idx % 2 = 0"), _overloads(r)),
+    f"{_VV}, {_OVER}\nFINALLY SELECT event_idx, name, type, converged, iterations, event_idx % 2 = 0 AND event_idx IN (SELECT event_idx FROM vv) AS has_voltage_violation, event_idx IN (SELECT event_idx FROM ov WHERE ckt <> '5') AS has_branch_violation FROM {{convergence_a}}",
 )
 
 
@@ -556,7 +557,7 @@ _register(
     lambda r: stats.build_stat(_flat(r), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0)),
     f"""{_FLAT}, kk AS (SELECT *, from_bus || '_' || to_bus || '_' || ckt AS row_key FROM flat)
 FINALLY SELECT row_key, event_idx AS scenario_idx, p AS value, CAST(CASE WHEN viol = 1 THEN 2 ELSE 1 END AS INT) AS mask, -rate AS min_bound, rate AS max_bound FROM kk WHERE event_idx = 0 OR event_idx % 3 > 0
- UNION ALL SELECT row_key, CAST(e AS INT), 0e0, 0, -rate, rate FROM kk CROSS JOIN (VALUES (3), (6)) AS v(e) WHERE event_idx = 0""",
+ UNION ALL SELECT row_key, e, 0e0, 0, -rate, rate FROM kk CROSS JOIN (SELECT event_idx AS e FROM {{scenario}} WHERE event_idx % 3 = 0 AND event_idx IN (SELECT event_idx FROM {{convergence_a}})) AS v WHERE event_idx = 0""",
     "value min_bound max_bound",
 )
 _register(
@@ -650,13 +651,13 @@ _register("power_angle", lambda r: r.bus.select("bus_id", x.power_angle(F.col("a
 # --- measurements ---------------------------------------------------------------------------------------------------
 
 _N_BUS = 60
-_STATE_SQL = "vst AS (SELECT event_idx AS case_id, v.bus_id, v.v_pu, v.angle_deg, 1e-1 * v.v_pu AS p, 5e-2 * v.v_pu AS q FROM {voltage} v WHERE event_idx < 8)"
+_STATE_SQL = "vst AS (SELECT event_idx AS case_id, v.bus_id, v.v_pu, v.angle_deg, 1e-1 * v.v_pu AS p, 5e-2 * v.v_pu AS q FROM {voltage} v)"
 _MEASURED = f"""{_STATE_SQL}, mea AS (SELECT m.*, CASE type WHEN 'VM' THEN v_pu WHEN 'VA' THEN angle_deg WHEN 'PI' THEN p WHEN 'QI' THEN q END AS predicted FROM {{measurement}} m JOIN vst ON vst.case_id = m.case_id AND vst.bus_id = m.bus_id),
 res AS (SELECT *, value - predicted AS residual, 1 / (deviation * deviation) AS weight, (value - predicted) / deviation AS norm FROM mea)"""
 
 
 def _measured(r: Roles) -> DataFrame:
-    state = r.voltage.where("event_idx < 8").select(F.col("event_idx").alias("case_id"), "bus_id", "v_pu", "angle_deg")
+    state = r.voltage.select(F.col("event_idx").alias("case_id"), "bus_id", "v_pu", "angle_deg")
     return measure.residuals(measure.predicted_value(r.measurement, state, state.select("case_id", "bus_id", (0.1 * F.col("v_pu")).alias("p"), (0.05 * F.col("v_pu")).alias("q"))))
 
 
@@ -676,7 +677,7 @@ def _branch_measurement(r: Roles) -> DataFrame:
 
 
 def _branch_predicted(r: Roles) -> DataFrame:
-    state = r.voltage.where("event_idx < 8").withColumnRenamed("event_idx", "case_id")
+    state = r.voltage.withColumnRenamed("event_idx", "case_id")
     flow = _flow(r).withColumnRenamed("event_idx", "case_id")
     limit = measure.limit_measurements(r.bus, r.measurement, 0.95, 1.05, 0.01)
     found = measure.predicted_value(_branch_measurement(r).unionByName(limit, allowMissingColumns=True), state, state.select("case_id", "bus_id", F.lit(0.0).alias("p"), F.lit(0.0).alias("q")), flow)

@@ -1,6 +1,7 @@
 """Grid tables as projections of the given star-schema tables, and helpers to query them in Spark and in SQL.
 
 The same text defines a role in Spark (placeholders become DataFrames) and in the SQL check (they become CTE names).
+Outage scenarios are the loss of each zone's circuit of the highest rating: an N-1 list that grows with the zones.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SCENARIOS = 8
 
 SQL = {
     "bus": """SELECT c_custkey AS bus_id, c_name AS name,
@@ -39,8 +39,9 @@ SQL = {
         FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey % 3) AS grouped""",
     "shunt": "SELECT bus_id, gen_id AS shunt_id, status, 1e-3 * pg AS gl, 2e-3 * pg AS bl FROM {generator} WHERE bus_id % 3 = 0",
     "switched_shunt": "SELECT bus_id, CAST(CASE WHEN bus_id % 4 = 0 THEN 0 ELSE 1 END AS INT) AS status, CAST(bus_id % 10 AS DOUBLE) AS binit FROM {bus} WHERE bus_id % 6 = 0",
-    "scenario": f"""SELECT CAST(row_number() OVER (ORDER BY from_bus, to_bus, ckt) AS INT) AS event_idx, from_bus, to_bus, ckt FROM (
-        SELECT from_bus, to_bus, ckt FROM {{circuit}} ORDER BY from_bus, to_bus, ckt LIMIT {SCENARIOS}) AS head""",
+    "scenario": """SELECT CAST(zone + 1 AS INT) AS event_idx, from_bus, to_bus, ckt FROM (
+        SELECT zone, from_bus, to_bus, ckt, row_number() OVER (PARTITION BY zone ORDER BY rate_a DESC, from_bus, to_bus, ckt) AS place
+        FROM {circuit} JOIN {bus} ON bus_id = from_bus WHERE status = 1) AS ranked WHERE place = 1""",
     "voltage": """SELECT event_idx, bus_id, v_pu + 1e-2 * ((bus_id * 31 + event_idx * 17) % 11 - 5) AS v_pu,
         angle_deg + 1e0 * ((bus_id * 13 + event_idx * 7) % 9 - 4) AS angle_deg FROM {bus} CROSS JOIN (
         SELECT event_idx FROM {scenario} UNION ALL SELECT CAST(0 AS INT)) AS events""",
