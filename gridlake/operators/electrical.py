@@ -66,12 +66,15 @@ def ybus_coo(circuit: DataFrame, shunt: DataFrame) -> DataFrame:
 
 def _at(voltage: DataFrame, end: str, p: str) -> DataFrame:
     isolated = F.col("isolated") if "isolated" in voltage.columns else F.lit(False)
-    return voltage.select("event_idx", F.col("bus_id").alias(end), F.col("v_pu").alias(f"v_{p}_pu"), F.col("angle_deg").alias(f"ang_{p}_deg"), isolated.alias(f"_iso_{p}"))
+    shown = [F.col("v_pu").alias(f"v_{p}_pu"), F.col("angle_deg").alias(f"ang_{p}_deg"), isolated.alias(f"_iso_{p}")]
+    # sines and cosines once a voltage, not once a circuit and event
+    return voltage.select("event_idx", F.col("bus_id").alias(end), *shown, *[c.alias(f"_{p}_{n}") for n, c in columns("v", polar(F.col("v_pu"), F.col("angle_deg"))).items()])
 
 
-def _sized(voltage: DataFrame) -> DataFrame:
-    """Voltages, marked for broadcast if counting finds no more than BROADCAST_ROWS of them (some 60 MB); joins shuffle them otherwise."""
-    return F.broadcast(voltage) if voltage.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else voltage
+def _sized(voltage: DataFrame) -> tuple[DataFrame, bool]:
+    """(voltages, whether they are broadcast): so marked if counting finds no more than BROADCAST_ROWS of them (some 60 MB); joins shuffle them otherwise."""
+    fits = voltage.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (F.broadcast(voltage) if fits else voltage), fits
 
 
 def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE) -> DataFrame:
@@ -79,24 +82,27 @@ def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE) -> D
 
     Zero when the circuit is out of service or an end is isolated. Circuits with an event_idx join only that event. Voltages of
     a checked size are broadcast, so the rows of circuits and events are made where the circuits are and never shuffled; larger ones
-    are joined by (event, bus), and admittances are only worked out behind both joins.
+    are joined by (event, bus), and admittances are only worked out behind both joins, as they would widen the shuffled rows. With
+    broadcast voltages they are worked out once a circuit.
     """
     keys = ["event_idx"] if "event_idx" in circuit.columns else []
-    small = _sized(voltage.select("event_idx", "bus_id", "v_pu", "angle_deg", *(["isolated"] if "isolated" in voltage.columns else [])))
-    rows = branch_elements(circuit.join(_at(small, "from_bus", "from"), [*keys, "from_bus"]).join(_at(small, "to_bus", "to"), ["event_idx", "to_bus"]))
-    vi, vj = polar(F.col("v_from_pu"), F.col("ang_from_deg")), polar(F.col("v_to_pu"), F.col("ang_to_deg"))
+    small, fits = _sized(voltage.select("event_idx", "bus_id", "v_pu", "angle_deg", *(["isolated"] if "isolated" in voltage.columns else [])))
+    rows = branch_elements(circuit) if fits else circuit
+    rows = rows.join(_at(small, "from_bus", "from"), [*keys, "from_bus"]).join(_at(small, "to_bus", "to"), ["event_idx", "to_bus"])
+    rows = rows if fits else branch_elements(rows)
+    vi, vj = named("_from_v"), named("_to_v")
     live = (F.col("status") == 1) & ~F.col("_iso_from") & ~F.col("_iso_to")
     s_from = vi.times((named("yff").times(vi) + named("yft").times(vj)).conj()).scaled(sbase).where(live)
     s_to = vj.times((named("ytf").times(vi) + named("ytt").times(vj)).conj()).scaled(sbase).where(live)
     out = rows.withColumns({"p_from": s_from.re, "q_from": s_from.im, "p_to": s_to.re, "q_to": s_to.im})
-    return out.drop("_iso_from", "_iso_to", *[f"{a}_{b}" for a in ("yff", "yft", "ytf", "ytt") for b in ("re", "im")])
+    return out.drop("_iso_from", "_iso_to", *[f"{a}_{b}" for a in ("_from_v", "_to_v", "yff", "yft", "ytf", "ytt") for b in ("re", "im")])
 
 
 def bus_injection(ybus: DataFrame, voltage: DataFrame) -> DataFrame:
     """(event_idx, bus_id, p, q) in per unit: P = sum v1 v2 (G cos + B sin), Q = sum v1 v2 (G sin - B cos), own terms included.
 
     With voltages of a checked size broadcast, only the sums of an event and bus are shuffled."""
-    small = _sized(voltage.select("event_idx", "bus_id", "v_pu", "angle_deg"))
+    small, _ = _sized(voltage.select("event_idx", "bus_id", "v_pu", "angle_deg"))
     a = small.select("event_idx", F.col("bus_id").alias("i"), F.col("v_pu").alias("vi"), F.radians("angle_deg").alias("ti"))
     b = small.select("event_idx", F.col("bus_id").alias("j"), F.col("v_pu").alias("vj"), F.radians("angle_deg").alias("tj"))
     rows = ybus.join(a, "i").join(b, ["event_idx", "j"])
