@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlake.llm import decontaminate, fingerprint, html_extract, langid, ngram_join, packing, quality, sharding, toxicity, warc
+from gridlake.llm import decontaminate, fingerprint, html_extract, langid, minhash_dedup, ngram_join, packing, quality, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,25 +81,35 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.join(found, ["file", "offset"], "left").select("page_id", "file", "offset", "length", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents over links of 5-word shingle sets at 85 %, and which documents stay. Null and empty texts
+    link with nothing and stay; repeated rows are kept or go together."""
+    return minhash_dedup.deduplicate(_table(spark, sf_dir, "documents"), words_each=5, percent=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_packing, op4_fingerprints, op5_language, op6_quality, op7_ngram_join, op8_decontamination, op9_html, op10_warc_audit)}
+    found = (op1_toxicity, op2_sharding, op3_packing, op4_fingerprints, op5_language, op6_quality, op7_ngram_join, op8_decontamination, op9_html, op10_warc_audit, op11_minhash_dedup)
+    return {f.__name__: f for f in found}
 
 
 _NORMAL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{words}')"
 
-ORACLE_SQL = {
-    "op7_ngram_join": f"""
+_COMPONENTS = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_NORMAL.format(words="[^ \\t\\n\\x0B\\f\\r]+")} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {{each}} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {{each}} + 2), lambda i: array_to_string(w[i:i + {{each}} - 1], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
 m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
-""",
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id{{more}} FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {
+    "op7_ngram_join": _COMPONENTS.format(each=4, more=""),
+    "op11_minhash_dedup": _COMPONENTS.format(each=5, more=", d.doc_id = m.c AS kept"),
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_NORMAL.format(words="[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_NORMAL.format(words="[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM benchmark),

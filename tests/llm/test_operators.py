@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.llm import decontaminate, fingerprint, html_extract, langid, ngram_join, packing, quality, queries, sharding, text, toxicity, warc
+from gridlake.llm import decontaminate, fingerprint, html_extract, langid, minhash_dedup, ngram_join, packing, quality, queries, sharding, text, toxicity, warc
 from tests.checks import assert_same, connection
 
 SF = "/root/testdata/sf0.001"
@@ -410,6 +410,72 @@ def test_ngram_join_finds_what_hubs_miss(spark):
     assert sorted(tuple(r) for r in ngram_join.components(frame).collect()) == sorted(brute_components(rows, 4, 85))
 
 
+def near_copies(seed, n, edits, base_words=150):
+    """Copies of a few texts with random edits, and texts of their own."""
+    rng = random.Random(seed)
+    bases = [[f"b{b}w{rng.randrange(400)}" for _ in range(base_words)] for b in range(3)]
+    rows = []
+    for i in range(n):
+        words = list(bases[i % 3]) if i % 4 else [f"v{rng.randrange(300)}" for _ in range(rng.randrange(1, 80))]
+        for _ in range(rng.randrange(edits)):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(9)}"
+        rows.append((i * 3 - 50, " ".join(words)))
+    return rows
+
+
+def test_minhash_dedup_against_brute_force(spark):
+    rows = near_copies(21, 160, 8)
+    rows += [(1000, rows[3][1]), (1000, rows[3][1]), (1001, None), (1002, ""), (None, rows[5][1]), (1003, "one two"), (1004, "ONE two"), (None, "solitary words that nobody else has at all"), (None, None)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, v string, keys int")
+    for k, percent in ((5, 85), (5, 80)):
+        found = minhash_dedup.deduplicate(frame, k, percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows, k, percent)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert minhash_dedup.deduplicate(frame.where("false")).count() == 0
+
+
+def test_minhash_dedup_finds_what_hubs_miss(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 5, i * 5 + 90))) for i in range(0, 40)]
+    rows += [(100 + i, " ".join(f"u{j}" for j in range(i * 30, i * 30 + 60))) for i in range(20)]
+    found = minhash_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 5, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(brute_components(rows, 5, 85))
+
+
+def test_posterior_bound_against_integration():
+    """The chance that the least count of matches comes with the threshold or more, by summing the posterior density."""
+    s = (np.arange(400_000) + 0.5) / 400_000
+    for n, least in minhash_dedup.least_matches(85, 1e-6):
+        chance = []
+        for m in (least - 1, least):
+            density = s**m * (1 - s) ** (n - m)
+            chance.append(density[s >= 0.85].sum() / density.sum())
+        assert chance[0] < 1e-6 <= chance[1]
+
+
+def test_batches_keep_links_and_drop_others():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    a, b, link = [], [], []
+    for i in range(300):
+        one = rng.choice(pool, 400, replace=False)
+        shared = 380 if i % 2 else 250
+        other = np.concatenate([one[:shared], rng.integers(0, 1 << 63, 400 - shared, dtype=np.uint64)])
+        for side, tokens in ((a, one), (b, other)):
+            side.append(minhash_dedup.signature(np.sort(tokens), np.array([0]))[0])
+        link.append(i % 2 == 1)
+    left = set(minhash_dedup.unpruned(np.array(a), np.array(b), 85).tolist())
+    assert left >= {i for i, x in enumerate(link) if x} and len(left) < 160
+
+
+def test_minhash_dedup_awkward(spark, awkward):
+    found = minhash_dedup.deduplicate(awkward)
+    assert ids(found) == ids(awkward)
+    by = collections.defaultdict(set)
+    for r in found.collect():
+        by[r.doc_id].add((r.component_id, r.kept))
+    assert by[2] == {(1, False)} and by[3] == {(3, True)} and by[8] == {(7, False)} and by[6] == {(-5, False)} and by[None] == {(1, False), (None, True)}
+
+
 def test_search_against_counting():
     rng = random.Random(2)
     sets = [np.array(sorted(rng.sample(range(60), rng.randrange(20, 40)))) for _ in range(50)] + [np.arange(30), np.arange(29), np.arange(31)]
