@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridlake.llm import decontaminate, fingerprint, html_extract, langid, minhash_dedup, ngram_join, packing, quality, sharding, toxicity, warc
+from gridlake.llm import decontaminate, fingerprint, html_extract, langid, minhash_dedup, ngram_join, packing, phrases, quality, sharding, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,21 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.deduplicate(_table(spark, sf_dir, "documents"), words_each=5, percent=85)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of all documents, at least 100 occurrences each. Null texts are empty, a null lang is und;
+    repeated rows count as they stand; ties go by count and phrase."""
+    return phrases.mine(_table(spark, sf_dir, "documents"), top_k=2000, least=100)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 leading whitened components of the distinct ones. Rows with null vectors, or null or non-finite entries, are
+    dropped; repeated rows are kept."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict:
     found = (op1_toxicity, op2_sharding, op3_packing, op4_fingerprints, op5_language, op6_quality, op7_ngram_join, op8_decontamination, op9_html, op10_warc_audit, op11_minhash_dedup)
+    found = (*found, op12_phrases, op13_whitening)
     return {f.__name__: f for f in found}
 
 
@@ -135,5 +148,20 @@ FROM x
 }
 
 
+ORACLE_SQL["op12_phrases"] = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS p, count(*) AS f FROM w, range(1, 6) t(m), unnest(range(1, len(w) - m + 2)) u(i) GROUP BY lang, m, p),
+c AS (SELECT lang, m, p, f AS a, string_split(p, ' ') AS v FROM g WHERE m >= 2 AND f >= 100),
+k AS (SELECT c.lang, c.m, c.p, a, n, l.f AS l, r.f AS r, k, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score FROM c JOIN n ON n.lang = c.lang, unnest(range(1, c.m)) u(k)
+        JOIN g l ON l.lang = c.lang AND l.p = array_to_string(v[1:k], ' ') JOIN g r ON r.lang = c.lang AND r.p = array_to_string(v[k + 1:], ' ')),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+s AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = b.lang AND q.m > b.m AND 100 * q.a >= 100 * b.a AND contains(' ' || q.p || ' ', ' ' || b.p || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
