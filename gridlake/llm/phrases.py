@@ -30,9 +30,9 @@ LONGEST = 5
 PIECE_END = byte_class((0x0A, 0x0D), *[(b, b) for b in b".,;:!?"])
 GAP = byte_class((0x20, 0x20), (0x09, 0x09)) | PIECE_END
 #: Words of a sequence row; a longer piece is one row.
-ROW_WORDS = 1_000
+ROW_WORDS = 256
 STEP_WORDS = 1 << 17
-HELD_ROWS = 1 << 19
+HELD_ROWS = 1 << 18
 LEAST_BITS, MOST_BITS = 20, 28
 FIRST_SHARE = 0.25
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
