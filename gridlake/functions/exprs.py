@@ -23,6 +23,12 @@ def csv_field(c: Column) -> Column:
     return F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
+def rounded6(c: Column) -> Column:
+    """A double rounded to six places, halves away from zero, in double arithmetic (``round`` goes through decimals, which costs far more). Values of
+    9e12 and more, which have hardly six places, NaN and infinities stay."""
+    return F.when(F.abs(c) < 9e12, F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6).otherwise(c) + 0.0
+
+
 def circular_diff(a: Column, b: Column) -> Column:
     """a - b in degrees, wrapped into [-180, 180)."""
     return F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0

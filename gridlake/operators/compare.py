@@ -58,6 +58,36 @@ def numeric_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Seq
     return rows.withColumns({"n": F.col("n").cast("long"), "within": F.col("within").cast("long")})
 
 
+def numeric_sums(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str], angles: Sequence[str] = (), atol: float = 1e-6, rtol: float = 1e-6, zero: float = 1e-9) -> DataFrame:
+    """What ``numeric_metrics`` is made of, as sums that can be added up over parts of the runs: a row a column."""
+    both = _outer(a, b, keys).where("_in_a AND _in_b")
+    aggs = []
+    for c in (*values, *angles):
+        x, y = F.col(f"{c}_a").cast("double"), F.col(f"{c}_b").cast("double")
+        d = circular_diff(x, y) if c in angles else x - y
+        percent = F.when(F.abs(y) > zero, 100 * F.abs(d) / F.abs(y))
+        symmetric = F.when(F.abs(x) + F.abs(y) > zero, 200 * F.abs(d) / (F.abs(x) + F.abs(y)))
+        sums = {"sum_a": x, "sum_b": y, "sum_diff": d, "sum_abs_diff": F.abs(d), "sum_squares": d * d}
+        parts = [F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in sums.items()]
+        parts += [F.coalesce(F.max(F.abs(d)), F.lit(0.0)).alias("max_abs_diff")]
+        parts += [F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in (("sum_percent", percent), ("sum_symmetric", symmetric))]
+        parts += [F.count(percent).alias("n_percent"), F.count(symmetric).alias("n_symmetric"), F.count_if(F.abs(d) <= atol + rtol * F.abs(y)).alias("within")]
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(d).alias("n"), F.count(x).alias("n_a"), F.count(y).alias("n_b"), *parts))
+    return both.agg(F.array(*aggs).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+
+
+def metrics_of_sums(sums: DataFrame) -> DataFrame:
+    """The columns of ``numeric_metrics`` from the rows of ``numeric_sums`` of any number of parts."""
+    names = [c for c in sums.columns if c not in ("column", "max_abs_diff")]
+    one = sums.groupBy("column").agg(*[F.sum(c).alias(c) for c in names], F.max("max_abs_diff").alias("max_abs_diff"))
+    mean = lambda c, n="n": F.try_divide(F.col(c), F.col(n))
+    return one.select(
+        "column", "n", mean("sum_a", "n_a").alias("mean_a"), mean("sum_b", "n_b").alias("mean_b"), mean("sum_diff").alias("mean_diff"), mean("sum_abs_diff").alias("mean_abs_diff"),
+        F.sqrt(mean("sum_squares")).alias("rms_diff"), F.when(F.col("n") > 0, F.col("max_abs_diff")).alias("max_abs_diff"),
+        mean("sum_percent", "n_percent").alias("mean_percent"), mean("sum_symmetric", "n_symmetric").alias("mean_symmetric_percent"), "within",
+    )
+
+
 def unmatched_by(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """(by..., only_a, only_b): keys of one side only, counted by some of the key columns; groups without any are left out."""
     both = _outer(a.select(*keys), b.select(*keys), keys)

@@ -70,12 +70,28 @@ def spmv_transpose(a: DataFrame, vector: DataFrame) -> DataFrame:
     return _times(a, vector, "i", "j")
 
 
-def spgemm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Matrix product: equi-join on the inner index, map-side sums."""
-    right = b.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("re").alias("b_re"), F.col("im").alias("b_im"))
-    rows = a.withColumnRenamed("j", "k").join(right, "k")
+#: Entries of a row or column of the inner index beyond which it is cut into blocks.
+INNER_BLOCK = 20_000
+
+
+def spgemm(a: DataFrame, b: DataFrame, block: int = INNER_BLOCK) -> DataFrame:
+    """Matrix product: equi-join on the inner index, map-side sums.
+
+    An inner index with more than ``block`` entries in a's column or b's row is heavy: its column is cut into row blocks, its row into column
+    blocks, and each pair of blocks is a task's work of its own. There are at most (entries of both) / block heavy indices, which are broadcast;
+    all others have one block. So the products of one index never fall to one task, however large its share.
+    """
+    count = lambda f, key, name: f.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(a, "j", "na").join(count(b, "i", "nb"), "k").where((F.col("na") > block) | (F.col("nb") > block))
+    blocks = sizes.select("k", F.ceil(F.col("na") / block).alias("a_blocks"), F.ceil(F.col("nb") / block).alias("b_blocks"))
+    one = lambda f: F.broadcast(f)
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1).cast("long")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1).cast("long")) - 1))
+    left = a.withColumnRenamed("j", "k").join(one(blocks), "k", "left").select("i", "k", "re", "im", place("i", "a_blocks").alias("x"), every("b_blocks").alias("y"))
+    right = b.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("re").alias("b_re"), F.col("im").alias("b_im")).join(one(blocks), "k", "left")
+    right = right.select("k", "l", "b_re", "b_im", place("l", "b_blocks").alias("y"), every("a_blocks").alias("x"))
     z = _pair("").times(_pair("b_"))
-    return _sum(rows.select("i", F.col("l").alias("j"), z.re.alias("re"), z.im.alias("im")), "i", "j")
+    return _sum(left.join(right, ["k", "x", "y"]).select("i", F.col("l").alias("j"), z.re.alias("re"), z.im.alias("im")), "i", "j")
 
 
 def transpose(a: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from gridlake.functions.exprs import Complex, columns, named, polar
 
 SBASE = 100.0
 BROADCAST_ROWS = 1_000_000
+#: Whether joins insist on a partitioning by all of their keys.
+CO_PARTITIONING = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def _parts(circuit_status: Column | None = None) -> tuple[Complex, Complex, Complex, Column, Complex]:
@@ -73,23 +75,53 @@ def _at(voltage: DataFrame, end: str, p: str) -> DataFrame:
 
 def _sized(voltage: DataFrame) -> tuple[DataFrame, bool]:
     """(voltages, whether they are broadcast): so marked if counting finds no more than BROADCAST_ROWS of them (some 60 MB); joins shuffle them otherwise."""
-    fits = voltage.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    fits = _fits(voltage)
     return (F.broadcast(voltage) if fits else voltage), fits
 
 
-def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE) -> DataFrame:
+def _fits(frame: DataFrame) -> bool:
+    return frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def flow_layout(circuit: DataFrame, voltage: DataFrame) -> str:
+    """The way of ``line_flow`` that counting suggests: "broadcast" if there are at most BROADCAST_ROWS voltages; else "by_event" if there are no more
+    circuits than that (or they have events too) and events enough to keep all tasks busy; else "by_bus"."""
+    if _fits(voltage):
+        return "broadcast"
+    if "event_idx" not in circuit.columns and not _fits(circuit):
+        return "by_bus"
+    events = voltage.select(F.approx_count_distinct("event_idx")).first()[0]
+    return "by_event" if events >= 2 * voltage.sparkSession.sparkContext.defaultParallelism else "by_bus"
+
+
+def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE, layout: str | None = None) -> DataFrame:
     """Flow into each circuit from both ends, per event of ``voltage``: p_from, q_from, p_to, q_to and both ends' voltages.
 
-    Zero when the circuit is out of service or an end is isolated. Circuits with an event_idx join only that event. Voltages of
-    a checked size are broadcast, so the rows of circuits and events are made where the circuits are and never shuffled; larger ones
-    are joined by (event, bus), and admittances are only worked out behind both joins, as they would widen the shuffled rows. With
-    broadcast voltages they are worked out once a circuit.
+    Zero when the circuit is out of service or an end is isolated. Circuits with an event_idx join only that event. ``layout`` says how
+    rows meet; without one, ``flow_layout`` counts (two Spark jobs at most while the plan is built, none if it is given, as it must be for streams):
+
+    - "broadcast": voltages are broadcast, so the rows of circuits and events are made where the circuits are and never shuffled, and
+      admittances are worked out once a circuit;
+    - "by_event": voltages are dealt by event alone, once for both ends, and circuits broadcast, or dealt by event as well if they have
+      one. Both joins keep this partitioning, so the rows of circuits and events aren't shuffled either; a task holds the voltages of its
+      events. Spark keeps a partitioning by some of a join's keys only if the session allows it, so this sets CO_PARTITIONING there;
+    - "by_bus": rows are joined by (event, bus) and shuffled for each end; admittances are only worked out behind both joins, as they would widen them.
     """
     keys = ["event_idx"] if "event_idx" in circuit.columns else []
-    small, fits = _sized(voltage.select("event_idx", "bus_id", "v_pu", "angle_deg", *(["isolated"] if "isolated" in voltage.columns else [])))
-    rows = branch_elements(circuit) if fits else circuit
-    rows = rows.join(_at(small, "from_bus", "from"), [*keys, "from_bus"]).join(_at(small, "to_bus", "to"), ["event_idx", "to_bus"])
-    rows = rows if fits else branch_elements(rows)
+    voltage = voltage.select("event_idx", "bus_id", "v_pu", "angle_deg", *(["isolated"] if "isolated" in voltage.columns else []))
+    layout = layout or flow_layout(circuit, voltage)
+    if layout == "by_event":
+        voltage.sparkSession.conf.set(CO_PARTITIONING, "false")
+        dealt = voltage.repartition("event_idx")
+        lines = branch_elements(circuit)
+        lines = lines.repartition("event_idx") if keys else F.broadcast(lines)
+        rows = _at(dealt, "from_bus", "from").join(lines, [*keys, "from_bus"]).join(_at(dealt, "to_bus", "to").hint("shuffle_hash"), ["event_idx", "to_bus"])
+    else:
+        fits = layout == "broadcast"
+        small = F.broadcast(voltage) if fits else voltage
+        rows = branch_elements(circuit) if fits else circuit
+        rows = rows.join(_at(small, "from_bus", "from"), [*keys, "from_bus"]).join(_at(small, "to_bus", "to"), ["event_idx", "to_bus"])
+        rows = rows if fits else branch_elements(rows)
     vi, vj = named("_from_v"), named("_to_v")
     live = (F.col("status") == 1) & ~F.col("_iso_from") & ~F.col("_iso_to")
     s_from = vi.times((named("yff").times(vi) + named("yft").times(vj)).conj()).scaled(sbase).where(live)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridlake.functions.durable import Workspace
 from gridlake.functions.ordering import number
 
 END = ("from_bus", "to_bus")
@@ -45,10 +46,12 @@ def attach_to_branch(values: DataFrame, branch: DataFrame) -> DataFrame:
 def dense_index(frame: DataFrame, key: str, name: str = "dense") -> DataFrame:
     """Adds the rank 0..n-1 of the distinct ``key``, of any type that can be ordered; rows without a key are left out.
 
-    Keys are numbered in ranges, so no window or task covers all keys, however they are spread.
+    Keys are numbered in ranges, so no window or task covers all keys, however they are spread. The distinct keys are written before they
+    are dealt into ranges; ``frame`` itself is read once for them and once for the result.
     """
-    keys = frame.select(key).where(F.col(key).isNotNull()).distinct()
-    return frame.join(number(keys, [key], name), key)
+    with Workspace(frame.sparkSession) as tables:
+        keys = tables.durable(frame.select(key).where(F.col(key).isNotNull()).distinct())
+        return frame.join(number(keys, [key], name), key)
 
 
 def neighbors(branch: DataFrame) -> DataFrame:

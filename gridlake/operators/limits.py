@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlake.functions.exprs import circular_diff, select_rating
+from gridlake.operators.electrical import line_flow
 
 CIRCUIT = ("from_bus", "to_bus", "ckt")
 
@@ -14,9 +15,9 @@ CIRCUIT = ("from_bus", "to_bus", "ckt")
 BASE_CASE = "base_case"
 
 
-def flat_rows(flow: DataFrame, rating: str = "A", names: DataFrame | None = None) -> DataFrame:
+def flat_rows(flow: DataFrame, rating: str = "A", names: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per event and circuit: contingency, power, mva, rate, loading (0 if rate <= 0), viol and both ends' state. Event 0 always uses
-    rate A and is the base case; ``names`` (event_idx, contingency) names the others, which are null without it."""
+    rate A and is the base case; ``names`` (event_idx, contingency) names the others, which are null without it. Columns of ``keep`` come last."""
     which = F.when(F.col("event_idx") == 0, "A").otherwise(rating)
     rate = select_rating(which, F.col("rate_a"), F.col("rate_b"), F.col("rate_c"))
     mva = F.sqrt(F.col("p_from") * F.col("p_from") + F.col("q_from") * F.col("q_from"))
@@ -24,7 +25,7 @@ def flat_rows(flow: DataFrame, rating: str = "A", names: DataFrame | None = None
     rows = named.withColumns({"mva": mva, "rate": rate, "contingency": F.when(F.col("event_idx") == 0, BASE_CASE).otherwise(F.col("contingency"))})
     loading = F.when(F.col("rate") > 0, 100 * F.col("mva") / F.col("rate")).otherwise(0.0)
     viol = ((F.col("rate") > 0) & (F.col("mva") > F.col("rate"))).cast("int")
-    return rows.select("event_idx", "contingency", *CIRCUIT, F.col("p_from").alias("p"), F.col("q_from").alias("q"), "mva", "rate", loading.alias("loading"), viol.alias("viol"), "v_from_pu", "v_to_pu", "ang_from_deg", "ang_to_deg")
+    return rows.select("event_idx", "contingency", *CIRCUIT, F.col("p_from").alias("p"), F.col("q_from").alias("q"), "mva", "rate", loading.alias("loading"), viol.alias("viol"), "v_from_pu", "v_to_pu", "ang_from_deg", "ang_to_deg", *keep)
 
 
 def monitor_filter(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -54,18 +55,45 @@ def delta_rows(rows: DataFrame, bus: DataFrame, scenarios: DataFrame, facilities
     ang_to, the angle across the circuit before and after (d_angle_base, d_angle_cont) and cont_event_facility. Buses are joined to the base
     rows, which are as many as circuits, before events multiply them.
     """
-    pairs = ("rate", "p", "q", "mva", "loading")
-    ends = {"v_from": "v_from_pu", "v_to": "v_to_pu", "ang_from": "ang_from_deg", "ang_to": "ang_to_deg"}
-    base = rows.where("event_idx = 0").select(*CIRCUIT, *[F.col(c).alias(f"base_{c}") for c in pairs], *[F.col(c).alias(f"{n}_base") for n, c in ends.items()])
+    base = _with_buses(_base_columns(rows.where("event_idx = 0")), bus)
+    event = rows.where("event_idx <> 0").select("event_idx", "contingency", *CIRCUIT, *[F.col(c).alias(f"cont_{c}") for c in _PAIRS], *[F.col(c).alias(f"{n}_cont") for n, c in _ENDS.items()])
+    return _delta_columns(event.join(base, list(CIRCUIT)), scenarios, facilities)
+
+
+_PAIRS = ("rate", "p", "q", "mva", "loading")
+_ENDS = {"v_from": "v_from_pu", "v_to": "v_to_pu", "ang_from": "ang_from_deg", "ang_to": "ang_to_deg"}
+
+
+def _base_columns(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return rows.select(*CIRCUIT, *keep, *[F.col(c).alias(f"base_{c}") for c in _PAIRS], *[F.col(c).alias(f"{n}_base") for n, c in _ENDS.items()])
+
+
+def _with_buses(base: DataFrame, bus: DataFrame) -> DataFrame:
     for end in ("from", "to"):
         base = base.join(bus.select(F.col("bus_id").alias(f"{end}_bus"), F.col("base_kv").alias(f"base_kv_{end}"), F.col("area").alias(f"area_{end}")), f"{end}_bus", "left")
-    event = rows.where("event_idx <> 0").select("event_idx", "contingency", *CIRCUIT, *[F.col(c).alias(f"cont_{c}") for c in pairs], *[F.col(c).alias(f"{n}_cont") for n, c in ends.items()])
+    return base
+
+
+def _delta_columns(rows: DataFrame, scenarios: DataFrame, facilities: DataFrame) -> DataFrame:
     told = scenarios.select("event_idx", "type").join(facilities.select("event_idx", F.col("label").alias("cont_event_facility")), "event_idx", "full")
-    joined = event.join(base, list(CIRCUIT)).join(told, "event_idx", "left")
     across = [circular_diff(F.col(f"ang_from_{s}"), F.col(f"ang_to_{s}")).alias(f"d_angle_{s}") for s in ("base", "cont")]
     both = lambda names, a, b: [c for n in names for c in (a.format(n), b.format(n))]
     front = ["event_idx", "contingency", "type", *CIRCUIT, "base_kv_from", "base_kv_to", "area_from", "area_to"]
-    return joined.select(*front, *both(pairs, "base_{}", "cont_{}"), *both(ends, "{}_base", "{}_cont"), *across, "cont_event_facility")
+    return rows.join(told, "event_idx", "left").select(*front, *both(_PAIRS, "base_{}", "cont_{}"), *both(_ENDS, "{}_base", "{}_cont"), *across, "cont_event_facility")
+
+
+def delta_of_voltages(circuit: DataFrame, voltage: DataFrame, bus: DataFrame, scenarios: DataFrame, facilities: DataFrame, rating: str = "A", names: DataFrame | None = None, layout: str | None = None) -> DataFrame:
+    """What ``delta_rows`` gives for the flat rows of these voltages, event 0 being the base.
+
+    The base flow is worked out once a circuit and carried along when events multiply the circuits, so event rows never have to find
+    their base row: nothing is shuffled by circuit. ``layout`` is that of ``line_flow``. Circuits without base voltages are skipped."""
+    own = [c for c in circuit.columns if c not in CIRCUIT]
+    base = flat_rows(line_flow(circuit, voltage.where("event_idx = 0"), layout=layout), rating, keep=own)
+    lines = _with_buses(_base_columns(base, own), bus)
+    carried = [c for c in lines.columns if c not in (*CIRCUIT, *own)]
+    event = flat_rows(line_flow(lines, voltage.where("event_idx <> 0"), layout=layout), rating, names, keep=carried)
+    event = event.select("event_idx", "contingency", *CIRCUIT, *[F.col(c).alias(f"cont_{c}") for c in _PAIRS], *[F.col(c).alias(f"{n}_cont") for n, c in _ENDS.items()], *carried)
+    return _delta_columns(event, scenarios, facilities)
 
 
 def delta_skipped(rows: DataFrame) -> DataFrame:
@@ -137,20 +165,25 @@ def slack_capacity(output: DataFrame, generator: DataFrame, bus: DataFrame) -> D
 
 
 def deadband_screen(devices: DataFrame, voltage: DataFrame) -> DataFrame:
-    """Devices (device, own_bus, remote_bus, low, high, kind, step, rmi, rma, to_side) whose controlled bus is outside its band.
+    """Devices (device, own_bus, remote_bus, low, high, kind, tap, step, rmi, rma, to_side) that would act on the voltage of their controlled bus.
 
-    The controlled bus is the remote one if it isn't 0 or null. A band narrower than 0.002 is widened to 0.001 either side of its middle.
-    Returns device, event_idx, v_pu, direction (1 raise, -1 lower) and, for tap changers, the step clamped to [rmi, rma] (sign turned for control of the to bus).
+    The controlled bus is the remote one if it isn't 0 or null. Where it has no voltage, a shunt goes by its own bus and a tap changer
+    by 1.0. A band narrower than 0.002 is widened to 0.001 either side of its middle. Returns device, event_idx, v_pu, direction (1
+    raise, -1 lower) and, for tap changers, new_tap: the present tap and a step (its sign turned for control of the to bus), clamped to [rmi, rma].
+    A tap changer that can't move, as it is at its limit, isn't reported. Events are those of the own bus.
     """
-    controlled = F.when(F.coalesce("remote_bus", F.lit(0)) != 0, F.col("remote_bus")).otherwise(F.col("own_bus"))
+    own = voltage.select("event_idx", F.col("bus_id").alias("own_bus"), F.col("v_pu").alias("_own"))
+    remote = voltage.select("event_idx", F.col("bus_id").alias("remote_bus"), F.col("v_pu").alias("_remote"))
+    rows = devices.join(own, "own_bus").join(remote, ["event_idx", "remote_bus"], "left")
+    absent = F.when(F.col("kind") == "tap", 1.0).otherwise(F.col("_own"))
+    rows = rows.withColumn("v_pu", F.when(F.coalesce("remote_bus", F.lit(0)) != 0, F.coalesce("_remote", absent)).otherwise(F.col("_own")))
     middle, narrow = (F.col("low") + F.col("high")) / 2, F.col("high") - F.col("low") < 0.002
     low, high = F.when(narrow, middle - 0.001).otherwise(F.col("low")), F.when(narrow, middle + 0.001).otherwise(F.col("high"))
-    rows = devices.withColumns({"bus_id": controlled, "_low": low, "_high": high}).join(voltage, "bus_id")
-    direction = F.when(F.col("v_pu") < F.col("_low"), 1).when(F.col("v_pu") > F.col("_high"), -1)
-    rows = rows.withColumn("direction", direction).where("direction IS NOT NULL")
-    signed = F.col("direction") * F.when(F.col("to_side"), -1).otherwise(1) * F.col("step")
-    step = F.when(F.col("kind") == "tap", F.greatest(F.least(signed, F.col("rma")), F.col("rmi")))
-    return rows.select("device", "event_idx", "v_pu", "direction", step.alias("step"))
+    rows = rows.withColumn("direction", F.when(F.col("v_pu") < low, 1).when(F.col("v_pu") > high, -1)).where("direction IS NOT NULL")
+    moved = F.col("tap") + F.col("direction") * F.when(F.col("to_side"), -1).otherwise(1) * F.col("step")
+    rows = rows.withColumn("new_tap", F.when(F.col("kind") == "tap", F.greatest(F.least(moved, F.col("rma")), F.col("rmi"))))
+    stays = (F.col("kind") == "tap") & (F.abs(F.col("new_tap") - F.col("tap")) < 1e-8)
+    return rows.where(~stays).select("device", "event_idx", "v_pu", "direction", "new_tap")
 
 
 def scenario_summary(convergence: DataFrame, bus_rows: DataFrame, branch_rows: DataFrame) -> DataFrame:
@@ -161,26 +194,28 @@ def scenario_summary(convergence: DataFrame, bus_rows: DataFrame, branch_rows: D
 
 
 def rating_search(outcomes: DataFrame) -> DataFrame:
-    """(tie, rating): largest secure rating per tie from evaluated (tie, rating, ok) rows.
+    """(tie, rating, limited): where the search for the largest secure rating of each tie ends, from evaluated (tie, rating, ok[, feasible]) rows.
 
-    From 1.0 the search climbs in steps of 0.05 and then 0.01 while secure, if 1.0 is secure; else it steps down by the same to the first
-    secure one. A rating is secure if all its rows are. Null when nothing on the way is.
+    A rating is secure if all its rows are ok, and feasible unless one of its rows says that capacity doesn't allow it. If 1.0 is
+    secure, the search climbs by 0.05 while ratings are feasible and secure, and from the last such one by 0.01. Else it steps down by 0.05 to
+    the first secure (or infeasible) rating, goes back up one step, and from there down by 0.01 to the first secure one. ``limited`` says
+    that a rating out of capacity, or one that wasn't evaluated, ended it; going down, the rating is then the last one before, which
+    isn't secure. Null if nothing down to 0 is secure; ties without an outcome at 1.0 are left out.
     """
-    per = outcomes.groupBy("tie", F.round("rating", 2).alias("rating")).agg(F.bool_and("ok").alias("ok"))
-    base = per.where("rating = 1.0").select("tie", F.col("ok").alias("base_ok"))
-    rows = per.join(base, "tie")
-    coarse = F.abs(F.pmod(F.round(F.col("rating") * 100), F.lit(5.0))) < 0.5
-    first_bad = F.min(F.when(coarse & (F.col("rating") >= 1) & ~F.col("ok"), F.col("rating")))
-    good_below = F.max(F.when(coarse & (F.col("rating") < 1) & F.col("ok"), F.col("rating")))
-    mark = rows.groupBy("tie").agg(F.first("base_ok").alias("base_ok"), first_bad.alias("bad"), good_below.alias("good"))
-    rows = rows.join(mark.select("tie", "bad", "good"), "tie")
-    start = F.when(F.col("base_ok"), F.coalesce(F.col("bad") - 0.05, F.lit(float("inf")))).otherwise(F.col("good"))
-    stop = F.when(F.col("base_ok"), F.coalesce(F.col("bad"), F.lit(float("inf")))).otherwise(F.col("good") + 0.05)
-    fine = rows.withColumns({"_start": start, "_stop": stop}).where("rating > _start + 0.001 AND rating < _stop - 0.001")
-    fail = fine.groupBy("tie").agg(F.min(F.when(~F.col("ok"), F.col("rating"))).alias("fail"))
-    reach = rows.withColumns({"_start": start, "_stop": stop}).join(fail, "tie", "left")
-    ok = F.col("ok") & (F.col("rating") < F.coalesce("_stop", F.lit(float("inf"))) - 0.001) & (F.col("fail").isNull() | (F.col("rating") < F.col("fail")))
-    return reach.groupBy("tie").agg(F.max(F.when(ok & (F.col("base_ok") | (F.col("rating") < 1)), F.col("rating"))).alias("rating"))
+    feasible = F.bool_and("feasible") if "feasible" in outcomes.columns else F.lit(True)
+    per = outcomes.groupBy("tie", F.round(F.col("rating") * 100).cast("int").alias("k")).agg(F.bool_and("ok").alias("ok"), feasible.alias("feasible"))
+    code = F.when(~F.col("feasible"), -1).when(F.col("ok"), 1).otherwise(0)
+    known = per.groupBy("tie").agg(F.map_from_entries(F.collect_list(F.struct("k", code.alias("code")))).alias("m"), F.max("k").alias("most"))
+    at = lambda k: F.coalesce(F.try_element_at("m", k), F.lit(-1))
+    first = lambda ks, stop: F.get(F.filter(ks, stop), F.lit(0))
+    down_to = lambda start, by: F.when(start >= 0, F.sequence(start, F.pmod(start, F.lit(by)), F.lit(-by)))
+    rows = known.where(F.try_element_at("m", F.lit(100)).isNotNull()).withColumn("up", at(F.lit(100)) == 1)
+    coarse = F.when(F.col("up"), first(F.sequence(F.lit(105), F.greatest("most", F.lit(105)) + 5, F.lit(5)), lambda k: at(k) != 1)).otherwise(first(down_to(F.lit(95), 5), lambda k: at(k) != 0))
+    rows = rows.withColumn("coarse", coarse)
+    fine = F.when(F.col("up"), first(F.sequence(F.col("coarse") - 4, F.greatest("most", F.col("coarse")) + 1), lambda k: at(k) != 1)).otherwise(first(down_to(F.col("coarse") + 4, 1), lambda k: at(k) != 0))
+    rows = rows.withColumn("fine", fine).withColumn("limited", at(F.col("fine")) == -1)
+    back = F.when(F.col("up"), -1).when(F.col("limited"), 1).otherwise(0)
+    return rows.select("tie", ((F.col("fine") + back) / 100).alias("rating"), "limited")
 
 
 def worst(rows: DataFrame, by: Sequence[str], k: int, order: Sequence[str] = CIRCUIT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlake.functions.ordering import number
 from gridlake.operators import topology
@@ -42,46 +42,85 @@ def n1_in_area(circuit: DataFrame, generator: DataFrame, bus: DataFrame, area: i
 
 
 def n2_pairs(singles: DataFrame, caps: dict[str, int | None] | None = None) -> DataFrame:
-    """(kind, a, b): unordered pairs of single outages (idx, type, name), of kinds GG, GL and LL.
+    """(kind, a, b): unordered pairs of single outages (idx, type, name), of kinds GG, GL and LL; idx is unique within a type.
 
-    A cap of n keeps a kind's first n pairs by (a, b); None keeps all, 0 none. With caps singles are cut before the join to the first
-    ones that can occur in a kept pair, so the join stays as small as its result.
+    A cap of n keeps a kind's first n pairs by (a, b); None keeps all, 0 none. Pairs are numbered in this order and the numbers are dealt out:
+    pair number k names the places of its two outages in closed form, and two equi-joins on the numbered lists fetch them. So no plan
+    multiplies the lists, and n pairs are n rows from the start. Of capped kinds only the first outages that can occur are numbered.
     """
     caps = caps or {}
-    parts = []
+    spark, parts, lists = singles.sparkSession, [], {}
+
+    def listed(kind: str, cap: int | None) -> tuple[DataFrame, int]:
+        if (kind, cap) not in lists:
+            some = singles.where(F.col("type") == kind).select("idx")
+            some = number(some if cap is None else some.orderBy("idx").limit(cap), ["idx"], "place")
+            lists[kind, cap] = some, some.count()
+        return lists[kind, cap]
+
     for kind, left, right in (("GG", "Generator", "Generator"), ("GL", "Generator", "Line"), ("LL", "Line", "Line")):
         cap = caps.get(kind)
         if cap == 0:
             continue
-        a, b = singles.where(F.col("type") == left), singles.where(F.col("type") == right)
-        if cap is not None:
-            # pairs are ordered by (a, b): the first cap pairs need at most cap + 1 firsts and cap + 1 seconds after each of them
-            a, b = a.orderBy("idx").limit(cap + 1), b.orderBy("idx").limit(2 * cap + 2)
-        a, b = a.select(F.col("idx").alias("a")), b.select(F.col("idx").alias("b"))
-        pairs = a.join(b, F.col("a") < F.col("b")) if left == right else a.crossJoin(b)
-        pairs = pairs.select(F.lit(kind).alias("kind"), "a", "b")
-        parts.append(pairs if cap is None else pairs.orderBy("a", "b").limit(cap))
+        (a, n), (b, m) = (listed(t, None if cap is None else cap + 1) for t in (left, right))
+        total = n * (n - 1) // 2 if left == right else n * m
+        k = F.col("id")
+        if left == right:
+            # the pairs before those of the i-th outage are i * (2n - i - 1) / 2; the root may be off by one, which is put right in integers
+            before = lambda i: F.call_function("div", i * (2 * n - i - 1), F.lit(2).cast("long"))  # noqa: B023, E731
+            guess = F.floor((2 * n - 1 - F.sqrt(F.greatest(F.lit(float((2 * n - 1) ** 2)) - 8.0 * k, F.lit(0.0)))) / 2).cast("long")
+            numbers = spark.range(total if cap is None else min(cap, total)).withColumn("i", guess)
+            numbers = numbers.withColumn("i", F.when(before(F.col("i")) > k, F.col("i") - 1).when(before(F.col("i") + 1) <= k, F.col("i") + 1).otherwise(F.col("i")))
+            numbers = numbers.withColumn("j", k - before(F.col("i")) + F.col("i") + 1)
+        else:
+            numbers = spark.range(total if cap is None else min(cap, total)).withColumns({"i": F.call_function("div", k, F.lit(max(m, 1)).cast("long")), "j": k % max(m, 1)})
+        first, second = a.select(F.col("place").alias("i"), F.col("idx").alias("a")), b.select(F.col("place").alias("j"), F.col("idx").alias("b"))
+        parts.append(numbers.join(first, "i").join(second, "j").select(F.lit(kind).alias("kind"), "a", "b"))
     out = parts[0] if parts else singles.select(F.lit("").alias("kind"), F.col("idx").alias("a"), F.col("idx").alias("b")).limit(0)
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
-def _content(elements: DataFrame) -> DataFrame:
+def _content(elements: DataFrame, place: Column) -> DataFrame:
+    """(event_idx, type, n, members, place) of scenarios: number of elements, sorted set of them, place in the list."""
     element = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("from_bus", "to_bus", "ckt", "bus_id", "gen_id")])
-    return elements.groupBy("event_idx", "type").agg(F.array_sort(F.collect_list(element)).alias("content"))
+    return elements.groupBy("event_idx", "type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(element)).alias("members")).withColumn("place", place)
+
+
+def _repeated(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(event_idx, type) of scenarios of ``new`` that repeat one of a smaller place in ``old``: same type and count, and each element is found there.
+
+    Without repeated elements that is having the same elements, an equi-join. Of a scenario that repeats elements only the rarest one is looked up;
+    the scenarios that have it are compared in full."""
+    plain = F.size("members") == F.col("n")
+    first = old.where(plain).groupBy("type", "members").agg(F.min("place").alias("first"))
+    same = new.where(plain).join(first, ["type", "members"]).where("first < place").select("event_idx", "type")
+    each = lambda f: f.withColumn("element", F.explode("members"))
+    known = each(old.select("type", "n", "members", "place"))
+    times = known.groupBy("type", "n", "element").agg(F.count(F.lit(1)).alias("times"))
+    rarest = each(new.where(~plain)).join(times, ["type", "n", "element"], "left")
+    rarest = rarest.groupBy("event_idx", "type", "n", "place").agg(F.min_by("element", F.struct(F.coalesce("times", F.lit(0)), "element")).alias("element"), F.first("members").alias("members"))
+    found = rarest.join(known.select("type", "n", "element", F.col("members").alias("others"), F.col("place").alias("earlier")), ["type", "n", "element"])
+    found = found.where((F.col("earlier") < F.col("place")) & (F.size(F.array_except("members", "others")) == 0))
+    return same.union(found.select("event_idx", "type")).distinct()
 
 
 def dedup_scenarios(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Scenarios of ``new`` (elements with event_idx and type) whose type and set of elements no existing one has, in any order."""
-    fresh = _content(new).join(_content(existing).select("type", "content"), ["type", "content"], "left_anti")
-    return new.join(fresh.select("event_idx"), "event_idx", "left_semi")
+    """Scenarios of ``new`` (elements with event_idx and type) that repeat no existing one: none of their type and number of elements has each of their
+    elements, in any order. So one that lists an element twice repeats one that has it once beside another."""
+    repeated = _repeated(_content(new, F.lit(1)), _content(existing, F.lit(0)))
+    return new.join(repeated, ["event_idx", "type"], "left_anti").select(*new.columns)
 
 
 def combine(auto: DataFrame, file: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(combined, counts): the automatic list, then rows of the file list that repeat none of it; event_idx follows list order.
-    counts has auto, added and skipped."""
-    added = dedup_scenarios(file, auto)
+    """(combined, counts): the automatic list, then the scenarios of the file list, in order of event_idx, that repeat neither an automatic one
+    nor one of the file before them; event_idx follows list order. counts has auto, added and skipped.
+
+    What repeats a skipped scenario repeats the one for which that was skipped, so the file is checked against itself in one join."""
+    listed = _content(file, F.struct(F.lit(1).alias("list"), F.col("event_idx").alias("at")))
+    repeated = _repeated(listed, _content(auto, F.struct(F.lit(0).alias("list"), F.col("event_idx").alias("at"))).unionByName(listed))
+    added = file.join(repeated, ["event_idx", "type"], "left_anti").select(*file.columns)
     old = auto.select("event_idx").distinct().select(F.lit(0).alias("_list"), F.col("event_idx").alias("_old"))
     old = old.union(added.select("event_idx").distinct().select(F.lit(1), F.col("event_idx")))
     index = number(old, ["_list", "_old"], "_new", start=1)

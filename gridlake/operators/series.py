@@ -4,36 +4,96 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def sustained_excursion(series: DataFrame, high: float = 61.0, low: float = 59.0, hold: float = 0.5, start: float = 0.0) -> DataFrame:
+def sustained_excursion(series: DataFrame, high: float = 61.0, low: float = 59.0, hold: float = 0.5, start: float = 0.0, segment: float = 600.0) -> DataFrame:
     """(machine, t, value, side): samples at which an excursion has lasted at least ``hold``.
 
     Up side, per machine from ``start`` on: beyond the limit and idle starts the clock; beyond, running and rising is a violation if
     the clock shows at least hold; running otherwise turns idle, and that sample doesn't restart the clock. Down is its mirror.
     So a sample beyond and moving away (R) always leaves it running, a sample inside (B) idle, and one beyond but not moving away (F)
-    toggles: the state is the last R or B, turned by the parity of the F since. Only windows over one machine, no UDF.
-    Rows are ordered by (t, value); null values are left out.
+    toggles: the state is the last R or B, turned by the parity of the F since.
+
+    It is a segmented scan: a segment of ``segment`` seconds is a function of the state in which it is entered (running or not), and the clock it
+    leaves running began inside it or is the one it was entered with. Windows over the samples reach over one machine's segment only, and
+    give both outcomes; the segments' functions, a row each, are composed along the machine, and the entering states joined back. A
+    segment's first sample, whose kind depends on the last value before, is composed as a function of its own. So a machine with very many
+    samples is spread over its segments. Rows are ordered by (t, value); null values are left out.
     """
     rows = series.where((F.col("t") >= start) & F.col("value").isNotNull()).select("machine", "t", "value")
-    order = Window.partitionBy("machine").orderBy("t", "value")
+    rows = rows.withColumn("segment", F.floor((F.col("t") - start) / segment))
+    states = _samples(rows, high, low)
+    entered = _composed(_functions(states), high, low, hold)
+    likely = states.where("n = 1 OR up_kind = 'R' OR down_kind = 'R'")
+    found = likely.join(entered, ["machine", "segment"])
+    sides = []
+    for side in _SIDES:
+        was = F.when(F.col(f"{side}_enters"), F.col(f"{side}_was1")).otherwise(F.col(f"{side}_was0"))
+        since = F.when(F.col(f"{side}_enters"), F.col(f"{side}_since1")).otherwise(F.col(f"{side}_since0"))
+        later = (F.col(f"{side}_kind") == "R") & was & (F.col("t") - F.coalesce(since, f"{side}_clock") >= hold)
+        sides.append(F.when(F.coalesce(F.when(F.col("n") == 1, F.col(f"{side}_hit")).otherwise(later), F.lit(False)), side))
+    return found.withColumn("side", F.explode(F.array_compact(F.array(*sides)))).select("machine", "t", "value", "side")
+
+
+_SIDES = ("up", "down")
+
+
+def _kind(side: str, value: Column, before: Column, high: float, low: float) -> Column:
+    beyond = value > high if side == "up" else value < low
+    away = value > before if side == "up" else value < before
+    return F.when(~beyond, "B").when(F.coalesce(away, F.lit(False)), "R").otherwise("F")
+
+
+def _samples(rows: DataFrame, high: float, low: float) -> DataFrame:
+    """Samples with their number n in the segment and, for each side, kind (null for n = 1) and the state after and before them and the clock's start, for
+    a segment that is idle (0) or running (1) after its first sample."""
+    order = Window.partitionBy("machine", "segment").orderBy("t", "value")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    parts = []
-    for side, beyond, away in (("up", F.col("value") > high, F.col("value") > F.col("_before")), ("down", F.col("value") < low, F.col("value") < F.col("_before"))):
-        away = F.coalesce(away, F.lit(False))
-        kind = F.when(~beyond, "B").when(away, "R").otherwise("F")
-        s = rows.withColumn("_before", F.lag("value").over(order)).withColumn("_kind", kind)
-        s = s.withColumn("_f", F.sum((F.col("_kind") == "F").cast("int")).over(so_far))
-        mark = F.when(F.col("_kind") != "F", F.struct((F.col("_kind") == "R").alias("on"), F.col("_f").alias("f")))
-        s = s.withColumn("_mark", F.last(mark, ignorenulls=True).over(so_far))
-        odd = F.pmod(F.col("_f") - F.coalesce("_mark.f", F.lit(0)), F.lit(2)) == 1
-        s = s.withColumn("_on", F.coalesce("_mark.on", F.lit(False)) != odd)
-        s = s.withColumn("_was", F.coalesce(F.lag("_on").over(order), F.lit(False)))
-        s = s.withColumn("_since", F.last(F.when(F.col("_on") & ~F.col("_was"), F.col("t")), ignorenulls=True).over(so_far))
-        hit = (F.col("_kind") == "R") & F.col("_was") & (F.col("t") - F.col("_since") >= hold)
-        parts.append(s.where(hit).select("machine", "t", "value", F.lit(side).alias("side")))
-    return parts[0].union(parts[1])
+    out = rows.withColumns({"n": F.row_number().over(order), "before": F.lag("value").over(order)})
+    for side in _SIDES:
+        kind = F.when(F.col("n") > 1, _kind(side, F.col("value"), F.col("before"), high, low))
+        out = out.withColumn(f"{side}_kind", kind)
+        out = out.withColumn(f"{side}_f", F.sum(F.when(F.col(f"{side}_kind") == "F", 1).otherwise(0)).over(so_far))
+        mark = F.when(F.col(f"{side}_kind") != "F", F.struct((F.col(f"{side}_kind") == "R").alias("on"), F.col(f"{side}_f").alias("f")))
+        out = out.withColumn(f"{side}_mark", F.last(mark, ignorenulls=True).over(so_far))
+        odd = F.pmod(F.col(f"{side}_f") - F.coalesce(f"{side}_mark.f", F.lit(0)), F.lit(2)) == 1
+        out = out.withColumns({f"{side}_on{i}": F.coalesce(f"{side}_mark.on", F.lit(bool(i))) != odd for i in (0, 1)})
+        out = out.withColumns({f"{side}_was{i}": F.lag(f"{side}_on{i}").over(order) for i in (0, 1)})
+        begins = {i: F.when(F.col(f"{side}_on{i}") & ~F.col(f"{side}_was{i}"), F.col("t")) for i in (0, 1)}
+        out = out.withColumns({f"{side}_since{i}": F.last(begins[i], ignorenulls=True).over(so_far) for i in (0, 1)})
+    return out.drop("before", *[f"{side}_{c}" for side in _SIDES for c in ("f", "mark")])
+
+
+def _functions(states: DataFrame) -> DataFrame:
+    """A row for each segment: its first sample, its last value, and for each side the state it is left in and the clock's start for both states after the first sample."""
+    at_end = [F.max_by(f"{side}_{c}{i}", "n").alias(f"{side}_{c}{i}") for side in _SIDES for c in ("on", "since") for i in (0, 1)]
+    return states.groupBy("machine", "segment").agg(F.min(F.struct("t", "value")).alias("first"), F.max(F.struct("t", "value")).alias("last"), *at_end)
+
+
+def _composed(functions: DataFrame, high: float, low: float, hold: float) -> DataFrame:
+    """For each segment and side whether its first sample is a violation (hit), the state after it (enters) and the start of the clock then (clock)."""
+    order = Window.partitionBy("machine").orderBy("segment")
+    past, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    out = functions.withColumn("before", F.lag("last.value").over(order))
+    for side in _SIDES:
+        c = lambda name: F.col(f"{side}_{name}")  # noqa: B023, E731
+        out = out.withColumn(f"{side}_kind", _kind(side, F.col("first.value"), F.col("before"), high, low))
+        after = {i: F.when(c("kind") == "B", False).when(c("kind") == "R", True).otherwise(not i) for i in (0, 1)}
+        whole = {i: F.when(after[i], c("on1")).otherwise(c("on0")) for i in (0, 1)}  # the segment's function, its first sample included
+        out = out.withColumns({f"{side}_g{i}": whole[i] for i in (0, 1)})
+        out = out.withColumn(f"{side}_turns", F.sum((c("g0") & ~c("g1")).cast("int")).over(so_far))
+        mark = F.when(c("g0") == c("g1"), F.struct(c("g0").alias("on"), c("turns").alias("turns")))
+        out = out.withColumn(f"{side}_mark", F.last(mark, ignorenulls=True).over(so_far))
+        out = out.withColumn(f"{side}_left", F.coalesce(c("mark.on"), F.lit(False)) != (F.pmod(c("turns") - F.coalesce(c("mark.turns"), F.lit(0)), F.lit(2)) == 1))
+        out = out.withColumn(f"{side}_was", F.coalesce(F.lag(f"{side}_left").over(order), F.lit(False)))
+        out = out.withColumn(f"{side}_enters", F.when(c("was"), after[1]).otherwise(after[0]))
+        begins = F.when(c("enters") & ~c("was"), F.col("first.t"))
+        out = out.withColumn(f"{side}_own", F.coalesce(F.when(c("enters"), c("since1")).otherwise(c("since0")), begins))
+        clock = F.last(c("own"), ignorenulls=True).over(past)
+        out = out.withColumn(f"{side}_hit", (c("kind") == "R") & c("was") & (F.col("first.t") - clock >= hold))
+        out = out.withColumn(f"{side}_clock", F.coalesce(begins, clock))
+    return out.select("machine", "segment", *[f"{side}_{c}" for side in _SIDES for c in ("hit", "enters", "clock")])
 
 
 def over_limit(series: DataFrame, limit: float) -> DataFrame:

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridlake.functions import exprs as x
-from gridlake.functions.durable import shared_folder
-from gridlake.operators import compare, coo, electrical, keyed, limits, measure, scenarios, series, stats, topology
+from gridlake.functions.durable import durable, shared_folder
+from gridlake.operators import compare, coo, digests, electrical, keyed, limits, measure, outages, scenarios, series, stats, topology
 from gridlake.plans import roles
-from gridlake.sources import archives, lists, sinks
+from gridlake.sources import archives, lists, nested, ranges, sinks
 from gridlake.streaming import streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,10 +25,17 @@ class Roles:
     """Role tables by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.fixed = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return roles.frame(self.spark, self.sf_dir, name)
+        return roles.frame(self.spark, self.sf_dir, name, self.fixed)
+
+    def fix(self, *names: str) -> Roles:
+        """Writes these roles, which the query or other roles read several times, so that they are worked out once."""
+        for name in names:
+            if name not in self.fixed:
+                self.fixed[name] = durable(getattr(self, name))
+        return self
 
 
 def _register(name: str, build: Callable[[Roles], DataFrame], sql: str | None, doubles: str = "") -> None:
@@ -36,7 +43,7 @@ def _register(name: str, build: Callable[[Roles], DataFrame], sql: str | None, d
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = build(Roles(spark, sf_dir))
-        return out.withColumns({c: F.round(c, 6) + 0.0 for c in exact}) if exact else out
+        return out.withColumns({c: x.rounded6(F.col(c)) for c in exact}) if exact else out
 
     _QUERIES[name] = run
     if sql is not None:
@@ -75,6 +82,7 @@ _STATE = "p q mva rate loading v_from_pu v_to_pu ang_from_deg ang_to_deg"
 
 
 def _flow(r: Roles) -> DataFrame:
+    r.fix("circuit", "scenario", "voltage")
     return electrical.line_flow(r.circuit, r.voltage)
 
 
@@ -181,7 +189,7 @@ direct AS (SELECT from_bus, to_bus, value, rate_a, FALSE AS swapped FROM val JOI
 FINALLY SELECT * FROM direct UNION ALL SELECT from_bus, to_bus, value, rate_a, TRUE FROM val JOIN br ON t = from_bus AND f = to_bus WHERE NOT EXISTS (SELECT 1 FROM br x WHERE x.from_bus = f AND x.to_bus = t)""",
     "value rate_a",
 )
-_register("dense_index", lambda r: keyed.dense_index(r.circuit.select("from_bus", "to_bus", "ckt", (F.col("from_bus") * 1_000_003 + F.col("to_bus") * 7).alias("key")), "key"), "SELECT from_bus, to_bus, ckt, from_bus * 1000003 + to_bus * 7 AS key, dense_rank() OVER (ORDER BY from_bus * 1000003 + to_bus * 7) - 1 AS dense FROM {circuit}")
+_register("dense_index", lambda r: keyed.dense_index(r.fix("circuit").circuit.select("from_bus", "to_bus", "ckt", (F.col("from_bus") * 1_000_003 + F.col("to_bus") * 7).alias("key")), "key"), "SELECT from_bus, to_bus, ckt, from_bus * 1000003 + to_bus * 7 AS key, dense_rank() OVER (ORDER BY from_bus * 1000003 + to_bus * 7) - 1 AS dense FROM {circuit}")
 _register(
     "neighbors",
     lambda r: keyed.neighbors(r.circuit).withColumn("buses", F.array_join(F.col("buses").cast("array<string>"), ",")),
@@ -248,7 +256,7 @@ _register(
 )
 _register(
     "islands_by_scenario",
-    lambda r: topology.islands(r.bus, keyed.apply_scenarios(r.circuit, r.scenario)).groupBy("event_idx").agg(F.countDistinct("island").alias("islands"), F.max("n_buses").alias("largest")),
+    lambda r: outages.scenario_islands(r.bus, r.circuit, r.scenario).select("event_idx", "islands", F.col("main_buses").alias("largest")),
     """live AS (SELECT bus_id FROM {bus} WHERE type <> 4), lo AS (SELECT min(bus_id) AS b FROM live),
 onn AS MATERIALIZED (SELECT DISTINCT f.event_idx, c.from_bus AS u, c.to_bus AS v FROM {circuit} c CROSS JOIN {scenario} f WHERE status = 1 AND NOT (c.from_bus = f.from_bus AND c.to_bus = f.to_bus AND c.ckt = f.ckt) AND c.from_bus IN (SELECT bus_id FROM live) AND c.to_bus IN (SELECT bus_id FROM live)),
 e AS MATERIALIZED (SELECT event_idx, u, v FROM onn UNION SELECT event_idx, v, u FROM onn), top(event_idx, bus_id) AS (SELECT event_idx, b FROM {scenario} CROSS JOIN lo UNION SELECT e.event_idx, e.v FROM top JOIN e ON e.u = top.bus_id AND e.event_idx = top.event_idx),
@@ -257,6 +265,11 @@ walk(event_idx, bus_id, seen) AS (SELECT event_idx, bus_id, bus_id FROM rest UNI
 isl AS (SELECT event_idx, bus_id, min(seen) AS island FROM walk GROUP BY 1, 2 UNION ALL SELECT event_idx, bus_id, (SELECT b FROM lo) FROM top), siz AS (SELECT event_idx, island, count(*) AS n FROM isl GROUP BY 1, 2)
 FINALLY SELECT event_idx, count(*) AS islands, max(n) AS largest FROM siz GROUP BY 1""",
 )
+_register(
+    "islands_of_outages",  # every circuit in service as a scenario of its own: too slow in SQL; see tests/test_outages.py
+    lambda r: outages.scenario_islands(r.bus, r.circuit, r.circuit.where("status = 1").select(F.concat_ws("_", F.lit("BR"), "from_bus", "to_bus", "ckt").alias("event_idx"), "from_bus", "to_bus", "ckt")),
+    None,
+)
 _register("screen_outages", lambda r: topology.screen_outages(r.bus, r.circuit), None)  # removal of every circuit in turn is too slow in SQL; see tests/test_topology.py
 _DEGREE = "deg AS (SELECT bus_id FROM (SELECT from_bus AS bus_id FROM {circuit} WHERE status = 1 UNION ALL SELECT to_bus FROM {circuit} WHERE status = 1) AS d GROUP BY 1 HAVING count(*) >= 2)"
 _register("outage_candidates_by_degree", lambda r: topology.outage_candidates_by_degree(r.circuit).select("from_bus", "to_bus", "ckt"), f"{_DEGREE}\nFINALLY SELECT from_bus, to_bus, ckt FROM {{circuit}} WHERE status = 1 AND from_bus IN (SELECT bus_id FROM deg) AND to_bus IN (SELECT bus_id FROM deg)")
@@ -298,20 +311,40 @@ _register(
     f"""{_SINGLES}, gg AS (SELECT 'GG' AS kind, a.idx AS a, b.idx AS b FROM g a JOIN g b ON a.idx < b.idx ORDER BY 2, 3 LIMIT 60), gl AS (SELECT 'GL' AS kind, a.idx AS a, b.idx AS b FROM g a CROSS JOIN l b ORDER BY 2, 3 LIMIT 40), ll AS (SELECT 'LL' AS kind, a.idx AS a, b.idx AS b FROM l a JOIN l b ON a.idx < b.idx ORDER BY 2, 3 LIMIT 25)
 FINALLY SELECT * FROM gg UNION ALL SELECT * FROM gl UNION ALL SELECT * FROM ll""",
 )
+def _with_repeats(r: Roles) -> DataFrame:
+    """Each scenario twice more: backwards, and with its first element in every place."""
+    el, e = _elements(r), F.col("event_idx")
+    firsts = el.where("pos = 0").select("event_idx", *[F.col(c).alias(f"_{c}") for c in ("from_bus", "to_bus", "ckt")])
+    filled = el.join(firsts, "event_idx").withColumns({c: F.col(f"_{c}") for c in ("from_bus", "to_bus", "ckt")}).select(*el.columns)
+    back = el.withColumns({"event_idx": e * 10 + 1, "pos": 5 - F.col("pos")})
+    return el.withColumn("event_idx", e * 10).unionByName(back).unionByName(filled.withColumn("event_idx", e * 10 + 2))
+
+
+# a scenario and its backward copy repeat an existing scenario that is the same; one of n times x repeats any existing one of n elements with x among them
+_REPEATS = """sc AS (SELECT event_idx AS e, count(*) AS n, bool_or(from_bus < to_bus) AS old FROM el GROUP BY 1), one AS (SELECT event_idx AS e, from_bus, to_bus, ckt FROM el WHERE pos = 0),
+wide AS (SELECT DISTINCT one.e FROM one JOIN sc ON sc.e = one.e JOIN el ON el.from_bus = one.from_bus AND el.to_bus = one.to_bus AND el.ckt = one.ckt JOIN sc q ON q.e = el.event_idx AND q.n = sc.n WHERE q.old)"""
+
+
+def _old(r: Roles) -> DataFrame:
+    """Scenarios with a circuit towards a larger bus."""
+    el = _elements(r)
+    return el.join(el.where("from_bus < to_bus").select("event_idx").distinct(), "event_idx", "left_semi")
+
+
 _register(
     "dedup_scenarios",
-    lambda r: scenarios.dedup_scenarios(_elements(r), _elements(r).where("from_bus % 2 = 0").withColumns({"event_idx": -F.col("event_idx"), "pos": 5 - F.col("pos")})).select("event_idx").distinct(),
-    f"{_ELEMENT_SQL}\nFINALLY SELECT DISTINCT event_idx FROM el WHERE from_bus % 2 <> 0",
+    lambda r: scenarios.dedup_scenarios(_with_repeats(r), _old(r)).select("event_idx").distinct(),
+    f"{_ELEMENT_SQL}, {_REPEATS}\nFINALLY SELECT e * 10 + k AS event_idx FROM sc CROSS JOIN range(0, 3) AS g(k) WHERE CASE WHEN k = 2 THEN e NOT IN (SELECT e FROM wide) ELSE NOT old END",
 )
 _register(
     "combine_scenarios",
-    lambda r: scenarios.combine(_elements(r).where("from_bus % 3 = 0"), _elements(r).where("from_bus % 2 = 0"))[1],
-    f"{_ELEMENT_SQL}\nFINALLY SELECT count(DISTINCT CASE WHEN from_bus % 3 = 0 THEN event_idx END) AS auto, count(DISTINCT CASE WHEN from_bus % 2 = 0 AND from_bus % 3 <> 0 THEN event_idx END) AS added, count(DISTINCT CASE WHEN from_bus % 6 = 0 THEN event_idx END) AS skipped FROM el",
-)
+    lambda r: scenarios.combine(_old(r), _with_repeats(r))[1],
+    f"{_ELEMENT_SQL}, {_REPEATS}\nFINALLY SELECT count(CASE WHEN old THEN 1 END) AS auto, count(CASE WHEN NOT old THEN 1 END) AS added, 2 * count(*) + count(CASE WHEN old THEN 1 END) AS skipped FROM sc",
+)  # in the file a backward copy, and one element in all places, come right behind the scenario that they repeat
 _register(
     "combined_scenarios",
-    lambda r: scenarios.combine(_elements(r).where("from_bus % 3 = 0"), _elements(r).where("from_bus % 2 = 0"))[0].select("event_idx", "pos", "from_bus", "to_bus", "ckt"),
-    f"""{_ELEMENT_SQL}, al AS (SELECT CASE WHEN from_bus % 3 = 0 THEN 0 ELSE 1 END AS list, * FROM el WHERE from_bus % 3 = 0 OR from_bus % 2 = 0)
+    lambda r: scenarios.combine(_old(r), _with_repeats(r))[0].select("event_idx", "pos", "from_bus", "to_bus", "ckt"),
+    f"""{_ELEMENT_SQL}, {_REPEATS}, al AS (SELECT CASE WHEN old THEN 0 ELSE 1 END AS list, el.* FROM el JOIN sc ON e = event_idx)
 FINALLY SELECT dense_rank() OVER (ORDER BY list, event_idx) AS event_idx, pos, from_bus, to_bus, ckt FROM al""",
 )
 _register("task_grid", lambda r: scenarios.task_grid(r.customer.select(F.col("c_custkey").alias("fault")), r.nation.select(F.col("n_nationkey").alias("config")), 25), "SELECT c_custkey * 25 + n_nationkey AS task, c_custkey AS fault, n_nationkey AS config FROM {customer} CROSS JOIN {nation}")
@@ -331,6 +364,7 @@ def _shunts(r: Roles) -> DataFrame:
 
 
 def _injection(r: Roles) -> DataFrame:
+    r.fix("circuit", "scenario", "voltage")
     return electrical.bus_injection(electrical.ybus_coo(r.circuit, _shunts(r)), r.voltage)
 
 
@@ -429,6 +463,13 @@ def _delta(r: Roles) -> DataFrame:
     return limits.delta_rows(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0"), r.bus, _outages(r), keyed.facility_label(_outages(r), r.bus))
 
 
+def _delta_of_voltages(r: Roles) -> DataFrame:
+    """The same rows: circuits without a base row give none."""
+    r.fix("circuit", "scenario", "voltage")
+    names = keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency")
+    return limits.delta_of_voltages(r.circuit.where("(from_bus + to_bus) % 5 <> 0"), r.voltage, r.bus, _outages(r), keyed.facility_label(_outages(r), r.bus), "C", names)
+
+
 _DELTA = f"""{_FLAT}, fac AS (SELECT event_idx, concat('[', area, '] ', from_bus, ' ', to_bus, ' ', ckt) AS label FROM {{scenario}} JOIN {{bus}} ON bus_id = from_bus),
 delta AS (SELECT c.event_idx, c.contingency, 'Line' AS type, c.from_bus, c.to_bus, c.ckt, f.base_kv AS base_kv_from, t.base_kv AS base_kv_to, f.area AS area_from, t.area AS area_to,
  {", ".join(f"b.{n} AS base_{n}, c.{n} AS cont_{n}" for n in ("rate", "p", "q", "mva", "loading"))}, {", ".join(f"b.{c} AS {n}_base, c.{c} AS {n}_cont" for n, c in (("v_from", "v_from_pu"), ("v_to", "v_to_pu"), ("ang_from", "ang_from_deg"), ("ang_to", "ang_to_deg")))},
@@ -437,6 +478,7 @@ delta AS (SELECT c.event_idx, c.contingency, 'Line' AS type, c.from_bus, c.to_bu
  WHERE c.event_idx > 0 AND (c.from_bus + c.to_bus) % 5 <> 0)"""
 _STATES = " ".join(f"{a}_{n}" for n in ("p", "q", "mva", "loading") for a in ("base", "cont")) + " d_angle_base d_angle_cont"
 _register("delta_rows", _delta, f"{_DELTA}\nFINALLY SELECT * FROM delta", _STATES)
+_register("delta_of_voltages", _delta_of_voltages, f"{_DELTA}\nFINALLY SELECT * FROM delta", _STATES)
 _register("delta_skipped", lambda r: limits.delta_skipped(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0")), f"{_FLAT}\nFINALLY SELECT event_idx, count(*) AS skipped FROM flat WHERE event_idx > 0 AND (from_bus + to_bus) % 5 = 0 GROUP BY 1")
 _register("performance_index", lambda r: limits.performance_index(_flow(r)), f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, CASE WHEN rate_a > 0 THEN (p_from * p_from + q_from * q_from) / (rate_a * rate_a) ELSE 0e0 END AS pi, CASE WHEN rate_a > 0 THEN sqrt(p_from * p_from + q_from * q_from) / rate_a > 1 ELSE FALSE END AS viol FROM flow", "pi")
 _VV = "vv AS (SELECT event_idx, v.bus_id, v_pu FROM {voltage} v WHERE v_pu > 106e-2 OR v_pu < 93e-2)"
@@ -485,20 +527,23 @@ _register(
 
 
 def _devices(r: Roles) -> DataFrame:
-    low = 0.94 + 0.001 * (F.col("bus_id") % 9)
+    """Shunts and tap changers, some controlling another bus, some a bus that doesn't exist; taps from one limit to the other."""
+    low, b = 0.94 + 0.001 * (F.col("bus_id") % 9), F.col("bus_id")
     return r.bus.select(
-        F.col("bus_id").alias("device"), F.col("bus_id").alias("own_bus"), F.when(F.col("bus_id") % 8 == 0, F.col("bus_id") + 2).otherwise(0).alias("remote_bus"), low.alias("low"),
-        F.when(F.col("bus_id") % 12 == 0, low + 0.001).otherwise(low + 0.1).alias("high"), F.when(F.col("bus_id") % 3 == 0, "shunt").otherwise("tap").alias("kind"), F.lit(0.02).alias("step"), F.lit(-0.01).alias("rmi"), F.lit(0.015).alias("rma"), (F.col("bus_id") % 16 == 0).alias("to_side"),
+        b.alias("device"), b.alias("own_bus"), F.when(b % 40 == 0, -7).when(b % 8 == 0, b + 2).otherwise(0).alias("remote_bus"), low.alias("low"), F.when(b % 12 == 0, low + 0.001).otherwise(low + 0.1).alias("high"),
+        F.when(b % 3 == 0, "shunt").otherwise("tap").alias("kind"), (0.9 + 0.0125 * (b % 17)).alias("tap"), F.lit(0.00625).alias("step"), F.lit(0.9).alias("rmi"), F.lit(1.1).alias("rma"), (b % 16 == 0).alias("to_side"),
     )
 
 
 _register(
     "deadband_screen",
     lambda r: limits.deadband_screen(_devices(r), r.voltage),
-    """dev AS (SELECT bus_id AS device, CASE WHEN bus_id % 8 = 0 THEN bus_id + 2 ELSE bus_id END AS ctl, 94e-2 + 1e-3 * (bus_id % 9) AS low, CASE WHEN bus_id % 12 = 0 THEN 1e-3 ELSE 1e-1 END AS w FROM {bus}),
-dir AS (SELECT device, event_idx, v_pu, CAST(CASE WHEN v_pu < CASE WHEN w < 2e-3 THEN low + w / 2 - 1e-3 ELSE low END THEN 1 WHEN v_pu > CASE WHEN w < 2e-3 THEN low + w / 2 + 1e-3 ELSE low + w END THEN -1 END AS INT) AS direction FROM dev JOIN {voltage} v ON v.bus_id = ctl)
-FINALLY SELECT device, event_idx, v_pu, direction, CASE WHEN device % 3 <> 0 THEN greatest(least(direction * CASE WHEN device % 16 = 0 THEN -1 ELSE 1 END * 2e-2, 15e-3), -1e-2) END AS step FROM dir WHERE direction IS NOT NULL""",
-    "v_pu step",
+    """dev AS (SELECT bus_id AS device, CASE WHEN bus_id % 40 = 0 THEN -7 WHEN bus_id % 8 = 0 THEN bus_id + 2 END AS ctl, 94e-2 + 1e-3 * (bus_id % 9) AS low, CASE WHEN bus_id % 12 = 0 THEN 1e-3 ELSE 1e-1 END AS w, 9e-1 + 125e-4 * (bus_id % 17) AS tap, bus_id % 3 <> 0 AS is_tap FROM {bus}),
+seen AS (SELECT dev.*, o.event_idx, CASE WHEN ctl IS NULL THEN o.v_pu WHEN q.v_pu IS NOT NULL THEN q.v_pu WHEN is_tap THEN 1e0 ELSE o.v_pu END AS v_pu FROM dev JOIN {voltage} o ON o.bus_id = device LEFT JOIN {voltage} q ON q.bus_id = ctl AND q.event_idx = o.event_idx),
+dir AS (SELECT *, CAST(CASE WHEN v_pu < CASE WHEN w < 2e-3 THEN low + w / 2 - 1e-3 ELSE low END THEN 1 WHEN v_pu > CASE WHEN w < 2e-3 THEN low + w / 2 + 1e-3 ELSE low + w END THEN -1 END AS INT) AS direction FROM seen),
+mov AS (SELECT *, CASE WHEN is_tap THEN greatest(9e-1, least(11e-1, tap + direction * CASE WHEN device % 16 = 0 THEN -625e-5 ELSE 625e-5 END)) END AS new_tap FROM dir WHERE direction IS NOT NULL)
+FINALLY SELECT device, event_idx, v_pu, direction, new_tap FROM mov WHERE NOT is_tap OR abs(new_tap - tap) >= 1e-8""",
+    "v_pu new_tap",
 )
 
 
@@ -515,14 +560,21 @@ _register(
 
 
 def _outcomes(r: Roles) -> DataFrame:
-    rating = F.explode(F.transform(F.sequence(F.lit(50), F.lit(150)), lambda i: i / 100.0)).alias("rating")
-    return r.bus.select(F.col("bus_id").alias("tie"), rating).withColumn("ok", F.col("rating") <= 0.7 + 0.01 * (F.col("tie") % 61))
+    """Ratings from 0.5 to 1.5, each in two scenarios: secure below a limit with some exceptions on either side, out of capacity at the ends."""
+    k, t = F.col("k"), F.col("tie")
+    rows = r.bus.select(F.col("bus_id").alias("tie"), F.explode(F.sequence(F.lit(50), F.lit(150))).alias("k")).withColumn("scenario", F.explode(F.array(F.lit(0), F.lit(1))))
+    ok = F.when((k * 31 + t * 17 + F.col("scenario") * 5) % 13 == 0, k > 70 + t % 61).otherwise(k <= 70 + t % 61)
+    return rows.select("tie", (k / 100.0).alias("rating"), ok.alias("ok"), ((k <= 120 + t % 37) & (k >= 50 + t % 29)).alias("feasible"))
 
 
 _register(
     "rating_search",
     lambda r: limits.rating_search(_outcomes(r)),
-    "t AS (SELECT bus_id AS tie, 70 + bus_id % 61 AS top FROM {bus})\nFINALLY SELECT tie, (SELECT max(k / 1e2) FROM range(50, 151) AS g(k) WHERE k / 1e2 <= 7e-1 + 1e-2 * (tie % 61)) AS rating FROM t",
+    """o AS (SELECT bus_id AS tie, k, CASE WHEN k > 120 + bus_id % 37 OR k < 50 + bus_id % 29 THEN -1 WHEN bool_and(CASE WHEN (k * 31 + bus_id * 17 + s * 5) % 13 = 0 THEN k > 70 + bus_id % 61 ELSE k <= 70 + bus_id % 61 END) THEN 1 ELSE 0 END AS code
+  FROM {bus} CROSS JOIN range(50, 151) AS g(k) CROSS JOIN range(0, 2) AS h(s) GROUP BY 1, 2),
+c AS (SELECT b.tie, b.code = 1 AS up, CASE WHEN b.code = 1 THEN coalesce(min(CASE WHEN o.k > 100 AND o.code <> 1 THEN o.k END), 155) ELSE coalesce(max(CASE WHEN o.k < 100 AND o.code <> 0 THEN o.k END), 45) END AS stop FROM o b JOIN o ON o.tie = b.tie AND o.k % 5 = 0 WHERE b.k = 100 GROUP BY b.tie, b.code),
+f AS (SELECT c.tie, up, CASE WHEN up THEN coalesce(min(CASE WHEN o.code <> 1 THEN o.k END), 151) ELSE coalesce(max(CASE WHEN o.code <> 0 THEN o.k END), 49) END AS fine FROM c LEFT JOIN o ON o.tie = c.tie AND CASE WHEN up THEN o.k > stop - 5 ELSE o.k < stop + 5 END GROUP BY c.tie, up)
+FINALLY SELECT f.tie, (fine + CASE WHEN up THEN -1 WHEN coalesce(o.code, -1) = -1 THEN 1 ELSE 0 END) / 1e2 AS rating, coalesce(o.code, -1) = -1 AS limited FROM f LEFT JOIN o ON o.tie = f.tie AND o.k = fine""",
     "rating",
 )
 _register(
@@ -779,6 +831,32 @@ _register(
     f"{_BOTH}\nFINALLY {_metric_sql('p', 'pa', 'pb', 'pa - pb')} UNION ALL {_metric_sql('angle', 'aa', 'ab', _wrap('aa - ab'))}",
     "mean_a mean_b mean_diff mean_abs_diff rms_diff max_abs_diff mean_percent mean_symmetric_percent",
 )
+def _stored(r: Roles) -> tuple[str, str]:
+    """Run A, and a run of which two of fifty events differ: event 7 in its powers, event 11 in its rows."""
+    a, folder = r.fix("flat_a").flat_a, _folder(r)
+    b = a.where("NOT (event_idx = 11 AND to_bus % 3 = 0)").withColumn("p", F.when((F.col("event_idx") == 7) & (F.col("ckt") == "2"), F.col("p") * 1.0001).otherwise(F.col("p")))
+    for name, run in (("a", a), ("b", b)):
+        one = run.groupBy(*_KEYS).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.min("angle").alias("angle"))
+        digests.store_run(one, f"{folder}/{name}", _KEYS, ["p", "q"], ["angle"], bucket=1)
+    return f"{folder}/a", f"{folder}/b"
+
+
+_STORED = """sa AS (SELECT event_idx, from_bus, to_bus, ckt, sum(p) AS p, sum(q) AS q, min(angle) AS angle FROM {flat_a} GROUP BY 1, 2, 3, 4),
+sb AS (SELECT event_idx, from_bus, to_bus, ckt, sum(CASE WHEN event_idx = 7 AND ckt = '2' THEN p * 10001e-4 ELSE p END) AS p, sum(q) AS q, min(angle) AS angle FROM {flat_a} WHERE NOT (event_idx = 11 AND to_bus % 3 = 0) GROUP BY 1, 2, 3, 4),
+j AS (SELECT a.*, b.event_idx IS NOT NULL AS inb, b.p AS pb, b.q AS qb, b.angle AS angleb FROM sa a LEFT JOIN sb b ON b.event_idx = a.event_idx AND b.from_bus = a.from_bus AND b.to_bus = a.to_bus AND b.ckt = a.ckt)"""
+_register(
+    "coverage_of_runs",
+    lambda r: digests.coverage_of_runs(r.spark, *_stored(r), _KEYS, ["q"]),
+    f"{_STORED}\nFINALLY SELECT count(*) FILTER (WHERE inb) AS matched, count(*) FILTER (WHERE NOT inb) AS only_a, CAST(0 AS BIGINT) AS only_b, 1e2 * count(*) FILTER (WHERE inb) / count(*) AS match_percent, CAST(0 AS BIGINT) AS q_mismatch FROM j",
+    "match_percent",
+)
+_register(
+    "metrics_of_runs",
+    lambda r: digests.metrics_of_runs(r.spark, *_stored(r), _KEYS, ["p", "q"], ["angle"]).select("column", "n", "mean_a", "mean_b", "mean_diff", "mean_abs_diff", "rms_diff", "max_abs_diff", "within"),
+    f"{_STORED}\nFINALLY " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, avg({c}) AS mean_a, avg({c}b) AS mean_b, avg({c} - {c}b) AS mean_diff, avg(abs({c} - {c}b)) AS mean_abs_diff, sqrt(avg(({c} - {c}b) * ({c} - {c}b))) AS rms_diff, max(abs({c} - {c}b)) AS max_abs_diff, count(*) FILTER (WHERE abs({c} - {c}b) <= 1e-6 + 1e-6 * abs({c}b)) AS within FROM j WHERE inb" for c in ("p", "q", "angle")),
+    "mean_a mean_b mean_diff mean_abs_diff rms_diff max_abs_diff",
+)
+_register("unmatched_of_runs", lambda r: digests.unmatched_of_runs(r.spark, *_stored(r), _KEYS, ["event_idx"]), f"{_STORED}\nFINALLY SELECT event_idx, count(*) AS only_a, CAST(0 AS BIGINT) AS only_b FROM j WHERE NOT inb GROUP BY 1")
 _register("unmatched_by", lambda r: compare.unmatched_by(_run(r, "a"), _run(r, "b"), _KEYS, ["event_idx"]), f"{_BOTH}\nFINALLY SELECT event_idx, count(*) FILTER (WHERE NOT inb) AS only_a, count(*) FILTER (WHERE NOT ina) AS only_b FROM fj GROUP BY 1 HAVING count(*) FILTER (WHERE NOT (ina AND inb)) > 0")
 _register(
     "convergence_matrix",
@@ -917,15 +995,45 @@ def _windings(r: Roles) -> DataFrame:
     z = lambda k: (F.col("bus_id") % k + 1) / 100
     parts = {f"{q}{p}": z(k) for q, p, k in (("r", "12", 7), ("x", "12", 11), ("r", "23", 13), ("x", "23", 17), ("r", "31", 19), ("x", "31", 23))}
     bases = {f"sb{p}": F.lit(v) for p, v in (("12", 50.0), ("23", 100.0), ("31", 0.0))}
+    bases |= {"stat": (F.col("bus_id") % 5).cast("int"), "b1": F.col("bus_id") % 4 / 100.0} | {f"{n}{i}": F.col("bus_id") % k + i / 8 for i in (1, 2, 3) for n, k in (("tap", 3), ("shift_deg", 30), ("rate_a", 90))}
     return r.bus.select(F.col("bus_id").alias("bus_i"), (F.col("bus_id") + 1).alias("bus_j"), (F.col("bus_id") + 2).alias("bus_k"), F.lit("1").alias("ckt"), *[v.alias(k) for k, v in (parts | bases).items()])
 
 
+_WINDINGS = """w AS (SELECT *, (SELECT max(bus_id) FROM {bus}) + row_number() OVER (ORDER BY i) AS star FROM (SELECT bus_id AS i, bus_id + 1 AS j, bus_id + 2 AS k, bus_id % 5 AS s, 2e0 * (bus_id % 7 + 1) / 100 AS r12, 2e0 * (bus_id % 11 + 1) / 100 AS x12, (bus_id % 13 + 1) / 1e2 AS r23, (bus_id % 17 + 1) / 1e2 AS x23, (bus_id % 19 + 1) / 1e2 AS r31, (bus_id % 23 + 1) / 1e2 AS x31 FROM {bus} WHERE bus_id % 5 <> 0) AS live)"""
 _register(
     "expand_three_winding",
     lambda r: archives.expand_three_winding(_windings(r), r.bus)[1],
-    """w AS (SELECT bus_id AS i, bus_id + 1 AS j, bus_id + 2 AS k, (SELECT max(bus_id) FROM {bus}) + row_number() OVER (ORDER BY bus_id) AS star, 2e0 * (bus_id % 7 + 1) / 100 AS r12, 2e0 * (bus_id % 11 + 1) / 100 AS x12, (bus_id % 13 + 1) / 1e2 AS r23, (bus_id % 17 + 1) / 1e2 AS x23, (bus_id % 19 + 1) / 1e2 AS r31, (bus_id % 23 + 1) / 1e2 AS x31 FROM {bus})
-FINALLY SELECT i AS from_bus, star AS to_bus, '1' AS ckt, (r12 + r31 - r23) / 2 AS r, (x12 + x31 - x23) / 2 AS x FROM w UNION ALL SELECT j, star, '1', (r12 + r23 - r31) / 2, (x12 + x23 - x31) / 2 FROM w UNION ALL SELECT k, star, '1', (r23 + r31 - r12) / 2, (x23 + x31 - x12) / 2 FROM w""",
-    "r x",
+    f"""{_WINDINGS}
+FINALLY SELECT i AS from_bus, star AS to_bus, '1' AS ckt, (r12 + r31 - r23) / 2 AS r, (x12 + x31 - x23) / 2 AS x, i % 3 + 125e-3 AS tap, i % 30 + 125e-3 AS shift_deg, i % 90 + 125e-3 AS rate_a, 0e0 AS rate_b, 0e0 AS rate_c, 0e0 AS g1, i % 4 / 1e2 AS b1, CAST(CASE WHEN s IN (1, 2, 3) THEN 1 ELSE 0 END AS INT) AS status FROM w
+ UNION ALL SELECT j, star, '1', (r12 + r23 - r31) / 2, (x12 + x23 - x31) / 2, i % 3 + 25e-2, i % 30 + 25e-2, i % 90 + 25e-2, 0e0, 0e0, 0e0, 0e0, CASE WHEN s IN (1, 3, 4) THEN 1 ELSE 0 END FROM w
+ UNION ALL SELECT k, star, '1', (r23 + r31 - r12) / 2, (x23 + x31 - x12) / 2, i % 3 + 375e-3, i % 30 + 375e-3, i % 90 + 375e-3, 0e0, 0e0, 0e0, 0e0, CASE WHEN s IN (1, 2, 4) THEN 1 ELSE 0 END FROM w""",
+    "r x tap shift_deg rate_a rate_b rate_c g1 b1",
+)
+_register("star_buses", lambda r: archives.expand_three_winding(_windings(r), r.bus)[0], f"{_WINDINGS}\nFINALLY SELECT star AS bus_id, concat('DUMMY_BUS-', i, '-', j, '-', k) AS name, area, owner, 1e0 AS v_pu, 0e0 AS angle_deg FROM w JOIN {{bus}} ON bus_id = i", "v_pu angle_deg")
+
+
+def _transformers(r: Roles) -> DataFrame:
+    """Case files whose transformer section has every circuit with a tap: four lines each, with the unit codes that from and to bus choose."""
+    c = r.circuit.where("tap <> 0").withColumns({"cw": F.col("from_bus") % 2 + 1, "cz": F.col("to_bus") % 2 + 1})
+    kv = F.when(F.col("cw") == 2, 110.0).otherwise(1.0)
+    lines = [F.concat_ws(",", "from_bus", "to_bus", F.lit(0), F.concat(F.lit("'"), "ckt", F.lit("'")), "cw", "cz", F.lit("1,0,0,2,'NAME'"), "status"), F.concat_ws(",", "r", "x", F.lit(25 + 5 * 10)), F.concat_ws(",", F.col("tap") * kv, F.lit(110.0), "shift_deg", "rate_a", "rate_b", "rate_c"), F.concat_ws(",", F.lit(1.02) * kv, F.lit(110.0))]
+    key = ["part", "o", "from_bus", "to_bus", "ckt", "nth"]
+    body = c.select((F.col("from_bus") % 16).alias("part"), F.lit(1).alias("o"), "from_bus", "to_bus", "ckt", F.posexplode(F.array(*lines)).alias("nth", "value"))
+    head = ["0, 100.0, 33", "one", "two", *["0 / empty section"] * archives.SECTIONS.index("transformer")]
+    none = [F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("string")]
+    around = r.spark.range(16).select(F.col("id").alias("part"), F.posexplode(F.array(*map(F.lit, [*head, "0 / end", "Q"]))).alias("nth", "value"))
+    around = around.select("part", F.when(F.col("nth") < len(head), 0).otherwise(2), *none, "nth", "value")
+    path = _folder(r)
+    body.union(around).repartition("part").sortWithinPartitions(*key).select("part", "value").write.partitionBy("part").text(path)
+    return archives.transformer_tables_of(ranges.read_case_sections(r.spark, path, ["transformer"])["transformer"])[0].drop("file")
+
+
+_register(
+    "read_case_transformers",
+    _transformers,
+    """t AS (SELECT *, 102e-2 * 102e-2 * CASE WHEN to_bus % 2 = 0 THEN 1e0 ELSE 1e2 / 75 END AS onto FROM {circuit} WHERE tap <> 0)
+FINALLY SELECT from_bus, to_bus, ckt, r * onto AS r, x * onto AS x, rate_a, rate_b, rate_c, tap / 102e-2 AS tap, shift_deg, status FROM t""",
+    "r x rate_a rate_b rate_c tap shift_deg",
 )
 _register(
     "read_dynamic_archive",
@@ -1016,11 +1124,53 @@ def _written_results(r: Roles) -> DataFrame:
 
 
 _register("write_results", _written_results, "SELECT bus_id, gen_id, CASE WHEN status = 1 THEN pg ELSE 0e0 END AS p, CASE WHEN status = 1 THEN qg ELSE 0e0 END AS q, qmax, qmin, CAST(NULL AS DOUBLE) AS v_set, status FROM {generator}", "p q qmax qmin")
+def _written_cases(r: Roles) -> str:
+    """Folder of the nested cases of all scenarios: their buses, circuits in service and generators."""
+    _flow(r)
+    summary = limits.scenario_summary(_cases(r), _voltage_bad(r), _overloads(r))
+    events = r.scenario.select("event_idx")
+    tables = {
+        "buses": (electrical.bus_result(r.bus, r.generator, r.load, r.voltage).select("event_idx", "bus_id", "v_pu", "angle_deg", "p_net", "q_net"), ["bus_id", None, None]),
+        "branches": (electrical.branch_result(_flow(r)).select("event_idx", "from_bus", "to_bus", "ckt", "p_from", "q_from", "p_to", "q_to", "loading"), ["from_bus", "to_bus", "ckt"]),
+        "generators": (electrical.generator_result(r.generator).crossJoin(F.broadcast(events)), ["bus_id", None, "gen_id"]),
+    }
+    path = f"{_folder(r)}/cases"
+    nested.write_cases(summary, tables, path)
+    return path
+
+
 _register(
-    "nested_case_json",
-    lambda r: sinks.nested_case_json(limits.scenario_summary(_cases(r), _voltage_bad(r), _overloads(r)), r.voltage.select("event_idx", "bus_id"), r.scenario.select("event_idx", "from_bus", "to_bus"), r.generator.select(F.lit(1).alias("event_idx"), "bus_id", "gen_id")),
+    "nested_case_json",  # lines as they were written; nested_case_rows compares what they hold
+    lambda r: r.spark.read.text(_written_cases(r)).select(F.get_json_object("value", "$.event_idx").cast("long").alias("event_idx"), F.col("value").alias("json")),
     None,
 )
+_CASE = """event_idx long, name string, has_voltage_violation boolean, has_branch_violation boolean, solution struct<convergence: struct<converged: boolean, iterations: int>, buses: array<struct<bus_id: long, v_pu: double, p_net: double>>,
+ branches: array<struct<from_bus: long, to_bus: long, ckt: string, p_from: double, q_to: double, loading: double>>, generators: array<struct<bus_id: long, gen_id: string, p: double, status: int>>>"""
+
+
+def _case_rows(r: Roles) -> DataFrame:
+    """The written cases, read back and taken apart: section, keys and some values of every item."""
+    cases = r.spark.read.schema(_CASE).json(_written_cases(r))
+    no = lambda kind: F.lit(None).cast(kind)
+    heads = cases.select("event_idx", F.lit("case").alias("section"), no("long").alias("bus"), no("long").alias("other"), F.col("name").alias("tag"), F.col("solution.convergence.iterations").cast("double").alias("a"), F.when(F.col("has_voltage_violation"), 1.0).otherwise(0.0).alias("b"), F.when(F.col("has_branch_violation"), 1.0).otherwise(0.0).alias("c"))
+    items = lambda name: cases.select("event_idx", F.explode(f"solution.{name}").alias("i")).select("event_idx", "i.*")
+    return (
+        heads.union(items("buses").select("event_idx", F.lit("bus"), "bus_id", no("long"), no("string"), "v_pu", "p_net", no("double")))
+        .union(items("branches").select("event_idx", F.lit("branch"), "from_bus", "to_bus", "ckt", "p_from", "q_to", "loading"))
+        .union(items("generators").select("event_idx", F.lit("generator"), "bus_id", no("long"), "gen_id", "p", F.col("status").cast("double"), no("double")))
+    )
+
+
+_register(
+    "nested_case_rows",
+    _case_rows,
+    f"""{_VV}, {_OVER}, cas AS (SELECT c.event_idx, name, iterations FROM {{convergence_a}} c JOIN {{scenario}} s ON s.event_idx = c.event_idx)
+FINALLY SELECT event_idx, 'case' AS section, CAST(NULL AS BIGINT) AS bus, CAST(NULL AS BIGINT) AS other, name AS tag, CAST(iterations AS DOUBLE) AS a, CASE WHEN event_idx IN (SELECT event_idx FROM vv) THEN 1e0 ELSE 0e0 END AS b, CASE WHEN event_idx IN (SELECT event_idx FROM ov WHERE ckt <> '5') THEN 1e0 ELSE 0e0 END AS c FROM cas
+ UNION ALL SELECT v.event_idx, 'bus', v.bus_id, NULL, NULL, v.v_pu, coalesce(p_gen, 0e0) - coalesce(p_load, 0e0), NULL FROM {{voltage}} v JOIN cas ON cas.event_idx = v.event_idx LEFT JOIN (SELECT bus_id, sum(pg) AS p_gen FROM {{generator}} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = v.bus_id LEFT JOIN (SELECT bus_id, sum(pl) AS p_load FROM {{load}} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = v.bus_id
+ UNION ALL SELECT f.event_idx, 'branch', from_bus, to_bus, ckt, p_from, q_to, CASE WHEN rate_a > 0 THEN 100 * greatest(sqrt(p_from * p_from + q_from * q_from), sqrt(p_to * p_to + q_to * q_to)) / rate_a ELSE 0e0 END FROM flow f JOIN cas ON cas.event_idx = f.event_idx WHERE status = 1
+ UNION ALL SELECT cas.event_idx, 'generator', bus_id, NULL, gen_id, CASE WHEN status = 1 THEN pg ELSE 0e0 END, CAST(status AS DOUBLE), NULL FROM {{generator}} CROSS JOIN cas""",
+    "a b c",
+)
 
 
 def _stream(r: Roles, name: str) -> DataFrame:
@@ -1037,6 +1187,14 @@ _register(
 )
 
 
+_register(
+    "stream_excursion_in_order",
+    lambda r: streams.drained(streams.stream_excursion_in_order(r.spark.sql(roles.SQL["series"], events=_stream(r, "events")).withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("long"))), "100 seconds", start=5.0), streams.ROCKSDB),
+    f"{_EXCURSION}, mark AS (SELECT max(CAST(t * 1000 AS BIGINT)) - 100000 AS ms FROM ord)\nFINALLY SELECT o.machine, t, value, 'up' AS side FROM up JOIN ord o ON o.machine = up.machine AND o.n = up.n JOIN mark ON CAST(t * 1000 AS BIGINT) < ms WHERE hit UNION ALL SELECT o.machine, t, value, 'down' FROM down JOIN ord o ON o.machine = down.machine AND o.n = down.n JOIN mark ON CAST(t * 1000 AS BIGINT) < ms WHERE hit",
+    "t value",
+)
+
+
 def _arriving(frame: DataFrame) -> DataFrame:
     return frame.select((F.col("l_orderkey") % 50).alias("event_idx"), F.col("l_suppkey").alias("from_bus"), F.col("l_partkey").alias("to_bus"), F.col("l_linenumber").cast("string").alias("ckt"), (F.col("l_extendedprice") / 1000).alias("p"), F.col("l_quantity").alias("q"))
 

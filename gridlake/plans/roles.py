@@ -68,12 +68,14 @@ SQL = {
 }
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A role, or a given table, as a DataFrame."""
+def frame(spark: SparkSession, sf_dir: str, name: str, fixed: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A role, or a given table, as a DataFrame. Roles in ``fixed`` are taken from there, for other roles too."""
+    if fixed and name in fixed:
+        return fixed[name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     used = sorted(set(re.findall(r"\{(\w+)\}", SQL[name])))
-    return spark.sql(SQL[name].replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING"), **{n: frame(spark, sf_dir, n) for n in used})
+    return spark.sql(SQL[name].replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING"), **{n: frame(spark, sf_dir, n, fixed) for n in used})
 
 
 def check_sql(body: str) -> str:

@@ -25,6 +25,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
+def fields_of(line: Column) -> Column:
+    """Trimmed fields of a line; quoted ones keep their commas."""
+    return F.transform(F.split(line, r""",(?=(?:[^']*'[^']*')*[^']*$)"""), lambda field: F.trim(field))
+
+
 def read_case_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Section name -> (file, line_no, fields array<string>) for all case files below ``path``.
 
@@ -40,8 +45,7 @@ def read_case_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     quit_line = F.upper("line") == "Q"
     rows = lines.withColumns({"_end": is_end, "_section": ended, "_quit": F.coalesce(F.max(quit_line.cast("int")).over(before), F.lit(0))})
     rows = rows.where(~F.col("_end") & (F.col("_quit") == 0) & ~quit_line & (F.col("line") != ""))
-    fields = F.transform(F.split("line", r""",(?=(?:[^']*'[^']*')*[^']*$)"""), lambda field: F.trim(field))
-    rows = rows.select("file", "line_no", "_section", fields.alias("fields"))
+    rows = rows.select("file", "line_no", "_section", fields_of(F.col("line")).alias("fields"))
     return {name: rows.where(F.col("_section") == i).select("file", "line_no", "fields") for i, name in enumerate(SECTIONS)}
 
 
@@ -94,8 +98,10 @@ def transformer_tables_of(section: DataFrame, sbase: float = 100.0) -> tuple[Dat
     """(two-winding, three-winding) transformers of a transformer section.
 
     A record spans four lines, five with a third bus; its first line is the one that has a quoted field, so records are told
-    apart by a running count in their file. Two windings: (file, from_bus, to_bus, ckt, r, x, rate_a, rate_b, rate_c, tap, shift_deg, status), r and x
-    on the system base. Three windings: what ``expand_three_winding`` takes.
+    apart by a running count in their file. Two windings: (file, from_bus, to_bus, ckt, r, x, rate_a, rate_b, rate_c, tap, shift_deg, status). tap is the ratio of
+    both windings' ratios, each over its nominal voltage where the unit code CW is 2; r and x are times the square of the second winding's
+    ratio and, unless CZ is 1 (system base already), taken from the winding's base to the system's. Three windings: what
+    ``expand_three_winding`` takes.
     """
     opens = F.exists("fields", lambda f: f.contains("'") | f.contains('"')).cast("int")
     so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -104,15 +110,19 @@ def transformer_tables_of(section: DataFrame, sbase: float = 100.0) -> tuple[Dat
     f = lambda line, place, kind, name: _field(f"get(lines, {line})", place, kind).alias(name)
     tag = f(0, 3, "string", "ckt")
     third = F.coalesce(F.expr("try_cast(get(get(lines, 0), 2) AS bigint)"), F.lit(0))
-    base = F.expr("try_cast(get(get(lines, 1), 2) AS double)")
-    onto = F.when(base != 0, sbase / base).otherwise(1.0)
+    value = lambda line, place: F.expr(f"try_cast(get(get(lines, {line}), {place}) AS double)")
+    base, cw, cz = value(1, 2), value(0, 4), value(0, 5)
+    windings = [F.when(cw == 2, value(line, 0) / value(line, 1)).otherwise(value(line, 0)) for line in (2, 3)]
+    onto = F.when((cz == 1) | (F.coalesce(base, F.lit(0.0)) == 0), 1.0).otherwise(sbase / base) * windings[1] * windings[1]
     rates = [f(2, 3 + i, "double", f"rate_{c}") for i, c in enumerate("abc")]
-    tap = (f(2, 0, "double", "t") / f(3, 0, "double", "u")).alias("tap")
+    tap = (windings[0] / windings[1]).alias("tap")
     impedance = [(f(1, i, "double", c) * onto).alias(c) for i, c in enumerate("rx")]
     two = records.where(third == 0).select("file", f(0, 0, "bigint", "from_bus"), f(0, 1, "bigint", "to_bus"), tag, *impedance, *rates, tap, f(2, 2, "double", "shift_deg"), F.coalesce(f(0, 11, "int", "s"), F.lit(1)).alias("status"))
     names = ("r12", "x12", "sb12", "r23", "x23", "sb23", "r31", "x31", "sb31", "v_star", "ang_star")
     buses = [f(0, i, "bigint", f"bus_{c}") for i, c in enumerate("ijk")]
-    three = records.where(third != 0).select("file", *buses, tag, *[f(1, i, "double", name) for i, name in enumerate(names)])
+    ends = [f(line, place, "double", f"{name}{i}") for i, line in enumerate((2, 3, 4), 1) for place, name in ((0, "tap"), (2, "shift_deg"), (3, "rate_a"), (4, "rate_b"), (5, "rate_c"))]
+    more = [f(0, 11, "int", "stat"), f(0, 7, "double", "g1"), f(0, 8, "double", "b1"), *ends]
+    three = records.where(third != 0).select("file", *buses, tag, *[f(1, i, "double", name) for i, name in enumerate(names)], *more)
     return two, three
 
 
@@ -121,8 +131,12 @@ def expand_three_winding(transformers: DataFrame, bus: DataFrame, sbase: float =
 
     Pairwise impedances are taken to the system base (times sbase / sb, unless sb is 0); each winding gets half the sum of its two pairs minus the
     third. The star bus is named DUMMY_BUS-i-j-k, takes area and owner of the first winding's bus, and has an id above all others in its
-    network: of its file, if the tables have one, else of the whole bus table.
+    network: of its file, if the tables have one, else of the whole bus table. Branches have tap, shift_deg, rate_a, rate_b and rate_c of their winding
+    (tap1 to rate_c3; default 1 and 0), the magnetising admittance g1 and b1 on the first one, and status: ``stat`` 1 (default) is all windings in
+    service, 2, 3 and 4 all but the second, third and first; transformers of stat 0 are left out.
     """
+    if "stat" in transformers.columns:
+        transformers = transformers.where(F.coalesce("stat", F.lit(1)) != 0)
     keys = ["file"] if "file" in transformers.columns and "file" in bus.columns else []
     on_base = lambda p: F.when(F.col("sb" + p[1:]) != 0, F.col(p) * sbase / F.col("sb" + p[1:])).otherwise(F.col(p))
     z = {p: on_base(p) for p in ("r12", "x12", "r23", "x23", "r31", "x31")}
@@ -138,9 +152,16 @@ def expand_three_winding(transformers: DataFrame, bus: DataFrame, sbase: float =
     state = [F.col(c) if c in t.columns else F.lit(v).alias(c) for c, v in (("v_star", 1.0), ("ang_star", 0.0))]
     stars = t.join(first, [*keys, "bus_i"]).select(*keys, F.col("star").alias("bus_id"), F.concat_ws("-", F.lit("DUMMY_BUS"), "bus_i", "bus_j", "bus_k").alias("name"), "area", "owner", *state)
     stars = stars.withColumnsRenamed({"v_star": "v_pu", "ang_star": "angle_deg"})
-    wind = [F.struct(F.col(e).alias("from_bus"), half(f"r{a}", f"r{b}", f"r{c}").alias("r"), half(f"x{a}", f"x{b}", f"x{c}").alias("x")) for e, a, b, c in (("bus_i", "12", "31", "23"), ("bus_j", "12", "23", "31"), ("bus_k", "23", "31", "12"))]
+    given = lambda name, default: F.coalesce(name, F.lit(default)) if name in t.columns else F.lit(default)
+    stat = given("stat", 1)
+    wind = []
+    for n, (e, a, b, c, out) in enumerate((("bus_i", "12", "31", "23", 4), ("bus_j", "12", "23", "31", 2), ("bus_k", "23", "31", "12", 3)), 1):
+        own = [given(f"{name}{n}", 1.0 if name == "tap" else 0.0).alias(name) for name in ("tap", "shift_deg", "rate_a", "rate_b", "rate_c")]
+        shunt = [(given(name, 0.0) if n == 1 else F.lit(0.0)).alias(name) for name in ("g1", "b1")]
+        status = (stat.between(1, 4) & (stat != out)).cast("int").alias("status")
+        wind.append(F.struct(F.col(e).alias("from_bus"), half(f"r{a}", f"r{b}", f"r{c}").alias("r"), half(f"x{a}", f"x{b}", f"x{c}").alias("x"), *own, *shunt, status))
     rows = t.select(*keys, "star", "ckt", F.explode(F.array(*wind)).alias("w"))
-    return stars, rows.select(*keys, F.col("w.from_bus").alias("from_bus"), F.col("star").alias("to_bus"), "ckt", F.col("w.r").alias("r"), F.col("w.x").alias("x"))
+    return stars, rows.select(*keys, "w.from_bus", F.col("star").alias("to_bus"), "ckt", *[f"w.{c}" for c in ("r", "x", "tap", "shift_deg", "rate_a", "rate_b", "rate_c", "g1", "b1", "status")])
 
 
 def read_dynamic_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from gridlake.functions.durable import shared_folder
 from gridlake.functions.exprs import canonical_tag, select_rating
@@ -62,6 +63,83 @@ def stream_excursion(series: DataFrame, high: float = 61.0, low: float = 59.0, h
     )
 
 
+class _InOrder(StatefulProcessor):
+    """Holds a machine's samples until the watermark has passed them, then lets them through the rule in order of (t, value)."""
+
+    def __init__(self, high: float, low: float, hold: float, forget_ms: int | None) -> None:
+        self.high, self.low, self.hold, self.forget_ms = high, low, hold, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t double, value double, ms long")
+        self.clocks = handle.getValueState("clocks", "before double, up double, down double, ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [x for frame in rows for x in zip(frame["t"].tolist(), frame["value"].tolist(), frame["ms"].tolist(), strict=True)]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(x[2] for x in new))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get())
+        past, rest = sorted(x for x in held if x[2] < mark), [x for x in held if x[2] >= mark]
+        before, up, down, last = self.clocks.get() if self.clocks.exists() else (None, None, None, None)
+        if not past:
+            if rest:
+                self.handle.registerTimer(min(x[2] for x in rest))
+            elif self.forget_ms is not None and last is not None and last + self.forget_ms <= mark:
+                self.clocks.clear()
+            return
+        out = []
+        for t, f, ms in past:
+            if self.forget_ms is not None and last is not None and ms - last > self.forget_ms:
+                before = up = down = None
+            up = self._clock(up, t, f > self.high, before is not None and f > before, key, f, "up", out)
+            down = self._clock(down, t, f < self.low, before is not None and f < before, key, f, "down", out)
+            before, last = f, ms
+        self.clocks.update((before, up, down, last))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(x[2] for x in rest))
+        else:
+            self.waiting.clear()
+            if self.forget_ms is not None:
+                self.handle.registerTimer(last + self.forget_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["machine", "t", "value", "side"])
+
+    def _clock(self, since: float | None, t: float, beyond: bool, away: bool, key: tuple, value: float, side: str, out: list) -> float | None:
+        if not beyond:
+            return None
+        if since is None:
+            return t
+        if not away:
+            return None
+        if t - since >= self.hold:
+            out.append((key[0], t, value, side))
+        return since
+
+    def close(self) -> None:
+        pass
+
+
+def stream_excursion_in_order(series: DataFrame, lateness: str, high: float = 61.0, low: float = 59.0, hold: float = 0.5, start: float = 0.0, forget_seconds: float | None = None) -> DataFrame:
+    """Sustained excursions of a stream of (machine, t, value, ts) whose samples may arrive in any order: (machine, t, value, side).
+
+    Samples wait in the state until the watermark, the latest ts less ``lateness``, has passed them; an event-time timer then takes them out in order of
+    (t, value), t rising with ts. So whatever the order of arrival within the lateness, the result is that of ``sustained_excursion`` on all
+    samples before the watermark; older arrivals are dropped, younger ones still wait. The state holds the samples of the lateness and, per
+    machine, its clocks; after a silence of over ``forget_seconds`` the clocks start anew, and a timer removes them. Null values, and
+    samples before ``start``, are left out. The session needs the RocksDB state store (see ``drained``).
+    """
+    rows = series.where((F.col("t") >= start) & F.col("value").isNotNull()).withWatermark("ts", lateness)
+    kind = series.schema["machine"].dataType.simpleString()
+    keyed = rows.select("machine", F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"), F.unix_millis("ts").alias("ms"), "ts").groupBy("machine")
+    processor = _InOrder(high, low, hold, None if forget_seconds is None else int(1000 * forget_seconds))
+    return keyed.transformWithStateInPandas(processor, f"machine {kind}, t double, value double, side string", "Append", "EventTime")
+
+
 def stream_violations(rows: DataFrame, ratings: DataFrame, rating: str = "A") -> DataFrame:
     """Arriving (event_idx, from_bus, to_bus, ckt, p, q) rows that exceed their rating; ratings are a static table."""
     rate = select_rating(rating, F.col("rate_a"), F.col("rate_b"), F.col("rate_c"))
@@ -76,10 +154,22 @@ def stream_watch(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return clean(rows).join(clean(asked).select("type", "bus_id", "tag").distinct(), ["type", "bus_id", "tag"])
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """Everything that a stream has available now, written to the shared folder with its checkpoint and read back."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(stream: DataFrame, store: str | None = None) -> DataFrame:
+    """Everything that a stream has available now, written to the shared folder with its checkpoint and read back. ``store`` is the class of
+    the state store, if not the session's."""
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/gridlake-stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(_STORE)
+    try:
+        if store:
+            spark.conf.set(_STORE, store)
+        query = writer.outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STORE, before)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -74,13 +74,35 @@ def test_typed_sections_and_transformers(spark, tmp_path):
     (shunt,) = {(r.bus_id, r.status, r.binit, tuple((s.n, s.b) for s in r.steps)) for r in archives.typed_section(tables, "switched_shunt").collect()}
     assert shunt == (13, 1, 7.5, ((2, 2.5), (1, 2.5)))
     two, three = archives.transformer_tables_of(tables["transformer"], sbase=50.0)
-    assert {tuple(r)[1:] for r in two.collect()} == {(12, 13, "1", 0.04, 0.24, 60.0, 65.0, 70.0, 0.97 / 1.01, 4.5, 1)}
+    assert {tuple(r)[1:] for r in two.collect()} == {(12, 13, "1", 0.02 * (50 / 25 * 1.01 * 1.01), 0.12 * (50 / 25 * 1.01 * 1.01), 60.0, 65.0, 70.0, 0.97 / 1.01, 4.5, 1)}
     stars, branches = archives.expand_three_winding(three, archives.typed_section(tables, "bus"), sbase=50.0)
     assert sorted(tuple(r)[1:] for r in stars.collect()) == [(14, "DUMMY_BUS-11-12-13", 1, 1, 1.003, -2.5)] * 2
     found = {(r.from_bus, r.to_bus, round(r.r, 6), round(r.x, 6)) for r in branches.collect()}
     assert found == {(11, 14, 0.25, 0.45), (12, 14, -0.15, -0.15), (13, 14, 0.35, 0.55)} and branches.count() == 6
 
 
+def test_unit_codes_of_transformers(spark, tmp_path):
+    """CZ 1: r and x are on the system base already; CW 2: ratios are voltages over the nominal ones."""
+    head = CASE.split("12,13,0,'1 ',1,2")[0]
+    two = lambda ckt, cw, cz, base, v1, v2: f"12,13,0,'{ckt}',{cw},{cz},1,0,0,2,'T',1\n0.02,0.1,{base}\n{v1},60,65,70\n{v2}\n"
+    (tmp_path / "t.raw").write_text(head + two("a", 1, 1, 25, "1.05,0,0", "1,0") + two("b", 1, 2, 25, "1,0,0", "1,0") + two("c", 2, 1, 25, "231,220,0", "33,33") + two("d", 2, 2, 0, "220,220,0", "34.65,33") + two("e", 1, 2, 50, "1,0,0", "1.1,0") + "0\n")
+    found, _ = archives.transformer_tables_of(archives.read_case_archive(spark, str(tmp_path))["transformer"], sbase=50.0)
+    assert {r.ckt: (round(r.r, 9), round(r.x, 9), round(r.tap, 9)) for r in found.collect()} == {"a": (0.02, 0.1, 1.05), "b": (0.04, 0.2, 1.0), "c": (0.02, 0.1, 1.05), "d": (0.02205, 0.11025, round(1 / 1.05, 9)), "e": (0.0242, 0.121, round(1 / 1.1, 9))}
+
+
+def test_windings_keep_taps_ratings_and_status(spark):
+    names = ["tap", "shift_deg", "rate_a", "rate_b", "rate_c"]
+    row = (1, 2, 3, "1", *[0.1, 0.3, 100.0] * 3, 2, 0.01, -0.02, *[10.0 * i + j for i in (1, 2, 3) for j in range(5)])
+    schema = "bus_i long, bus_j long, bus_k long, ckt string, r12 double, x12 double, sb12 double, r23 double, x23 double, sb23 double, r31 double, x31 double, sb31 double, stat int, g1 double, b1 double, " + ", ".join(f"{n}{i} double" for i in (1, 2, 3) for n in names)
+    rows = [row, (*row[:13], 0, *row[14:]), (*row[:13], 4, *row[14:])]
+    bus = spark.createDataFrame([(i, 7, 9) for i in (1, 2, 3)], "bus_id long, area int, owner int")
+    stars, branches = archives.expand_three_winding(spark.createDataFrame(rows, schema), bus)
+    found = sorted(((r.to_bus, r.from_bus, r.status, r.g1, r.b1, *[r[n] for n in names]) for r in branches.collect()))
+    ends = {i: tuple(10.0 * i + j for j in range(5)) for i in (1, 2, 3)}
+    wanted = [(star, i, int(i != out), 0.01 if i == 1 else 0.0, -0.02 if i == 1 else 0.0, *ends[i]) for star, out in ((4, 2), (5, 1)) for i in (1, 2, 3)]
+    assert stars.count() == 2 and sorted(w[1:] for w in wanted) == sorted(f[1:] for f in found)
+
+
 def test_three_windings(spark):
     t = spark.createDataFrame([(1, 2, 3, "1", 0.1, 0.3, 100.0, 0.2, 0.4, 100.0, 0.3, 0.5, 50.0)], "bus_i long, bus_j long, bus_k long, ckt string, r12 double, x12 double, sb12 double, r23 double, x23 double, sb23 double, r31 double, x31 double, sb31 double")
     bus = spark.createDataFrame([(1, 7, 9), (2, 8, 9), (3, 8, 9)], "bus_id long, area int, owner int")
