@@ -88,11 +88,17 @@ def metrics_of_sums(sums: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_by(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by..., only_a, only_b): keys of one side only, counted by some of the key columns; groups without any are left out."""
+def unmatched_by(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str], ranked: bool = False) -> DataFrame:
+    """(by..., only_a, only_b): keys of one side only, counted by some of the key columns, say scenario or circuit; groups without any are left out.
+    ``ranked`` adds rank: 1 for the largest count of both sides, equal counts sharing theirs. Counts are ranked, which are few, and not the groups."""
     both = _outer(a.select(*keys), b.select(*keys), keys)
     rows = both.groupBy(*by).agg(F.count_if(~F.col("_in_b")).alias("only_a"), F.count_if(~F.col("_in_a")).alias("only_b"))
-    return rows.where("only_a > 0 OR only_b > 0")
+    rows = rows.where("only_a > 0 OR only_b > 0")
+    if not ranked:
+        return rows
+    total = F.col("only_a") + F.col("only_b")
+    ranks = rows.select(total.alias("_total")).distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_total"))).cast("long"))
+    return rows.withColumn("_total", total).join(ranks, "_total").drop("_total")
 
 
 def convergence_matrix(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("name", "type")) -> DataFrame:

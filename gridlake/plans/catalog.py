@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridlake.functions import exprs as x
 from gridlake.functions.durable import durable, shared_folder
-from gridlake.operators import compare, coo, digests, electrical, keyed, limits, measure, outages, scenarios, series, stats, topology
+from gridlake.operators import compare, coo, digests, electrical, keyed, limits, measure, outages, scenarios, series, stats, summaries, topology
 from gridlake.plans import roles
 from gridlake.sources import archives, lists, nested, ranges, sinks
 from gridlake.streaming import streams
@@ -604,6 +604,30 @@ FINALLY SELECT m.row_key, base, mi AS "min", ma AS "max", mi - base AS d_min, ma
 )
 _register("mask_count", lambda r: stats.mask_count(r.stat, 1), "SELECT row_key, count(*) FILTER (WHERE mask = 1) AS n FROM {stat} GROUP BY 1")
 _register("column_sums", lambda r: stats.column_sums(r.stat, 1), "SELECT scenario_idx, coalesce(sum(value) FILTER (WHERE mask >= 1), 0e0) AS total, coalesce(sum(value) FILTER (WHERE mask >= 1), 0e0) / count(*) AS avg_over_all_rows FROM {stat} GROUP BY 1", "total avg_over_all_rows")
+
+
+def _state_of_parts(r: Roles, mask: int) -> DataFrame:
+    """The state of scenarios that came in four batches."""
+    long = r.fix("stat").stat
+    return summaries.merged([summaries.state(long.where(F.col("scenario_idx") % 4 == i), mask) for i in range(4)])
+
+
+_register(
+    "mean_rms_of_parts",
+    lambda r: summaries.mean_rms_of(_state_of_parts(r, 1)),
+    """k AS (SELECT row_key, count(*) FILTER (WHERE mask >= 1) AS n, avg(value) FILTER (WHERE mask >= 1) AS mean, stddev_samp(value) FILTER (WHERE mask >= 1) AS sd FROM {stat} GROUP BY 1),
+d AS (SELECT s.row_key, sum((s.value - b.value) * (s.value - b.value)) AS sq FROM {stat} s JOIN {stat} b ON b.row_key = s.row_key AND b.scenario_idx = 0 WHERE s.scenario_idx > 0 AND s.mask >= 1 GROUP BY 1)
+FINALLY SELECT k.row_key, n, coalesce(mean, 0e0) AS mean, CASE WHEN n > 1 THEN sd ELSE 0e0 END AS std, CASE WHEN n > 1 AND sq IS NOT NULL THEN sqrt(sq / (n - 1)) WHEN n <= 1 OR EXISTS (SELECT 1 FROM {stat} b WHERE b.row_key = k.row_key AND b.scenario_idx = 0) THEN 0e0 END AS rms FROM k LEFT JOIN d ON d.row_key = k.row_key""",
+    "mean std rms",
+)
+_register(
+    "min_max_of_parts",
+    lambda r: summaries.min_max_of(_state_of_parts(r, 2)),
+    """u AS (SELECT s.*, b.value AS base FROM {stat} s JOIN {stat} b ON b.row_key = s.row_key AND b.scenario_idx = 0), w AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY value, scenario_idx) AS lo, row_number() OVER (PARTITION BY row_key ORDER BY value DESC, scenario_idx) AS hi FROM u WHERE scenario_idx = 0 OR mask >= 2),
+m AS (SELECT row_key, min(base) AS base, min(value) AS mi, max(value) AS ma, max(CASE WHEN lo = 1 THEN scenario_idx END) AS argmin, max(CASE WHEN hi = 1 THEN scenario_idx END) AS argmax FROM w GROUP BY 1)
+FINALLY SELECT m.row_key, base, mi AS "min", ma AS "max", mi - base AS d_min, ma - base AS d_max, min_bound, max_bound, argmin, argmax FROM m JOIN (SELECT row_key, min(min_bound) AS min_bound, max(max_bound) AS max_bound FROM {stat} GROUP BY 1) AS b ON b.row_key = m.row_key""",
+    "base d_min d_max min_bound max_bound",
+)
 _register(
     "build_stat",
     lambda r: stats.build_stat(_flat(r), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0)),
@@ -612,6 +636,21 @@ FINALLY SELECT row_key, event_idx AS scenario_idx, p AS value, CAST(CASE WHEN vi
  UNION ALL SELECT row_key, e, 0e0, 0, -rate, rate FROM kk CROSS JOIN (SELECT event_idx AS e FROM {{scenario}} WHERE event_idx % 3 = 0 AND event_idx IN (SELECT event_idx FROM {{convergence_a}})) AS v WHERE event_idx = 0""",
     "value min_bound max_bound",
 )
+_register(
+    "bus_stat",  # PV buses that a scenario turned into PQ ones are flagged
+    lambda r: summaries.stat_block(r.voltage.join(r.bus.select("bus_id", "type"), "bus_id"), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0), ["bus_id"], "v_pu", (F.col("type") == 2) & ((F.col("bus_id") + F.col("event_idx")) % 7 == 0) & (F.col("event_idx") > 0), F.lit(0.9), F.lit(1.1)),
+    """bad AS (SELECT event_idx AS e FROM {scenario} WHERE event_idx % 3 = 0 AND event_idx IN (SELECT event_idx FROM {convergence_a}))
+FINALLY SELECT CAST(v.bus_id AS VARCHAR) AS row_key, v.event_idx AS scenario_idx, v.v_pu AS value, CAST(CASE WHEN b.type = 2 AND (v.bus_id + v.event_idx) % 7 = 0 AND v.event_idx > 0 THEN 2 ELSE 1 END AS INT) AS mask, 9e-1 AS min_bound, 11e-1 AS max_bound FROM {voltage} v JOIN {bus} b ON b.bus_id = v.bus_id WHERE v.event_idx = 0 OR (v.event_idx % 3 > 0 AND v.event_idx IN (SELECT event_idx FROM {convergence_a}))
+ UNION ALL SELECT CAST(bus_id AS VARCHAR), e, 0e0, 0, 9e-1, 11e-1 FROM {bus} CROSS JOIN bad""",
+    "value min_bound max_bound",
+)
+_register(
+    "generator_stat",  # every scenario takes the unit to another output; bounds are its limits
+    lambda r: summaries.stat_block(r.generator.crossJoin(F.broadcast(r.scenario.select("event_idx").union(r.spark.range(1).select(F.lit(0))))).withColumn("p", F.col("pg") * (1 + F.col("event_idx") / 100)), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0), ["bus_id", "gen_id"], "p", F.col("p") > F.col("pmax"), F.col("pmin"), F.col("pmax")),
+    """ev AS (SELECT 0 AS e UNION ALL SELECT event_idx FROM {scenario} WHERE event_idx IN (SELECT event_idx FROM {convergence_a}))
+FINALLY SELECT concat(bus_id, '_', gen_id) AS row_key, CAST(e AS INT) AS scenario_idx, CASE WHEN e > 0 AND e % 3 = 0 THEN 0e0 ELSE pg * (1 + e / 1e2) END AS value, CAST(CASE WHEN e > 0 AND e % 3 = 0 THEN 0 WHEN pg * (1 + e / 1e2) > pmax THEN 2 ELSE 1 END AS INT) AS mask, pmin AS min_bound, pmax AS max_bound FROM {generator} CROSS JOIN ev""",
+    "value min_bound max_bound",
+)
 _register(
     "network_counts",
     lambda r: stats.network_counts(r.bus, r.circuit, r.generator, r.load, r.shunt),
@@ -662,6 +701,18 @@ _register(
     "SELECT machine, step, q, quantile_cont(value, 5e-2) AS value FROM {series}, (VALUES (5e-2)) AS v(q) GROUP BY 1, 2, 3 UNION ALL SELECT machine, step, 5e-1, quantile_cont(value, 5e-1) FROM {series} GROUP BY 1, 2 UNION ALL SELECT machine, step, 95e-2, quantile_cont(value, 95e-2) FROM {series} GROUP BY 1, 2",
     "value",
 )
+_register(
+    "exact_quantiles",
+    lambda r: summaries.exact_quantiles(r.series, [0.05, 0.5, 0.95], large=100),
+    "SELECT machine, step, q, quantile_cont(value, 5e-2) AS value FROM {series}, (VALUES (5e-2)) AS v(q) GROUP BY 1, 2, 3 UNION ALL SELECT machine, step, 5e-1, quantile_cont(value, 5e-1) FROM {series} GROUP BY 1, 2 UNION ALL SELECT machine, step, 95e-2, quantile_cont(value, 95e-2) FROM {series} GROUP BY 1, 2",
+    "value",
+)
+_register(
+    "quantiles_of_sketches",  # approximate, so only what is exact has SQL: the size of each merged sketch; see tests/test_summaries.py for its error
+    lambda r: summaries.quantiles_of_sketches(summaries.merged_sketches([summaries.quantile_sketch(r.series.where(F.col("scenario_idx") % 3 == i)) for i in range(3)]), [0.5]).select("machine", "step", "n", "q"),
+    "SELECT machine, step, count(value) AS n, 5e-1 AS q FROM {series} GROUP BY 1, 2",
+    "q",
+)
 _register(
     "watch_pivot",
     lambda r: stats.watch_pivot(_flat(r), [0, 1, 2], r.circuit.where("from_bus % 13 = 1")),
@@ -702,7 +753,12 @@ _register("power_angle", lambda r: r.bus.select("bus_id", x.power_angle(F.col("a
 
 # --- measurements ---------------------------------------------------------------------------------------------------
 
-_N_BUS = 60
+_N_BUS = "(SELECT count(*) FROM {bus})"
+
+
+def _n_bus(r: Roles) -> int:
+    return r.bus.count()
+
 _STATE_SQL = "vst AS (SELECT event_idx AS case_id, v.bus_id, v.v_pu, v.angle_deg, 1e-1 * v.v_pu AS p, 5e-2 * v.v_pu AS q FROM {voltage} v)"
 _MEASURED = f"""{_STATE_SQL}, mea AS (SELECT m.*, CASE type WHEN 'VM' THEN v_pu WHEN 'VA' THEN angle_deg WHEN 'PI' THEN p WHEN 'QI' THEN q END AS predicted FROM {{measurement}} m JOIN vst ON vst.case_id = m.case_id AND vst.bus_id = m.bus_id),
 res AS (SELECT *, value - predicted AS residual, 1 / (deviation * deviation) AS weight, (value - predicted) / deviation AS norm FROM mea)"""
@@ -751,8 +807,8 @@ _register(
     "SELECT CAST((from_bus + to_bus) % 8 AS INT) AS case_id, from_bus, to_bus, ckt, ['PIJ', 'PJI', 'QIJ', 'QJI', 'IIJ', 'IJI'][to_bus % 6 + 1] AS type, CAST(row_number() OVER (PARTITION BY from_bus, to_bus ORDER BY ckt) AS INT) AS nth FROM {circuit}",
 )
 _register("residuals", lambda r: _measured(r).select("case_id", "idx", "residual", "weight", "norm"), f"{_MEASURED}\nFINALLY SELECT case_id, idx, residual, weight, norm FROM res", "residual weight norm")
-_CHI = f"""{_MEASURED}, chi AS (SELECT *, CASE WHEN dof >= 1 AND dof <= {3 * _N_BUS} THEN dof * pow(1 - 2e0 / (9e0 * dof) + 1645e-3 * sqrt(2e0 / (9e0 * dof)), 3) ELSE 150e0 END AS threshold FROM (SELECT case_id, sum(residual * residual * weight) AS chi, count(*) AS n, greatest(count(*) - {2 * _N_BUS - 1}, 1) AS dof FROM res GROUP BY 1) AS c)"""
-_register("chi_square", lambda r: measure.chi_square(_measured(r), _N_BUS), f"{_CHI}\nFINALLY SELECT case_id, chi, n, dof, threshold, chi < threshold AS passed FROM chi", "chi threshold")
+_CHI = f"""{_MEASURED}, chi AS (SELECT *, CASE WHEN dof >= 1 AND dof <= 3 * {_N_BUS} THEN dof * pow(1 - 2e0 / (9e0 * dof) + 1645e-3 * sqrt(2e0 / (9e0 * dof)), 3) WHEN {_N_BUS} <= 50 THEN 50e0 WHEN {_N_BUS} <= 100 THEN 150e0 WHEN {_N_BUS} <= 300 THEN 500e0 WHEN {_N_BUS} <= 500 THEN 1000e0 ELSE 2000e0 END AS threshold FROM (SELECT case_id, sum(residual * residual * weight) AS chi, count(*) AS n, greatest(count(*) - (2 * {_N_BUS} - 1), 1) AS dof FROM res GROUP BY 1) AS c)"""
+_register("chi_square", lambda r: measure.chi_square(_measured(r), _n_bus(r)), f"{_CHI}\nFINALLY SELECT case_id, chi, n, dof, threshold, chi < threshold AS passed FROM chi", "chi threshold")
 _register("chi_threshold", lambda r: r.customer.select("c_custkey", measure.chi_threshold(F.col("c_custkey"), F.lit(200)).alias("threshold")), "SELECT c_custkey, CASE WHEN c_custkey >= 1 AND c_custkey <= 600 THEN c_custkey * pow(1 - 2e0 / (9e0 * c_custkey) + 1645e-3 * sqrt(2e0 / (9e0 * c_custkey)), 3) ELSE 500e0 END AS threshold FROM {customer}", "threshold")
 _BAD = f"""{_CHI}, fl AS (SELECT res.case_id, idx, res.type, res.bus_id, norm, 10e0 * CASE WHEN res.type = 'VM' THEN 3 WHEN res.type = 'VA' AND b.type = 3 THEN 50 WHEN res.type = 'VA' THEN 5 ELSE 1 END AS lim FROM res JOIN {{bus}} b ON b.bus_id = res.bus_id),
 rk AS (SELECT *, abs(norm) > lim AS ov, row_number() OVER (PARTITION BY case_id ORDER BY (abs(norm) > lim) DESC, round(abs(norm), 6) DESC, idx) AS rank FROM fl),
@@ -761,7 +817,7 @@ bad AS (SELECT rk.case_id, idx, type, bus_id, norm, lim AS "limit", CAST(rank AS
 
 def _flags(r: Roles) -> DataFrame:
     m = _measured(r)
-    return measure.flag_bad(m, measure.chi_square(m, _N_BUS), r.bus, 10.0)
+    return measure.flag_bad(m, measure.chi_square(m, _n_bus(r)), r.bus, 10.0)
 
 
 _register("flag_bad", _flags, f"{_BAD}\nFINALLY SELECT * FROM bad", "norm")
@@ -803,7 +859,7 @@ _register(
 FINALLY SELECT from_bus, to_bus, ckt, CASE WHEN abs(dt) > 1e-3 THEN 'warning' ELSE 'note' END AS kind, 0e0 AS measured, CASE WHEN abs(dt) > 1e-3 THEN v1 * v2 / x * sin(dt) END AS expected FROM con WHERE abs(dt) > 1e-3 OR abs(v1 - v2) > 1e-2""",
     "expected",
 )
-_register("measurement_coverage", lambda r: measure.measurement_coverage(r.measurement, 300), "SELECT m.case_id, type, count(*) AS n, count(DISTINCT bus_id) AS buses, case_n, case_n <= 599 AS underdetermined FROM {measurement} m JOIN (SELECT case_id, count(*) AS case_n FROM {measurement} GROUP BY 1) AS t ON t.case_id = m.case_id GROUP BY 1, 2, case_n")
+_register("measurement_coverage", lambda r: measure.measurement_coverage(r.measurement, _n_bus(r)), "SELECT m.case_id, type, count(*) AS n, count(DISTINCT bus_id) AS buses, case_n, case_n <= 2 * (SELECT count(*) FROM {bus}) - 1 AS underdetermined FROM {measurement} m JOIN (SELECT case_id, count(*) AS case_n FROM {measurement} GROUP BY 1) AS t ON t.case_id = m.case_id GROUP BY 1, 2, case_n")
 
 # --- comparison -----------------------------------------------------------------------------------------------------
 
@@ -857,6 +913,13 @@ _register(
     "mean_a mean_b mean_diff mean_abs_diff rms_diff max_abs_diff",
 )
 _register("unmatched_of_runs", lambda r: digests.unmatched_of_runs(r.spark, *_stored(r), _KEYS, ["event_idx"]), f"{_STORED}\nFINALLY SELECT event_idx, count(*) AS only_a, CAST(0 AS BIGINT) AS only_b FROM j WHERE NOT inb GROUP BY 1")
+_register(
+    "unmatched_by_circuit",
+    lambda r: compare.unmatched_by(_run(r, "a"), _run(r, "b"), _KEYS, ["from_bus", "to_bus", "ckt"], ranked=True),
+    f"""{_ONE_A}, {_ONE_B}, per AS (SELECT coalesce(a.from_bus, b.from_bus) AS from_bus, coalesce(a.to_bus, b.to_bus) AS to_bus, coalesce(a.ckt, b.ckt) AS ckt, count(*) FILTER (WHERE b.event_idx IS NULL) AS only_a, count(*) FILTER (WHERE a.event_idx IS NULL) AS only_b
+ FROM au a FULL JOIN bu b ON a.event_idx = b.event_idx AND a.from_bus = b.from_bus AND a.to_bus = b.to_bus AND a.ckt = b.ckt GROUP BY 1, 2, 3)
+FINALLY SELECT *, dense_rank() OVER (ORDER BY only_a + only_b DESC) AS rank FROM per WHERE only_a > 0 OR only_b > 0""",
+)
 _register("unmatched_by", lambda r: compare.unmatched_by(_run(r, "a"), _run(r, "b"), _KEYS, ["event_idx"]), f"{_BOTH}\nFINALLY SELECT event_idx, count(*) FILTER (WHERE NOT inb) AS only_a, count(*) FILTER (WHERE NOT ina) AS only_b FROM fj GROUP BY 1 HAVING count(*) FILTER (WHERE NOT (ina AND inb)) > 0")
 _register(
     "convergence_matrix",
@@ -935,10 +998,17 @@ _register("element_divide", lambda r: coo.element_divide(coo.diagonal(r.coo), _v
 # --- sinks and streams ----------------------------------------------------------------------------------------------
 
 _register("convergence_rows", lambda r: sinks.convergence_rows(r.convergence_a), "SELECT * FROM {convergence_a}")
+def _exported(r: Roles) -> DataFrame:
+    """All 15 columns, written in buckets of events and read back."""
+    path, rows = f"{_folder(r)}/flat", _flat(r)
+    sinks.write_flat(rows, path)
+    return r.spark.read.parquet(path).select(*rows.columns)
+
+
 _register(
     "flat_export",
-    lambda r: sinks.rounded(_flat(r).drop("contingency", "p", "q", "ang_from_deg", "ang_to_deg")),
-    f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, round(mva, 4) AS mva, round(rate, 4) AS rate, round(loading, 2) AS loading, viol, round(v_from_pu, 6) AS v_from_pu, round(v_to_pu, 6) AS v_to_pu FROM flat",
+    lambda r: _exported(r),
+    f"{_FLAT}\nFINALLY SELECT event_idx, contingency, from_bus, to_bus, ckt, round(p, 4) AS p, round(q, 4) AS q, round(mva, 4) AS mva, round(rate, 4) AS rate, round(loading, 2) AS loading, viol, round(v_from_pu, 6) AS v_from_pu, round(v_to_pu, 6) AS v_to_pu, round(ang_from_deg, 6) AS ang_from_deg, round(ang_to_deg, 6) AS ang_to_deg FROM flat",
 )
 
 
