@@ -5,7 +5,8 @@ after a cut occurs at least a times, no phrase that begins or ends with a word o
 of the search are phrases, an expansion counts a node's one-word continuations, and a node's bound comes from the count of its first
 word: words of the highest bounds (the rarest) are expanded first. A wave of expansions gives each language surviving phrases; their
 2000th score then tells which nodes can still matter: all whose bound reaches it, which the next wave expands. A language is settled
-when the bounds of all nodes left are below its 2000th surviving score, so ties are complete too.
+when the bounds of all nodes left are below its 2000th surviving score, so ties are complete too. Within a wave, phrases are settled
+(all their parts counted, and whether a longer phrase has as many occurrences) in order of their bounds, too, and only as far as needed.
 
 Texts are read twice: to count words, and to write them as sequences of word hashes with breaks at piece ends and at words too rare for any
 phrase. All later counts run over these sequences. Which nodes to count is told to the tasks by a bitmap of hashed nodes, whose size is
@@ -35,6 +36,8 @@ STEP_WORDS = 1 << 17
 HELD_ROWS = 1 << 18
 LEAST_BITS, MOST_BITS = 20, 28
 FIRST_SHARE = 0.25
+#: Contenders that are settled at first, as a multiple of the phrases that are asked for.
+SETTLED = 2
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 _COUNTS = [f"f{i}" for i in range(1, LONGEST + 1)]
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -334,21 +337,52 @@ def _levels(sequences: DataFrame, first: DataFrame, least: int, tables: Workspac
     return found
 
 
-def _wave(sequences: DataFrame, words: DataFrame, limits: DataFrame, least: int, tables: Workspace) -> DataFrame | None:
-    """Surviving phrases (lang, m, w1 to w5, a, l, r, n, score), complete for all that begin and end with words of at most ``top``
-    occurrences (limits: lang, n, top, score) and whose score reaches the language's ``score``."""
+def _wave(sequences: DataFrame, words: DataFrame, limits: DataFrame, top_k: int, least: int, tables: Workspace) -> DataFrame | None:
+    """Surviving phrases (lang, m, w1 to w5, a, l, r, n, score), complete down to the language's ``top_k``-th score for all that begin and end with
+    words of at most ``top`` occurrences (limits: lang, n, top, score) and whose score reaches the language's ``score``.
+
+    Contenders are settled best first: at the start those with the highest bounds, SETTLED * top_k of each language. Where the score that is then in place
+    top_k isn't above the bounds of all others, those with bounds from that score on are settled too (or, without such a score, four times as many)."""
     first = tables.durable(words.join(limits, "lang").where("f <= top").select("lang", F.col("h").alias("w1"), F.col("f").alias("f1")))
     grown = _levels(sequences, first, least, tables)
     if grown is None:
         return None
-    at = lambda names, i: F.element_at(F.array(*names), i)
     ends = words.select("lang", F.col("h").alias("last"), F.col("f").alias("f_last"))
-    grown = grown.withColumn("last", at(_WORDS, F.col("m"))).withColumn("a", at(_COUNTS, F.col("m"))).join(ends, ["lang", "last"]).join(limits, "lang").where("f_last <= top")
-    bound = F.least(_ratio(F.col("n"), [], [F.col("f1")]), _ratio(F.col("n"), [F.col("a")], [at(_COUNTS, F.col("m") - 1), F.col("f_last")]))
-    contenders = tables.durable(grown.where(bound >= F.col("score")).select("lang", "m", *_WORDS, *_COUNTS, "a", "f_last", "n"))
+    grown = grown.withColumn("last", _at(_WORDS, F.col("m"))).withColumn("a", _at(_COUNTS, F.col("m"))).join(ends, ["lang", "last"]).join(limits, "lang").where("f_last <= top")
+    bound = F.least(_ratio(F.col("n"), [], [F.col("f1")]), _ratio(F.col("n"), [F.col("a")], [_at(_COUNTS, F.col("m") - 1), F.col("f_last")]))
+    contenders = grown.withColumn("bound", bound).where("bound >= score").select("lang", "m", *_WORDS, *_COUNTS, "a", "f_last", "n", "bound")
+    contenders = tables.durable(contenders)
+    found, wanted, nothing = None, SETTLED * top_k, F.lit(None).cast("long")
+    pending = tables.durable(contenders.select("lang").distinct().select("lang", nothing.alias("high"), nothing.alias("kth")))
+    while not pending.isEmpty():
+        left = contenders.join(pending, "lang").where("high IS NULL OR bound < high")
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("bound")))
+        cut = left.select("lang", "bound", place.alias("place")).where(F.col("place") == wanted).select("lang", F.col("bound").alias("cut"))
+        lows = tables.durable(pending.join(cut, "lang", "left").select("lang", "high", F.coalesce("kth", "cut", F.lit(0)).alias("low")))
+        some = tables.durable(contenders.join(lows, "lang").where("bound >= low AND (high IS NULL OR bound < high)").select(*contenders.columns))
+        got = _settled(sequences, some, least, tables)
+        found = got if found is None else tables.durable(found.union(got))
+        now = lows.join(_kth(found, top_k), "lang", "left")
+        pending = tables.durable(now.where("low > 0 AND coalesce(kth, -1) < low").select("lang", F.col("low").alias("high"), "kth"))
+        wanted *= 4
+    return found
+
+
+def _kth(found: DataFrame, top_k: int) -> DataFrame:
+    """(lang, kth): the score in place ``top_k``, of languages that have so many."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
+    return found.select("lang", "score", place.alias("place")).where(F.col("place") == top_k).select("lang", F.col("score").alias("kth"))
+
+
+def _at(names: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*names), i)
+
+
+def _settled(sequences: DataFrame, contenders: DataFrame, least: int, tables: Workspace) -> DataFrame:
+    """The contenders that lie in no longer phrase of the same count, with their exact scores: counts of all their parts are taken in one pass."""
     cut = contenders.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m") - 1)))
-    rest = [F.when(F.col("k") + i <= F.col("m"), F.element_at(F.array(*_WORDS), F.least(F.col("k") + i, F.lit(LONGEST)))).otherwise(0).alias(f"s{i}") for i in range(1, LONGEST + 1)]
-    cut = cut.select("*", *rest, at(_COUNTS, F.col("k")).alias("l"))
+    rest = [F.when(F.col("k") + i <= F.col("m"), _at(_WORDS, F.least(F.col("k") + i, F.lit(LONGEST)))).otherwise(0).alias(f"s{i}") for i in range(1, LONGEST + 1)]
+    cut = cut.select("*", *rest, _at(_COUNTS, F.col("k")).alias("l"))
     parts = cut.where("m - k > 1").select("lang", *[F.col(f"s{i}").alias(f"w{i}") for i in range(1, LONGEST + 1)])
     nodes = Nodes(tables.durable(contenders.select("lang", *_WORDS).union(parts).distinct()), _WORDS)
     seen = tables.durable(_context(sequences, nodes).where(F.col("a") >= least))
@@ -386,12 +420,10 @@ def mine(documents: DataFrame, top_k: int = 2000, least: int = 100) -> DataFrame
         limits = tables.durable(totals.join(spread, "lang").select("lang", "n", "top", "most", F.lit(0).cast("long").alias("score")))
         settled: list[DataFrame] = []
         while not limits.isEmpty():
-            found = _wave(sequences, words, limits.drop("most"), least, tables)
+            found = _wave(sequences, words, limits.drop("most"), top_k, least, tables)
             if found is None:
                 found = tables.durable(_nothing(documents))
-            place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-            reached = found.select("lang", "score", place.alias("place")).where(F.col("place") == top_k).select("lang", F.col("score").alias("kth"))
-            now = limits.join(reached, "lang", "left")
+            now = limits.join(_kth(found, top_k), "lang", "left")
             beyond = _ratio(F.col("n"), [], [F.col("top") + 1])  # no node left has a higher bound
             done = (F.col("top") >= F.col("most")) | (F.coalesce("kth", F.lit(-1)) > beyond)
             now = tables.durable(now.withColumn("done", done))

@@ -69,7 +69,7 @@ def test_small_pieces_steps_and_few_bits_give_the_same(spark, monkeypatch):
     """Tasks get these constants with their functions' modules, so only what the driver reads is changed here: waves and bitmap sizes."""
     rows = sample(8)
     wanted = brute(rows, 20, 5)
-    for name, value in (("FIRST_SHARE", 0.02), ("LEAST_BITS", 15), ("MOST_BITS", 15)):
+    for name, value in (("FIRST_SHARE", 0.02), ("SETTLED", 1), ("LEAST_BITS", 15), ("MOST_BITS", 15)):
         monkeypatch.setattr(phrases, name, value)
     assert found(spark, rows, top_k=20, least=5) == wanted
 
