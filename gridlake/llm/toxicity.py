@@ -5,7 +5,9 @@ n-grams, and a linear softmax over it gives clean against toxic; embeddings and
 jointly by gradient descent in numpy. As only n-grams are embedded, a misspelling never seen shares most of its vectors
 with the word it stands for. A text scores by its most toxic passage. Labels are per text: the first epochs let every
 passage have its text's label, the later ones pick the most toxic passage of each text anew. A logistic fit calibrates
-the score. Scoring reads whole texts in one pass, without a shuffle; long ones part by part.
+the score from the most toxic passage and the number of passages: among many clean ones some look toxic by chance. It is fitted on texts
+that the model at hand hasn't learned from, and on long ones joined from them. Scoring reads whole texts in one pass, without a shuffle;
+long ones part by part.
 """
 
 from __future__ import annotations
@@ -29,13 +31,18 @@ _EDGE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Model:
-    """weight: logit of each n-gram bucket (its embedding times the softmax's difference); the rest: offsets."""
+    """weight: logit of each n-gram bucket (its embedding times the softmax's difference); the rest: offsets. ``drift`` is by how much the
+    score's logit changes with the logarithm of the number of passages."""
 
     weight: np.ndarray
     bias: float
     slope: float
     shift: float
     window: int
+    drift: float = 0.0
+
+    def probability(self, most: np.ndarray, passages: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * most + self.shift + self.drift * np.log(np.maximum(passages, 1)), -30, 30)))
 
 
 def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +103,7 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     """Probability that a text is toxic; a text without words scores as its lowest possible passage.
 
     Long texts are read part by part; a part begins with the last words of the one before, so no passage is missed."""
-    most = np.full(len(texts), -np.inf)
+    most, many = np.full(len(texts), -np.inf), np.zeros(len(texts))
     before: tuple[int, bytes] = (-1, b"")
     for rows, parts in pieces(texts, WHITE, LOWER):
         tail = (rows[-1], b" ".join(parts[-1][-4096:].split()[-(model.window - 1) :]) if model.window > 1 else b"")
@@ -106,9 +113,10 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
         ids, count, row = subwords(parts)
         if len(row):
             first, end = passages(row, model.window)
-            np.maximum.at(most, np.asarray(rows)[row[first]], _logits(model.weight, model.bias, ids, count, first, end))
-    most = np.where(np.isfinite(most), most, model.bias - 8.0)
-    return 1 / (1 + np.exp(-np.clip(model.slope * most + model.shift, -30, 30)))
+            of = np.asarray(rows)[row[first]]
+            np.maximum.at(most, of, _logits(model.weight, model.bias, ids, count, first, end))
+            many += np.bincount(of, minlength=len(texts))
+    return model.probability(np.where(np.isfinite(most), most, model.bias - 8.0), many)
 
 
 def _training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,14 +130,73 @@ def _training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(ids), np.concatenate(counts), np.concatenate(rows)
 
 
-def fit(
-    texts: list[str], labels: list[int], window: int = 2, dim: int = 8, spread_epochs: int = 3, epochs: int = 6, rate: float = 0.5, batch: int = 2048, seed: int = 7
-) -> Model:
-    """Train embeddings and softmax jointly. Without both labels every text gets the share of label 1."""
+#: Texts that are joined to a long one for the calibration, how many of each length, and what share of their weight has a toxic text among them.
+JOINED, EACH, SHARE = (4, 16, 64), 200, 0.08
+
+
+def fit(texts: list[str], labels: list[int], window: int = 2, seed: int = 7, **how: float) -> Model:
+    """Train embeddings and softmax jointly on all texts, and the calibration on two halves, each with what was learned from the other.
+
+    Without both labels every text gets the share of label 1."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))), window)
+    weight, bias = learn(texts, y, window, seed=seed, **how)
+    half = np.zeros(len(y), int)
+    for label in (0, 1):  # every other text of each label
+        half[np.flatnonzero(y == label)[1::2]] = 1
+    seen = []
+    for side in (0, 1):
+        mine, others = np.flatnonzero(half == side), np.flatnonzero(half != side)
+        whole = y[others].min() != y[others].max()  # else too few for halves: then those that were learned from have to do
+        w, b = learn([texts[i] for i in others], y[others], window, seed=seed, **how) if whole else (weight, bias)
+        seen.append((*_strongest(w, b, [texts[i] for i in mine], window), y[mine]))
+    slope, shift, drift = _calibrated(seen, seed)
+    return Model(weight.astype(np.float32), bias, slope, shift, window, drift)
+
+
+def _strongest(weight: np.ndarray, bias: float, texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(logit of the most toxic passage, number of passages) of each text."""
+    ids, count, word_row = _training_set(texts)
+    first, end = passages(word_row, window)
+    row = word_row[first]
+    return _text_max(_logits(weight, bias, ids, count, first, end), row, len(texts), bias - 8.0), np.bincount(row, minlength=len(texts))
+
+
+def _calibrated(seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> tuple[float, float, float]:
+    """(slope, shift, drift) of a logistic fit to (most toxic logit, passages, label) of texts and of texts joined from them."""
+    rng, rows = np.random.default_rng(seed), []
+    for most, many, y in seen:
+        rows.append(np.stack([most, many, y, np.ones(len(y))]))
+        clean, toxic = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
+        for k in JOINED:
+            for label in (0, 1):
+                if not len(clean) or (label and not len(toxic)):
+                    continue
+                part = rng.choice(clean, (EACH, k))
+                if label:
+                    part[:, 0] = rng.choice(toxic, EACH)
+                share = SHARE if label else 1 - SHARE
+                rows.append(np.stack([most[part].max(1), many[part].sum(1), np.full(EACH, float(label)), np.full(EACH, share * len(y) / EACH)]))
+    most, many, y, weight = np.concatenate(rows, axis=1)
+    x = np.stack([most, np.log(np.maximum(many, 1))], axis=1)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    w, weight = np.zeros(3), weight / weight.sum()
+    for _ in range(40):  # Newton steps; a little of the weights' square keeps separable labels finite
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ (weight * (p - y)) + 0.001 * w
+        w = w - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 0.001 * np.eye(3), grad)
+    slope, drift = w[:2] / scale
+    return float(slope), float(w[2] - (w[:2] / scale * mean).sum()), float(min(drift, 0.0))
+
+
+def learn(
+    texts: list[str], labels: np.ndarray, window: int = 2, dim: int = 8, spread_epochs: int = 3, epochs: int = 6, rate: float = 0.5, batch: int = 2048, seed: int = 7
+) -> tuple[np.ndarray, float]:
+    """(logit of each n-gram bucket, bias): embeddings and softmax trained jointly. Both labels must occur."""
+    y = np.asarray(labels, float)
     ids, count, word_row = _training_set(texts)
     first, end = passages(word_row, window)
     row = word_row[first]
@@ -180,14 +247,7 @@ def fit(
                 picked += [top] if y[r] else [top, *rng.choice(own, min(3, len(own)), replace=False)]
         use = rng.permutation(np.array(picked, int))
         epoch(use, np.where(y[row[use]] == 1, 2.0, 1.0), rate * 4 / (1 + e))
-    weight, b = now()
-    most = _text_max(_logits(weight, b, ids, count, first, end), row, len(y), b - 8.0)
-    scale = max(float(most.std()), 1e-3)
-    x, slope, shift = (most - most.mean()) / scale, 1.0, 0.0
-    for _ in range(400):  # logistic calibration of the maximum
-        p = 1 / (1 + np.exp(-(slope * x + shift)))
-        slope, shift = slope - 2 * ((p - y) * x).mean() - 0.002 * slope, shift - 2 * (p - y).mean()
-    return Model(weight.astype(np.float32), b, slope / scale, shift - slope * float(most.mean()) / scale, window)
+    return now()
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1200, max_chars: int = 8000) -> Model:

@@ -87,6 +87,45 @@ def test_toxicity_does_not_depend_on_where_a_long_text_is_cut(monkeypatch):
     assert np.allclose(toxicity.score_texts(model, long), whole) and whole[2] > 0.3 > whole[0]
 
 
+def test_toxicity_score_against_a_plain_mean():
+    """Every run of two words, the mean of its n-grams' weights, the largest of them, and the calibration, without any batching."""
+    rng = random.Random(8)
+    clean = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(clean) for _ in range(rng.randint(1, 40))) + (" nastyterm, here" if i % 2 else "") for i in range(80)]
+    model = toxicity.fit(texts, [i % 2 for i in range(80)])
+    for t in (*texts[:20], "one", "ONE Two", "Ünï cødé -- 12 nastyterms!", "", " \n"):
+        words = t.encode().split()
+        best, runs = None, [words[i : i + 2] for i in range(max(len(words) - 1, 1))] if words else []
+        for run in runs:
+            grams = [toxicity.subwords([w])[0] for w in run]
+            total, n = sum(float(model.weight[g].astype(float).sum()) for g in grams), sum(map(len, grams))
+            logit = total / max(n, 1) + model.bias
+            best = logit if best is None or logit > best else best
+        z = model.slope * (model.bias - 8.0 if best is None else best) + model.shift + model.drift * np.log(max(len(runs), 1))
+        assert abs(toxicity.score_texts(model, [t.encode()])[0] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
+def test_toxicity_does_not_drift_with_length():
+    """Held out: clean texts of any length stay, joined ones too, toxic ones of the usual lengths are found."""
+    import pyarrow.parquet as pq
+
+    table = lambda name, columns: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet", columns=columns).to_pandas()
+    texts = table("documents", ["doc_id", "text"]).set_index("doc_id").text
+    labels = table("labels", ["doc_id", "toxic"])
+    held = labels.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    train = {y: [texts[i] for i in labels[~held & (labels.toxic == y)].doc_id if len(texts[i]) <= 8000][:1200] for y in (0, 1)}
+    model = toxicity.fit(train[0] + train[1], [0] * len(train[0]) + [1] * len(train[1]))
+    flagged = lambda found: toxicity.score_texts(model, [t.encode() for t in found]) >= 0.3
+    clean, toxic = ([texts[i] for i in labels[held & (labels.toxic == y)].doc_id] for y in (0, 1))
+    sizes, marks = np.array([len(t) for t in clean]), flagged(clean)
+    for low, high in ((0, 1000), (1000, 3000), (3000, 8000), (8000, 1 << 40)):
+        assert marks[(sizes >= low) & (sizes < high)].mean() < 0.03, (low, high)
+    assert flagged(toxic).mean() > 0.92
+    rng = random.Random(4)
+    for k in (5, 20, 80):
+        assert flagged([" ".join(rng.sample(clean, k)) for _ in range(100)]).mean() < 0.08, k
+
+
 def test_quality_learns_words_alone():
     rng = random.Random(1)
     texts, labels = [], []
