@@ -1194,6 +1194,41 @@ def _written_results(r: Roles) -> DataFrame:
 
 
 _register("write_results", _written_results, "SELECT bus_id, gen_id, CASE WHEN status = 1 THEN pg ELSE 0e0 END AS p, CASE WHEN status = 1 THEN qg ELSE 0e0 END AS q, qmax, qmin, CAST(NULL AS DOUBLE) AS v_set, status FROM {generator}", "p q qmax qmin")
+def _result_set(r: Roles) -> DataFrame:
+    """The five tables of a result set, written and read back, as rows (table, event_idx, bus, other, tag, a, b)."""
+    flow, path = _flow(r), f"{_folder(r)}/set"
+    tables = {
+        "buses": electrical.bus_result(r.bus, r.generator, r.load, r.voltage).select("event_idx", "bus_id", "v_pu", "p_net"),
+        "branches": electrical.branch_result(flow).select("event_idx", "from_bus", "to_bus", "ckt", "p_from", "loading"),
+        "generators": electrical.generator_result(r.generator),
+        "convergence": _cases(r).select("event_idx", "name", "iterations", "final_tolerance"),
+        "summary": limits.scenario_summary(_cases(r), _voltage_bad(r), _overloads(r)).select("event_idx", "type", "has_voltage_violation", "has_branch_violation"),
+    }
+    sinks.write_results(tables, path)
+    t = {name: r.spark.read.csv(f"{path}/{name}", header=True, schema=table.schema) for name, table in tables.items()}
+    no, flag = (lambda kind: F.lit(None).cast(kind)), (lambda c: F.col(c).cast("int").cast("double"))
+    return (
+        t["buses"].select(F.lit("buses").alias("table"), "event_idx", F.col("bus_id").alias("bus"), no("long").alias("other"), no("string").alias("tag"), F.col("v_pu").alias("a"), F.col("p_net").alias("b"))
+        .union(t["branches"].select(F.lit("branches"), "event_idx", "from_bus", "to_bus", "ckt", "p_from", "loading"))
+        .union(t["generators"].select(F.lit("generators"), no("int"), "bus_id", no("long"), "gen_id", "p", "qmax"))
+        .union(t["convergence"].select(F.lit("convergence"), "event_idx", no("long"), no("long"), "name", F.col("iterations").cast("double"), "final_tolerance"))
+        .union(t["summary"].select(F.lit("summary"), "event_idx", no("long"), no("long"), "type", flag("has_voltage_violation"), flag("has_branch_violation")))
+    )
+
+
+_register(
+    "result_set",
+    _result_set,
+    f"""{_VV}, {_OVER}, cas AS (SELECT c.* FROM {{convergence_a}} c JOIN {{scenario}} s ON s.event_idx = c.event_idx)
+FINALLY SELECT 'buses' AS "table", v.event_idx, v.bus_id AS bus, CAST(NULL AS BIGINT) AS other, CAST(NULL AS VARCHAR) AS tag, v.v_pu AS a, coalesce(p_gen, 0e0) - coalesce(p_load, 0e0) AS b FROM {{voltage}} v LEFT JOIN (SELECT bus_id, sum(pg) AS p_gen FROM {{generator}} WHERE status = 1 GROUP BY 1) AS g ON g.bus_id = v.bus_id LEFT JOIN (SELECT bus_id, sum(pl) AS p_load FROM {{load}} WHERE status = 1 GROUP BY 1) AS d ON d.bus_id = v.bus_id
+ UNION ALL SELECT 'branches', event_idx, from_bus, to_bus, ckt, p_from, CASE WHEN rate_a > 0 THEN 100 * greatest(sqrt(p_from * p_from + q_from * q_from), sqrt(p_to * p_to + q_to * q_to)) / rate_a ELSE 0e0 END FROM flow WHERE status = 1
+ UNION ALL SELECT 'generators', NULL, bus_id, NULL, gen_id, CASE WHEN status = 1 THEN pg ELSE 0e0 END, qmax FROM {{generator}}
+ UNION ALL SELECT 'convergence', CAST(event_idx AS INT), NULL, NULL, name, CAST(iterations AS DOUBLE), final_tolerance FROM cas
+ UNION ALL SELECT 'summary', CAST(event_idx AS INT), NULL, NULL, type, CASE WHEN event_idx IN (SELECT event_idx FROM vv) THEN 1e0 ELSE 0e0 END, CASE WHEN event_idx IN (SELECT event_idx FROM ov WHERE ckt <> '5') THEN 1e0 ELSE 0e0 END FROM cas""",
+    "a b",
+)
+
+
 def _written_cases(r: Roles) -> str:
     """Folder of the nested cases of all scenarios: their buses, circuits in service and generators."""
     _flow(r)
