@@ -59,7 +59,7 @@ def sample(seed, n=150):
     return [*rows, (None, "en"), ("", "fr"), (" .,; \n", "fr"), ("a b " * 40, "xx"), ("a b " * 40, "xx"), rows[0], rows[0], (None, None)]
 
 
-@pytest.mark.parametrize("top_k", [3, 25, 2000])
+@pytest.mark.parametrize("top_k", [3, 2000])
 def test_against_brute_force(spark, top_k):
     rows = sample(top_k)
     assert found(spark, rows, top_k=top_k, least=6) == brute(rows, top_k, 6)
