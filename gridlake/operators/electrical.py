@@ -75,20 +75,21 @@ def _at(voltage: DataFrame, end: str, p: str) -> DataFrame:
 
 def _sized(voltage: DataFrame) -> tuple[DataFrame, bool]:
     """(voltages, whether they are broadcast): so marked if counting finds no more than BROADCAST_ROWS of them (some 60 MB); joins shuffle them otherwise."""
-    fits = _fits(voltage)
-    return (F.broadcast(voltage) if fits else voltage), fits
+    small = fits(voltage)
+    return (F.broadcast(voltage) if small else voltage), small
 
 
-def _fits(frame: DataFrame) -> bool:
+def fits(frame: DataFrame) -> bool:
+    """Whether counting finds at most BROADCAST_ROWS rows."""
     return frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def flow_layout(circuit: DataFrame, voltage: DataFrame) -> str:
     """The way of ``line_flow`` that counting suggests: "broadcast" if there are at most BROADCAST_ROWS voltages; else "by_event" if there are no more
     circuits than that (or they have events too) and events enough to keep all tasks busy; else "by_bus"."""
-    if _fits(voltage):
+    if fits(voltage):
         return "broadcast"
-    if "event_idx" not in circuit.columns and not _fits(circuit):
+    if "event_idx" not in circuit.columns and not fits(circuit):
         return "by_bus"
     events = voltage.select(F.approx_count_distinct("event_idx")).first()[0]
     return "by_event" if events >= 2 * voltage.sparkSession.sparkContext.defaultParallelism else "by_bus"
@@ -117,11 +118,11 @@ def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE, layo
         lines = lines.repartition("event_idx") if keys else F.broadcast(lines)
         rows = _at(dealt, "from_bus", "from").join(lines, [*keys, "from_bus"]).join(_at(dealt, "to_bus", "to").hint("shuffle_hash"), ["event_idx", "to_bus"])
     else:
-        fits = layout == "broadcast"
-        small = F.broadcast(voltage) if fits else voltage
-        rows = branch_elements(circuit) if fits else circuit
+        sent = layout == "broadcast"
+        small = F.broadcast(voltage) if sent else voltage
+        rows = branch_elements(circuit) if sent else circuit
         rows = rows.join(_at(small, "from_bus", "from"), [*keys, "from_bus"]).join(_at(small, "to_bus", "to"), ["event_idx", "to_bus"])
-        rows = rows if fits else branch_elements(rows)
+        rows = rows if sent else branch_elements(rows)
     vi, vj = named("_from_v"), named("_to_v")
     live = (F.col("status") == 1) & ~F.col("_iso_from") & ~F.col("_iso_to")
     s_from = vi.times((named("yff").times(vi) + named("yft").times(vj)).conj()).scaled(sbase).where(live)

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridlake.functions.durable import durable
 from gridlake.functions.exprs import circular_diff, select_rating
-from gridlake.operators.electrical import line_flow
+from gridlake.operators.electrical import fits, line_flow
 
 CIRCUIT = ("from_bus", "to_bus", "ckt")
 
@@ -57,7 +58,7 @@ def delta_rows(rows: DataFrame, bus: DataFrame, scenarios: DataFrame, facilities
     """
     base = _with_buses(_base_columns(rows.where("event_idx = 0")), bus)
     event = rows.where("event_idx <> 0").select("event_idx", "contingency", *CIRCUIT, *[F.col(c).alias(f"cont_{c}") for c in _PAIRS], *[F.col(c).alias(f"{n}_cont") for n, c in _ENDS.items()])
-    return _delta_columns(event.join(base, list(CIRCUIT)), scenarios, facilities)
+    return _delta_columns(event.join(base, list(CIRCUIT)), scenarios, facilities, fits(scenarios) and fits(facilities))
 
 
 _PAIRS = ("rate", "p", "q", "mva", "loading")
@@ -74,26 +75,34 @@ def _with_buses(base: DataFrame, bus: DataFrame) -> DataFrame:
     return base
 
 
-def _delta_columns(rows: DataFrame, scenarios: DataFrame, facilities: DataFrame) -> DataFrame:
+def _delta_columns(rows: DataFrame, scenarios: DataFrame, facilities: DataFrame, small: bool) -> DataFrame:
+    """``small``: there are few enough scenarios to be broadcast, so that event rows stay where they are."""
     told = scenarios.select("event_idx", "type").join(facilities.select("event_idx", F.col("label").alias("cont_event_facility")), "event_idx", "full")
     across = [circular_diff(F.col(f"ang_from_{s}"), F.col(f"ang_to_{s}")).alias(f"d_angle_{s}") for s in ("base", "cont")]
     both = lambda names, a, b: [c for n in names for c in (a.format(n), b.format(n))]
     front = ["event_idx", "contingency", "type", *CIRCUIT, "base_kv_from", "base_kv_to", "area_from", "area_to"]
+    told = F.broadcast(told) if small else told.hint("shuffle_hash")
     return rows.join(told, "event_idx", "left").select(*front, *both(_PAIRS, "base_{}", "cont_{}"), *both(_ENDS, "{}_base", "{}_cont"), *across, "cont_event_facility")
 
 
+#: Coalescing to more partitions than there are moves no rows; it ends a generated stage, so that flows and what is made of them are compiled apart.
+_ANY = 1 << 24
+
+
 def delta_of_voltages(circuit: DataFrame, voltage: DataFrame, bus: DataFrame, scenarios: DataFrame, facilities: DataFrame, rating: str = "A", names: DataFrame | None = None, layout: str | None = None) -> DataFrame:
     """What ``delta_rows`` gives for the flat rows of these voltages, event 0 being the base.
 
     The base flow is worked out once a circuit and carried along when events multiply the circuits, so event rows never have to find
-    their base row: nothing is shuffled by circuit. ``layout`` is that of ``line_flow``. Circuits without base voltages are skipped."""
+    their base row: nothing is shuffled by circuit. The base rows, as many as circuits, are written to
+    a table that outlives the call. ``layout`` is that of ``line_flow``; with "broadcast" the scenarios' names are broadcast too. Circuits without base voltages are skipped."""
     own = [c for c in circuit.columns if c not in CIRCUIT]
     base = flat_rows(line_flow(circuit, voltage.where("event_idx = 0"), layout=layout), rating, keep=own)
-    lines = _with_buses(_base_columns(base, own), bus)
+    lines = durable(_with_buses(_base_columns(base, own), bus))  # one stage for both flows would outgrow what the JVM compiles
     carried = [c for c in lines.columns if c not in (*CIRCUIT, *own)]
-    event = flat_rows(line_flow(lines, voltage.where("event_idx <> 0"), layout=layout), rating, names, keep=carried)
+    flow = line_flow(lines, voltage.where("event_idx <> 0"), layout=layout).drop("r", "x", "b", "tap", "shift_deg", "switched", "p_to", "q_to")
+    event = flat_rows(flow.coalesce(_ANY), rating, names, keep=carried)
     event = event.select("event_idx", "contingency", *CIRCUIT, *[F.col(c).alias(f"cont_{c}") for c in _PAIRS], *[F.col(c).alias(f"{n}_cont") for n, c in _ENDS.items()], *carried)
-    return _delta_columns(event, scenarios, facilities)
+    return _delta_columns(event, scenarios, facilities, fits(scenarios) and fits(facilities) if layout is None else layout == "broadcast")
 
 
 def delta_skipped(rows: DataFrame) -> DataFrame:

@@ -460,12 +460,13 @@ _wrap = lambda d: f"({d}) + 180e0 - 360e0 * floor((({d}) + 180e0) / 360e0) - 180
 
 def _delta(r: Roles) -> DataFrame:
     """Circuits whose ends' sum is divisible by 5 have no base row."""
+    r.fix("bus")
     return limits.delta_rows(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0"), r.bus, _outages(r), keyed.facility_label(_outages(r), r.bus))
 
 
 def _delta_of_voltages(r: Roles) -> DataFrame:
     """The same rows: circuits without a base row give none."""
-    r.fix("circuit", "scenario", "voltage")
+    r.fix("circuit", "scenario", "voltage", "bus")
     names = keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency")
     return limits.delta_of_voltages(r.circuit.where("(from_bus + to_bus) % 5 <> 0"), r.voltage, r.bus, _outages(r), keyed.facility_label(_outages(r), r.bus), "C", names)
 

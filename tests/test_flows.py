@@ -67,7 +67,7 @@ def test_by_event_nothing_is_shuffled_above_the_voltages(spark, own_events):
 
 def test_layout_given_runs_no_job(spark, monkeypatch):
     circuit, voltage = tables(spark)
-    monkeypatch.setattr(electrical, "_fits", lambda frame: pytest.fail("counted"))
+    monkeypatch.setattr(electrical, "fits", lambda frame: pytest.fail("counted"))
     for layout in ("broadcast", "by_event", "by_bus"):
         electrical.line_flow(circuit, voltage, layout=layout)
 
