@@ -466,10 +466,9 @@ def test_minhash_dedup_against_brute_force(spark):
     rows = near_copies(21, 160, 8)
     rows += [(1000, rows[3][1]), (1000, rows[3][1]), (1001, None), (1002, ""), (None, rows[5][1]), (1003, "one two"), (1004, "ONE two"), (None, "solitary words that nobody else has at all"), (None, None)]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, v string, keys int")
-    for k, percent in ((5, 85), (5, 80)):
-        found = minhash_dedup.deduplicate(frame, k, percent).collect()
-        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows, k, percent)
-        assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    found = minhash_dedup.deduplicate(frame, 5, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows, 5, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
     assert minhash_dedup.deduplicate(frame.where("false")).count() == 0
 
 
