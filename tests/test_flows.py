@@ -83,6 +83,22 @@ def test_layout_by_counting(spark, monkeypatch):
     assert electrical.flow_layout(circuit, many) == "by_bus"
 
 
+def test_by_bus_shuffles_circuits_not_their_events(spark):
+    circuit, voltage = tables(spark)
+    voltage = voltage.union(voltage.where("bus_id = 3 AND event_idx = 2"))  # a voltage that is given twice counts twice, as in any join
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = electrical.line_flow(circuit, voltage, layout="by_bus")
+        dealt = [x for x in exchanges(rows)[1] if "REPARTITION_BY_NUM" in x]
+        added = [x for x in exchanges(rows)[1] if x not in dealt]
+        assert len(dealt) == 3 and all("(_cell" in x for x in dealt)  # circuits and both ends' voltages
+        assert len(added) == 2 and all("(bus_id" in x for x in added)  # voltages are packed by bus
+        assert collected(rows.select(*KEYS)) == collected(electrical.line_flow(circuit, voltage, layout="broadcast").select(*KEYS))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("layout", ["broadcast", "by_event", "by_bus"])
 def test_deltas_of_voltages_equal_deltas_of_rows(spark, layout):
     circuit, voltage = tables(spark, 3)
