@@ -95,7 +95,10 @@ def test_by_bus_shuffles_circuits_not_their_events(spark):
         assert len(dealt) == 3 and all("(_cell" in x for x in dealt)  # circuits and both ends' voltages
         assert len(added) == 2 and all("(bus_id" in x for x in added)  # voltages are packed by bus
         assert collected(rows.select(*KEYS)) == collected(electrical.line_flow(circuit, voltage, layout="broadcast").select(*KEYS))
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")  # more than cells
+        assert len(exchanges(electrical.line_flow(circuit, voltage, layout="by_bus"))[1]) == 5
     finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 

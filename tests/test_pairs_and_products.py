@@ -81,6 +81,13 @@ def test_products_with_heavy_indices(spark, block):
     assert coo.spgemm(frame(a).where("false"), frame(b), block).count() == 0
 
 
+def test_products_are_not_shuffled(spark):
+    ones = spark.range(40).select((F.col("id") % 8).alias("i"), F.floor(F.col("id") / 8).alias("j"), F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    plan = coo.spgemm(ones, ones, 50)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "HashAggregate" in above and "Exchange" not in above  # sums are made where the products are
+
+
 def search(m):
     """The search step by step: m is code by hundredths: 1 secure, 0 insecure, -1 (or absent) beyond capacity."""
     at = lambda k: m.get(k, -1)
