@@ -4,7 +4,9 @@ import random
 
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 
+from gridlake.plans import catalog
 from gridlake.sources import archives, ranges
 
 CASE = """0, 100.0, 33 / case
@@ -81,3 +83,15 @@ def test_header_must_fit(spark, tmp_path):
     (tmp_path / "c.raw").write_text(CASE)
     with pytest.raises(ValueError):
         ranges.section_bounds(spark, str(tmp_path), 16)
+
+
+def test_case_files_of_zones_are_written_and_read_in_parts(spark, monkeypatch):
+    paths, read = [], ranges.read_case_sections
+    monkeypatch.setattr(ranges, "read_case_sections", lambda spark, path, names: paths.append(path) or read(spark, path, names))
+    found = catalog.queries()["read_case_loads"](spark, "/root/testdata/sf0.001")
+    (path,) = paths
+    whole = archives.read_case_archive(spark, path)
+    assert found.count() == whole["load"].count() > 0
+    files = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count("value").alias("n"), F.countDistinct("part").alias("zones"))
+    assert all(r.zones == 1 and r.n > len(archives.SECTIONS) + 4 for r in files.collect())
+    assert files.count() == catalog.Roles(spark, "/root/testdata/sf0.001").bus.select("zone").distinct().count()
