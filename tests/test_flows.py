@@ -131,3 +131,14 @@ def test_rounding_in_doubles(spark):
     for r in rows:
         same = (r.r is None and r.w is None) or (r.r != r.r and r.w != r.w) or abs(r.r - r.w) <= 1e-15 * max(1, abs(r.w)) or (abs(r.v) >= 9e12 and r.r == r.v)
         assert same or abs(r.v * 1e6 % 1 - 0.5) < 1e-3, r
+
+
+def test_injection_in_blocks(spark, monkeypatch):
+    circuit, voltage = tables(spark)
+    shunt = spark.range(14).select(F.col("id").alias("bus_id"), F.lit(0.1).alias("g"), F.lit(0.2).alias("b"))
+    ybus = electrical.ybus_coo(circuit.where("r > 0"), shunt)
+    wanted = collected(electrical.bus_injection(ybus, voltage))
+    monkeypatch.setattr(electrical, "BROADCAST_ROWS", 1)
+    found = electrical.bus_injection(ybus, voltage)
+    assert len([x for x in exchanges(found)[1] if "(_cell" in x]) == 3  # entries and the voltages of rows and columns
+    assert collected(found) == wanted
