@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridlake.operators.electrical import fits
+
 
 def _base() -> Column:
     return F.max(F.when(F.col("scenario_idx") == 0, F.col("value")))
@@ -90,11 +92,18 @@ def generator_margins(generator: DataFrame, bus: DataFrame) -> DataFrame:
     return rows.rollup("area", "zone").agg(*[F.sum(c).alias(c) for c in ("pg", "pmin", "pmax")]).where("area IS NOT NULL")
 
 
-def area_export(flow: DataFrame, bus: DataFrame) -> DataFrame:
-    """(event_idx, area, export): power leaving each area over circuits to other areas, counted at their from end."""
+def between_areas(rows: DataFrame, bus: DataFrame) -> DataFrame:
+    """Rows whose ends lie in different areas, with these: area_from and area_to. Buses of a checked size are broadcast."""
     place = lambda end, name: bus.select(F.col("bus_id").alias(end), F.col("area").alias(name))
-    rows = flow.join(place("from_bus", "_leaves"), "from_bus").join(place("to_bus", "_enters"), "to_bus").where("_leaves <> _enters")
-    sides = F.array(F.struct(F.col("_leaves").alias("area"), F.col("p_from").alias("p")), F.struct(F.col("_enters").alias("area"), (-F.col("p_from")).alias("p")))
+    sent = F.broadcast if fits(bus) else lambda f: f
+    return rows.join(sent(place("from_bus", "area_from")), "from_bus").join(sent(place("to_bus", "area_to")), "to_bus").where("area_from <> area_to")
+
+
+def area_export(flow: DataFrame, bus: DataFrame | None = None) -> DataFrame:
+    """(event_idx, area, export): power leaving each area over circuits to other areas, counted at their from end. Without ``bus``, the flow is that of
+    circuits that went through ``between_areas``: then areas are looked up once a circuit and its rows of events aren't shuffled."""
+    rows = flow if bus is None else between_areas(flow, bus)
+    sides = F.array(F.struct(F.col("area_from").alias("area"), F.col("p_from").alias("p")), F.struct(F.col("area_to").alias("area"), (-F.col("p_from")).alias("p")))
     return rows.select("event_idx", F.explode(sides).alias("s")).groupBy("event_idx", F.col("s.area").alias("area")).agg(F.sum("s.p").alias("export"))
 
 

@@ -81,13 +81,14 @@ _FLAT = f"""{_ELEMENTS}, {_FLOW}, flat AS MATERIALIZED (SELECT event_idx, CASE W
 _STATE = "p q mva rate loading v_from_pu v_to_pu ang_from_deg ang_to_deg"
 
 
-def _flow(r: Roles) -> DataFrame:
+def _flow(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Flows of all circuits, or of those that ``some`` keeps (and adds columns to): what a circuit alone decides is settled before events multiply it."""
     r.fix("circuit", "scenario", "voltage")
-    return electrical.line_flow(r.circuit, r.voltage)
+    return electrical.line_flow(some(r.circuit) if some else r.circuit, r.voltage)
 
 
-def _flat(r: Roles) -> DataFrame:
-    return limits.flat_rows(_flow(r), "C", keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency"))
+def _flat(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    return limits.flat_rows(_flow(r, some), "C", keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency"))
 
 
 def _outages(r: Roles) -> DataFrame:
@@ -662,7 +663,7 @@ _register("area_load", lambda r: stats.area_load(r.load, r.bus), "SELECT area, z
 _register("generator_margins", lambda r: stats.generator_margins(r.generator, r.bus), "SELECT area, zone, sum(pg) AS pg, sum(pmin) AS pmin, sum(pmax) AS pmax FROM {generator} g JOIN {bus} b ON b.bus_id = g.bus_id WHERE status = 1 GROUP BY GROUPING SETS ((area), (area, zone))", "pg pmin pmax")
 _register(
     "area_export",
-    lambda r: stats.area_export(_flow(r), r.bus),
+    lambda r: stats.area_export(_flow(r, lambda circuit: stats.between_areas(circuit, r.fix("bus").bus))),
     f"{_ELEMENTS}, {_FLOW}, tie AS (SELECT event_idx, a.area AS f, b.area AS t, p_from FROM flow JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE a.area <> b.area)\nFINALLY SELECT event_idx, area, sum(p) AS export FROM (SELECT event_idx, f AS area, p_from AS p FROM tie UNION ALL SELECT event_idx, t, -p_from FROM tie) AS u GROUP BY 1, 2",
     "export",
 )
