@@ -104,7 +104,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("flat_rows", _flat, f"{_FLAT}\nFINALLY SELECT * FROM flat", _STATE)
 _register(
     "worst_circuits",
-    lambda r: limits.worst(limits.area_kv_filter(_flat(r), r.bus, [1, 2], 69.0, 230.0), ["event_idx"], 10).select("event_idx", "from_bus", "to_bus", "ckt", "loading", "viol", "rank"),
+    lambda r: limits.worst(_flat(r, lambda circuit: limits.area_kv_filter(circuit, r.fix("bus").bus, [1, 2], 69.0, 230.0)), ["event_idx"], 10).select("event_idx", "from_bus", "to_bus", "ckt", "loading", "viol", "rank"),
     f"""{_FLAT}
 FINALLY SELECT event_idx, from_bus, to_bus, ckt, loading, viol, rank FROM (SELECT f.*, CAST(row_number() OVER (PARTITION BY event_idx ORDER BY round(loading, 6) DESC, from_bus, to_bus, ckt) AS INT) AS rank
  FROM flat f JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE (a.area IN (1, 2) OR b.area IN (1, 2)) AND greatest(a.base_kv, b.base_kv) BETWEEN 69 AND 230) AS ranked WHERE rank <= 10""",
@@ -452,7 +452,7 @@ _register(
 )
 _register(
     "area_kv_filter",
-    lambda r: limits.area_kv_filter(_flat(r), r.bus, [0, 3], 69.0, 138.0).select("event_idx", "from_bus", "to_bus", "ckt", "mva"),
+    lambda r: _flat(r, lambda circuit: limits.area_kv_filter(circuit, r.fix("bus").bus, [0, 3], 69.0, 138.0)).select("event_idx", "from_bus", "to_bus", "ckt", "mva"),
     f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, mva FROM flat JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE (a.area IN (0, 3) OR b.area IN (0, 3)) AND greatest(a.base_kv, b.base_kv) BETWEEN 69 AND 138",
     "mva",
 )
