@@ -30,7 +30,8 @@ def flat_rows(flow: DataFrame, rating: str = "A", names: DataFrame | None = None
 
 
 def monitor_filter(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    """Rows of the circuits on a monitor list; without a list all. A list takes the place of the area and voltage filter."""
+    """Rows of the circuits on a monitor list; without a list all. A list takes the place of the area and voltage filter. As with that,
+    circuits can be filtered as well as their rows."""
     return rows if allowed is None else rows.join(allowed.select(*CIRCUIT).distinct(), list(CIRCUIT), "left_semi")
 
 

@@ -446,7 +446,7 @@ _register(
 
 _register(
     "monitor_filter",
-    lambda r: limits.monitor_filter(_flat(r), r.circuit.where("(from_bus + to_bus) % 9 = 0").select("from_bus", "to_bus", "ckt")).select("event_idx", "from_bus", "to_bus", "ckt", "loading"),
+    lambda r: _flat(r, lambda circuit: limits.monitor_filter(circuit, circuit.where("(from_bus + to_bus) % 9 = 0").select("from_bus", "to_bus", "ckt"))).select("event_idx", "from_bus", "to_bus", "ckt", "loading"),
     f"{_FLAT}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, loading FROM flat WHERE (from_bus + to_bus) % 9 = 0",
     "loading",
 )
