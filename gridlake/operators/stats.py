@@ -50,18 +50,22 @@ def column_sums(stat: DataFrame, mask: int) -> DataFrame:
     return stat.groupBy("scenario_idx").agg(total.alias("total"), (total / F.count(F.lit(1))).alias("avg_over_all_rows"))
 
 
-def build_stat(rows: DataFrame, convergence: DataFrame, value: str = "p") -> DataFrame:
+def build_stat(rows: DataFrame, convergence: DataFrame, value: str = "p", unique: bool = False) -> DataFrame:
     """Long table of result rows: base is scenario 0, event t is t; bounds are plus and minus rate_a, mask is 2 where the row is flagged
-    (viol), else 1. Scenarios that did not converge are filled in with value 0 and mask 0 for every circuit of the base case."""
+    (viol), else 1. Scenarios that did not converge are filled in with value 0 and mask 0 for every circuit of the base case. ``unique`` says
+    that no circuit comes twice in an event; else repeated rows are looked for, which shuffles all of them. Rows are read once, and scenarios broadcast."""
     key = F.concat_ws("_", "from_bus", "to_bus", "ckt").alias("row_key")
     good = convergence.where("converged").select("event_idx")
-    have = rows.join(good, "event_idx", "left_semi").union(rows.where("event_idx = 0").select(*rows.columns))
-    long = have.dropDuplicates(["event_idx", "from_bus", "to_bus", "ckt"])
-    solved = long.select(key, F.col("event_idx").alias("scenario_idx"), F.col(value).alias("value"), F.when(F.col("viol") == 1, 2).otherwise(1).alias("mask"), (-F.col("rate")).alias("min_bound"), F.col("rate").alias("max_bound"))
-    failed = convergence.where("NOT converged AND event_idx <> 0").select(F.col("event_idx").alias("scenario_idx"))
-    base = rows.where("event_idx = 0").select(key, (-F.col("rate")).alias("min_bound"), F.col("rate").alias("max_bound"))
-    filled = base.crossJoin(F.broadcast(failed)).select("row_key", "scenario_idx", F.lit(0.0).alias("value"), F.lit(0).alias("mask"), "min_bound", "max_bound")
-    return solved.unionByName(filled)
+    good = good.union(rows.sparkSession.range(1).select(F.lit(0))).where("event_idx IS NOT NULL").distinct().select("event_idx", F.col("event_idx").alias("scenario_idx"), F.lit(True).alias("_solved"))
+    failed = convergence.where("NOT converged AND event_idx <> 0").select(F.lit(0), F.col("event_idx"), F.lit(False))
+    if not unique:
+        keys = ["event_idx", "from_bus", "to_bus", "ckt"]
+        again = rows.withColumn("_again", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
+        rows = again.where("_again = 1 OR event_idx = 0")
+    solved = F.col("_solved")
+    long = rows.join(F.broadcast(good.union(failed)), "event_idx")
+    long = long if unique else long.where("_again = 1 OR NOT _solved")
+    return long.select(key, "scenario_idx", F.when(solved, F.col(value)).otherwise(0.0).alias("value"), F.when(~solved, 0).when(F.col("viol") == 1, 2).otherwise(1).alias("mask"), (-F.col("rate")).alias("min_bound"), F.col("rate").alias("max_bound"))
 
 
 def network_counts(bus: DataFrame, circuit: DataFrame, generator: DataFrame, load: DataFrame, storage: DataFrame | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def _flow(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None) -> Dat
 
 
 def _flat(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    return limits.flat_rows(_flow(r, some), "C", keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency"))
+    return limits.flat_rows(_flow(r, some), "C", F.broadcast(keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency")))
 
 
 def _outages(r: Roles) -> DataFrame:
@@ -632,7 +632,7 @@ FINALLY SELECT m.row_key, base, mi AS "min", ma AS "max", mi - base AS d_min, ma
 )
 _register(
     "build_stat",
-    lambda r: stats.build_stat(_flat(r), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0)),
+    lambda r: stats.build_stat(_flat(r), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0), unique=True),
     f"""{_FLAT}, kk AS (SELECT *, from_bus || '_' || to_bus || '_' || ckt AS row_key FROM flat)
 FINALLY SELECT row_key, event_idx AS scenario_idx, p AS value, CAST(CASE WHEN viol = 1 THEN 2 ELSE 1 END AS INT) AS mask, -rate AS min_bound, rate AS max_bound FROM kk WHERE event_idx = 0 OR event_idx % 3 > 0
  UNION ALL SELECT row_key, e, 0e0, 0, -rate, rate FROM kk CROSS JOIN (SELECT event_idx AS e FROM {{scenario}} WHERE event_idx % 3 = 0 AND event_idx IN (SELECT event_idx FROM {{convergence_a}})) AS v WHERE event_idx = 0""",
