@@ -163,7 +163,7 @@ def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE, layo
       one. Both joins keep this partitioning, so the rows of circuits and events aren't shuffled either; a task holds the voltages of its
       events. Spark keeps a partitioning by some of a join's keys only if the session allows it, so this sets CO_PARTITIONING there;
     - "by_bus": circuits are dealt by pairs of blocks of buses and meet there the voltages of both blocks, packed by bus (``_in_blocks``), so the rows of
-      circuits and events are made where they stay. Circuits with an event_idx, and streams, are joined by (event, bus) and shuffled for each
+      circuits and events are made where they stay; of circuits with an event_idx only that event's. Streams are joined by (event, bus) and shuffled for each
       end; admittances are only worked out behind both joins, as they would widen them.
     """
     keys = ["event_idx"] if "event_idx" in circuit.columns else []
@@ -175,9 +175,12 @@ def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE, layo
         lines = branch_elements(circuit)
         lines = lines.repartition("event_idx") if keys else F.broadcast(lines)
         rows = _at(dealt, "from_bus", "from").join(lines, [*keys, "from_bus"]).join(_at(dealt, "to_bus", "to").hint("shuffle_hash"), ["event_idx", "to_bus"])
-    elif layout == "by_bus" and not (keys or circuit.isStreaming or voltage.isStreaming):
+    elif layout == "by_bus" and not (circuit.isStreaming or voltage.isStreaming):
         n = max(LEAST_BLOCKS, -(-voltage.count() // BLOCK_VOLTAGES)) if counted else BLOCKS
-        rows = _unpacked(branch_elements(_in_blocks(circuit, voltage, ("from_bus", "to_bus"), (n, n))))
+        met = _in_blocks(circuit.withColumnRenamed("event_idx", "_event"), voltage, ("from_bus", "to_bus"), (n, n))
+        if keys:
+            met = met.withColumn("_pairs", F.filter("_pairs", lambda k: F.get("_from_event_idx", F.shiftright(k, 32).cast("int")) == F.col("_event"))).drop("_event")
+        rows = _unpacked(branch_elements(met))
         rows = rows.withColumns({f"_{p}_{n}": c for p in ("from", "to") for n, c in columns("v", polar(F.col(f"v_{p}_pu"), F.col(f"ang_{p}_deg"))).items()})
     else:
         sent = layout == "broadcast"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridlake.operators.electrical import line_flow
 from gridlake.operators.keyed import attach_to_branch, attach_to_bus
 
 BUS_TYPES = ("VM", "VA", "PI", "PJ", "QI", "QJ", "VUL", "VLL")
@@ -41,12 +42,25 @@ def predicted_value(measurement: DataFrame, voltage: DataFrame, injection: DataF
     if flow is None:
         return out
     lines = measurement.where(F.col("type").isin(*BRANCH_TYPES)).join(flow.select("case_id", "from_bus", "to_bus", "ckt", "p_from", "q_from", "p_to", "q_to", "v_from_pu", "v_to_pu"), ["case_id", "from_bus", "to_bus", "ckt"])
-    value = F.when(t == "PIJ", F.col("p_from")).when(t == "PJI", F.col("p_to")).when(t == "QIJ", F.col("q_from")).when(t == "QJI", F.col("q_to"))
-    value = value.when(t == "IIJ", F.hypot("p_from", "q_from") / F.col("v_from_pu")).when(t == "IJI", F.hypot("p_to", "q_to") / F.col("v_to_pu")) / sbase
-    lines = lines.withColumn("predicted", value).drop("p_from", "q_from", "p_to", "q_to", "v_from_pu", "v_to_pu")
+    lines = lines.withColumn("predicted", _of_flow(t, sbase)).drop("p_from", "q_from", "p_to", "q_to", "v_from_pu", "v_to_pu")
     return out.unionByName(lines, allowMissingColumns=True)
 
 
+def _of_flow(t: Column, sbase: float) -> Column:
+    value = F.when(t == "PIJ", F.col("p_from")).when(t == "PJI", F.col("p_to")).when(t == "QIJ", F.col("q_from")).when(t == "QJI", F.col("q_to"))
+    return value.when(t == "IIJ", F.hypot("p_from", "q_from") / F.col("v_from_pu")).when(t == "IJI", F.hypot("p_to", "q_to") / F.col("v_to_pu")) / sbase
+
+
+def predicted_of_circuits(measurement: DataFrame, circuit: DataFrame, voltage: DataFrame, sbase: float = 100.0) -> DataFrame:
+    """Branch measurements with the ``predicted`` that ``predicted_value`` finds in the flow of these circuits and voltages (with event_idx, or case_id).
+
+    Measurements travel with their circuit, so flows are worked out for the case in which a circuit is measured, not for all of them."""
+    voltage = voltage.withColumnRenamed("case_id", "event_idx")
+    told = measurement.where(F.col("type").isin(*BRANCH_TYPES)).select(F.col("case_id").alias("event_idx"), "from_bus", "to_bus", "ckt", F.struct(*measurement.columns).alias("_told"))
+    rows = line_flow(circuit.drop("event_idx").join(told, ["from_bus", "to_bus", "ckt"]), voltage, sbase=sbase)
+    return rows.select("_told.*", _of_flow(F.col("_told.type"), sbase).alias("predicted"))
+
+
 def residuals(measured: DataFrame) -> DataFrame:
     """Adds residual (measured - predicted), weight (1/dev^2, 0 if dev <= 0) and norm (residual over 1/sqrt(weight), or over 1)."""
     weight = F.when(F.col("deviation") > 0, 1 / (F.col("deviation") * F.col("deviation"))).otherwise(0.0)

@@ -787,10 +787,11 @@ def _branch_measurement(r: Roles) -> DataFrame:
 
 
 def _branch_predicted(r: Roles) -> DataFrame:
+    r.fix("circuit", "scenario", "voltage")
     state = r.voltage.withColumnRenamed("event_idx", "case_id")
-    flow = _flow(r).withColumnRenamed("event_idx", "case_id")
     limit = measure.limit_measurements(r.bus, r.measurement, 0.95, 1.05, 0.01)
-    found = measure.predicted_value(_branch_measurement(r).unionByName(limit, allowMissingColumns=True), state, state.select("case_id", "bus_id", F.lit(0.0).alias("p"), F.lit(0.0).alias("q")), flow)
+    found = measure.predicted_value(limit, state, state.select("case_id", "bus_id", F.lit(0.0).alias("p"), F.lit(0.0).alias("q")))
+    found = found.unionByName(measure.predicted_of_circuits(_branch_measurement(r), r.circuit, r.voltage), allowMissingColumns=True)
     return found.select("case_id", "bus_id", "from_bus", "to_bus", "ckt", "type", "predicted")
 
 

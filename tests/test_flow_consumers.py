@@ -5,10 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.operators import electrical, limits, stats
+from gridlake.operators import electrical, limits, measure, stats
 from gridlake.plans import catalog
 from tests.checks import assert_same, connection
-from tests.test_flows import collected, tables
+from tests.test_flows import KEYS, collected, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +86,22 @@ def test_f10_stat_of_rows(spark, unique):
     wanted = [(f"1_{b}_1", e, 10.0 * e + b, 2 if e == 2 else 1, -5.0, 5.0) for e in (0, 1, 2) for b in (2, 3)]
     filled = [(f"1_{b}_1", e, 0.0, 0, -5.0, 5.0) for e in (3, 9) for b in ((2, 3) if unique else (2, 2, 3))]  # as before, a base row that is given twice fills in twice
     assert found == sorted(wanted + filled, key=str)
+
+
+def test_f23_measurements_travel_with_their_circuits(spark, in_blocks):
+    assert above_flows(catalog.queries()["predicted_branch_value"](spark, SF)) == [[]]
+    matches(spark, "predicted_branch_value")
+
+
+def test_f23_circuits_with_events_in_blocks(spark):
+    circuit, voltage = tables(spark)
+    voltage = voltage.union(voltage.where("bus_id = 3 AND event_idx = 2"))
+    told = circuit.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(99))).alias("case_id"), "from_bus", "to_bus", "ckt", F.element_at(F.array(*[F.lit(t) for t in measure.BRANCH_TYPES]), (F.col("to_bus") % 6 + 1).cast("int")).alias("type"), F.lit(1.0).alias("value"))
+    state = voltage.withColumnRenamed("event_idx", "case_id")
+    flow = electrical.line_flow(circuit, voltage).withColumnRenamed("event_idx", "case_id")
+    wanted = measure.predicted_value(told.withColumn("bus_id", F.lit(None).cast("long")), state, state.selectExpr("case_id", "bus_id", "0e0 AS p", "0e0 AS q"), flow)
+    columns = [*told.columns, "predicted"]
+    found = collected(measure.predicted_of_circuits(told, circuit, voltage).select(columns))
+    assert found and found == collected(wanted.select(columns))
+    own = circuit.withColumn("event_idx", F.explode(F.array(F.lit(0), F.lit(2), F.lit(99))))
+    assert collected(electrical.line_flow(own, voltage, layout="by_bus").select(KEYS)) == collected(electrical.line_flow(own, voltage, layout="broadcast").select(KEYS))
