@@ -105,3 +105,23 @@ def test_f23_circuits_with_events_in_blocks(spark):
     assert found and found == collected(wanted.select(columns))
     own = circuit.withColumn("event_idx", F.explode(F.array(F.lit(0), F.lit(2), F.lit(99))))
     assert collected(electrical.line_flow(own, voltage, layout="by_bus").select(KEYS)) == collected(electrical.line_flow(own, voltage, layout="broadcast").select(KEYS))
+
+
+def test_f15_deltas_of_voltages_deal_circuits_once(spark, monkeypatch):
+    circuit, voltage = tables(spark, 3)
+    voltage = voltage.union(voltage.where("bus_id = 3 AND event_idx IN (0, 2)"))
+    bus = spark.createDataFrame([(i, 10.0 * i, i % 3) for i in range(12)], "bus_id long, base_kv double, area int")
+    told = spark.createDataFrame([(e, "Line") for e in range(1, 5)], "event_idx int, type string")
+    labels = spark.createDataFrame([(e, f"[1] {e}") for e in range(2, 7)], "event_idx int, label string")
+    wanted = collected(limits.delta_of_voltages(circuit, voltage, bus, told, labels, "C", layout="broadcast"))
+    monkeypatch.setattr(limits, "flow_layout", lambda c, v: "by_bus")
+    monkeypatch.setattr(limits, "durable", lambda f: pytest.fail("base rows were written"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = limits.delta_of_voltages(circuit, voltage, bus, told, labels, "C")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(_cell", plan)) == 3 and above_flows(found) == [[]]
+        assert wanted and collected(found) == wanted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
