@@ -10,6 +10,8 @@ SBASE = 100.0
 BROADCAST_ROWS = 1_000_000
 #: Buses in blocks: their number where nothing is counted, the least number where voltages are, and the voltages of a block that a task may hold (some 300 MB).
 BLOCKS, LEAST_BLOCKS, BLOCK_VOLTAGES = 8, 6, 16_000_000
+#: The column, if asked for, that tells by what rows are dealt: the same for all rows of a circuit, so that joins that have it as a key leave them there.
+CELL = "cell"
 #: Whether joins insist on a partitioning by all of their keys.
 CO_PARTITIONING = "spark.sql.requireAllClusterKeysForCoPartition"
 
@@ -132,7 +134,8 @@ def _in_blocks(rows: DataFrame, voltage: DataFrame, ends: tuple[str, str], block
         F.flatten(F.transform(places("_from_event_idx"), lambda f: F.transform(places("_to_event_idx"), lambda t: F.when(F.get("_from_event_idx", f) == F.get("_to_event_idx", t), f.cast("long") * (_PLACE - 1) + t)))),
         lambda k: k.isNotNull(),
     )
-    return dealt.withColumn("_pairs", F.when(same, F.sequence(F.lit(0).cast("long"), last, F.lit(_PLACE))).otherwise(met)).drop("_cell", "_from_once", "_to_once")
+    dealt = dealt.withColumn("_pairs", F.when(same, F.sequence(F.lit(0).cast("long"), last, F.lit(_PLACE))).otherwise(met))
+    return dealt.withColumnRenamed("_cell", CELL).drop("_from_once", "_to_once")
 
 
 #: A pair of places as one number: the first times 2**32, and the second. A pair of equal places is a multiple of this.
@@ -181,8 +184,9 @@ def flow_of_blocks(met: DataFrame, sbase: float = SBASE, base: bool = False) ->
     return _flows(rows, sbase)
 
 
-def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE, layout: str | None = None) -> DataFrame:
-    """Flow into each circuit from both ends, per event of ``voltage``: p_from, q_from, p_to, q_to and both ends' voltages.
+def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE, layout: str | None = None, cells: bool = False) -> DataFrame:
+    """Flow into each circuit from both ends, per event of ``voltage``: p_from, q_from, p_to, q_to and both ends' voltages. With ``cells``, rows
+    made in blocks of buses also have CELL.
 
     Zero when the circuit is out of service or an end is isolated. Circuits with an event_idx join only that event. ``layout`` says how
     rows meet; without one, ``flow_layout`` counts (a few Spark jobs while the plan is built, none if it is given, as it must be for streams):
@@ -206,7 +210,8 @@ def line_flow(circuit: DataFrame, voltage: DataFrame, sbase: float = SBASE, layo
         lines = lines.repartition("event_idx") if keys else F.broadcast(lines)
         rows = _at(dealt, "from_bus", "from").join(lines, [*keys, "from_bus"]).join(_at(dealt, "to_bus", "to").hint("shuffle_hash"), ["event_idx", "to_bus"])
     elif layout == "by_bus" and not (circuit.isStreaming or voltage.isStreaming):
-        return flow_of_blocks(in_blocks(circuit, voltage, None if counted else BLOCKS), sbase)
+        met = in_blocks(circuit, voltage, None if counted else BLOCKS)
+        return flow_of_blocks(met if cells else met.drop(CELL), sbase)
     else:
         sent = layout == "broadcast"
         small = F.broadcast(voltage) if sent else voltage
@@ -238,7 +243,7 @@ def bus_injection(ybus: DataFrame, voltage: DataFrame) -> DataFrame:
         rows = ybus.join(a, "i").join(b, ["event_idx", "j"])
     else:
         n = max(LEAST_BLOCKS, -(-voltage.count() // BLOCK_VOLTAGES))
-        rows = _unpacked(_in_blocks(ybus, voltage, ("i", "j"), (2 * n, -(-n // 2))))
+        rows = _unpacked(_in_blocks(ybus, voltage, ("i", "j"), (2 * n, -(-n // 2))).drop(CELL))
         rows = rows.select("event_idx", "i", "re", "im", *[c for p, k in (("from", "i"), ("to", "j")) for c in (F.col(f"v_{p}_pu").alias(f"v{k}"), F.radians(f"ang_{p}_deg").alias(f"t{k}"))])
     t, vv = F.col("ti") - F.col("tj"), F.col("vi") * F.col("vj")
     p = vv * (F.col("re") * F.cos(t) + F.col("im") * F.sin(t))

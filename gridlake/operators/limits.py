@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlake.functions.durable import durable
 from gridlake.functions.exprs import circular_diff, select_rating
-from gridlake.operators.electrical import BLOCKS, fits, flow_layout, flow_of_blocks, in_blocks, line_flow, packed_columns
+from gridlake.operators.electrical import BLOCKS, CELL, fits, flow_layout, flow_of_blocks, in_blocks, line_flow, packed_columns
 
 CIRCUIT = ("from_bus", "to_bus", "ckt")
 
@@ -57,11 +57,18 @@ def delta_rows(rows: DataFrame, bus: DataFrame, scenarios: DataFrame, facilities
     ``scenarios`` (event_idx, type) and ``facilities`` (event_idx, label) describe the events, ``bus`` both ends. Columns: event_idx, contingency, type,
     the circuit, base_kv and area of both ends, base_ and cont_ of rate, p, q, mva and loading, _base and _cont of v_from, v_to, ang_from and
     ang_to, the angle across the circuit before and after (d_angle_base, d_angle_cont) and cont_event_facility. Buses are joined to the base
-    rows, which are as many as circuits, before events multiply them.
+    rows, which are as many as circuits, before events multiply them. Rows with CELL, as ``line_flow`` makes them, stay where they
+    are, and only base rows are looked up in memory; else both sides are shuffled by circuit.
     """
-    base = _with_buses(_base_columns(rows.where("event_idx = 0")), bus)
-    event = rows.where("event_idx <> 0").select("event_idx", "contingency", *CIRCUIT, *[F.col(c).alias(f"cont_{c}") for c in _PAIRS], *[F.col(c).alias(f"{n}_cont") for n, c in _ENDS.items()])
-    return _delta_columns(event.join(base, list(CIRCUIT)), scenarios, facilities, fits(scenarios) and fits(facilities))
+    keys = _keys(rows)
+    base = _with_buses(_base_columns(rows.where("event_idx = 0"), keys[len(CIRCUIT) :]), F.broadcast(bus) if fits(bus) else bus)
+    base = base.hint("shuffle_hash") if len(keys) > len(CIRCUIT) else base
+    event = rows.where("event_idx <> 0").select("event_idx", "contingency", *keys, *[F.col(c).alias(f"cont_{c}") for c in _PAIRS], *[F.col(c).alias(f"{n}_cont") for n, c in _ENDS.items()])
+    return _delta_columns(event.join(base, keys), scenarios, facilities, fits(scenarios) and fits(facilities))
+
+
+def _keys(rows: DataFrame) -> list[str]:
+    return [*CIRCUIT, *([CELL] if CELL in rows.columns else [])]
 
 
 _PAIRS = ("rate", "p", "q", "mva", "loading")
@@ -106,7 +113,7 @@ def delta_of_voltages(circuit: DataFrame, voltage: DataFrame, bus: DataFrame, sc
     if layout == "by_bus" and not (circuit.isStreaming or voltage.isStreaming or "event_idx" in own):
         ends = [f"{c}_{e}" for e in ("from", "to") for c in ("base_kv", "area")]
         told = bus.select("bus_id", "base_kv", "area")
-        flow = flow_of_blocks(in_blocks(_with_buses(circuit, F.broadcast(told) if counted and fits(told) else told), voltage, None if counted else BLOCKS), base=True)
+        flow = flow_of_blocks(in_blocks(_with_buses(circuit, F.broadcast(told) if counted and fits(told) else told), voltage, None if counted else BLOCKS).drop(CELL), base=True)
         packed = packed_columns(flow)
         lines = _base_columns(flat_rows(flow, rating, keep=[*own, *ends, *packed]), [*own, *ends, *packed]).coalesce(_ANY)
         carried = [c for c in lines.columns if c not in (*CIRCUIT, *own, *packed)]
@@ -126,8 +133,9 @@ def _event_deltas(flow: DataFrame, rating: str, names: DataFrame | None, carried
 
 def delta_skipped(rows: DataFrame) -> DataFrame:
     """(event_idx, skipped): event rows whose circuit has no base row."""
-    base = rows.where("event_idx = 0").select(*CIRCUIT)
-    return rows.where("event_idx <> 0").join(base, list(CIRCUIT), "left_anti").groupBy("event_idx").agg(F.count(F.lit(1)).alias("skipped"))
+    keys = _keys(rows)  # as in delta_rows
+    base = rows.where("event_idx = 0").select(*keys)
+    return rows.where("event_idx <> 0").join(base.hint("shuffle_hash") if len(keys) > len(CIRCUIT) else base, keys, "left_anti").groupBy("event_idx").agg(F.count(F.lit(1)).alias("skipped"))
 
 
 def performance_index(flow: DataFrame) -> DataFrame:

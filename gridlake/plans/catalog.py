@@ -81,14 +81,16 @@ _FLAT = f"""{_ELEMENTS}, {_FLOW}, flat AS MATERIALIZED (SELECT event_idx, CASE W
 _STATE = "p q mva rate loading v_from_pu v_to_pu ang_from_deg ang_to_deg"
 
 
-def _flow(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _flow(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None, cells: bool = False) -> DataFrame:
     """Flows of all circuits, or of those that ``some`` keeps (and adds columns to): what a circuit alone decides is settled before events multiply it."""
     r.fix("circuit", "scenario", "voltage")
-    return electrical.line_flow(some(r.circuit) if some else r.circuit, r.voltage)
+    return electrical.line_flow(some(r.circuit) if some else r.circuit, r.voltage, cells=cells)
 
 
-def _flat(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    return limits.flat_rows(_flow(r, some), "C", F.broadcast(keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency")))
+def _flat(r: Roles, some: Callable[[DataFrame], DataFrame] | None = None, cells: bool = False) -> DataFrame:
+    flow = _flow(r, some, cells)
+    names = F.broadcast(keyed.scenario_name(_outages(r)).withColumnRenamed("scenario", "contingency"))
+    return limits.flat_rows(flow, "C", names, [c for c in (electrical.CELL,) if c in flow.columns])
 
 
 def _outages(r: Roles) -> DataFrame:
@@ -462,7 +464,7 @@ _wrap = lambda d: f"({d}) + 180e0 - 360e0 * floor((({d}) + 180e0) / 360e0) - 180
 def _delta(r: Roles) -> DataFrame:
     """Circuits whose ends' sum is divisible by 5 have no base row."""
     r.fix("bus")
-    return limits.delta_rows(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0"), r.bus, _outages(r), keyed.facility_label(_outages(r), r.bus))
+    return limits.delta_rows(_flat(r, cells=True).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0"), r.bus, _outages(r), keyed.facility_label(_outages(r), r.bus))
 
 
 def _delta_of_voltages(r: Roles) -> DataFrame:
@@ -481,7 +483,7 @@ delta AS (SELECT c.event_idx, c.contingency, 'Line' AS type, c.from_bus, c.to_bu
 _STATES = " ".join(f"{a}_{n}" for n in ("p", "q", "mva", "loading") for a in ("base", "cont")) + " d_angle_base d_angle_cont"
 _register("delta_rows", _delta, f"{_DELTA}\nFINALLY SELECT * FROM delta", _STATES)
 _register("delta_of_voltages", _delta_of_voltages, f"{_DELTA}\nFINALLY SELECT * FROM delta", _STATES)
-_register("delta_skipped", lambda r: limits.delta_skipped(_flat(r).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0")), f"{_FLAT}\nFINALLY SELECT event_idx, count(*) AS skipped FROM flat WHERE event_idx > 0 AND (from_bus + to_bus) % 5 = 0 GROUP BY 1")
+_register("delta_skipped", lambda r: limits.delta_skipped(_flat(r, cells=True).where("event_idx > 0 OR (from_bus + to_bus) % 5 <> 0")), f"{_FLAT}\nFINALLY SELECT event_idx, count(*) AS skipped FROM flat WHERE event_idx > 0 AND (from_bus + to_bus) % 5 = 0 GROUP BY 1")
 _register("performance_index", lambda r: limits.performance_index(_flow(r)), f"{_ELEMENTS}, {_FLOW}\nFINALLY SELECT event_idx, from_bus, to_bus, ckt, CASE WHEN rate_a > 0 THEN (p_from * p_from + q_from * q_from) / (rate_a * rate_a) ELSE 0e0 END AS pi, CASE WHEN rate_a > 0 THEN sqrt(p_from * p_from + q_from * q_from) / rate_a > 1 ELSE FALSE END AS viol FROM flow", "pi")
 _VV = "vv AS (SELECT event_idx, v.bus_id, v_pu FROM {voltage} v WHERE v_pu > 106e-2 OR v_pu < 93e-2)"
 

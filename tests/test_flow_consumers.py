@@ -125,3 +125,10 @@ def test_f15_deltas_of_voltages_deal_circuits_once(spark, monkeypatch):
         assert wanted and collected(found) == wanted
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["delta_rows", "delta_skipped"])
+def test_f16_f37_event_rows_find_base_rows_where_they_are(spark, in_blocks, name):
+    frame = catalog.queries()[name](spark, SF)
+    assert above_flows(frame) == [[], []]
+    matches(spark, name)
