@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlake.functions.durable import durable
@@ -255,6 +257,32 @@ def rating_search(outcomes: DataFrame) -> DataFrame:
 
 
 def worst(rows: DataFrame, by: Sequence[str], k: int, order: Sequence[str] = CIRCUIT) -> DataFrame:
-    """The k most loaded rows of each group, numbered by loading (ties by key)."""
+    """The k most loaded rows of each group, numbered by loading (ties by key). Where rows of a group lie together, as those of a circuit's events
+    do, most are left out before anything is sorted or shuffled."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("loading", 6).desc(), *order))
+    rows = rows if rows.isStreaming else _foremost(rows, by, k)
     return rows.withColumn("rank", n).where(F.col("rank") <= k)
+
+
+def _foremost(rows: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """Rows without those that k others of their group and Arrow batch exceed in loading: all that can be among the k foremost, and some more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(by)):
+                codes = batch.column(i).dictionary_encode()
+                group = group * (len(codes.dictionary) + 1) + codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+                group = np.unique(group, return_inverse=True)[1]
+            score = batch.column(len(by)).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            score = np.where(np.isnan(score), np.inf, score)  # in Spark's order NaN is the greatest, null the least
+            order = np.lexsort((-score, group))
+            starts = np.searchsorted(group[order], np.arange(group.max(initial=-1) + 1))
+            ends = np.append(starts[1:], batch.num_rows)
+            least = np.where(starts + k <= ends, score[order][np.minimum(starts + k, ends) - 1], -np.inf)
+            own = batch.schema.names[len(by) + 1 :]
+            yield pa.RecordBatch.from_arrays(batch.columns[len(by) + 1 :], names=own).filter(pa.array(score >= least[group]))
+
+    # groups and scores come first under names of their own, rows behind them
+    scored = rows.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.round("loading", 6).cast("double").alias("_score"), *rows.columns)
+    return scored.mapInArrow(run, rows.schema)

@@ -106,7 +106,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("flat_rows", _flat, f"{_FLAT}\nFINALLY SELECT * FROM flat", _STATE)
 _register(
     "worst_circuits",
-    lambda r: limits.worst(_flat(r, lambda circuit: limits.area_kv_filter(circuit, r.fix("bus").bus, [1, 2], 69.0, 230.0)), ["event_idx"], 10).select("event_idx", "from_bus", "to_bus", "ckt", "loading", "viol", "rank"),
+    lambda r: limits.worst(_flat(r, lambda circuit: limits.area_kv_filter(circuit, r.fix("bus").bus, [1, 2], 69.0, 230.0)).select("event_idx", "from_bus", "to_bus", "ckt", "loading", "viol"), ["event_idx"], 10).select("event_idx", "from_bus", "to_bus", "ckt", "loading", "viol", "rank"),
     f"""{_FLAT}
 FINALLY SELECT event_idx, from_bus, to_bus, ckt, loading, viol, rank FROM (SELECT f.*, CAST(row_number() OVER (PARTITION BY event_idx ORDER BY round(loading, 6) DESC, from_bus, to_bus, ckt) AS INT) AS rank
  FROM flat f JOIN {{bus}} a ON a.bus_id = from_bus JOIN {{bus}} b ON b.bus_id = to_bus WHERE (a.area IN (1, 2) OR b.area IN (1, 2)) AND greatest(a.base_kv, b.base_kv) BETWEEN 69 AND 230) AS ranked WHERE rank <= 10""",
@@ -583,7 +583,7 @@ FINALLY SELECT f.tie, (fine + CASE WHEN up THEN -1 WHEN coalesce(o.code, -1) = -
 )
 _register(
     "scenario_rank",
-    lambda r: limits.worst(_flat(r), ["from_bus"], 2, ("event_idx", "to_bus", "ckt")).select("from_bus", "rank", "event_idx", "to_bus", "ckt", "loading"),
+    lambda r: limits.worst(_flat(r).select("from_bus", "event_idx", "to_bus", "ckt", "loading"), ["from_bus"], 2, ("event_idx", "to_bus", "ckt")).select("from_bus", "rank", "event_idx", "to_bus", "ckt", "loading"),
     f"{_FLAT}\nFINALLY SELECT from_bus, rank, event_idx, to_bus, ckt, loading FROM (SELECT *, CAST(row_number() OVER (PARTITION BY from_bus ORDER BY round(loading, 6) DESC, event_idx, to_bus, ckt) AS INT) AS rank FROM flat) AS k WHERE rank <= 2",
     "loading",
 )

@@ -1,9 +1,10 @@
 """Queries on top of flows: rows of circuits and events aren't shuffled before they are summed up."""
 
+import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gridlake.operators import electrical, limits, measure, stats
 from gridlake.plans import catalog
@@ -132,3 +133,16 @@ def test_f16_f37_event_rows_find_base_rows_where_they_are(spark, in_blocks, name
     frame = catalog.queries()[name](spark, SF)
     assert above_flows(frame) == [[], []]
     matches(spark, name)
+
+
+def test_f24_most_rows_are_left_out_before_they_are_sorted(spark):
+    rng = random.Random(5)
+    values = [None, float("nan"), float("inf"), float("-inf"), 1.0000001, 1.0000002, *[rng.choice([float(i), rng.random()]) for i in range(9)]]
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), i, rng.choice(values)) for i in range(3_000)]
+    rows = spark.createDataFrame(rows, "g long, h string, i long, loading double").repartition(3)
+    for by, k in ((["g", "h"], 1), (["g", "h"], 7), (["h"], 400), ([], 5)):
+        n = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("loading", 6).desc(), "i"))
+        wanted = rows.withColumn("rank", n).where(F.col("rank") <= k)
+        assert list(map(str, collected(limits.worst(rows, by, k, ["i"])))) == list(map(str, collected(wanted)))  # NaN isn't itself
+    assert limits._foremost(spark.range(40_000).selectExpr("id DIV 26 AS g", "hash(id) * 1e0 AS loading"), ["g"], 2).count() < 4_000
+    matches(spark, "scenario_rank")
