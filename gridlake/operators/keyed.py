@@ -82,12 +82,13 @@ def apply_setpoints(generator: DataFrame, table: DataFrame) -> DataFrame:
 def apply_scenarios(circuit: DataFrame, elements: DataFrame, keys: Sequence[str] = (*END, "ckt")) -> DataFrame:
     """Rows of every scenario of ``elements``, with status 0 for those that the scenario takes out.
 
-    The scenario list is small beside the network; the fan-out to scenarios x rows is the result itself.
+    The scenario list is small beside the network; the fan-out to scenarios x rows is the result itself. Each row learns which scenarios take it
+    out before they multiply it, so the result isn't shuffled.
     """
-    out = elements.select("event_idx", *keys).distinct().withColumn("_out", F.lit(True))
-    every = circuit.crossJoin(F.broadcast(elements.select("event_idx").distinct()))
-    joined = every.join(out, ["event_idx", *keys], "left")
-    return joined.withColumn("status", F.when(F.col("_out"), 0).otherwise(F.col("status"))).drop("_out")
+    out = elements.groupBy(*keys).agg(F.collect_set("event_idx").alias("_out"))
+    every = circuit.join(out, list(keys), "left").crossJoin(F.broadcast(elements.select("event_idx").distinct()))
+    joined = every.select("event_idx", *keys, *[c for c in circuit.columns if c not in keys], "_out")
+    return joined.withColumn("status", F.when(F.array_contains("_out", F.col("event_idx")), 0).otherwise(F.col("status"))).drop("_out")
 
 
 def elements_not_found(circuit: DataFrame, elements: DataFrame, keys: Sequence[str] = (*END, "ckt")) -> DataFrame:

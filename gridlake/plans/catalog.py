@@ -221,7 +221,7 @@ _register(
 )
 _register(
     "apply_scenarios",
-    lambda r: keyed.apply_scenarios(r.circuit.select("from_bus", "to_bus", "ckt", "status"), r.scenario).groupBy("event_idx", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("from_bus") * 7 + F.col("to_bus")).alias("mark")),
+    lambda r: keyed.apply_scenarios(r.fix("circuit", "scenario").circuit.select("from_bus", "to_bus", "ckt", "status"), r.scenario).groupBy("event_idx", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("from_bus") * 7 + F.col("to_bus")).alias("mark")),
     "SELECT s.event_idx, CAST(CASE WHEN s.from_bus = c.from_bus AND s.to_bus = c.to_bus AND s.ckt = c.ckt THEN 0 ELSE status END AS INT) AS status, count(*) AS n, CAST(sum(c.from_bus * 7 + c.to_bus) AS BIGINT) AS mark FROM {circuit} c CROSS JOIN {scenario} s GROUP BY 1, 2",
 )
 _register(

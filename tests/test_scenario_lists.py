@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gridlake.operators import scenarios
+from gridlake.operators import keyed, scenarios
 from gridlake.plans import catalog
 from tests.checks import assert_same, connection
 
@@ -47,3 +47,19 @@ def test_f13_contents_are_grouped_once(spark, monkeypatch):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert len(made) == 2 and "collect_set" not in plan and "lineitem" not in plan  # neither contents nor circuits are worked out again
     assert_same(frame.toPandas(), connection(SF).sql(catalog.oracle_sql()["combined_scenarios"]).df())
+
+
+def test_f34_scenarios_multiply_circuits_last(spark):
+    circuit = spark.createDataFrame([(1, 2, "1", 1), (1, 2, "2", 1), (2, 3, "1", 0), (3, 1, None, 1)], "from_bus long, to_bus long, ckt string, status int")
+    out = spark.createDataFrame([(1, 1, 2, "1"), (1, 1, 2, "1"), (1, 1, 2, "2"), (2, 1, 2, "2"), (3, 9, 9, "1"), (None, 2, 3, "1"), (4, 3, 1, None)], "event_idx int, from_bus long, to_bus long, ckt string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = keyed.apply_scenarios(circuit, out)
+        head = found._jdf.queryExecution().executedPlan().toString().partition("BroadcastNestedLoopJoin")[0]
+        assert "Exchange" not in head and found.columns == ["event_idx", "from_bus", "to_bus", "ckt", "status"]
+        gone = {(1, 1, 2, "1"), (1, 1, 2, "2"), (2, 1, 2, "2")}
+        wanted = {(e, *c[:3], 0 if (e, *c[:3]) in gone else c[3]) for e in (1, 2, 3, None, 4) for c in circuit.collect()}
+        assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
