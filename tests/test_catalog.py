@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gridlake.plans import catalog, roles
 from tests.checks import assert_same, connection
@@ -36,3 +37,18 @@ def test_nested_json_has_every_part(spark):
     assert [b["bus_id"] for b in one["solution"]["buses"]] == list(range(150))
     assert {one["has_voltage_violation"], one["has_branch_violation"]} <= {True, False}
     assert one["solution"]["generators"] and one["solution"]["branches"] and "iterations" in one["solution"]["convergence"]
+
+
+@pytest.mark.parametrize("name", ["islands_by_scenario", "islands_of_outages", "screen_outages"])
+def test_circuits_are_worked_out_once(spark, monkeypatch, name):
+    made, frame = [], roles.frame
+
+    def watched(spark, sf_dir, role, fixed=None):
+        made.append(role) if role == "circuit" and not (fixed and role in fixed) else None
+        return frame(spark, sf_dir, role, fixed)
+
+    monkeypatch.setattr(roles, "frame", watched)
+    monkeypatch.setattr(catalog.outages, "scenario_islands", lambda bus, circuit, outages: bus.crossJoin(circuit.limit(1)).crossJoin(outages.limit(1)).select(outages["event_idx"], F.lit(1).alias("islands"), F.lit(1).alias("main_buses")))
+    monkeypatch.setattr(catalog.topology, "screen_outages", lambda bus, circuit: circuit.union(circuit))
+    catalog.queries()[name](spark, SF)
+    assert made == ["circuit"]

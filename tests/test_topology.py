@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.operators import topology
+from gridlake.operators import components, topology
 from gridlake.operators.components import connected_components
 
 
@@ -110,3 +110,20 @@ def test_no_edges(spark):
     assert connected_components(empty).count() == 0
     bus, circuit = network(spark, [(0, 1)], 3)
     assert {r.bus_id: r.island for r in topology.islands(bus, circuit.where("false")).collect()} == {0: 0, 1: 1, 2: 2}
+
+
+def test_edges_are_worked_out_once(spark):
+    """Roles behind the edges are costly: neither components nor a forest come back to them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 5), (6, 7), (7, 7)], "u long, v long").mapInArrow(look, "u long, v long")
+    found = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 5: 5, 6: 6, 7: 6} and seen.value == 6
+    label, tree = components.spanning_forest(edges)
+    assert {r.node: r.component for r in label.collect()} == found and seen.value == 12
+    assert tree.count() == 3 and all(r.u < r.v for r in tree.collect())
