@@ -85,7 +85,8 @@ def stat_block(rows: DataFrame, convergence: DataFrame, keys: Sequence[str], val
     bus went from PV to PQ, generators where their bus did, circuits where they are over their rating."""
     shown = rows.select(F.concat_ws("_", *keys).alias("row_key"), F.col("event_idx").alias("scenario_idx"), F.col(value).cast("double").alias("value"), F.when(flagged, 2).otherwise(1).alias("mask"), low.cast("double").alias("min_bound"), high.cast("double").alias("max_bound"))
     good = convergence.where("converged").select(F.col("event_idx").alias("scenario_idx")).distinct()
-    solved = shown.where("scenario_idx = 0").unionByName(shown.where("scenario_idx <> 0").join(good, "scenario_idx", "left_semi").select(*shown.columns))
+    # scenarios are few beside rows, which stay where they are
+    solved = shown.where("scenario_idx = 0").unionByName(shown.where("scenario_idx <> 0").join(F.broadcast(good), "scenario_idx", "left_semi").select(*shown.columns))
     failed = convergence.where("NOT converged AND event_idx <> 0").select(F.col("event_idx").alias("scenario_idx")).distinct()
     base = shown.where("scenario_idx = 0").select("row_key", "min_bound", "max_bound")
     filled = base.crossJoin(F.broadcast(failed)).select("row_key", "scenario_idx", F.lit(0.0).alias("value"), F.lit(0).alias("mask"), "min_bound", "max_bound")

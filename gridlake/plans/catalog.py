@@ -661,7 +661,7 @@ FINALLY SELECT CAST(v.bus_id AS VARCHAR) AS row_key, v.event_idx AS scenario_idx
 )
 _register(
     "generator_stat",  # every scenario takes the unit to another output; bounds are its limits
-    lambda r: summaries.stat_block(r.generator.crossJoin(F.broadcast(r.scenario.select("event_idx").union(r.spark.range(1).select(F.lit(0))))).withColumn("p", F.col("pg") * (1 + F.col("event_idx") / 100)), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0), ["bus_id", "gen_id"], "p", F.col("p") > F.col("pmax"), F.col("pmin"), F.col("pmax")),
+    lambda r: summaries.stat_block(r.slim("circuit", *_ENDS, "rate_a").fix("scenario").slim("generator", "bus_id", "gen_id", "pg", "pmin", "pmax").generator.crossJoin(F.broadcast(r.scenario.select("event_idx").union(r.spark.range(1).select(F.lit(0))))).withColumn("p", F.col("pg") * (1 + F.col("event_idx") / 100)), _cases(r).withColumn("converged", F.col("event_idx") % 3 > 0), ["bus_id", "gen_id"], "p", F.col("p") > F.col("pmax"), F.col("pmin"), F.col("pmax")),
     """ev AS (SELECT 0 AS e UNION ALL SELECT event_idx FROM {scenario} WHERE event_idx IN (SELECT event_idx FROM {convergence_a}))
 FINALLY SELECT concat(bus_id, '_', gen_id) AS row_key, CAST(e AS INT) AS scenario_idx, CASE WHEN e > 0 AND e % 3 = 0 THEN 0e0 ELSE pg * (1 + e / 1e2) END AS value, CAST(CASE WHEN e > 0 AND e % 3 = 0 THEN 0 WHEN pg * (1 + e / 1e2) > pmax THEN 2 ELSE 1 END AS INT) AS mask, pmin AS min_bound, pmax AS max_bound FROM {generator} CROSS JOIN ev""",
     "value min_bound max_bound",

@@ -61,3 +61,14 @@ def test_sketches_merge(spark):
     parts = [summaries.quantile_sketch(rows.where(F.pmod(F.xxhash64("value"), F.lit(3)) == i)) for i in range(3)]
     for r in summaries.quantiles_of_sketches(summaries.merged_sketches(parts), [0.1, 0.5, 0.99]).collect():
         assert r.n == 30_000 and abs(r.value / 60_000 - r.q) < 0.0133
+
+
+def test_result_rows_of_a_block_are_not_shuffled(spark):
+    rows = spark.range(60).select((F.col("id") % 3).cast("int").alias("event_idx"), "id", F.lit(1.0).alias("p"))
+    cases = spark.createDataFrame([(1, True), (2, False)], "event_idx int, converged boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = summaries.stat_block(rows, cases, ["id"], "p", F.lit(False), F.lit(0.0), F.lit(2.0))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
