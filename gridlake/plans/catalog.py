@@ -19,6 +19,8 @@ from gridlake.streaming import streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+#: Rows that a task holds of tables that are dealt.
+DEALT_ROWS = 250_000
 
 
 class Roles:
@@ -37,6 +39,21 @@ class Roles:
                 self.fixed[name] = durable(getattr(self, name))
         return self
 
+    def parts(self, rows: int) -> int:
+        """So many partitions that each has at most some DEALT_ROWS of these rows: a task's memory doesn't grow with the table."""
+        return max(-(-rows // DEALT_ROWS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(self, **by: tuple[str, ...]) -> Roles:
+        """Deals given tables by these columns before anything is joined or grouped by them, by the rows of lineitem, which files tell without being read."""
+        for name, columns in by.items():
+            if name not in self.fixed:
+                self.fixed[name] = getattr(self, name).repartition(self.lines, *columns)
+        return self
+
+    @property
+    def lines(self) -> int:
+        return self.parts(roles.frame(self.spark, self.sf_dir, "lineitem").count())
+
     def slim(self, name: str, *columns: str) -> Roles:
         """Writes these columns of a role, which are all that the query reads of it."""
         if name not in self.fixed:
@@ -577,7 +594,9 @@ _register(
 def _outcomes(r: Roles) -> DataFrame:
     """Ratings from 0.5 to 1.5, each in two scenarios: secure below a limit with some exceptions on either side, out of capacity at the ends."""
     k, t = F.col("k"), F.col("tie")
-    rows = r.bus.select(F.col("bus_id").alias("tie"), F.explode(F.sequence(F.lit(50), F.lit(150))).alias("k")).withColumn("scenario", F.explode(F.array(F.lit(0), F.lit(1))))
+    bus = r.bus.select("bus_id")
+    bus = bus.repartition(r.parts(bus.count() * 101), "bus_id")  # dealt before ratings multiply them, so that these are grouped where they are made
+    rows = bus.select(F.col("bus_id").alias("tie"), F.explode(F.sequence(F.lit(50), F.lit(150))).alias("k")).withColumn("scenario", F.explode(F.array(F.lit(0), F.lit(1))))
     ok = F.when((k * 31 + t * 17 + F.col("scenario") * 5) % 13 == 0, k > 70 + t % 61).otherwise(k <= 70 + t % 61)
     return rows.select("tie", (k / 100.0).alias("rating"), ok.alias("ok"), ((k <= 120 + t % 37) & (k >= 50 + t % 29)).alias("feasible"))
 
