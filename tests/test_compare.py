@@ -18,3 +18,14 @@ def test_metrics_of_scenarios_that_both_runs_solved(spark):
     b = spark.createDataFrame([("x", "Line", True, "OK", 6, 1.0), ("y", "Line", True, "SLACK_OVERLOAD", 7, 2.0), ("z", "Line", True, "OK", 1, 1.0)], kind)
     found = {r["column"]: (r["n"], r["mean_diff"]) for r in compare.convergence_metrics(a, b).collect()}
     assert found == {"iterations": (1, -2.0), "final_tolerance": (1, 0.0)}
+
+
+def test_keys_that_rows_are_dealt_by_are_kept(spark):
+    """Rows dealt by their keys are grouped, numbered and joined where they are."""
+    rows = spark.range(40).selectExpr("id % 7 AS k", "id * 1.0D AS p").repartition(9, "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = compare.assert_close(rows, rows.where("p > 3"), ["k"], ["p"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") == 2
