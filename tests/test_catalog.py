@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +54,26 @@ def test_circuits_are_worked_out_once(spark, monkeypatch, name):
     monkeypatch.setattr(catalog.topology, "screen_outages", lambda bus, circuit: circuit.union(circuit))
     catalog.queries()[name](spark, SF)
     assert made == ["circuit"]
+
+
+@pytest.mark.parametrize("blocks", [1, 3, None])
+def test_circuits_in_cells_are_the_role(spark, blocks):
+    found, wanted = roles.circuit_in_cells(spark, SF, blocks), roles.frame(spark, SF, "circuit")
+    assert sorted(found.drop("cell").collect()) == sorted(wanted.collect())
+    pairs = found.select(F.least("from_bus", "to_bus").alias("a"), F.greatest("from_bus", "to_bus").alias("b"), "cell").distinct()
+    assert pairs.count() == pairs.select("a", "b").distinct().count()
+
+
+def test_ybus_shuffles_circuits_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = catalog.queries()["ybus_coo"](spark, SF)
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(i#" in plan and not re.search(r"hashpartitioning\((i#\w+, j#|l_partkey.*ENSURE|from_bus|.*l_linenumber)", plan)
+    # lines and parts in cells, both of which the other half of the query uses again
+    made, again = (len(re.findall(p + r"Exchange hashpartitioning\(cell#", plan)) for p in (r"(?<!\], )", r"ReusedExchange \[.*\], "))
+    assert (made, again) == (2, 2)

@@ -142,3 +142,25 @@ def test_injection_in_blocks(spark, monkeypatch):
     found = electrical.bus_injection(ybus, voltage)
     assert len([x for x in exchanges(found)[1] if "(_cell" in x]) == 3  # entries and the voltages of rows and columns
     assert collected(found) == wanted
+
+
+def test_admittances_of_cells_are_summed_where_circuits_are(spark):
+    circuit, _ = tables(spark)
+    turned = circuit.where("from_bus % 3 = 0").select(F.col("to_bus").alias("from_bus"), F.col("from_bus").alias("to_bus"), *circuit.columns[2:])
+    loops = circuit.where("from_bus = 2").withColumn("to_bus", F.col("from_bus"))
+    odd = circuit.where("to_bus = 5").withColumns({"r": F.lit(0.0), "x": F.lit(0.0)}).union(circuit.where("to_bus = 6").withColumn("from_bus", F.lit(None).cast("long")))
+    circuit = circuit.union(turned).union(loops).union(odd)
+    shunt = spark.range(3, 20).select(F.col("id").alias("bus_id"), F.lit(0.1).alias("g"), F.lit(0.2).alias("b"))
+    plain = electrical.branch_elements(circuit)
+    ends = (("from_bus", "from_bus", "yff"), ("from_bus", "to_bus", "yft"), ("to_bus", "from_bus", "ytf"), ("to_bus", "to_bus", "ytt"))
+    parts = shunt.selectExpr("bus_id AS i", "bus_id AS j", "g AS re", "b AS im")
+    for i, j, p in ends:
+        parts = parts.union(plain.selectExpr(f"{i} AS i", f"{j} AS j", f"{p}_re AS re", f"{p}_im AS im"))
+    wanted = collected(parts.groupBy("i", "j").agg(F.sum("re"), F.sum("im")))
+    assert collected(electrical.ybus_coo(circuit, shunt)) == wanted
+    for blocks in (1, 3):
+        cell = electrical.pair_cell(*[electrical.block_of(F.col(c), blocks) for c in ("from_bus", "to_bus")], blocks)
+        found = electrical.ybus_coo(circuit.withColumn(electrical.CELL, cell).repartition(5, electrical.CELL), shunt)
+        assert collected(found) == wanted
+        added = [x for x in exchanges(found)[1] if "REPARTITION_BY_NUM" not in x]
+        assert added and not [x for x in added if "j#" in x]  # own admittances alone
