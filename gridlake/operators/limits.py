@@ -161,11 +161,19 @@ def ignore_baseline(found: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def overload_violations(flow: DataFrame, use_b: bool = True, ignored: DataFrame | None = None) -> DataFrame:
-    """Rows whose apparent power is above a positive rate: B if asked for and present, else A."""
+    """Rows whose apparent power is above a positive rate: B if asked for and present, else A. Where rows are many, ``not_ignored`` can be applied to the circuits."""
     rate = F.when(F.lit(use_b) & (F.col("rate_b") > 0), F.col("rate_b")).otherwise(F.col("rate_a"))
     s = F.hypot("p_from", "q_from")
-    out = flow.where("status = 1").where((rate > 0) & (s > rate)).select("event_idx", *CIRCUIT, s.alias("s"), rate.alias("rate"))
-    return out if ignored is None else out.join(ignored.select(*CIRCUIT), list(CIRCUIT), "left_anti")
+    # a filter by s would be pushed below the flows and repeat all that s is made of, in code too large to be compiled; a generator isn't
+    rows = flow.where("status = 1").select("event_idx", *CIRCUIT, s.alias("s"), rate.alias("rate"))
+    over = F.when((F.col("rate") > 0) & (F.col("s") > F.col("rate")), F.array(F.struct("s", "rate")))
+    out = rows.select("event_idx", *CIRCUIT, F.inline(over))
+    return out if ignored is None else not_ignored(out, ignored)
+
+
+def not_ignored(rows: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Circuits, or rows of them, that aren't among ``ignored``."""
+    return rows.join(ignored.select(*CIRCUIT), list(CIRCUIT), "left_anti").select(*rows.columns)
 
 
 def watched_line_verdict(lines: DataFrame, rows: DataFrame) -> DataFrame:
