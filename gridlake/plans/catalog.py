@@ -23,6 +23,8 @@ _SQL: dict[str, str] = {}
 DEALT_ROWS = 250_000
 #: Bytes of a nested case that is given in one piece.
 CASE_BYTES = 16_000_000
+#: Parts in which measurements, contingencies and faults are listed.
+LISTS = 64
 
 
 class Roles:
@@ -1181,20 +1183,28 @@ _register(
 
 
 def _xml(r: Roles, rows: DataFrame, part: F.Column, top: str, tag: str, **fields: F.Column) -> str:
-    inner = [x for name, value in fields.items() for x in (F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))]
-    files = rows.select(part.alias("part"), F.concat(F.lit(f"<{tag}>"), *inner, F.lit(f"</{tag}>")).alias("line")).groupBy("part").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
-    return _as_text(r, files.select("part", F.concat(F.lit(f"<{top}>\n"), "lines", F.lit(f"\n</{top}>")).alias("value")))
+    """Folder of lists, LISTS parts, each in files that have some DEALT_ROWS rows at most where there are many. Fields are shuffled, and files written line by
+    line, sorted on disk if need be, so no task holds a list."""
+    files = max(1, r.lines // LISTS)
+    rows = rows.select(part.alias("part"), F.pmod(F.xxhash64(*fields.values()), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("nth"), *[value.cast("string").alias(name) for name, value in fields.items()])
+    whole = r.spark.range(LISTS * files).select((F.col("id") % LISTS).alias("part"), F.floor(F.col("id") / LISTS).cast("int").alias("file"), F.explode(F.array(F.lit(0), F.lit(2))).alias("nth"))
+    dealt = rows.unionByName(whole, allowMissingColumns=True).repartition(r.lines, "part", "file").sortWithinPartitions("part", "file", "nth")
+    line = F.concat(F.lit(f"<{tag}>"), *[x for name in fields for x in (F.lit(f"<{name}>"), F.col(name), F.lit(f"</{name}>"))], F.lit(f"</{tag}>"))
+    text = F.when(F.col("nth") == 0, f"<{top}>").when(F.col("nth") == 2, f"</{top}>").otherwise(line)
+    path = _folder(r)
+    dealt.select("part", "file", text.alias("value")).where("value IS NOT NULL").write.partitionBy("part", "file").text(path)
+    return path
 
 
 _register(
     "read_measurements",
-    lambda r: lists.read_measurements(r.spark, _xml(r, r.measurement, F.col("bus_id") % 64, "Measurements", "Measurement", Type=F.col("type"), Bus=F.col("bus_id"), Value=F.col("value"), Deviation=F.col("deviation"))).select("type", "bus_id", "value", "deviation"),
+    lambda r: lists.read_measurements(r.spark, _xml(r, r.measurement, F.col("bus_id") % LISTS, "Measurements", "Measurement", Type=F.col("type"), Bus=F.col("bus_id"), Value=F.col("value"), Deviation=F.col("deviation"))).select("type", "bus_id", "value", "deviation"),
     "SELECT type, bus_id, value, deviation FROM {measurement}",
     "value deviation",
 )
 _register(
     "read_contingencies",
-    lambda r: lists.read_contingencies(r.spark, _xml(r, scenarios.n1_branches(r.circuit), F.col("from_bus") % 64, "Contingencies", "Contingency", contingencyType=F.col("type"), contingencyName=F.col("scenario"), contingencyLineBuses=F.concat_ws(" ", "from_bus", "to_bus"), CKT=F.col("ckt"))).select("name", "type", "pos", "from_bus", "to_bus", "ckt"),
+    lambda r: lists.read_contingencies(r.spark, _xml(r, scenarios.n1_branches(r.circuit), F.col("from_bus") % LISTS, "Contingencies", "Contingency", contingencyType=F.col("type"), contingencyName=F.col("scenario"), contingencyLineBuses=F.concat_ws(" ", "from_bus", "to_bus"), CKT=F.col("ckt"))).select("name", "type", "pos", "from_bus", "to_bus", "ckt"),
     "SELECT 'BR_' || from_bus || '_' || to_bus || '_' || ckt AS name, 'Line' AS type, 0 AS pos, from_bus, to_bus, ckt FROM {circuit}",
 )
 _register(
@@ -1204,7 +1214,7 @@ _register(
 )
 _register(
     "read_fault_events",
-    lambda r: lists.read_fault_events(r.spark, _xml(r, r.circuit, F.col("from_bus") % 64, "Faults", "faultEvent", beginFault=F.col("r"), endFault=F.col("r") + 1, faultBranch=F.concat_ws(" ", "from_bus", "to_bus"), timeStep=F.lit(0.005))),
+    lambda r: lists.read_fault_events(r.spark, _xml(r, r.circuit, F.col("from_bus") % LISTS, "Faults", "faultEvent", beginFault=F.col("r"), endFault=F.col("r") + 1, faultBranch=F.concat_ws(" ", "from_bus", "to_bus"), timeStep=F.lit(0.005))),
     "SELECT r AS begin, r + 1 AS \"end\", from_bus, to_bus, 5e-3 AS step FROM {circuit}",
     "begin end",
 )

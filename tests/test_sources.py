@@ -194,3 +194,20 @@ def test_reactive_shares_are_clamped_and_shared_again(spark):
     need = spark.createDataFrame([(1, 60.0)], "bus_id long, q_required double")
     found = {r.gen_id: (r.q, r.clamped, r.to_pq) for r in electrical.allocate_reactive(units, need).collect()}
     assert found == {"1": (10.0, True, False), "2": (50.0, False, False)}
+
+
+def test_r04_f12_lists_are_written_line_by_line(spark, monkeypatch):
+    """No row holds a list: files are as many as rows ask for, and each is a document."""
+    import xml.etree.ElementTree as ET
+    from pathlib import Path
+
+    from gridlake.plans import catalog
+
+    monkeypatch.setattr(catalog, "DEALT_ROWS", 50)
+    written, xml = [], catalog._xml
+    monkeypatch.setattr(catalog, "_xml", lambda *a, **b: written.append(xml(*a, **b)) or written[-1])
+    rows = catalog.queries()["read_contingencies"](spark, "/root/testdata/sf0.001")
+    files = [f for f in Path(written[0]).rglob("part-*.txt")]
+    found = [len(ET.parse(f).getroot()) for f in files]
+    assert max(found) < 150 and sum(found) == rows.count() > 5_000
+    assert max(len(line) for f in files for line in f.open()) < 1_000
