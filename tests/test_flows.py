@@ -164,3 +164,10 @@ def test_admittances_of_cells_are_summed_where_circuits_are(spark):
         assert collected(found) == wanted
         added = [x for x in exchanges(found)[1] if "REPARTITION_BY_NUM" not in x]
         assert added and not [x for x in added if "j#" in x]  # own admittances alone
+
+
+@pytest.mark.parametrize("cells, parts", [(36, 36), (36, 200), (72, 200), (225, 225)])
+def test_r04_f10_no_two_cells_share_a_partition(spark, cells, parts):
+    numbers = electrical.apart(spark, cells, parts)
+    dealt = spark.createDataFrame([(n,) for n in numbers], "cell int").repartition(parts, "cell")
+    assert len(numbers) == cells == dealt.select(F.spark_partition_id().alias("p")).distinct().count()
